@@ -12,9 +12,12 @@ empty and holds the end id only. No rows: an empty table and no shard.
 
 from __future__ import annotations
 
+import gc
 import re
 import struct
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -28,11 +31,24 @@ from quillstone.llm._io import cut, fresh_path, open_fs, slices, write_file
 
 MAGIC, TRAILER = b"QBITPLN1", struct.Struct("<QQQQB7x8s")
 #: Words kept per worker: past this many the cache starts anew.
-CACHE = 600_000
+CACHE = 900_000
 _state: dict = {}
 # A space that follows white space and stands before no word: only then may a cut at single spaces differ.
 _RUN = re.compile(r"\s (?!\S)|\s \s")
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
+# A lone line feed between others, and the letters and digits that a word begins with: no token reaches past them.
+_LINE = re.compile(r"(?<=\S)(\n)(?=\S)")
+_STEM = re.compile(r" ?[^\W_]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that byte-level vocabularies write for each byte."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = iter(range(0x100, 0x200))
+    return {b: chr(b if b in shown else next(hidden)) for b in range(256)}
+
+
+_LETTERS = _byte_letters()
 
 
 class _Encoder:
@@ -44,22 +60,47 @@ class _Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        assert sys.byteorder == "little" and array("I").itemsize == 4
         self.tokenizer = Tokenizer.from_file(path)
         self.plain: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+
+    def _parts(self, known: dict[str, bytes], parts: list[str]) -> None:
+        """Encode stems and what follows them. A stem of letters alone is one pre-token: the model takes it as it is."""
+        tokenize, other = self.tokenizer.model.tokenize, []
+        for w in parts:
+            if w.isalpha() or w[:1] == " " and w[1:].isalpha():
+                known[w] = array("I", [t.id for t in tokenize(w.encode().decode("latin1").translate(_LETTERS))]).tobytes()
+            else:
+                other.append(w)
+        for w, e in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False)):
+            known[w] = array("I", e.ids).tobytes()
 
     def _learn(self, known: dict[str, bytes], words: set[str], lead: str) -> None:
-        new = [w for w in words if w not in known]
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch([lead + w for w in part], add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+        stems, match = self.stems, _STEM.match
+        cut = {}
+        for w in words:
+            if w in known:
+                continue
+            whole = lead + w
+            m = match(whole)
+            end = m.end() if m else 0
+            if "\n" in w:
+                lines = [(line, m.end() if (m := match(line)) else 0) for line in _LINE.split(whole)]
+                cut[w] = [p for line, k in lines for p in (line[:k], line[k:]) if p]
+            else:
+                cut[w] = (whole,) if end in (0, len(whole)) else (whole[:end], whole[end:])
+        self._parts(stems, [p for p in {p for parts in cut.values() for p in parts} if p not in stems])
+        for w, parts in cut.items():
+            known[w] = stems[parts[0]] if len(parts) == 1 else b"".join([stems[p] for p in parts])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
         if len(self.plain) + len(self.spaced) > CACHE:
             self.plain.clear()
             self.spaced.clear()
+            self.stems.clear()
         heads, tails = [], []
         for t in texts:
             if "  " in t or _RUN.search(t):
@@ -69,8 +110,10 @@ class _Encoder:
                 first, *rest = t.split(" ")
                 heads.append((first,))
                 tails.append(rest)
+        gc.disable()  # the tables below hold no cycles
         self._learn(self.plain, set().union(*heads), "")
         self._learn(self.spaced, set().union(*tails), " ")
+        gc.enable()
         plain, spaced = self.plain.__getitem__, self.spaced.__getitem__
         return [b"".join([*map(plain, a), *map(spaced, b)]) for a, b in zip(heads, tails)]
 
