@@ -4,17 +4,79 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillstone.llm import decontaminate, embedding_dedup, jaccard_join, language, licenses, pii, secrets, sentencepiece_codec, token_binary, warc
 from quillstone.llm._io import table
 
 
-def op2_token_bitplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _tokenizer(name: str) -> str:
     import public_tokenizers
 
-    from quillstone.llm import token_binary
+    return public_tokenizers.path(name)
+
+
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_token_bitplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_binary.read_tokens(token_binary.write_tokens(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json")))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.predict(docs, language.fit(docs))
+
+
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.cosine_links(table(spark, sf_dir, "embeddings"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op8_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), with_ids=False)
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
-    shards = token_binary.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-    return token_binary.read_tokens(shards)
 
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_benchmark_decontamination,
+        op2_token_bitplanes,
+        op3_license_scan,
+        op4_language_id,
+        op5_personal_data,
+        op6_embedding_near_dedup,
+        op7_secret_scan,
+        op8_warc_archives,
+        op9_sentencepiece,
+        op10_jaccard_join,
+    )
+}
 
-QUERIES = {f.__name__: f for f in (op2_token_bitplanes,)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_warc_archives": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+        w AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS top FROM p)
+        SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to
+        FROM w""",
+}
