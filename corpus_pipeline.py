@@ -1,12 +1,57 @@
-"""Corpus cleaning pipeline over the documents table."""
+"""Corpus cleaning: five stages over the documents table, each written as Parquet and read again.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but
+the last return the columns of documents; rows whose text is null never pass the first.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from quillstone.llm import decontaminate, jaccard_join, language, secrets, sentencepiece_codec
+from quillstone.llm._io import cut, table
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or whose language no score of 0.3 or more tells, go."""
+    return language.keep_known(docs, language.fit(docs))
+
+
+def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by 3-word shingles the smallest doc_id stays."""
+    return jaccard_join.keep_one(docs)
+
+
+def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of a benchmark item go."""
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in texts become [SECRET]; all documents stay."""
+    return secrets.redact_secrets(docs)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_crc32, round_trip and ids of every document."""
+    return sentencepiece_codec.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("jaccard_join", join_near_copies),
+    ("benchmark_decontamination", decontaminate_benchmark),
+    ("secret_scan", redact_secrets),
+    ("sentencepiece", encode_pieces),
+]
+
+#: The stages' models and tokens are beyond SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs
