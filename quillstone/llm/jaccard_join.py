@@ -18,6 +18,7 @@ doc_id takes part, and a component's id is its smallest doc_id (null if it has n
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from fractions import Fraction
 
 import numpy as np
@@ -38,36 +39,45 @@ class Classes:
 
     def __init__(self, threshold: Fraction):
         self.t, self.low = threshold, [1]
+        self.known: dict[int, tuple] = {}
+
+    def _grow(self) -> None:
+        self.low.append(int(self.low[-1] / self.t) + 1)
 
     def of(self, n: int) -> int:
         while self.low[-1] <= n:
-            self.low.append(int(self.low[-1] / self.t) + 1)
-        return int(np.searchsorted(self.low, n, "right")) - 1
-
-    def parts(self, level: int) -> tuple[int, int]:
-        """(parts, spares) of a class: the largest difference of two of its linked sets, and one, and the spares."""
-        self.of(self.low[-1])
-        most = self.low[level + 1] - 1
-        differ = int(2 * most * (1 - self.t) / (1 + self.t))
-        spare = 1 + differ // 16
-        return (differ + 1 + spare, spare) if differ else (0, 0)
+            self._grow()
+        return bisect_right(self.low, n) - 1
+
+    def parts(self, level: int) -> tuple:
+        """(spares, cuts of the hash range, salts) of a class. Parts are the largest difference of two linked sets, and one, and the spares."""
+        if level not in self.known:
+            while len(self.low) < level + 2:
+                self._grow()
+            differ = int(2 * (self.low[level + 1] - 1) * (1 - self.t) / (1 + self.t))
+            spare = 1 + differ // 16
+            n = differ + 1 + spare if differ else 0
+            cuts = np.array([(i << 64) // n for i in range(1, n)], np.uint64)
+            self.known[level] = spare, cuts, mix(np.arange(n, dtype=np.uint64) + U(level << 32))
+        return self.known[level]
 
 
 def part_hashes(s: np.ndarray, classes: Classes) -> np.ndarray:
     """The hashes of the parts of one sorted set, for its own class and the next."""
     out, level = [], classes.of(len(s))
-    spread = mix(s + U(0x51ED270B))
-    running = np.concatenate((np.zeros(1, np.uint64), np.cumsum(spread, dtype=np.uint64)))
+    running = np.zeros(len(s) + 1, np.uint64)
+    np.cumsum(s * U(0xD6E8FEB86659FD93) ^ (s >> U(29)), dtype=np.uint64, out=running[1:])
     for k in (level, level + 1):
-        parts, spare = classes.parts(k)
-        if not parts:
+        spare, cuts, salts = classes.parts(k)
+        if not len(salts):
             continue
-        cuts = np.searchsorted(s, (np.arange(1, parts, dtype=np.uint64) << U(32)) // U(parts) << U(32))
-        cuts = np.concatenate(([0], cuts, [len(s)]))
-        sums = mix((running[cuts[1:]] - running[cuts[:-1]]) ^ mix(np.arange(parts, dtype=np.uint64) + U(k << 32)))
-        empty = cuts[1:] == cuts[:-1]
-        out.append(sums if empty.sum() > spare else sums[~empty])
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        at = np.empty(len(salts) + 1, np.int64)
+        at[0], at[-1] = 0, len(s)
+        at[1:-1] = s.searchsorted(cuts)
+        sums = (running[at[1:]] - running[at[:-1]]) ^ salts
+        full = at[1:] != at[:-1]
+        out.append(sums if len(full) - np.count_nonzero(full) > spare else sums[full])
+    return mix(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
 def node_of(s: np.ndarray) -> int:
