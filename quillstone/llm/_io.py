@@ -81,5 +81,17 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20):
         lo = hi
 
 
+_worker: dict[str, dict] = {}
+
+
+def remembered(operator: str) -> dict:
+    """What an operator keeps in a Python worker from task to task. A worker keeps one operator's at a time, so memory
+    doesn't add up over the stages of a pipeline."""
+    for name, kept in _worker.items():
+        if name != operator:
+            kept.clear()
+    return _worker.setdefault(operator, {})
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

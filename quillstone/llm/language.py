@@ -20,11 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm._io import slices
+from quillstone.llm._io import remembered, slices
 
 EMBED, HIDDEN, PIECE = 12, 16, 24
-CACHE = 500_000
-_nets: dict[str, Network] = {}
+CACHE = 200_000
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -208,12 +207,13 @@ def _predict(texts: list[str | None], model) -> tuple[list[str], np.ndarray]:
         return ["und"] * len(texts), np.zeros(len(texts))
     langs, parts = model
     key = f"{zlib.crc32(parts['out'].tobytes())}-{zlib.crc32(parts['embed'].tobytes())}"
-    if key not in _nets:
-        _nets.clear()
-        _nets[key] = Network(parts)
+    nets = remembered("language")
+    if key not in nets:
+        nets.clear()
+        nets[key] = Network(parts)
     split = [(t or "").split() for t in texts]
     first = np.concatenate(([0], np.cumsum([len(w) for w in split]))).astype(int)
-    rows = _nets[key].sums_of([w for words in split for w in words])
+    rows = nets[key].sums_of([w for words in split for w in words])
     running = np.concatenate((np.zeros((1, rows.shape[1])), np.cumsum(rows, axis=0)))
     sums = running[first[1:]] - running[first[:-1]]
     mean = sums[:, :-1] / np.maximum(sums[:, -1:], 1)

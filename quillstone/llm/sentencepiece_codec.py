@@ -28,12 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm._io import slices
+from quillstone.llm._io import remembered, slices
 
 SPACE = "▁"
-CACHE = 500_000
+CACHE = 250_000
 _STEM = re.compile(f"{SPACE}?[^\\W_]+")
-_loaded: dict[str, Codec] = {}
 NORMAL, BYTE = 1, 6
 
 
@@ -395,9 +394,10 @@ class Codec:
 
 
 def codec(path: str) -> Codec:
-    if path not in _loaded:
-        _loaded[path] = Codec(path)
-    return _loaded[path]
+    kept = remembered("sentencepiece")
+    if path not in kept:
+        kept[path] = Codec(path)
+    return kept[path]
 
 
 def encode(docs: DataFrame, model: str, with_ids: bool = True, keep_text: bool = False) -> DataFrame:

@@ -27,12 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm._io import cut, fresh_path, open_fs, slices, write_file
+from quillstone.llm._io import cut, fresh_path, open_fs, remembered, slices, write_file
 
 MAGIC, TRAILER = b"QBITPLN1", struct.Struct("<QQQQB7x8s")
 #: Words kept per worker: past this many the cache starts anew.
-CACHE = 900_000
-_state: dict = {}
+CACHE = 500_000
 # A space that follows white space and stands before no word: only then may a cut at single spaces differ.
 _RUN = re.compile(r"\s (?!\S)|\s \s")
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
@@ -119,9 +118,10 @@ class _Encoder:
 
 
 def encoder(path: str) -> _Encoder:
-    if path not in _state:
-        _state[path] = _Encoder(path)
-    return _state[path]
+    kept = remembered("token_binary")
+    if path not in kept:
+        kept[path] = _Encoder(path)
+    return kept[path]
 
 
 def pack_block(ids: np.ndarray, planes: str) -> list[bytes]:
