@@ -249,7 +249,8 @@ def link_nodes(docs: DataFrame, nodes: DataFrame, k: int, threshold: Fraction) -
                 out = pa.RecordBatch.from_arrays([piece.column("comp"), piece.column("node"), piece.column("blocks"), piece.column("block"), pa.array([s.tobytes() for s in sets], pa.binary())], ["comp", "node", "blocks", "block", "shingles"])
                 yield out.filter(right)
 
-    texts = docs.select("doc_id", "text").join(wanted, docs.doc_id.eqNullSafe(wanted.doc_id)).select("text", "comp", "node", "blocks", "block")
+    # One hash join at every size: the wanted rows grow with the input, a task's part of them is small.
+    texts = docs.select("doc_id", "text").join(wanted.hint("shuffle_hash"), docs.doc_id.eqNullSafe(wanted.doc_id)).select("text", "comp", "node", "blocks", "block")
     sets = texts.mapInArrow(sets_of, "comp long, node long, blocks int, block int, shingles binary")
     # A set goes to every task of its block: with itself and with each other block of its group.
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
