@@ -122,12 +122,22 @@ def to_json_lines(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
 
 
+def _written(column: str) -> Column:
+    """A column as documents have it: scores are arrays of three."""
+    if column != "labels":
+        return F.col(column)
+    triple = lambda s: F.parse_json(F.concat(F.lit("["), F.coalesce(s["score"].cast("string"), F.lit("null")), F.lit(","), F.coalesce(s["pred_pos"].cast("string"), F.lit("null")), F.lit(","), F.coalesce(s["ref_pos"].cast("string"), F.lit("null")), F.lit("]")))
+    scores = lambda m: F.transform_values(m, lambda _, x: F.transform_values(x, lambda __, s: triple(s)))
+    fields = ("createdAt", "usageOptions", "datasets", "metadata", "scores", "augmentations")
+    return F.transform_values("labels", lambda _, x: F.struct(*[(scores(x[f]) if f == "scores" else x[f]).alias(f) for f in fields])).alias("labels")
+
+
 def save_documents(reviews: ReviewSet, path: str | None = None) -> None:
     """One document a review in a folder of text files; a set without a path is an error."""
     path = path or reviews.save_path
     if not path:
         raise ValueError("there is no path to save to")
-    inner = F.create_map(F.col("review_id"), F.struct(*[c for c in reviews.df.columns if c != "review_id"]))
+    inner = F.create_map(F.col("review_id"), F.struct(*[_written(c) for c in reviews.df.columns if c != "review_id"]))
     reviews.df.select(F.to_json(F.struct(F.lit(VERSION).alias("version"), inner.alias("reviews"))).alias("value")).write.text(path)
 
 
