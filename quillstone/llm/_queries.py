@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillstone.llm import decontaminate, embedding_dedup, jaccard_join, language, licenses, pii, secrets, sentencepiece_codec, token_binary, warc
 from quillstone.llm._io import table
+from quillstone.llm._oracles import ORACLES
 
 
 def _tokenizer(name: str) -> str:
@@ -71,12 +72,4 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {
-    "op8_warc_archives": """
-        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
-        w AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS top FROM p)
-        SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
-               CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to
-        FROM w""",
-}
+__all__ = ["ORACLES", "QUERIES"]
