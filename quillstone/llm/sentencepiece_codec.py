@@ -341,6 +341,7 @@ class Codec:
             self.spaced.clear()
             self.stems.clear()
         newline = self.byte_id[10].astype("<i4").tobytes() if "\n" not in self.rank else None
+        texts = [t.replace(SPACE, " ") if SPACE in t else t for t in texts]  # the two are one to the model
         split, plain, spaced = [], set(), set()
         for t in texts:
             lines = t.split("\n") if newline is not None else [t]
