@@ -203,3 +203,10 @@ def remove_outliers(reviews: DataFrame, phrases: DataFrame, share: float, distan
     small = within_budget(cluster_sizes(tagged), share)
     gone = tagged.join(small.select("cluster"), "cluster", "left_semi").select("review_id").distinct()
     return reviews.join(gone, "review_id", "left_anti")
+
+
+def loss_map_clusters(statistics: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
+    """Clusters of examples by (confidence, variability); k-means stands in for spectral clustering."""
+    kept = statistics.na.drop("any", subset=["confidence", "variability"])
+    tagged = kept.withColumn("_v", array_to_vector(F.array(F.col("confidence").cast("double"), F.col("variability").cast("double"))))
+    return KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="cluster").fit(tagged).transform(tagged).drop("_v")

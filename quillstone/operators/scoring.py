@@ -170,3 +170,9 @@ def score_report(rows: DataFrame, metric_id: str = "custom_weighted_mean_f1", sa
     for name, test in (("tp", "usage_class = 'TP'"), ("fp", "usage_class = 'FP'"), ("fn", "usage_class = 'FN'"), ("hard", "is_hard")):
         out[f"sample_{name}"] = tagged.filter(test).orderBy(order).limit(samples)
     return out
+
+
+def mean_scores(scores: DataFrame) -> DataFrame:
+    """metric_id, label_id, mean and number of scores, the best first."""
+    kept = scores.filter(F.col("score").isNotNull() & ~F.isnan("score"))
+    return kept.groupBy("metric_id", "label_id").agg(F.avg("score").alias("mean"), F.count("*").alias("n")).orderBy("metric_id", F.desc("mean"), "label_id")

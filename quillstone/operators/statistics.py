@@ -18,9 +18,14 @@ def _sample_std(c: Column) -> Column:
     return F.stddev_samp(c)
 
 
-def describe(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
-    """One row a column (and group): count, mean, std (n - 1), min, exact quartiles, max."""
-    stats = lambda c: F.struct(F.lit(c).alias("column_name"), F.count(c).alias("count"), F.avg(c).alias("mean"), _sample_std(F.col(c)).alias("std"), F.min(c).cast("double").alias("min"), F.percentile(c, F.lit(0.25)).alias("p25"), F.percentile(c, F.lit(0.5)).alias("p50"), F.percentile(c, F.lit(0.75)).alias("p75"), F.max(c).cast("double").alias("max"))
+def describe(df: DataFrame, columns: list[str], by: list[str] | None = None, approximate: bool = False) -> DataFrame:
+    """One row a column (and group): count, mean, std (n - 1), min, quartiles, max.
+
+    Exact quartiles keep each distinct value of a group; approximate ones are of bounded size, for columns of
+    very many distinct values.
+    """
+    quartile = (lambda c, q: F.percentile_approx(c, q, 100_000).cast("double")) if approximate else (lambda c, q: F.percentile(c, F.lit(q)))
+    stats = lambda c: F.struct(F.lit(c).alias("column_name"), F.count(c).alias("count"), F.avg(c).alias("mean"), _sample_std(F.col(c)).alias("std"), F.min(c).cast("double").alias("min"), quartile(c, 0.25).alias("p25"), quartile(c, 0.5).alias("p50"), quartile(c, 0.75).alias("p75"), F.max(c).cast("double").alias("max"))
     keys = by or []
     one = df.groupBy(*keys).agg(F.array(*[stats(c) for c in columns]).alias("s"))
     return one.select(*keys, F.inline("s"))
