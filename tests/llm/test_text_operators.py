@@ -299,6 +299,35 @@ def test_leaks(spark):
     assert decontaminate.leaks(documents(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_leaks_against_brute_force(spark):
+    """Every pair whose best offset has the score is found where at most every third word is substituted."""
+    rng = random.Random(8)
+    word = lambda: rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randrange(300))
+    items = [[word() for _ in range(rng.choice((6, 9, 12, 20, 45)))] for _ in range(30)]
+    texts = []
+    for i in range(400):
+        body = [word() for _ in range(60)]
+        if i % 2:
+            item = list(rng.choice(items))
+            period, phase = rng.choice((3, 4, 5, 100)), rng.randrange(3)
+            item = [word() if period < 100 and k % period == phase else w for k, w in enumerate(item)]
+            lo = rng.randrange(max(1, len(item) - 12))
+            body[30:30] = item[lo:]
+        texts.append(" ".join(body))
+    expected = set()
+    for d, text in enumerate(texts):
+        t = np.array(text.split())
+        for j, item in enumerate(items):
+            a = np.array(item)
+            for shift in range(1 - len(a), len(t)):
+                lo, hi = max(0, -shift), min(len(a), len(t) - shift)
+                if decontaminate.best_stretch(a[lo:hi] == t[lo + shift : hi + shift])[0] >= min(8, 0.6 * len(a)):
+                    expected.add((d, j))
+    bench = spark.createDataFrame([(j, " ".join(x)) for j, x in enumerate(items)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(documents(spark, texts), bench).collect()}
+    assert found <= expected and len(expected) > 60 and len(found) >= 0.95 * len(expected)
+
+
 def test_blocks_of_items_agree(spark, monkeypatch):
     docs, bench = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
     whole = sorted(map(tuple, decontaminate.leaks(docs, bench).collect()))
