@@ -44,24 +44,24 @@ PASSAGES = (
 K = 2
 LONG_K = 3
 SHIFT = 3
-_WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _PARTS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
 def templates(spark) -> DataFrame:
-    """gram, t (template), j (place), grams and words of the template, label, share, base."""
-    rows = []
+    """gram, its size k, t (template), j (place), words of the template, label, share, base; and one marker row, t = -1."""
+    rows = [("", 0, -1, 0, 0, "", 0.0, False)]
     for t, (text, label, share, base) in enumerate([(p, x, 1.0, True) for p, x in BASE] + [(p, x, s, False) for p, x, s in PASSAGES]):
         words = text.split()
         k = K if base else LONG_K
-        rows += [(" ".join(words[j : j + k]), k, t, j, len(words) - k + 1, len(words), label, share, base) for j in range(len(words) - k + 1)]
-    return spark.createDataFrame(rows, "gram string, k int, t int, j int, n_grams int, n_template int, label string, share double, base boolean")
+        rows += [(" ".join(words[j : j + k]), k, t, j, len(words), label, share, base) for j in range(len(words) - k + 1)]
+    values = ", ".join(f"('{gram}', {k}, {t}, {j}, {n}, '{label}', {share}D, {base})" for gram, k, t, j, n, label, share, base in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t(gram, k, t, j, n_template, label, share, base)")
 
 
 def words_of(text):
     """Words of a text, A-Z as a-z. lower() changes other letters too; of these only the Kelvin sign
     would become an ASCII letter, so it is put aside first, and words never turn into other words of ASCII."""
-    plain = F.lower(F.replace(F.coalesce(text.cast("string"), F.lit("")), F.lit("K"), F.lit("ĸ")))
+    plain = F.lower(F.replace(F.coalesce(text.cast("string"), F.lit("")), F.lit("\u212a"), F.lit("\u0138")))
     return F.filter(F.split(plain, _PARTS), lambda w: w != "")
 
 
@@ -75,10 +75,9 @@ def scan(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     known = templates(spark)
     first = F.split("gram", " ")
-    hashed = F.when(F.col("k") == K, F.xxhash64(F.lit(K), *[F.get(first, F.lit(x)) for x in range(K)])).otherwise(F.xxhash64(F.lit(LONG_K), *[F.get(first, F.lit(x)) for x in range(LONG_K)]))
-    # Every document hits this one row once, and so reaches the result without a second scan.
-    marker = spark.createDataFrame([("", 0, -1, 0, 0, 0, "", 0.0, False)], known.schema).withColumn("h", F.lit(0).cast("long"))
-    known = known.withColumn("h", hashed).unionByName(marker)
+    # Every document hits the marker once, and so reaches the result without a second scan.
+    hashed = F.when(F.col("t") == -1, F.lit(0).cast("long")).when(F.col("k") == K, F.xxhash64(F.lit(K), *[F.get(first, F.lit(x)) for x in range(K)])).otherwise(F.xxhash64(F.lit(LONG_K), *[F.get(first, F.lit(x)) for x in range(LONG_K)]))
+    known = known.withColumn("h", hashed)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), words_of(F.col("text")).alias("words"))
     # Places: -1 the marker, then k-grams of size K from each word, then those of size LONG_K.
     n = F.size("words")
@@ -88,10 +87,10 @@ def scan(docs: DataFrame) -> DataFrame:
     place = F.when(F.col("p") <= n, F.col("p") - 1).otherwise(F.col("p") - 1 - n)
     same = (F.col("t") == -1) | (F.array_join(F.slice("words", place + 1, F.col("k")), " ") == F.col("gram"))
     hits = hits.withColumn("i", place).filter(F.when(F.col("t") == -1, F.col("p") == 0).otherwise(same & (F.col("p") > 0)))
-    hits = hits.select("doc_id", "row", n.cast("long").alias("n_words"), "t", "j", (F.col("i") - F.col("j")).alias("diagonal"), "k", "n_grams", "n_template", "label", "share", "base")
+    hits = hits.select("doc_id", "row", n.cast("long").alias("n_words"), "t", "j", (F.col("i") - F.col("j")).alias("diagonal"), "k", "n_template", "label", "share", "base")
     # From here on rows are hits; all grouping below is within a row of the input, on one exchange.
     hits = hits.repartition("row")
-    own = ["row", "doc_id", "t", "label", "share", "base", "n_grams", "n_template", "k"]
+    own = ["row", "doc_id", "t", "label", "share", "base", "n_template", "k"]
     votes = hits.groupBy(*own, "diagonal").agg(F.max("n_words").alias("n_words"), F.count("*").alias("votes"), F.sort_array(F.collect_set("j")).alias("places"))
     order = Window.partitionBy("row", "t").orderBy("diagonal")
     apart = (F.col("diagonal") - F.lag("diagonal").over(order)) > F.when(F.col("base"), F.lit(0)).otherwise(F.lit(SHIFT))
