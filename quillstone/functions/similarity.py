@@ -14,8 +14,8 @@ from quillstone.functions.numeric import cosine_relu
 
 #: Similarity classes and what they stand for.
 CLASS_VALUES = {
-    "nils_v1": {"identical": 1.0, "very similar": 0.9, "somewhat similar": 0.5, "dissimilar": 0.0},
-    "avetis_v1": {"0": 0.0, "1": 0.1, "2": 0.2, "3": 0.3, "4": 0.4, "5": 0.5, "6": 0.6, "7": 0.7, "8": 0.8, "9": 0.9, "10": 1.0},
+    "named_v1": {"identical": 1.0, "very similar": 0.9, "somewhat similar": 0.5, "dissimilar": 0.0},
+    "scale_v1": {"0": 0.0, "1": 0.1, "2": 0.2, "3": 0.3, "4": 0.4, "5": 0.5, "6": 0.6, "7": 0.7, "8": 0.8, "9": 0.9, "10": 1.0},
 }
 
 

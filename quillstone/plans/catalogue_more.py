@@ -26,7 +26,7 @@ def _crc_pairs(spark, sf_dir):
         SELECT event_id, coalesce(s, 0)::DOUBLE AS similarity FROM events LEFT JOIN k USING (user_id, event_type)""")
 def class_similarity(spark, sf_dir):
     rows, known = _crc_pairs(spark, sf_dir)
-    return S.pair_similarity(rows, known, "nils_v1").select("event_id", "similarity")
+    return S.pair_similarity(rows, known, "named_v1").select("event_id", "similarity")
 
 
 @query("""SELECT a.vec_id AS a, b.vec_id AS b, round(CASE WHEN a.vec_id = b.vec_id OR s >= 1 THEN 0 ELSE -ln(greatest(1e-6, s)) END, 6) AS far FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 100 = 0 AND b.vec_id < 100,
