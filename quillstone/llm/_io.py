@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -81,15 +84,28 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20):
         lo = hi
 
 
+def bounded(df: DataFrame, rows: int = 2000) -> DataFrame:
+    """df, with Arrow batches of the session held to so many rows: texts make long rows, and JVM and Python each hold a batch."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, str(rows))
+    return df
+
+
 _worker: dict[str, dict] = {}
 
 
 def remembered(operator: str) -> dict:
     """What an operator keeps in a Python worker from task to task. A worker keeps one operator's at a time, so memory
     doesn't add up over the stages of a pipeline."""
-    for name, kept in _worker.items():
-        if name != operator:
-            kept.clear()
+    others = [kept for name, kept in _worker.items() if name != operator and kept]
+    for kept in others:
+        kept.clear()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
     return _worker.setdefault(operator, {})
 
 

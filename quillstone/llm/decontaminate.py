@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm._io import slices
+from quillstone.llm._io import bounded, slices
 from quillstone.llm._text import NOT_WORD, U, Words, combine
 
 #: The places of a window of words that each mask looks at. A run of eight equal words meets the last one; the others
@@ -127,7 +127,7 @@ def overlaps(texts: pa.Array, index: Index, least: int, share: float) -> list[tu
 def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 8, share: float = 0.6, shortest: int = 5) -> DataFrame:
     """doc_id, item_id, first_word, n_words, n_matched, coverage: documents that hold `least` words of an item
     (or `share` of it, where that is fewer), substitutions counted against."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, first_word long, n_words long, n_matched long, coverage double"
     out = None
     for index in blocks(benchmark, shortest=shortest):
@@ -150,7 +150,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 8, share: float =
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, least: int = 8, share: float = 0.6, shortest: int = 5) -> DataFrame:
     """The rows, with all their columns, that hold no leak."""
-    out = docs
+    out = bounded(docs)
     for index in blocks(benchmark, shortest=shortest):
         held = docs.sparkSession.sparkContext.broadcast(index)
 

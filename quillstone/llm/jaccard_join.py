@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm._components import components, local_forest
-from quillstone.llm._io import cut, slices
+from quillstone.llm._io import bounded, cut, slices
 from quillstone.llm._text import SPACES, U, Words, mix, shingle_sets
 
 #: Sets of a block in a candidate group; larger groups are compared block by block.
@@ -272,7 +272,7 @@ def link_nodes(docs: DataFrame, nodes: DataFrame, k: int, threshold: Fraction) -
 
 def jaccard_components(docs: DataFrame, k: int = 3, threshold: Fraction = Fraction(9, 10)) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     nodes = cut(_node_rows(docs, k), "nodes")
     linked = link_nodes(docs, nodes, k, threshold)
     # Sets that link with no other set are components by themselves: equal sets share the node.

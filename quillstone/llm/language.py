@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm._io import remembered, slices
+from quillstone.llm._io import bounded, remembered, slices
 
 EMBED, HIDDEN, PIECE = 12, 16, 24
-CACHE = 200_000
+CACHE = 100_000
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -232,7 +232,7 @@ def predict(docs: DataFrame, model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held_out"))
+    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held_out"))
     return rows.mapInArrow(scan, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
@@ -245,4 +245,4 @@ def keep_known(docs: DataFrame, model, least: float = 0.3) -> DataFrame:
                 names, scores = _predict(part.column("text").to_pylist(), model)
                 yield part.filter(pa.array([n != "und" and s >= least for n, s in zip(names, scores)], pa.bool_()))
 
-    return docs.mapInArrow(scan, docs.schema)
+    return bounded(docs).mapInArrow(scan, docs.schema)

@@ -28,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm._io import remembered, slices
+from quillstone.llm._io import bounded, remembered, slices
 
 SPACE = "▁"
-CACHE = 250_000
+CACHE = 120_000
 _STEM = re.compile(f"{SPACE}?[^\\W_]+")
 NORMAL, BYTE = 1, 6
 
@@ -411,7 +411,7 @@ def encode(docs: DataFrame, model: str, with_ids: bool = True, keep_text: bool =
     def scan(batches):
         own = codec(model)
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", 2 << 20):
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 coded = own.encode(texts)
                 decoded = [own.decode(x) for x in coded]
@@ -423,4 +423,4 @@ def encode(docs: DataFrame, model: str, with_ids: bool = True, keep_text: bool =
                     columns.append(pa.array(decoded, pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_crc32", "round_trip", *["ids"] * with_ids, *["decoded"] * keep_text])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, schema)
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, schema)

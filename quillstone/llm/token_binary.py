@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm._io import cut, fresh_path, open_fs, remembered, slices, write_file
+from quillstone.llm._io import bounded, cut, fresh_path, open_fs, remembered, slices, write_file
 
 MAGIC, TRAILER = b"QBITPLN1", struct.Struct("<QQQQB7x8s")
 #: Words kept per worker: past this many the cache starts anew.
@@ -248,7 +248,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, planes: str =
         write_file(path, ShardWriter(block, planes).chunks(x for some in ([one], documents) for x in some))
         yield pa.RecordBatch.from_pydict({"shard": [number], "path": [path], "n_docs": [totals[0]], "n_ids": [totals[1]]})
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return cut(ordered.mapInArrow(shard, "shard long, path string, n_docs long, n_ids long"), "shards")
 
 
