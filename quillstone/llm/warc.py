@@ -56,7 +56,7 @@ def mark_revisits(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     """page_id, url, html, payload_bytes, payload_digest, refers_to, revisit.
 
     Digests are counted before they are joined, and only repeated ones join; a page's html
-    moves once, by page_id, which no group of copies shares.
+    moves once, by page_id and digest, which no group of copies shares.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
@@ -65,16 +65,16 @@ def mark_revisits(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     # One decision for each page_id and digest, and whether the response is among rows that repeat it.
     decided = digests.join(repeated, ["payload_digest", "payload_bytes"]).select("page_id", "payload_digest", "refers_to").distinct()
     found = rows.withColumn("payload_bytes", F.length(html).cast("long")).withColumn("payload_digest", F.sha1(html))
-    joined = found.join(decided.withColumnRenamed("page_id", "p").withColumnRenamed("payload_digest", "d"), F.col("page_id").eqNullSafe(F.col("p")) & (F.col("payload_digest") == F.col("d")), "left").drop("p", "d")
+    # Hashed at every size, so that rows that repeat a page and its payload meet in one partition.
+    joined = found.join(decided.withColumnRenamed("page_id", "p").withColumnRenamed("payload_digest", "d").hint("shuffle_hash"), F.col("page_id").eqNullSafe(F.col("p")) & (F.col("payload_digest") == F.col("d")), "left").drop("p", "d")
     return joined.withColumn("repeated", F.col("payload_digest").isNotNull() & (F.col("payload_bytes") >= least_bytes) & F.col("refers_to").isNotNull())
 
 
 def write_archives(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
-    """Write one archive a partition, in page_id order. Returns (path, size, n_records), one row an archive."""
+    """Write one archive a partition, in page_id order within it. Returns (path, size, n_records), one row an archive."""
     spark = pages.sparkSession
     folder = fresh_path(spark, "warc")
-    rows = mark_revisits(pages, least_bytes).repartitionByRange("page_id")
-    rows = rows.sortWithinPartitions("page_id", "payload_digest", "url")
+    rows = mark_revisits(pages, least_bytes).sortWithinPartitions("page_id", "payload_digest", "url")
 
     def archive(batches):
         count = 0
