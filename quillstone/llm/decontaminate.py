@@ -1,17 +1,17 @@
-"""Benchmark decontamination by spaced-seed hashing.
+"""Benchmark decontamination by hashes of word pairs, counted on diagonals.
 
-Fixed masks over a window of words leave out some of its positions, so a hash still meets
-its counterpart when words there were substituted. Hashes of all windows of the benchmark
-are joined with those of all documents; around every hit the two texts are laid over each
-other at the hit's offset and compared word by word, and the stretch with the best score
-(a match counts 1, a substitution costs SUBSTITUTION) decides.
+Pairs of neighbouring words of the benchmark are looked up in all documents. A hit lays the two
+texts over each other at its offset, and the stretch with the best score (a match counts 1, a
+substitution costs SUBSTITUTION) decides. A stretch of M matches and S substitutions has at most
+S + 1 runs of matches, so at least M - S - 1 equal pairs: no fewer than its score less 1. Offsets
+with fewer hits than that can't reach the score and are not compared; no leak is lost by it,
+wherever its words were substituted.
 
 The benchmark is taken in blocks of a bounded size that are broadcast one after another,
 whatever its size; documents are scanned once a block and never shuffled.
 
 Words are runs of letters, digits and non-ASCII characters, A-Z as a-z. Items of fewer than
-`shortest` words match nothing; items shorter than the window are found by runs of three words. A null
-or empty text has no words. Repeated rows give repeated results; where several offsets of an
+`shortest` words match nothing. A null or empty text has no words. Repeated rows give repeated results; where several offsets of an
 item match in a document the best one is told (then the first).
 """
 
@@ -25,46 +25,34 @@ from pyspark.sql import functions as F
 from quillstone.llm._io import bounded, slices
 from quillstone.llm._text import NOT_WORD, U, Words, combine
 
-#: The places of a window of words that each mask looks at. A run of eight equal words meets the last one; the others
-#: meet texts in which every fifth, fourth or third word was substituted.
-MASKS = ((0, 1, 2, 4, 6, 7, 9, 10), (0, 2, 3, 5, 6, 8, 10, 11), (0, 1, 3, 4, 7, 8, 9, 11), (0, 1, 3, 4, 6, 7, 9, 10), (0, 1, 2, 3, 4, 5, 6, 7))
-#: For items shorter than the masks' window.
-SHORT_MASK = (0, 1, 2)
+PAIR = (0, 1)
+#: At least 1, or the count of pairs would not bound the score.
 SUBSTITUTION = 1.0
 #: Characters of benchmark text in a block.
 BLOCK_CHARS = 4_000_000
 BITS = 22
+#: Hits counted at once, beyond those of one document.
+HITS = 2_000_000
 
 
 class Index:
-    """All spaced hashes of a block of items."""
+    """All word pairs of a block of items."""
 
-    def __init__(self, ids: list[int], texts: list[str], masks=MASKS, shortest: int = 5):
+    def __init__(self, ids: list[int], texts: list[str], shortest: int = 5):
         words = Words(pa.array(texts, pa.string()), NOT_WORD)
-        self.ids, self.hash, self.first, self.masks = ids, words.hash, words.first, masks
-        window = max(max(m) for m in masks) + 1
-        sizes = np.diff(words.first)
-        self.patterns = [*masks, SHORT_MASK]
-        hashes, places = [], []
-        item = np.repeat(np.arange(len(ids)), sizes)
-        for k, mask in enumerate(self.patterns):
-            span = mask[-1] + 1
-            n = max(0, len(self.hash) - span + 1)
-            at = np.arange(n)
-            good = item[at] == item[at + span - 1] if n else np.zeros(0, bool)
-            long = sizes[item[at]] >= window
-            good &= long if k < len(masks) else ~long & (sizes[item[at]] >= shortest)
-            hashes.append(combine(self.hash, mask, n)[good] + U(k))
-            places.append(at[good])
-        hashes, places = np.concatenate(hashes), np.concatenate(places)
+        self.ids, self.hash, self.first = ids, words.hash, words.first
+        self.sizes = np.diff(words.first)
+        self.item = np.repeat(np.arange(len(ids)), self.sizes)
+        n = max(0, len(self.hash) - 1)
+        at = np.flatnonzero((self.item[:n] == self.item[1:]) & (self.sizes[self.item[:n]] >= shortest))
+        hashes = combine(self.hash, PAIR, n)[at]
         order = np.argsort(hashes, kind="stable")
-        self.hashes, self.places = hashes[order], places[order]
-        self.item = item
+        self.hashes, self.places = hashes[order], at[order]
         self.seen = np.zeros(1 << BITS, bool)
         self.seen[self.hashes >> U(64 - BITS)] = True
 
 
-def blocks(benchmark: DataFrame, masks=MASKS, shortest: int = 5):
+def blocks(benchmark: DataFrame, shortest: int = 5):
     """Indexes of blocks of at most about BLOCK_CHARS characters of items, in no set order; rows come one partition at a time."""
     ids, texts, held = [], [], 0
     for row in benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).filter("t is not null").toLocalIterator():
@@ -72,10 +60,10 @@ def blocks(benchmark: DataFrame, masks=MASKS, shortest: int = 5):
         texts.append(row.t)
         held += len(row.t)
         if held >= BLOCK_CHARS:
-            yield Index(ids, texts, masks, shortest)
+            yield Index(ids, texts, shortest)
             ids, texts, held = [], [], 0
     if ids:
-        yield Index(ids, texts, masks, shortest)
+        yield Index(ids, texts, shortest)
 
 
 def best_stretch(same: np.ndarray) -> tuple[float, int, int]:
@@ -88,31 +76,43 @@ def best_stretch(same: np.ndarray) -> tuple[float, int, int]:
     return float(gain[end]), start, end
 
 
+def diagonals(words: Words, index: Index, least: int, share: float):
+    """(text, item, offset) wherever so many pairs are equal that the score can suffice."""
+    h, first = words.hash, words.first
+    n = max(0, len(h) - 1)
+    pairs = combine(h, PAIR, n)
+    at = np.flatnonzero(index.seen[pairs >> U(64 - BITS)])
+    text = np.searchsorted(first, at, "right") - 1
+    inside = at + 1 < first[text + 1]
+    at, text = at[inside], text[inside]
+    lo, hi = (np.searchsorted(index.hashes, pairs[at], side) for side in ("left", "right"))
+    met = hi > lo
+    at, text, lo, counts = at[met], text[met], lo[met], (hi - lo)[met]
+    if not len(at):
+        return
+    need = np.maximum(1, np.ceil(np.minimum(least, share * index.sizes)) - 1)
+    starts = np.flatnonzero(np.diff(text, prepend=-1))
+    group = (np.cumsum(counts) - counts)[starts] // HITS
+    edges = [*starts[np.flatnonzero(np.diff(group, prepend=-1))].tolist(), len(at)]
+    base, span = len(index.hash), len(index.hash) + len(h)
+    for a, b in zip(edges[:-1], edges[1:]):
+        times = counts[a:b]
+        rank = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        q = index.places[np.repeat(lo[a:b], times) + rank]
+        item = index.item[q]
+        key = (np.repeat(text[a:b], times) * len(index.ids) + item) * span + (np.repeat(at[a:b], times) - q + base)
+        key, hits = np.unique(key, return_counts=True)
+        both, shift = np.divmod(key, span)
+        enough = hits >= need[both % len(index.ids)]
+        yield from zip((both[enough] // len(index.ids)).tolist(), (both[enough] % len(index.ids)).tolist(), (shift[enough] - base).tolist())
+
+
 def overlaps(texts: pa.Array, index: Index, least: int, share: float) -> list[tuple[int, int, int, int, int, float]]:
     """(text, item, first word, words, matched words, share of the item matched) of each leak."""
     words = Words(texts, NOT_WORD)
     h, first = words.hash, words.first
-    hits = []
-    for k, mask in enumerate(index.patterns):
-        n = len(h) - mask[-1]
-        if n <= 0:
-            continue
-        spaced = combine(h, mask, n) + U(k)
-        at = np.flatnonzero(index.seen[spaced >> U(64 - BITS)])
-        if len(at):
-            lo, hi = (np.searchsorted(index.hashes, spaced[at], side) for side in ("left", "right"))
-            met = hi > lo
-            for p, a, b in zip(at[met].tolist(), lo[met].tolist(), hi[met].tolist()):
-                hits += [(p, q) for q in index.places[a:b].tolist()]
     best: dict[tuple[int, int], tuple] = {}
-    tried = set()
-    for p, q in hits:
-        d = int(np.searchsorted(first, p, "right")) - 1
-        j = int(index.item[q])
-        shift = p - q
-        if (d, j, shift) in tried:
-            continue
-        tried.add((d, j, shift))
+    for d, j, shift in diagonals(words, index, least, share):
         lo, hi = max(index.first[j], first[d] - shift), min(index.first[j + 1], first[d + 1] - shift)
         same = index.hash[lo:hi] == h[lo + shift : hi + shift]
         score, a, b = best_stretch(same)

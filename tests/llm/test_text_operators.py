@@ -328,6 +328,23 @@ def test_leaks_against_brute_force(spark):
     assert found <= expected and len(expected) > 60 and len(found) >= 0.95 * len(expected)
 
 
+@pytest.mark.parametrize("hits", [1, 2_000_000])
+def test_leaks_with_words_substituted_anywhere(monkeypatch, hits):
+    """Random and all patterns of substitutions: what the rule calls a leak is found, and nothing else."""
+    from itertools import combinations
+
+    monkeypatch.setattr(decontaminate, "HITS", hits)
+    rng = random.Random(9)
+    sizes = [*range(5, 31), 45, 60]
+    items = [[f"i{n}x{k}" for k in range(n)] for n in sizes]
+    changes = [(j, set(c)) for n, m in ((5, 1), (15, 3)) for j in [sizes.index(n)] for c in combinations(range(n), m)]
+    changes += [(j, {k for k in range(n) if rng.random() < rate}) for j, n in enumerate(sizes) for rate in (0.2, 0.3, 0.4) for _ in range(40)]
+    texts = [" ".join(["a", *("b" if k in gone else w for k, w in enumerate(items[j])), "c"]) for j, gone in changes]
+    expected = {(i, j) for i, (j, gone) in enumerate(changes) if decontaminate.best_stretch(np.array([k not in gone for k in range(sizes[j])]))[0] >= min(8, 0.6 * sizes[j])}
+    index = decontaminate.Index(list(range(len(items))), [" ".join(x) for x in items])
+    assert {f[:2] for f in decontaminate.overlaps(pa.array(texts), index, 8, 0.6)} == expected and len(expected) > 2000
+
+
 def test_blocks_of_items_agree(spark, monkeypatch):
     docs, bench = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
     whole = sorted(map(tuple, decontaminate.leaks(docs, bench).collect()))
