@@ -248,8 +248,7 @@ def outlier_removal(spark, sf_dir):
 
     rows = labelled(spark, sf_dir)
     options = L.usage_long(L.extract_labels(rows, ["bp-golden"])).select("review_id", F.lower("usage_option").alias("usage_option"))
-    small = options.filter(F.col("review_id").cast("long") % 10 == 0)
-    return clustering.remove_outliers(rows, embed_phrases(small, "usage_option"), 0.1, 0.7).select("review_id")
+    return clustering.remove_outliers(rows, embed_phrases(options, "usage_option"), 0.1, 0.7).select("review_id")
 
 
 # -- augmentation and datapoints ----------------------------------------------------------------
