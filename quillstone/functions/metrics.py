@@ -192,12 +192,17 @@ def rouge_l(pred: list[str], refs: list[str]) -> float:
         return float(not pred and not refs)
 
     def longest(a: list[str], b: list[str]) -> int:
-        row = [0] * (len(b) + 1)
+        # A row of the table as bits of one number: a zero is a place where it steps up.
+        places: dict[str, int] = {}
+        for j, y in enumerate(b):
+            places[y] = places.get(y, 0) | 1 << j
+        whole = (1 << len(b)) - 1
+        row = whole
         for x in a:
-            last = 0
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-        return row[-1]
+            if x in places:
+                met = row & places[x]
+                row = ((row + met) | (row - met)) & whole
+        return len(b) - row.bit_count()
 
     def one(p: str, r: str) -> float:
         a, b = p.lower().split(), r.lower().split()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import metrics as M
@@ -154,9 +155,10 @@ def word_movers(spark, sf_dir):
 
 @query()
 def ngram_metrics(spark, sf_dir):
-    """Every document against the benchmark item of its number."""
-    items = load(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("ref"))
-    docs = load(spark, sf_dir, "documents").filter("n_chars < 2000").withColumn("item_id", F.col("doc_id") % 40).join(items, "item_id")
+    """Every document against the benchmark item of its number, modulo the items there are."""
+    items = load(spark, sf_dir, "benchmark").select(F.row_number().over(Window.orderBy("item_id")).alias("k"), F.col("text").alias("ref"))
+    number = F.coalesce(F.pmod("doc_id", F.lit(max(1, items.count()))), F.lit(0)) + 1
+    docs = load(spark, sf_dir, "documents").withColumn("k", number).join(items, "k")
     names = ("bleu", "sacrebleu", "rouge1", "rouge2", "rougeL", "rougeLsum")
     return rounded(docs.select("doc_id", *[M.metric(n, F.array("text"), F.array("ref")).alias(n) for n in names]), *names)
 
