@@ -9,7 +9,7 @@ cell, and counts its links there; links are counted and chained in blocks, never
 Equal vectors (of one label) are one point with a multiplicity throughout, so a large group
 of copies costs one row. Vectors are compared only where labels are equal and not null.
 Vectors that are null, empty, zero, or hold null or non-finite components link with nothing
-and are kept; so are vectors whose length differs from that of most of the sample. A row
+and are kept. Vectors of each length have cells of their own. A row
 without vec_id takes part in links and gets a null component if it is alone.
 """
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +48,7 @@ def _unit(vectors) -> np.ndarray:
     return X / np.sqrt((X * X).sum(1))[:, None]
 
 
-def cosine_links(vectors: DataFrame, threshold: float = 0.93, reach: float = 0.7, per_cell: int = 2000, most_cells: int = 1024) -> DataFrame:
+def cosine_links(vectors: DataFrame, threshold: float = 0.93, reach: float = 1.0, per_cell: int = 2000, most_cells: int = 1024) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     spark = vectors.sparkSession
     good = F.col("embedding").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0)
@@ -58,42 +59,50 @@ def cosine_links(vectors: DataFrame, threshold: float = 0.93, reach: float = 0.7
     rows = rows.withColumn("embedding", F.when(F.col("good"), F.transform("embedding", lambda x: x + F.lit(0.0))))
     rows = rows.withColumn("point", F.when(F.col("good"), F.xxhash64("label", "embedding")))
     points = cut(rows.filter("good").groupBy("label", "embedding", "point").agg(F.count("*").alias("copies")), "points")
-    n = points.count()
+    # One short row a length of vectors; cells are as many as the largest label asks, for labels are never compared.
+    by_label = points.groupBy(F.size("embedding").alias("width"), "label").agg(F.count("*").alias("n"))
+    many = {r.width: r for r in by_label.groupBy("width").agg(F.sum("n").alias("n"), F.max("n").alias("most")).collect()}
+    n = sum(r.n for r in many.values())
     drawn = points.select("embedding", "point").filter(F.pmod(F.xxhash64(F.lit(9), "point"), F.lit(1 << 20)) < int(min(1.0, SAMPLE / max(1, n)) * (1 << 20)))
     sample = [r.embedding for r in drawn.limit(2 * SAMPLE).collect()]
     schema = "vec_id long, n_links long, component_id long, kept boolean"
     alone = rows.filter("not good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if not sample:
-        if n:
-            sample = [r.embedding for r in points.limit(1000).collect()]
-        else:
-            return spark.createDataFrame([], schema).unionByName(alone)
-    width = pd.Series([len(v) for v in sample]).mode()[0]
-    X = _unit([v for v in sample if len(v) == width])
-    k = int(max(1, min(most_cells, n // per_cell, len(X))))
-    centres = spherical_kmeans(X, k)
-    apart = np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T)) * reach * np.sqrt(2 - 2 * threshold)
+    if not n:
+        return spark.createDataFrame([], schema).unionByName(alone)
+    # (first cell, centres, how far a vector is lent) by length; a length that the sample misses has one cell.
+    cells, taken = {}, 0
+    for width, found in sorted(many.items()):
+        own = [v for v in sample if len(v) == width]
+        centres = np.zeros((1, width))
+        if own:
+            X = _unit(own)
+            centres = spherical_kmeans(X, int(max(1, min(most_cells, found.most // per_cell, len(X)))))
+        # A little more for rounding.
+        apart = np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T)) * reach * np.sqrt(2 - 2 * threshold) + 1e-9
+        cells[width] = (taken, centres, apart)
+        taken += len(centres)
 
     def assign(batches):
         for batch in batches:
-            part = batch.filter(pa.array([len(v) == width for v in batch.column("embedding").to_pylist()], pa.bool_()))
-            if not part.num_rows:
-                continue
-            X = _unit(part.column("embedding").to_pylist())
-            S = X @ centres.T
-            home = S.argmax(1)
-            near = (S[np.arange(len(X)), home][:, None] - S) <= apart[home]
-            near[np.arange(len(X)), home] = True
-            row, cell = np.nonzero(near)
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("label").take(at), pa.array(cell.astype(np.int64)), pa.array(home[row] == cell), part.column("point").take(at), part.column("copies").take(at), pa.array([X[i].tobytes() for i in row], pa.binary())],
-                ["label", "cell", "home", "point", "copies", "unit"],
-            )
+            widths = pc.list_value_length(batch.column("embedding"))
+            for width in pc.unique(widths).to_pylist():
+                part = batch.filter(pc.equal(widths, width))
+                start, centres, apart = cells[width]
+                X = _unit(part.column("embedding").to_pylist())
+                S = X @ centres.T
+                home = S.argmax(1)
+                near = (S[np.arange(len(X)), home][:, None] - S) <= apart[home]
+                near[np.arange(len(X)), home] = True
+                row, cell = np.nonzero(near)
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("label").take(at), pa.array(start + cell.astype(np.int64)), pa.array(home[row] == cell), part.column("point").take(at), part.column("copies").take(at), pa.array([X[i].tobytes() for i in row], pa.binary())],
+                    ["label", "cell", "home", "point", "copies", "unit"],
+                )
 
     lent = cut(points.mapInArrow(assign, "label string, cell long, home boolean, point long, copies long, unit binary"), "lent")
     sizes = lent.groupBy("label", "cell").agg(F.count("*").alias("n"), F.sum(F.col("home").cast("long")).alias("homes"))
-    # Sizes are one short row a cell and label; cells are at most most_cells.
+    # Sizes are one short row a cell and label; cells are at most most_cells for each length.
     blocks = lent.join(sizes.filter("homes > 0"), ["label", "cell"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     blocks = blocks.withColumn("block", F.pmod(F.xxhash64("point"), F.col("blocks")).cast("int"))
     # The products of a block of own vectors with each block of its cell: side 0 asks, side 1 answers.

@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import pytest
+
 from quillstone.functions import metrics
 from quillstone.plans import catalogue
 
@@ -45,3 +48,17 @@ def test_longest_common_words():
                 last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
         expected = metrics.harmonic(row[-1] / len(a), row[-1] / len(b)) if row[-1] else 0.0
         assert metrics.rouge_l([" ".join(a)], [" ".join(b)]) == expected
+
+
+def test_links_across_cells(spark, tmp_path):
+    """Vectors on an arc, in two cells: links lie along the line between the centres. Four have a length of their own."""
+    llm = pytest.importorskip("quillstone.llm._queries")
+    angles = np.linspace(0, np.pi / 2, 4200)
+    X = np.stack([np.cos(angles), np.sin(angles)], axis=1)
+    rows = [(i, [float(x) for x in v], 1) for i, v in enumerate(X)]
+    rows += [(5000 + k, v, 1) for k, v in enumerate([[1.0, 0.0, 0.0], [1.0, 0.1, 0.0], [0.0, 0.0, 1.0], [1.0, 0.0, 0.1]])]
+    expected = dict(enumerate(((X @ X.T >= 0.93).sum(1) - 1).tolist())) | {5000: 2, 5001: 2, 5002: 0, 5003: 2}
+    sf = tables(spark, tmp_path, embeddings=("vec_id long, embedding array<double>, label int", rows))
+    got = {r.vec_id: r for r in llm.op6_embedding_near_dedup(spark, sf).collect()}
+    assert {i: r.n_links for i, r in got.items()} == expected
+    assert {i: r.component_id for i, r in got.items()} == {i: 0 for i in range(4200)} | {5000: 5000, 5001: 5000, 5002: 5002, 5003: 5000}
