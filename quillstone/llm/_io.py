@@ -84,6 +84,25 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20):
         lo = hi
 
 
+def gathered(batches, column: str, most_bytes: int):
+    """Batches of about most_bytes of texts, put together from smaller ones and cut from larger ones."""
+    held, size = [], 0
+
+    def together():
+        return held[0] if len(held) == 1 else pa.concat_batches(held)
+
+    for batch in batches:
+        for part in slices(batch, column, most_bytes):
+            own = part.column(column).nbytes
+            if held and size + own > most_bytes:
+                yield together()
+                held, size = [], 0
+            held.append(part)
+            size += own
+    if held:
+        yield together()
+
+
 def bounded(df: DataFrame, rows: int = 2000) -> DataFrame:
     """df, with Arrow batches of the session held to so many rows: texts make long rows, and JVM and Python each hold a batch."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"

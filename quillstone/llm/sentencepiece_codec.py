@@ -1,26 +1,25 @@
 """SentencePiece encoding by suffix-array matching, and decoding.
 
-A batch's distinct words are laid end to end and their suffixes sorted (by as many
-characters as the longest piece has). Every piece's occurrences are the suffixes between two
-binary searches. These edges, sorted by their end, are relaxed position by position: an edge
-holds at a position if its piece may follow the last piece of the encoding that ends where it
-starts. For byte-pair models that is so when merging the two pieces' characters together
-gives the two pieces again; exactly one edge holds at each position, and following the last
-pieces back gives the encoding that repeated merging gives.
-
-Words are cut before a space that follows another character, and at characters outside the
-vocabulary: no piece reaches across these, so a word's pieces do not depend on its
-surroundings, and each worker keeps those it has found. Characters outside the vocabulary
-become their UTF-8 bytes' pieces.
-
-A null or empty text encodes to no ids and decodes to an empty text. Texts that hold
-U+2581 decode to a space there, as the model has it. Repeated rows give repeated results.
+A batch's texts are laid end to end and cut into segments wherever two characters stand side
+by side that stand so in no piece: no piece and no merge reaches across. Every different segment
+of the batch is laid out once, and the suffixes of that text are sorted (by as many characters as
+the longest piece has). Every piece's occurrences are the suffixes between two binary searches. These
+edges, sorted by their end, are relaxed position by position: an edge holds at a position if its piece
+may follow the last piece of the encoding that ends where it starts. For byte-pair models that is so
+when merging the two pieces' characters together gives the two pieces again; exactly one edge holds at
+each position, and following the last pieces back gives the encoding that repeated merging gives.
+
+Every batch is indexed for itself; nothing is kept from batch to batch but the model's tables, so
+memory does not grow with the texts read. Characters outside the vocabulary become their UTF-8
+bytes' pieces.
+
+A null or empty text encodes to no ids and decodes to an empty text; no rows give no rows. A very long
+text is a batch of its own. Texts that hold U+2581 decode to a space there, as the model has it.
+Repeated rows give repeated results; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
-import gc
-import re
 import zlib
 
 import numpy as np
@@ -28,14 +27,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm._io import bounded, remembered, slices
+from quillstone.llm._io import bounded, gathered, remembered
 
 SPACE = "▁"
-CACHE = 120_000
-_STEM = re.compile(f"{SPACE}?[^\\W_]+")
+#: Different segments indexed at once.
+KINDS = 400_000
+#: Bytes of text in a batch.
+BATCH = 1 << 20
+_BASE = 0x9E3779B97F4A7C15
+_power_tables: list[np.ndarray] = []
 NORMAL, BYTE = 1, 6
 
 
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers below n of a base modulo 2**64: of its inverse, and of itself."""
+    if not _power_tables or len(_power_tables[0]) < n:
+        size = 1 << max(20, int(n - 1).bit_length())
+        steps = [np.full(size, b, np.uint64) for b in (pow(_BASE, -1, 1 << 64), _BASE)]
+        for x in steps:
+            x[0] = 1
+        _power_tables[:] = [np.cumprod(x, dtype=np.uint64) for x in steps]
+    return [x[:n] for x in _power_tables]
+
+
 def _varint(data: bytes, at: int) -> tuple[int, int]:
     value = shift = 0
     while True:
@@ -97,13 +111,26 @@ class Codec:
         self.singles = sum(len(p) == 1 for p in self.names)
         self.longest = max(map(len, self.names))
         self._build()
-        self.plain: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
-        self.chars = {p for p in self.names if len(p) == 1}
-        self.inside = {pair for p in self.names for pair in zip(p, p[1:])}
-        self.code_of: dict[int, int] = {0: 0}
         self.sizes = np.array([len(p) for p in self.names], np.int64)
+        # Codes: 0 for characters that stand in no longer piece, the others from 1 on.
+        inside = {pair for p in self.names for pair in zip(p, p[1:])}
+        alphabet = sorted({c for pair in inside for c in pair})
+        code = {c: k for k, c in enumerate(alphabet, 1)}
+        self.code_table = np.zeros(0x110000, np.uint16)
+        self.code_table[[ord(c) for c in alphabet]] = np.arange(1, len(alphabet) + 1)
+        self.joined_width = len(alphabet) + 1
+        self.joined = np.zeros(self.joined_width**2, bool)
+        self.joined[[code[a] * self.joined_width + code[b] for a, b in inside]] = True
+        self.spread = np.random.Generator(np.random.PCG64(5)).integers(1, 1 << 63, self.joined_width, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.number = np.full(self.joined_width, -1, np.int64)
+        self.number[0] = 0
+        self.piece_codes = np.full((len(self.names), self.longest), -1, np.int64)
+        for r, p in enumerate(self.names):
+            self.piece_codes[r, : len(p)] = [code.get(c, 0) for c in p]
+        self.single_code = np.where(self.sizes == 1, self.piece_codes[:, 0], 0)
+        self.byte_count = np.array([len(x) for x in self.bytes_of], np.int64)
+        self.byte_begin = np.cumsum(self.byte_count) - self.byte_count
+        self.byte_pool = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self.told, self.answer = np.full(1 << 21, -1), np.zeros(1 << 21, bool)
 
     def _build(self) -> None:
@@ -207,14 +234,22 @@ class Codec:
         for k in range(per):
             packed = packed << bits | padded[k : k + len(packed)]
         columns = [packed[k * per : k * per + n] for k in range(self.keys)]
-        suffixes = np.lexsort(columns[::-1])
-        lo, hi = self._ranges([c[suffixes] for c in columns])
+        suffixes = np.argsort(columns[0]).astype(np.int32)
+        first = columns[0][suffixes]
+        # Suffixes with equal first keys are ordered by the others where a piece is longer than a key.
+        a, b = np.searchsorted(first, self.refined, "left"), np.searchsorted(first, self.refined, "right")
+        ends = np.cumsum(b - a)
+        tied = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(b - ends, b - a)
+        own = suffixes[tied]
+        suffixes[tied] = own[np.lexsort([c[own] for c in columns[::-1]])]
+        lo, hi = self._ranges([first, *(c[suffixes] for c in columns[1:])])
         count = hi - lo
-        which = np.repeat(np.arange(len(count)), count)
-        within = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-        starts = suffixes[lo[which] + within]
-        pieces = self.searched[which]
-        return starts, starts + self.sizes[pieces], pieces
+        ends = np.cumsum(count)
+        place = np.repeat(lo + count - ends, count)
+        place += np.arange(len(place))
+        starts = suffixes[place]
+        pieces = np.repeat(self.searched.astype(np.int32), count)
+        return starts, starts + np.repeat(self.sizes[self.searched].astype(np.int32), count), pieces
 
     def _ranges(self, keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Of each searched piece: the range of sorted suffixes that begin with it, by binary search on the keys."""
@@ -238,40 +273,51 @@ class Codec:
         lo[long], hi[long] = out
         return lo, hi
 
-    def _number(self, chars: np.ndarray) -> np.ndarray:
-        """Characters as small numbers; the search tables are made anew when new characters come up."""
-        alphabet, coded = np.unique(chars, return_inverse=True)
-        fresh = [c for c in alphabet.tolist() if c not in self.code_of]
-        for c in fresh:
-            self.code_of[c] = len(self.code_of)
-        if fresh:
-            top = len(self.code_of) - 1
+    def _number(self, codes: np.ndarray) -> np.ndarray:
+        """The codes that have come up so far as numbers of fewest bits; the search tables are made anew for new ones."""
+        seen = np.bincount(codes, minlength=len(self.number)) > 0
+        if (seen & (self.number < 0)).any():
+            self.number[seen & (self.number < 0)] = 0
+            known = np.flatnonzero(self.number >= 0)
+            self.number[known] = np.arange(len(known))
+            top = len(known) - 1
             self.bits = max(1, top.bit_length())
             self.per = 64 // self.bits
             self.keys = -(-self.longest // self.per)
-            code_of, width = self.code_of, self.keys * self.per
-            some = [r for r in np.flatnonzero(self.usable).tolist() if all(ord(c) in code_of for c in self.names[r])]
+            usable = np.flatnonzero(self.usable & (self.sizes > 1) | self.usable & (self.single_code > 0))
+            numbers = np.where(self.piece_codes[usable] >= 0, self.number[np.maximum(self.piece_codes[usable], 0)], 0)
+            some = usable[(numbers >= 0).all(1)]
+            numbers = numbers[(numbers >= 0).all(1)]
+            inside = np.arange(numbers.shape[1])[None] < self.sizes[some, None]
+            width = self.keys * self.per
             low, high = np.zeros((len(some), width), np.uint64), np.full((len(some), width), top, np.uint64)
-            for k, r in enumerate(some):
-                codes = [code_of[ord(c)] for c in self.names[r]]
-                low[k, : len(codes)] = high[k, : len(codes)] = codes
+            low[:, : numbers.shape[1]] = np.where(inside, numbers, 0)
+            high[:, : numbers.shape[1]] = np.where(inside, numbers, top)
             shifts = np.arange(self.per - 1, -1, -1, dtype=np.uint64) * np.uint64(self.bits)
             pack = lambda x: (x.reshape(len(x), self.keys, self.per) << shifts).sum(2, dtype=np.uint64)
-            self.searched, self.least, self.most = np.array(some, np.int64), pack(low), pack(high)
-        return np.array([self.code_of[c] for c in alphabet.tolist()])[coded]
-
-    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ranks of all words' pieces, and where each word's end; words are not empty and hold characters of the vocabulary only."""
-        text = "\0" + "\0".join(words) + "\0"
-        chars = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        coded = self._number(chars)
+            least, most = pack(low), pack(high)
+            order = np.lexsort(least.T[::-1])  # in text order, binary searches that follow each other read the same places
+            self.searched, self.least, self.most = some[order], least[order], most[order]
+            self.refined = np.unique(self.least[self.sizes[self.searched] > self.per, 0])
+        return self.number[codes]
+
+    def encode_segments(self, codes: np.ndarray, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of the pieces of the segments of codes, and where each segment's end."""
+        # Laid end to end, a zero before each and behind the last.
+        before = np.cumsum(length + 1) - length
+        laid = np.zeros(int(before[-1] + length[-1]) + 1 if len(at) else 1, np.int64)
+        source = np.repeat(at - before, length)
+        place = np.arange(len(source)) + np.repeat(np.arange(1, len(at) + 1), length)
+        laid[place] = codes[source + place]
+        coded = self._number(laid)
         start, end, piece = self.match(coded.astype(np.uint64))
-        last = np.full(len(chars) + 1, -1)  # the last piece of the encoding that ends here
-        origin = np.zeros(len(chars) + 1, np.int64)
+        last = np.full(len(coded) + 1, -1)  # the last piece of the encoding that ends here
+        origin = np.zeros(len(coded) + 1, np.int64)
         breaks = coded == 0
-        word_start = np.flatnonzero(breaks)[:-1] + 1
-        # Ends one character into their words, then two, ...: all words at once.
-        level = end - word_start[np.searchsorted(word_start, start, "right") - 1]
+        # Ends one character into their segments, then two, ...: all segments at once.
+        depth = np.zeros(len(coded) + 1, np.int32)
+        depth[1 + place] = np.arange(1, len(place) + 1, dtype=np.int32) - np.repeat((np.cumsum(length) - length).astype(np.int32), length)
+        level = depth[end]
         order = np.argsort(level.astype(np.int16) if len(level) and level.max() < 1 << 15 else level, kind="stable")
         cuts = np.cumsum(np.bincount(level)) if len(level) else np.zeros(1, int)
         for a, b in zip(cuts[:-1], cuts[1:]):
@@ -285,7 +331,8 @@ class Codec:
             good[~fresh] = self.follows(before[~fresh], p[~fresh])
             last[e[good]], origin[e[good]] = p[good], s[good]
         # Walk back from all word ends together.
-        at, owner, found = np.flatnonzero(breaks)[1:], np.arange(len(words)), []
+        n = len(at)
+        at, owner, found = np.flatnonzero(breaks)[1:], np.arange(n), []
         while len(at):
             found.append((owner, last[at]))
             at = origin[at]
@@ -293,99 +340,102 @@ class Codec:
             at, owner = at[live], owner[live]
         owners, ranks = np.concatenate([o for o, _ in found]), np.concatenate([p for _, p in found])
         turn = np.repeat(np.arange(len(found)), [len(o) for o, _ in found])
-        return ranks[np.lexsort((-turn, owners))], np.cumsum(np.bincount(owners, minlength=len(words)))
-
-    def _segments(self, whole: str) -> list[str]:
-        """A word cut where no piece reaches: behind the letters and digits it begins with, and around unknown characters."""
-        m = _STEM.match(whole)
-        end = m.end() if m else 0
-        if not 0 < end < len(whole) or (whole[end - 1], whole[end]) in self.inside:
-            end = 0
-        parts = [p for p in (whole[:end], whole[end:]) if p]
-        if self.chars.issuperset(whole):
-            return parts
-        out = []
-        for part in parts:
-            if self.chars.issuperset(part):
-                out.append(part)
-                continue
-            run = 0
-            for k, c in enumerate(part):
-                if c not in self.chars:
-                    out += [p for p in (part[run:k], c) if p]
-                    run = k + 1
-            out += [part[run:]] if part[run:] else []
-        return out
-
-    def _learn(self, known: dict[str, bytes], new: list[str], lead: str) -> None:
-        """Encode words not met before from their segments."""
-        stems = self.stems
-        for lo in range(0, len(new), 60_000):
-            some = new[lo : lo + 60_000]
-            cut = [self._segments(lead + w) for w in some]
-            fresh = [p for p in set().union(*cut) if p not in stems]
-            for c in [p for p in fresh if len(p) == 1 and p not in self.chars]:
-                stems[c] = self.byte_id[list(c.encode("utf-8", "surrogatepass"))].astype("<i4").tobytes()
-            fresh = [p for p in fresh if p not in stems]
-            if fresh:
-                ranks, ends = self.encode_words(fresh)
-                raw, ends = self.id_of[ranks].astype("<i4").tobytes(), (4 * ends).tolist()
-                stems.update(zip(fresh, [raw[a:b] for a, b in zip([0, *ends], ends)]))
-            for w, parts in zip(some, cut):
-                known[w] = stems[parts[0]] if len(parts) == 1 else b"".join([stems[p] for p in parts])
+        return ranks[np.lexsort((-turn, owners))], np.cumsum(np.bincount(owners, minlength=n))
+
+    def _distinct(self, codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of one segment of each kind, the kind of every segment). Hashes find the kinds; characters are
+        compared, and segments that differ from their hash's first one are kinds of their own."""
+        running = np.zeros(len(codes) + 1, np.uint64)
+        powers = _powers(len(codes) + 1)
+        np.cumsum(self.spread[codes] * powers[1][:-1], dtype=np.uint64, out=running[1:])
+        h = running[start + size]
+        h -= running[start]
+        h *= powers[0][start]
+        h ^= h >> np.uint64(31)
+        del running
+        order = np.argsort(h)
+        ranked = h[order]
+        fresh = np.ones(len(h), bool)
+        fresh[1:] = ranked[1:] != ranked[:-1]
+        kind = np.empty(len(h), np.int64)
+        kind[order] = np.cumsum(fresh) - 1
+        one = order[fresh]
+        first = one[kind]
+        ends = np.cumsum(size)
+        shift = np.repeat((start[first] - start).astype(np.int32), size)
+        here = np.arange(ends[-1], dtype=np.int32) if len(ends) else np.zeros(0, np.int32)
+        here += np.repeat((start - ends + size).astype(np.int32), size)
+        # Behind a shorter first segment other characters would be read; sizes tell those apart.
+        other = size != size[first]
+        differ = codes[here] != codes[np.minimum(here + shift, len(codes) - 1)]
+        if differ.any():
+            other[np.searchsorted(ends, np.flatnonzero(differ), "right")] = True
+        if other.any():
+            bad = np.flatnonzero(other)
+            kind[bad] = len(one) + np.arange(len(bad))
+            one = np.concatenate((one, bad))
+        return one, kind
+
+    def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and where each text's ids begin (one more at the end)."""
+        whole = "".join([SPACE + t for t in texts if t]).replace(" ", SPACE)  # the two are one to the model
+        sizes = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
+        edges = np.concatenate(([0], np.cumsum(sizes)))
+        if not whole:
+            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+        chars = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        del whole
+        codes = self.code_table[chars]
+        # Segments: no piece reaches across two characters that stand side by side in none.
+        cut = np.empty(len(codes) + 1, bool)
+        cut[0] = cut[-1] = True
+        np.logical_not(self.joined[codes[:-1].astype(np.int32) * self.joined_width + codes[1:]], out=cut[1:-1])
+        cut[edges] = True
+        start = np.flatnonzero(cut)
+        start, size = start[:-1], np.diff(start)
+        del cut
+        # A character that stands in no longer piece is a segment of its own: a piece, or its bytes' pieces.
+        single = codes[start] == 0
+        some = np.flatnonzero(~single)
+        one, kind = self._distinct(codes, start[some], size[some])
+        at, length = start[some][one], size[some][one]
+        pool, n_ids = [], np.zeros(len(one), np.int64)
+        for lo in range(0, len(one), KINDS):
+            part = slice(lo, lo + KINDS)
+            ranks, ends = self.encode_segments(codes, at[part], length[part])
+            pool.append(self.id_of[ranks].astype(np.int32))
+            n_ids[part] = np.diff(ends, prepend=0)
+        lonely, back = np.unique(chars[start[single]], return_inverse=True)
+        spelled = [self._spelled(chr(c)) for c in lonely.tolist()]
+        pool += [np.array(x, np.int32) for x in spelled]
+        pool = np.concatenate(pool) if pool else np.zeros(0, np.int32)
+        n_ids = np.concatenate((n_ids, np.array([len(x) for x in spelled], np.int64)))
+        begin = np.cumsum(n_ids) - n_ids
+        which = np.empty(len(start), np.int64)
+        which[some], which[single] = kind, len(one) + back
+        counts = n_ids[which]
+        ends = np.cumsum(counts)
+        source = np.repeat(begin[which] - ends + counts, counts)
+        source += np.arange(len(source))
+        first = np.concatenate(([0], ends))[np.searchsorted(start, edges)]
+        return pool[source], first
+
+    def _spelled(self, char: str) -> list[int]:
+        rank = self.rank.get(char)
+        return [int(self.id_of[rank])] if rank is not None else self.byte_id[list(char.encode("utf-8", "surrogatepass"))].tolist()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
-        if len(self.plain) + len(self.spaced) > CACHE:
-            self.plain.clear()
-            self.spaced.clear()
-            self.stems.clear()
-        newline = self.byte_id[10].astype("<i4").tobytes() if "\n" not in self.rank else None
-        texts = [t.replace(SPACE, " ") if SPACE in t else t for t in texts]  # the two are one to the model
-        split, plain, spaced = [], set(), set()
-        for t in texts:
-            lines = t.split("\n") if newline is not None else [t]
-            cut = []
-            for k, line in enumerate(lines):
-                words = line.split(" ")
-                if "" in words[1:]:
-                    # A run of spaces stays with the word behind it.
-                    joined, run = [words[0]], ""
-                    for w in words[1:-1]:
-                        if w:
-                            joined.append(run + w)
-                            run = ""
-                        else:
-                            run += SPACE
-                    joined.append(run + words[-1])
-                    words = joined
-                # The text's first word has the space that stands before every text.
-                if k == 0 and t:
-                    if words[0] or len(words) == 1:
-                        words = [None, *words]
-                    else:
-                        words = [None, SPACE + words[1], *words[2:]]
-                cut.append(words)
-                if words[0] is None:
-                    spaced.update(words[1:])
-                else:
-                    if words[0]:
-                        plain.add(words[0])
-                    spaced.update(words[1:])
-            split.append(cut)
-        gc.disable()  # the tables below hold no cycles
-        self._learn(self.plain, [w for w in plain if w not in self.plain], "")
-        self._learn(self.spaced, [w for w in spaced if w not in self.spaced], SPACE)
-        gc.enable()
-        self.plain[""] = b""
-        first, other, out = self.plain.__getitem__, self.spaced.__getitem__, []
-        for t, cut in zip(texts, split):
-            if not t:
-                out.append(b"")
-                continue
-            lines = [b"".join([b"" if words[0] is None else first(words[0]), *map(other, words[1:])]) for words in cut]
-            out.append((newline or b"").join(lines))
-        return out
+        ids, first = self.encode_batch(texts)
+        return [ids[a:b].astype("<i4").tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+
+    def decode_batch(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids end to end, and where each id's bytes end."""
+        counts = self.byte_count[ids]
+        ends = np.cumsum(counts)
+        source = np.repeat(self.byte_begin[ids] - ends + counts, counts)
+        source += np.arange(len(source))
+        return self.byte_pool[source], ends
 
     def decode(self, ids: bytes) -> str:
         """The text of some ids, without the space that stands before every text."""
@@ -410,17 +460,21 @@ def encode(docs: DataFrame, model: str, with_ids: bool = True, keep_text: bool =
 
     def scan(batches):
         own = codec(model)
-        for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                coded = own.encode(texts)
-                decoded = [own.decode(x) for x in coded]
-                columns = [part.column("doc_id"), pa.array([len(x) // 4 for x in coded], pa.int64()), pa.array([zlib.crc32(x) for x in coded], pa.int64()), pa.array([a == b for a, b in zip(decoded, texts)], pa.bool_())]
-                if with_ids:
-                    offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in coded]))).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), "<i4"))))
-                if keep_text:
-                    columns.append(pa.array(decoded, pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_crc32", "round_trip", *["ids"] * with_ids, *["decoded"] * keep_text])
+        for part in gathered(batches, "text", BATCH):
+            texts = [t or "" for t in part.column("text").to_pylist()]
+            ids, first = own.encode_batch(texts)
+            decoded, ends = own.decode_batch(ids)
+            spans = list(zip(first[:-1].tolist(), first[1:].tolist()))
+            places = np.concatenate(([0], ends))[first].tolist()
+            # What decodes begins with the space that stands before every text.
+            back = [decoded[a + 1 : b].tobytes() for a, b in zip(places, places[1:])]
+            crcs = [zlib.crc32(ids[a:b].astype("<i4", copy=False)) for a, b in spans]
+            same = [x == t.encode("utf-8", "surrogatepass") for x, t in zip(back, texts)]
+            columns = [part.column("doc_id"), pa.array(np.diff(first)), pa.array(crcs, pa.int64()), pa.array(same, pa.bool_())]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids)))
+            if keep_text:
+                columns.append(pa.array([x.decode("utf-8", "replace") for x in back], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_crc32", "round_trip", *["ids"] * with_ids, *["decoded"] * keep_text])
 
     return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, schema)
