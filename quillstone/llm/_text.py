@@ -100,3 +100,44 @@ def shingle_sets(words: Words, k: int) -> list[np.ndarray]:
         else:
             out.append(np.zeros(0, np.uint64))
     return out
+
+
+def segment_hashes(codes: np.ndarray, spread: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each segment of codes, the same wherever it stands; spread: an odd 64-bit number for each code."""
+    running = np.zeros(len(codes) + 1, np.uint64)
+    values = spread[codes]
+    values *= _power(_BASE, len(codes))
+    np.cumsum(values, dtype=np.uint64, out=running[1:])
+    h = running[start + size]
+    h -= running[start]
+    h *= _power(_INV, len(codes) + 1)[start]
+    h ^= h >> U(31)
+    return h
+
+
+def distinct(codes: np.ndarray, spread: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one segment of each kind, the kind of every segment). Hashes find the kinds; codes are then
+    compared, and segments that differ from their hash's first one are kinds of their own."""
+    h = segment_hashes(codes, spread, start, size)
+    order = np.argsort(h)
+    ranked = h[order]
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = ranked[1:] != ranked[:-1]
+    kind = np.empty(len(h), np.int64)
+    kind[order] = np.cumsum(fresh) - 1
+    one = order[fresh]
+    first = one[kind]
+    ends = np.cumsum(size)
+    shift = np.repeat((start[first] - start).astype(np.int32), size)
+    here = np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)
+    here += np.repeat((start - ends + size).astype(np.int32), size)
+    # Behind a shorter first segment other codes would be read; sizes tell those apart.
+    other = size != size[first]
+    differ = codes[here] != codes[np.minimum(here + shift, len(codes) - 1)]
+    if differ.any():
+        other[np.searchsorted(ends, np.flatnonzero(differ), "right")] = True
+    if other.any():
+        bad = np.flatnonzero(other)
+        kind[bad] = len(one) + np.arange(len(bad))
+        one = np.concatenate((one, bad))
+    return one, kind

@@ -28,26 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm._io import bounded, gathered, remembered
+from quillstone.llm._text import distinct
 
 SPACE = "▁"
 #: Different segments indexed at once.
 KINDS = 400_000
 #: Bytes of text in a batch.
 BATCH = 1 << 20
-_BASE = 0x9E3779B97F4A7C15
-_power_tables: list[np.ndarray] = []
-NORMAL, BYTE = 1, 6
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    """Powers below n of a base modulo 2**64: of its inverse, and of itself."""
-    if not _power_tables or len(_power_tables[0]) < n:
-        size = 1 << max(20, int(n - 1).bit_length())
-        steps = [np.full(size, b, np.uint64) for b in (pow(_BASE, -1, 1 << 64), _BASE)]
-        for x in steps:
-            x[0] = 1
-        _power_tables[:] = [np.cumprod(x, dtype=np.uint64) for x in steps]
-    return [x[:n] for x in _power_tables]
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -342,40 +329,6 @@ class Codec:
         turn = np.repeat(np.arange(len(found)), [len(o) for o, _ in found])
         return ranks[np.lexsort((-turn, owners))], np.cumsum(np.bincount(owners, minlength=n))
 
-    def _distinct(self, codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places of one segment of each kind, the kind of every segment). Hashes find the kinds; characters are
-        compared, and segments that differ from their hash's first one are kinds of their own."""
-        running = np.zeros(len(codes) + 1, np.uint64)
-        powers = _powers(len(codes) + 1)
-        np.cumsum(self.spread[codes] * powers[1][:-1], dtype=np.uint64, out=running[1:])
-        h = running[start + size]
-        h -= running[start]
-        h *= powers[0][start]
-        h ^= h >> np.uint64(31)
-        del running
-        order = np.argsort(h)
-        ranked = h[order]
-        fresh = np.ones(len(h), bool)
-        fresh[1:] = ranked[1:] != ranked[:-1]
-        kind = np.empty(len(h), np.int64)
-        kind[order] = np.cumsum(fresh) - 1
-        one = order[fresh]
-        first = one[kind]
-        ends = np.cumsum(size)
-        shift = np.repeat((start[first] - start).astype(np.int32), size)
-        here = np.arange(ends[-1], dtype=np.int32) if len(ends) else np.zeros(0, np.int32)
-        here += np.repeat((start - ends + size).astype(np.int32), size)
-        # Behind a shorter first segment other characters would be read; sizes tell those apart.
-        other = size != size[first]
-        differ = codes[here] != codes[np.minimum(here + shift, len(codes) - 1)]
-        if differ.any():
-            other[np.searchsorted(ends, np.flatnonzero(differ), "right")] = True
-        if other.any():
-            bad = np.flatnonzero(other)
-            kind[bad] = len(one) + np.arange(len(bad))
-            one = np.concatenate((one, bad))
-        return one, kind
-
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and where each text's ids begin (one more at the end)."""
         whole = "".join([SPACE + t for t in texts if t]).replace(" ", SPACE)  # the two are one to the model
@@ -397,7 +350,7 @@ class Codec:
         # A character that stands in no longer piece is a segment of its own: a piece, or its bytes' pieces.
         single = codes[start] == 0
         some = np.flatnonzero(~single)
-        one, kind = self._distinct(codes, start[some], size[some])
+        one, kind = distinct(codes, self.spread, start[some], size[some])
         at, length = start[some][one], size[some][one]
         pool, n_ids = [], np.zeros(len(one), np.int64)
         for lo in range(0, len(one), KINDS):

@@ -12,32 +12,29 @@ empty and holds the end id only. No rows: an empty table and no shard.
 
 from __future__ import annotations
 
-import gc
-import re
+import json
+import os
 import struct
 import sys
 import zlib
-from array import array
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm._io import bounded, cut, fresh_path, open_fs, remembered, slices, write_file
+from quillstone.llm._io import bounded, cut, fresh_path, gathered, open_fs, remembered, write_file
+from quillstone.llm._text import buffers, distinct, segment_hashes
 
 MAGIC, TRAILER = b"QBITPLN1", struct.Struct("<QQQQB7x8s")
-#: Words kept per worker: past this many the cache starts anew.
-CACHE = 500_000
-# A space that follows white space and stands before no word: only then may a cut at single spaces differ.
-_RUN = re.compile(r"\s (?!\S)|\s \s")
-_BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
-# A lone line feed between others, and the letters and digits that a word begins with: no token reaches past them.
-_LINE = re.compile(r"(?<=\S)(\n)(?=\S)")
-_STEM = re.compile(r" ?[^\W_]+")
+#: Segments kept in a worker; past this many, those not met for longest go.
+CACHE = 1_000_000
+#: Bytes of text in a batch.
+BATCH = 2 << 20
 
 
 def _byte_letters() -> dict[int, str]:
@@ -50,71 +47,172 @@ def _byte_letters() -> dict[int, str]:
 _LETTERS = _byte_letters()
 
 
+_SPACE, _SINGLE, _MARK = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
+_SINGLE[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_MARK[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+_NO_QUOTE = _MARK.copy()
+_NO_QUOTE[0x27] = False
+_DIGIT = np.zeros(256, bool)
+_DIGIT[0x30:0x3A] = True
+_ALPHA = _SINGLE & ~_DIGIT
+#: The last bytes of white space beyond ASCII, by their number of bytes.
+_WIDE_SPACE = [c.encode() for c in "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"]
+
+
+def segment_starts(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Where the byte-level pattern begins a new token whatever stands around: before the first and the last place of white
+    space between other characters, behind it if that is a line feed, and between an ASCII letter or digit and an
+    ASCII mark (but not behind an apostrophe, which takes some letters with it). Texts begin at edges."""
+    n = len(data)
+    blank = _SPACE[data]
+    # The last byte of wider white space counts as blank for what follows it.
+    ends = blank.copy()
+    wide = data >= 0x80
+    if wide.any():
+        for c in _WIDE_SPACE:
+            at = np.flatnonzero(data == c[-1])
+            at = at[at >= len(c) - 1]
+            for k, byte in enumerate(c[:-1]):
+                at = at[data[at - len(c) + 1 + k] == byte]
+            ends[at] = True
+            for k in range(len(c)):
+                blank[at - k] = True
+    cut = np.zeros(n + 1, bool)
+    before, here = data[:-1], data[1:]
+    inner = cut[1:-1]
+    # Before a space or line feed that begins a run of white space, or that ends one with more to come in its text;
+    # other white space only ever goes with what stands around it.
+    last = np.zeros(n, bool)
+    last[:-1] = ~blank[1:]
+    last[edges[1:][edges[1:] > 0] - 1] = False
+    inner |= ((here == 0x20) | (here == 0x0A)) & (~ends[:-1] | last[1:])
+    inner |= (before == 0x0A) & last[:-1]
+    inner |= _SINGLE[before] & _MARK[here]
+    inner |= _NO_QUOTE[before] & _SINGLE[here]
+    cut[edges] = True
+    return np.flatnonzero(cut)[:-1] if n else np.zeros(0, np.int64)
+
+
+class _Kept:
+    """Ids of segments by two hashes of theirs, as sorted arrays."""
+
+    def __init__(self):
+        self.hash, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.begin, self.count, self.used = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.pool, self.turn = np.zeros(0, np.uint32), 0
+
+    def find(self, h: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """The row of each segment, -1 for those not kept; h is sorted."""
+        if not len(self.hash):
+            return np.full(len(h), -1)
+        at = np.searchsorted(self.hash, h).clip(0, len(self.hash) - 1)
+        at[(self.hash[at] != h) | (self.check[at] != check)] = -1
+        self.turn += 1
+        self.used[at[at >= 0]] = self.turn
+        return at
+
+    def add(self, h: np.ndarray, check: np.ndarray, begin: np.ndarray, count: np.ndarray, pool: np.ndarray) -> None:
+        """New segments; no hash is kept twice."""
+        own = np.ones(len(h), bool)
+        own[1:] = h[1:] != h[:-1]
+        if len(self.hash):
+            own &= self.hash[np.searchsorted(self.hash, h).clip(0, len(self.hash) - 1)] != h
+        h, check, begin, count = h[own], check[own], begin[own] + len(self.pool), count[own]
+        at = np.searchsorted(self.hash, h)
+        self.hash, self.check = np.insert(self.hash, at, h), np.insert(self.check, at, check)
+        self.begin, self.count = np.insert(self.begin, at, begin), np.insert(self.count, at, count)
+        self.used = np.insert(self.used, at, np.int32(self.turn))
+        self.pool = np.concatenate((self.pool, pool))
+        if len(self.hash) > CACHE:
+            self._drop(CACHE // 2)
+
+    def _drop(self, most: int) -> None:
+        stay = np.sort(np.argsort(-self.used, kind="stable")[:most])
+        self.hash, self.check, self.used = self.hash[stay], self.check[stay], self.used[stay]
+        begin, self.count = self.begin[stay], self.count[stay]
+        self.begin = np.cumsum(self.count, dtype=np.int64) - self.count
+        self.pool = self.pool[np.repeat(begin - self.begin, self.count) + np.arange(int(self.count.sum()))]
+
+
+_SPREAD = np.random.Generator(np.random.PCG64(31)).integers(1, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 class _Encoder:
-    """Byte-level BPE never joins across a space after a word, so words are encoded once and remembered."""
+    """Byte-level BPE: every different segment of a batch goes to the tokenizer once, or comes from what the worker keeps."""
 
     def __init__(self, path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        assert sys.byteorder == "little" and array("I").itemsize == 4
-        self.tokenizer = Tokenizer.from_file(path)
-        self.plain: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
-
-    def _parts(self, known: dict[str, bytes], parts: list[str]) -> None:
-        """Encode stems and what follows them. A stem of letters alone is one pre-token: the model takes it as it is."""
-        tokenize, other = self.tokenizer.model.tokenize, []
-        for w in parts:
-            if w.isalpha() or w[:1] == " " and w[1:].isalpha():
-                known[w] = array("I", [t.id for t in tokenize(w.encode().decode("latin1").translate(_LETTERS))]).tobytes()
-            else:
-                other.append(w)
-        for w, e in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False)):
-            known[w] = array("I", e.ids).tobytes()
-
-    def _learn(self, known: dict[str, bytes], words: set[str], lead: str) -> None:
-        stems, match = self.stems, _STEM.match
-        cut = {}
-        for w in words:
-            if w in known:
-                continue
-            whole = lead + w
-            m = match(whole)
-            end = m.end() if m else 0
-            if "\n" in w:
-                lines = [(line, m.end() if (m := match(line)) else 0) for line in _LINE.split(whole)]
-                cut[w] = [p for line, k in lines for p in (line[:k], line[k:]) if p]
-            else:
-                cut[w] = (whole,) if end in (0, len(whole)) else (whole[:end], whole[end:])
-        self._parts(stems, [p for p in {p for parts in cut.values() for p in parts} if p not in stems])
-        for w, parts in cut.items():
-            known[w] = stems[parts[0]] if len(parts) == 1 else b"".join([stems[p] for p in parts])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit numbers."""
-        if len(self.plain) + len(self.spaced) > CACHE:
-            self.plain.clear()
-            self.spaced.clear()
-            self.stems.clear()
-        heads, tails = [], []
-        for t in texts:
-            if "  " in t or _RUN.search(t):
-                heads.append(_BEFORE_SPACE.split(t))
-                tails.append(())
+        assert sys.byteorder == "little"
+        self.tokenizer, self.kept = Tokenizer.from_file(path), _Kept()
+        with open(path, encoding="utf-8") as f:
+            form = json.load(f)
+        first = form.get("pre_tokenizer") or {}
+        # Other tokenizers get whole texts.
+        self.by_segments = first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space") and not form.get("normalizer") and form["model"]["type"] == "BPE"
+        self.added = [x["content"] for x in form.get("added_tokens", ())]
+
+    def _tokens(self, data: np.ndarray, at: np.ndarray, size: np.ndarray) -> list[list[int]]:
+        """Ids of segments. One of letters, digits or marks alone is one pre-token: the model takes it as it is."""
+        ends = np.cumsum(size)
+        begin = ends - size
+        laid = data[np.repeat(at - begin, size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        lead = (laid[begin] == 0x20).astype(np.int64) if len(begin) else begin
+        alone = np.zeros(len(at), bool)
+        for mask in (_ALPHA, _DIGIT, _NO_QUOTE):
+            running = np.concatenate(([0], np.cumsum(mask[laid])))
+            alone |= (running[ends] - running[begin] == size - lead) & (size > lead)
+        raw = laid.tobytes()
+        letters, tokenize, out, other = raw.decode("latin1").translate(_LETTERS), self.tokenizer.model.tokenize, [], []
+        for k, (a, b, one) in enumerate(zip(begin.tolist(), ends.tolist(), alone.tolist())):
+            if one or raw[a + (raw[a] == 0x20) : b].decode().isalpha():
+                out.append([t.id for t in tokenize(letters[a:b])])
             else:
-                first, *rest = t.split(" ")
-                heads.append((first,))
-                tails.append(rest)
-        gc.disable()  # the tables below hold no cycles
-        self._learn(self.plain, set().union(*heads), "")
-        self._learn(self.spaced, set().union(*tails), " ")
-        gc.enable()
-        plain, spaced = self.plain.__getitem__, self.spaced.__getitem__
-        return [b"".join([*map(plain, a), *map(spaced, b)]) for a, b in zip(heads, tails)]
+                out.append(None)
+                other.append(k)
+        whole = [raw[begin[k] : ends[k]].decode() for k in other]
+        for k, e in zip(other, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)):
+            out[k] = e.ids
+        return out
+
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        first = np.concatenate(([0], np.cumsum([len(x) for x in ids], dtype=np.int64)))
+        return np.array([x for own in ids for x in own], np.uint32), first
+
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and where each text's ids begin (one more at the end)."""
+        data, edges = buffers(texts)
+        if not self.by_segments or any(pc.any(pc.match_substring(texts, x)).as_py() for x in self.added):
+            return self._plain([t or "" for t in texts.to_pylist()])
+        start = segment_starts(data, edges)
+        size = np.diff(np.append(start, len(data)))
+        one, kind = distinct(data, _SPREAD[0], start, size)
+        at, length = start[one], size[one]
+        h, check = (segment_hashes(data, s, at, length) for s in _SPREAD)
+        order = np.argsort(h)
+        row = np.empty(len(one), np.int64)
+        row[order] = self.kept.find(h[order], check[order])
+        new = order[row[order] < 0]
+        fresh = self._tokens(data, at[new], length[new])
+        count = np.zeros(len(one), np.int64)
+        begin = np.zeros(len(one), np.int64)
+        known = row >= 0
+        old = len(self.kept.pool)
+        count[known], begin[known] = self.kept.count[row[known]], self.kept.begin[row[known]]
+        sizes = np.array([len(x) for x in fresh], np.int64)
+        added = np.array([x for own in fresh for x in own], np.uint32)
+        first = np.cumsum(sizes) - sizes
+        count[new], begin[new] = sizes, old + first
+        pool = np.concatenate((self.kept.pool, added))
+        self.kept.add(h[new], check[new], first, sizes.astype(np.int32), added)
+        counts = count[kind]
+        ends = np.cumsum(counts)
+        source = np.repeat(begin[kind] - ends + counts, counts)
+        source += np.arange(len(source))
+        return pool[source], np.concatenate(([0], ends))[np.searchsorted(start, edges)]
 
 
 def encoder(path: str) -> _Encoder:
@@ -231,13 +329,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, planes: str =
         totals = [0, 0]
 
         def rows():
-            for batch in batches:
-                for part in slices(batch, "text"):
-                    texts = [t or "" for t in part.column("text").to_pylist()]
-                    for doc_id, data in zip(part.column("doc_id").to_pylist(), words.encode(texts)):
-                        totals[0] += 1
-                        totals[1] += len(data) // 4 + 1
-                        yield doc_id, data + end
+            for part in gathered(batches, "text", BATCH):
+                ids, first = words.encode_batch(part.column("text"))
+                for doc_id, a, b in zip(part.column("doc_id").to_pylist(), first[:-1].tolist(), first[1:].tolist()):
+                    totals[0] += 1
+                    totals[1] += b - a + 1
+                    yield doc_id, ids[a:b].astype("<u4", copy=False).tobytes() + end
 
         documents = rows()
         one = next(documents, None)

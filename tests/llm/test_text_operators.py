@@ -362,3 +362,33 @@ def test_words_are_those_of_the_pattern():
         assert np.diff(w.first).tolist() == list(map(len, split))
         by_word = dict(zip([x for s in split for x in s], w.hash.tolist()))
         assert [by_word[x] for s in split for x in s] == w.hash.tolist() and len(set(by_word.values())) == len(by_word)
+
+
+# -- segments of the two tokenizers ---------------------------------------------------------------------
+
+
+def test_random_texts_in_tokens(monkeypatch):
+    """Segments, kept and dropped ones, equal the library's encoding of whole texts."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_binary, "CACHE", 2000)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, library = token_binary._Encoder(path), Tokenizer.from_file(path)
+    alphabets = ("aeinorst .,'-()0123\n\tÉ漢é\x00😀  \x85　 \xa0—’", "the and ing der 's 't 'll're\n\n  \n.,()'\"!?", "a b'\n x² ½ ٣ ं १ \r\n\x0b\x0c\x1c\x1f")
+    for seed in range(12):
+        rng = random.Random(seed)
+        texts = ["".join(rng.choice(alphabets[seed % 3]) for _ in range(rng.randrange(60))) for _ in range(300)] + [None, "", "a<|endoftext|>b"][: 2 + (seed == 7)]
+        ids, first = own.encode_batch(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == [e.ids for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+def test_distinct_segments_with_equal_hashes(monkeypatch):
+    """Where all hashes are equal, segments are told apart by their codes."""
+    from quillstone.llm import _text
+
+    monkeypatch.setattr(_text, "segment_hashes", lambda codes, spread, start, size: np.zeros(len(start), np.uint64))
+    codes = np.frombuffer(b"abcabcabdab", np.uint8)
+    start, size = np.array([0, 3, 6, 9]), np.array([3, 3, 3, 2])
+    one, kind = _text.distinct(codes, np.ones(256, np.uint64), start, size)
+    segments = [codes[a : a + n].tobytes() for a, n in zip(start, size)]
+    assert [segments[one[k]] for k in kind] == segments
