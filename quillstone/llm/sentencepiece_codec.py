@@ -37,6 +37,9 @@ KINDS = 400_000
 BATCH = 1 << 20
 
 
+NORMAL, BYTE = 1, 6
+
+
 def _varint(data: bytes, at: int) -> tuple[int, int]:
     value = shift = 0
     while True:
