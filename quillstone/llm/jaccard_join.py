@@ -1,9 +1,12 @@
-"""Exact Jaccard join of word 3-gram sets with set-relation skipping.
+"""Exact Jaccard join of word n-gram sets with set-relation skipping.
 
-Which sets can meet: sets of a size class split their shingles by hash range into as many
-parts as could differ and one more, so two sets that link have an equal part; parts that
-are empty get spares. Equal parts chain sets into candidate groups; that join moves eight-byte
-part hashes, never sets, and emits a chain, never pairs.
+Which sets can meet: linked sets share a shingle among the first of both, in any order of shingles that
+is the same for all sets (as many first ones as the threshold lets differ, and one). The order puts rare
+shingles first, by a table of counts of bounded size, so passages that many texts share come last.
+Each first shingle has an index list of sets by size. A list is never held: sets that stand side by side
+in it are chained, and the chain is cut where sizes differ by more than the threshold allows. Lists of
+frequent shingles are dealt over many tasks and their chains are then joined. So groups of
+candidates come from rows of three numbers, never from pairs or texts.
 
 Inside a group (in blocks of bounded size where it is large) two ways of skipping find the
 links. Index level: posting lists of rare-first prefixes are kept by position in blocks, and
@@ -12,17 +15,18 @@ similar to the last answered one gets its overlaps with all others from that one
 by the few shingles in which the two differ.
 
 Equal sets are one node throughout. A null or empty text has no shingle, links with nothing
-and is its own component. Rows that repeat a doc_id are rows of their own; a row without a
-doc_id takes part, and a component's id is its smallest doc_id (null if it has none).
+and is its own component. No rows give no rows. A very long text is scanned alone, in memory of its own
+size. Rows that repeat a doc_id are rows of their own; a row without a doc_id takes part, and a component's
+id is its smallest doc_id (null if it has none). Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,54 +34,72 @@ from quillstone.llm._components import components, local_forest
 from quillstone.llm._io import bounded, cut, slices
 from quillstone.llm._text import SPACES, U, Words, mix, shingle_sets
 
-#: Sets of a block in a candidate group; larger groups are compared block by block.
-BLOCK = 1024
-
-
-class Classes:
-    """Size classes for a Jaccard threshold: linked sets are of one class or of two that follow each other."""
-
-    def __init__(self, threshold: Fraction):
-        self.t, self.low = threshold, [1]
-        self.known: dict[int, tuple] = {}
-
-    def _grow(self) -> None:
-        self.low.append(int(self.low[-1] / self.t) + 1)
-
-    def of(self, n: int) -> int:
-        while self.low[-1] <= n:
-            self._grow()
-        return bisect_right(self.low, n) - 1
-
-    def parts(self, level: int) -> tuple:
-        """(spares, cuts of the hash range, salts) of a class. Parts are the largest difference of two linked sets, and one, and the spares."""
-        if level not in self.known:
-            while len(self.low) < level + 2:
-                self._grow()
-            differ = int(2 * (self.low[level + 1] - 1) * (1 - self.t) / (1 + self.t))
-            spare = 1 + differ // 16
-            n = differ + 1 + spare if differ else 0
-            cuts = np.array([(i << 64) // n for i in range(1, n)], np.uint64)
-            self.known[level] = spare, cuts, mix(np.arange(n, dtype=np.uint64) + U(level << 32))
-        return self.known[level]
-
-
-def part_hashes(s: np.ndarray, classes: Classes) -> np.ndarray:
-    """The hashes of the parts of one sorted set, for its own class and the next."""
-    out, level = [], classes.of(len(s))
-    running = np.zeros(len(s) + 1, np.uint64)
-    np.cumsum(s * U(0xD6E8FEB86659FD93) ^ (s >> U(29)), dtype=np.uint64, out=running[1:])
-    for k in (level, level + 1):
-        spare, cuts, salts = classes.parts(k)
-        if not len(salts):
-            continue
-        at = np.empty(len(salts) + 1, np.int64)
-        at[0], at[-1] = 0, len(s)
-        at[1:-1] = s.searchsorted(cuts)
-        sums = (running[at[1:]] - running[at[:-1]]) ^ salts
-        full = at[1:] != at[:-1]
-        out.append(sums if len(full) - np.count_nonzero(full) > spare else sums[full])
-    return mix(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+#: Sets, and shingles of sets, of a block in a candidate group; larger groups are compared block by block.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 19
+#: The table of counts has 2**BITS places, whatever the size of the corpus.
+BITS = 22
+#: Lists of shingles counted this often, and this often more than the mean of the table, are dealt over SALTS tasks.
+FREQUENT, SALTS = 2000, 64
+#: Nodes that hold more than one in so many rows are joined apart from the others; there can be no more of them than this.
+HEAVY = 1000
+
+
+def first_ones(n: int, threshold: Fraction) -> int:
+    """How many first shingles of a set of n: it shares one of them with any set it links with."""
+    return n - -(-n * threshold.numerator // threshold.denominator) + 1
+
+
+def counted(docs: DataFrame, k: int) -> np.ndarray:
+    """How often shingles occur in all texts, by the first BITS of their hash: tasks' tables are added up in rounds."""
+
+    def scan(batches):
+        total = np.zeros(1 << BITS, np.uint32)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets = _sets(part, k)
+                total += np.bincount((np.concatenate(sets) >> U(64 - BITS)).astype(np.int64), minlength=1 << BITS).astype(np.uint32)
+        yield _packed(total)
+
+    def add(batches):
+        total = np.zeros(1 << BITS, np.uint32)
+        for batch in batches:
+            for x in batch.column(0):
+                more = _unpacked(x.as_buffer())
+                total = np.where(total > ~more, np.uint32(0xFFFFFFFF), total + more)  # full places stay full
+        yield _packed(total)
+
+    # The order must be the same for all readers, so the tables are written before they are added up.
+    tables = cut(docs.select("text").mapInArrow(scan, "counts binary"), "counts")
+    n = tables.count()
+    while n > 16:
+        n = -(-n // 16)
+        tables = cut(tables.repartition(n).mapInArrow(add, "counts binary"), "counts")
+    total = np.zeros(1 << BITS, np.uint64)
+    for row in tables.toLocalIterator():
+        total += _unpacked(row.counts)
+    return total
+
+
+def _packed(counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"counts": [zstandard.ZstdCompressor(level=1).compress(counts.tobytes())]})
+
+
+def _unpacked(data) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint32)
+
+
+class Order:
+    """Rare shingles first: by steps of the logarithm of their count, then by hash."""
+
+    def __init__(self, counts: np.ndarray):
+        self.steps = (4 * np.log2(counts.astype(np.float64) + 1)).astype(np.uint8)
+        self.frequent = int(4 * np.log2(max(FREQUENT, 16 * counts.mean()) + 1))
+
+    def first(self, s: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
+        """The first shingles of a sorted set, and which of them are frequent."""
+        steps = self.steps[s >> U(64 - BITS)]
+        at = np.argsort(steps, kind="stable")[: first_ones(len(s), threshold)]
+        return s[at], steps[at] >= self.frequent
 
 
 def node_of(s: np.ndarray) -> int:
@@ -130,17 +152,20 @@ def join_sets(sets: list[np.ndarray], threshold: Fraction, split: int | None = N
             held = r
             found = np.flatnonzero(counts * den >= num * (size + sizes))
         else:
-            # Index level: in each list of the prefix, blocks behind the last position that can suffice are skipped.
+            # Index level: a list of the prefix is in blocks of equal positions. With the first common shingle at i here and at j
+            # there, sizes lie between (1 + t) j + t size and the least of size / t and (1 + t) (size - i) / t - size;
+            # blocks from the position on where that leaves no size are skipped.
             seen = []
             for i, t in enumerate(own[:prefix].tolist()):
                 lo, hi = int(start[t]), int(start[t + 1])
                 if hi - lo < 2:
                     continue
-                last = int(size / threshold - need * (size + size / threshold))
-                stop = lo + int(np.searchsorted(at[lo:hi], last, "right"))
+                most = min(size / threshold, (1 + threshold) * (size - i) / threshold - size)
+                last = (most - threshold * size) / (1 + threshold)
+                stop = lo + int(np.searchsorted(at[lo:hi], int(last), "right")) if last >= 0 else lo
                 near = post[lo:stop]
                 left = np.minimum(size - i, sizes[near] - at[lo:stop])
-                seen.append(near[left * den + min(i, 0) >= num * (size + sizes[near]) - den * np.minimum(i, at[lo:stop])])
+                seen.append(near[left * den >= num * (size + sizes[near])])
             some = np.unique(np.concatenate(seen)) if seen else np.zeros(0, np.int64)
             if len(some) > 4:
                 counts = np.bincount(np.concatenate([post[start[t] : start[t + 1]] for t in own]), minlength=n)
@@ -154,47 +179,95 @@ def join_sets(sets: list[np.ndarray], threshold: Fraction, split: int | None = N
 
 
 def _node_rows(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, key (of id and text: a document that stands for a set is found again by it), n_shingles, node."""
+
     def scan(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = _sets(part, k)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64())], ["doc_id", "n_shingles", "node"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64())], ["doc_id", "key", "n_shingles", "node"])
 
-    return docs.mapInArrow(scan, "doc_id long, n_shingles long, node long")
+    return docs.withColumn("key", F.xxhash64("doc_id", "text")).mapInArrow(scan, "doc_id long, key long, n_shingles long, node long")
 
 
-def _part_rows(docs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
-    """(part, node): a task names a set once, however many copies of it it reads."""
+def _first_rows(docs: DataFrame, k: int, threshold: Fraction, counts: np.ndarray) -> DataFrame:
+    """(shingle, salt, size, node) of the first shingles of all sets; copies in one slice of texts are told once."""
+    held = docs.sparkSession.sparkContext.broadcast(Order(counts))
 
     def scan(batches):
-        classes, told = Classes(threshold), set()
+        order = held.value
         for batch in batches:
             for piece in slices(batch, "text"):
-                hashes, nodes = [], []
+                told: set[int] = set()
+                shingles, often, nodes, sizes, many = [], [], [], [], []
                 for s in _sets(piece, k):
                     if len(s) and (node := node_of(s)) not in told:
                         told.add(node)
-                        hashes.append(part_hashes(s, classes))
-                        nodes.append(np.full(len(hashes[-1]), node, np.int64))
-                if hashes:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(nodes))], ["part", "node"])
+                        first, frequent = order.first(s, threshold)
+                        shingles.append(first)
+                        often.append(frequent)
+                        nodes.append(node)
+                        sizes.append(len(s))
+                        many.append(len(first))
+                if shingles:
+                    node = np.repeat(np.array(nodes, np.int64), many)
+                    salt = np.where(np.concatenate(often), 1 + node % SALTS, 0)
+                    columns = [np.concatenate(shingles).view(np.int64), salt.astype(np.int16), np.repeat(np.array(sizes, np.int64), many), node]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shingle", "salt", "size", "node"])
+
+    return docs.select("text").mapInArrow(scan, "shingle long, salt short, size long, node long")
+
+
+def _chains(threshold: Fraction, ends: bool):
+    """Of rows sorted by (shingle, salt, size, node): each two neighbours of a list whose sizes can link, as a and b;
+    across batches, and a long list is never held. With `ends` also, in their first columns, the first and last row of each
+    chain of a salted list, so that the chains of its other parts can be joined to it."""
+    num, den = threshold.numerator, threshold.denominator
 
-    return docs.mapInArrow(scan, "part long, node long")
+    def scan(batches):
+        last = None
 
+        def rows(shingle, size, a, b):
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (shingle, size, a, b)], ["shingle", "size", "a", "b"])
 
-def _chains(batches):
-    """Of rows sorted by (part, node): each two neighbours of a part, across batches; a long part is never held."""
-    last = None
-    for batch in batches:
-        part, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if last is not None:
-            part, node = np.concatenate(([last[0]], part)), np.concatenate(([last[1]], node))
-        if len(part):
-            last = part[-1], node[-1]
-        same = (part[1:] == part[:-1]) & (node[1:] != node[:-1])
-        if same.any():
-            pairs = np.unique(np.stack((node[:-1][same], node[1:][same])), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+        for batch in batches:
+            own = [batch.column(c).to_numpy() for c in ("shingle", "salt", "size", "node")]
+            if last is not None:
+                own = [np.concatenate((x, y)) for x, y in zip(last, own)]
+            shingle, salt, size, node = own
+            if not len(node):
+                continue
+            near = (shingle[1:] == shingle[:-1]) & (salt[1:] == salt[:-1]) & (size[:-1] * den >= num * size[1:])
+            pairs = near & (node[1:] != node[:-1])
+            if pairs.any():
+                a, b = np.unique(np.stack((node[:-1][pairs], node[1:][pairs])), axis=1)
+                yield rows(np.zeros(len(a), np.int64), np.zeros(len(a), np.int64), a, b)
+            if ends:
+                # A chain ends at i or begins at i + 1 where the two are not near; the first row of all begins one, too.
+                edge = np.zeros(len(node), bool)
+                edge[:-1] |= ~near
+                edge[1:] |= ~near
+                edge[0] |= last is None
+                edge &= salt > 0
+                if edge.any():
+                    yield rows(shingle[edge], size[edge], node[edge], node[edge])
+            last = [x[-1:] for x in own]
+        if ends and last is not None and last[1][0] > 0:
+            yield rows(last[0], last[2], last[3], last[3])
+
+    return scan
+
+
+def candidate_groups(docs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
+    """(node, component): sets that can link are of one component."""
+    first = _first_rows(docs, k, threshold, counted(docs, k))
+    schema = "shingle long, size long, a long, b long"
+    sort = ("shingle", "salt", "size", "node")
+    chains = cut(first.repartition("shingle", "salt").sortWithinPartitions(*sort).mapInArrow(_chains(threshold, True), schema), "chains")
+    # Parts of a frequent list: the ends of their chains, a and b of which are the same, in one list by size.
+    parts = chains.filter("a = b").select("shingle", F.lit(0).cast("short").alias("salt"), "size", F.col("a").alias("node")).distinct()
+    joined = parts.repartition("shingle").sortWithinPartitions(*sort).mapInArrow(_chains(threshold, False), schema)
+    return components(chains.filter("a <> b").select("a", "b").unionByName(joined.select("a", "b")))
 
 
 def _group_links(groups, threshold: Fraction):
@@ -230,15 +303,13 @@ def _groups(batches):
 
 def link_nodes(docs: DataFrame, nodes: DataFrame, k: int, threshold: Fraction) -> DataFrame:
     """(node, component) of all sets that link with another set."""
-    spark = docs.sparkSession
-    parts = _part_rows(docs, k, threshold).repartition("part").sortWithinPartitions("part", "node")
-    near = components(parts.mapInArrow(_chains, "a long, b long"))
-    # One document stands for each set; blocks of at most about BLOCK sets, dealt by hash.
-    one = nodes.groupBy("node").agg(F.min_by("doc_id", F.struct(F.col("doc_id").isNull(), "doc_id")).alias("doc_id"))
-    sizes = near.groupBy("component").agg(F.count("*").alias("n"))
-    chosen = near.join(one, "node").join(sizes, "component")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    chosen = chosen.select("doc_id", "node", F.col("component").alias("comp"), blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
+    near = candidate_groups(docs, k, threshold)
+    # One document stands for each set; blocks of at most about BLOCK sets and BLOCK_SHINGLES shingles, dealt by hash.
+    one = nodes.groupBy("node").agg(F.min("key").alias("key"), F.max("n_shingles").alias("size"))
+    chosen = cut(near.join(one, "node"), "chosen")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int")
+    chosen = chosen.join(chosen.groupBy("component").agg(blocks.alias("blocks")), "component")
+    chosen = chosen.select("key", "node", F.col("component").alias("comp"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     wanted = cut(chosen, "wanted")
 
     def sets_of(batches):
@@ -250,7 +321,8 @@ def link_nodes(docs: DataFrame, nodes: DataFrame, k: int, threshold: Fraction) -
                 yield out.filter(right)
 
     # One hash join at every size: the wanted rows grow with the input, a task's part of them is small.
-    texts = docs.select("doc_id", "text").join(wanted.hint("shuffle_hash"), docs.doc_id.eqNullSafe(wanted.doc_id)).select("text", "comp", "node", "blocks", "block")
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text")
+    texts = keyed.join(wanted.hint("shuffle_hash"), "key").select("text", "comp", "node", "blocks", "block")
     sets = texts.mapInArrow(sets_of, "comp long, node long, blocks int, block int, shingles binary")
     # A set goes to every task of its block: with itself and with each other block of its group.
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -276,12 +348,18 @@ def jaccard_components(docs: DataFrame, k: int = 3, threshold: Fraction = Fracti
     nodes = cut(_node_rows(docs, k), "nodes")
     linked = link_nodes(docs, nodes, k, threshold)
     # Sets that link with no other set are components by themselves: equal sets share the node.
-    named = nodes.groupBy("node").agg(F.min("doc_id").alias("least")).join(linked, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    rows = nodes.count()
+    named = nodes.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).join(linked, "node", "left").select("node", "least", "copies", F.coalesce("component", "node").alias("component"))
     named = cut(named, "named")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = named.join(least, "component").select("node", "component_id")
+    ids = cut(named.join(least, "component").select("node", "copies", "component_id"), "ids")
     full, empty = nodes.filter("n_shingles > 0"), nodes.filter("n_shingles = 0")
-    return full.join(ids, "node").select("doc_id", "n_shingles", "component_id").unionByName(empty.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    # The few nodes that hold many rows each are broadcast, so that no task gets all copies of one text.
+    heavy = F.broadcast(ids.filter(F.col("copies") > max(1, rows // HEAVY)).select("node", "component_id"))
+    out = ["doc_id", "n_shingles", "component_id"]
+    most = full.join(heavy, "node").select(*out)
+    rest = full.join(heavy, "node", "left_anti").join(ids.select("node", "component_id"), "node").select(*out)
+    return most.unionByName(rest).unionByName(empty.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, k: int = 3, threshold: Fraction = Fraction(9, 10)) -> DataFrame:

@@ -83,17 +83,30 @@ def test_local_join_finds_all_links(seed):
 
 
 @pytest.mark.parametrize("threshold", [Fraction(9, 10), Fraction(4, 5)])
-def test_linked_sets_share_a_part(threshold):
+def test_linked_sets_share_a_first_shingle(threshold):
     rng = np.random.default_rng(5)
-    classes = jaccard_join.Classes(threshold)
+    order = jaccard_join.Order(rng.integers(0, 50, 1 << jaccard_join.BITS))
     for n in [*range(1, 60), 99, 100, 101, 300, 1000]:
         s = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
         for _ in range(4):
             drop, add = rng.integers(0, n // 5 + 1, 2)
             t = np.unique(np.concatenate((rng.permutation(s)[drop:], rng.integers(0, 1 << 63, add, dtype=np.uint64))))
             inter = len(np.intersect1d(s, t))
-            if len(t) and inter >= threshold * (len(s) + len(t) - inter) and inter < max(len(s), len(t)):
-                assert set(jaccard_join.part_hashes(s, classes).tolist()) & set(jaccard_join.part_hashes(t, classes).tolist())
+            if len(t) and inter >= threshold * (len(s) + len(t) - inter):
+                assert set(order.first(s, threshold)[0].tolist()) & set(order.first(t, threshold)[0].tolist())
+
+
+@pytest.mark.parametrize("frequent", [2000, 1])
+def test_candidate_groups_hold_all_links(spark, monkeypatch, frequent):
+    monkeypatch.setattr(jaccard_join, "FREQUENT", frequent)
+    monkeypatch.setattr(jaccard_join, "SALTS", 3)
+    texts = near_texts(3, 300)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    group = {r.node: r.component for r in jaccard_join.candidate_groups(df, 3, Fraction(9, 10)).collect()}
+    nodes = [jaccard_join.node_of(s) for s in shingle_sets(Words(pa.array(texts)), 3)]
+    links = [(a, b) for a, b in brute_links(sets_of(texts)) if nodes[a] != nodes[b]]
+    assert len(links) > 40 and all(group[nodes[a]] == group[nodes[b]] for a, b in links)
+    assert len(set(group.values())) > 5
 
 
 @pytest.mark.parametrize("block", [1024, 4])
@@ -118,6 +131,30 @@ def test_jaccard_without_ids(spark):
     assert got == sorted([("None", "4"), ("4", "4"), ("4", "4"), ("2", "2"), ("None", "None")])
 
 
+def test_jaccard_of_rows_without_ids_and_with_repeated_ones(spark, monkeypatch):
+    """Ids are null or all the same: every text still stands for itself, and no row meets all others."""
+    monkeypatch.setattr(jaccard_join, "HEAVY", 4)
+    texts = near_texts(11, 150)
+    sets = sets_of(texts)
+    sizes = sorted(len(s) for s in sets)
+    for same in (None, 7):
+        df = spark.createDataFrame([(same, t) for t in texts], "doc_id long, text string").repartition(3)
+        got = jaccard_join.jaccard_components(df).collect()
+        assert sorted(r.n_shingles for r in got) == sizes and {r.component_id for r in got} == {same}
+    # Every text twice, under two ids: components are those of the texts.
+    df = spark.createDataFrame([(i + 1000 * k, t) for i, t in enumerate(texts) for k in (0, 1)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(df).collect()}
+    expected = union(len(texts), brute_links(sets))
+    assert got == {i + 1000 * k: expected[i] if sets[i] else i + 1000 * k for i in range(len(texts)) for k in (0, 1)}
+
+
+def test_jaccard_of_a_very_long_text(spark):
+    long = " ".join(f"w{i}" for i in range(120_000))
+    rows = [(1, long), (2, long + " more"), (3, long[: len(long) // 2]), (4, "w1 w2 w3")]
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
 # -- embeddings -------------------------------------------------------------------------------------
 
 
