@@ -1,29 +1,34 @@
 """Language of a text: a bidirectional gated recurrent network over bytes.
 
-The network labels every byte of every word and the document's answer is the mean of its
-bytes' probabilities. Its state starts anew at white space, so a word's probabilities do not
-depend on where it stands: each worker runs the network once per distinct word and remembers
-the sum. Trained in numpy by backpropagation through time on a bounded sample of labelled
-rows; only text and lang of the training rows are read.
+The network labels every byte of a text, and the document's answer is the mean of its bytes'
+probabilities. Its state runs over the whole text, spaces and all. So that many places of long texts are
+computed side by side, a text is cut into windows of OWN bytes: forwards the state of a window starts from
+zero LEAD bytes before it (or at the text's beginning), backwards LEAD bytes behind it (or at the text's
+end), and only the window's own bytes are labelled there. A text of up to OWN bytes is one window and has
+no cut. Trained in numpy by backpropagation through time on windows drawn from a bounded sample of
+labelled rows; only text and lang of the training rows are read.
 
 Null texts and texts without a letter are `und`, score 0. Rows with a null lang or a null
-doc_id do not train. If no row can train, every row is `und`. Repeated rows count as often
-as they occur; columns other than those named are passed over.
+doc_id do not train. If no row can train, every row is `und`. No rows give no rows. Very long texts are
+computed some thousand windows at a time. Repeated rows count as often as they occur; columns other than
+those named are passed over. Nothing is kept between batches.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm._io import bounded, remembered, slices
+from quillstone.llm._io import bounded, slices
+from quillstone.llm._text import buffers
 
-EMBED, HIDDEN, PIECE = 12, 16, 24
-CACHE = 100_000
+EMBED, HIDDEN = 8, 8
+#: Bytes of a window, bytes of run-up on either side of it, and windows computed at once.
+OWN, LEAD, WINDOWS = 192, 32, 6000
+#: Bytes of a training window.
+TRAIN = 64
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -33,8 +38,6 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Network:
     def __init__(self, parts: dict[str, np.ndarray]):
         self.p = parts
-        self.words: dict[str, int] = {}
-        self.sums = np.zeros((1 << 16, parts["out"].shape[1] + 1), np.float64)
 
     def _inputs(self, side: str) -> np.ndarray:
         return self.p["embed"] @ self.p[f"in_{side}"] + self.p[f"bias_{side}"]
@@ -100,39 +103,104 @@ class Network:
             g["embed"] += dtable @ p[f"in_{s}"].T
         return g
 
-    def sums_of(self, words: list[str]) -> np.ndarray:
-        """Per word: its bytes' probabilities summed, and the number of its bytes."""
-        known = self.words
-        if len(known) > CACHE:
-            known.clear()
-        new = list({w for w in words if w not in known})
-        if new:
-            base = len(known)
-            while base + len(new) > len(self.sums):
-                self.sums = np.concatenate((self.sums, np.zeros_like(self.sums)))
-            known.update(zip(new, range(base, base + len(new))))
-            self.sums[base : base + len(new)] = 0
-            pieces, owner = _pieces(new)
-            order = np.argsort([len(x) for x in pieces], kind="stable")
-            long = len(pieces) > len(new)  # some word has several pieces
-            for lo in range(0, len(order), 4096):
-                part = order[lo : lo + 4096]
-                X, M = _padded([pieces[k] for k in part])
-                P = self.probabilities(X, M.astype(np.float32)) * M[..., None]
-                rows = np.concatenate((P.sum(1), M.sum(1, keepdims=True)), axis=1)
-                np.add.at(self.sums, base + owner[part], rows) if long else self.sums.__setitem__(base + owner[part], rows)
-        return self.sums[np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
-
-
-def _pieces(words: list[str]) -> tuple[list[bytes], np.ndarray]:
-    """The words' bytes; longer words in pieces of PIECE bytes, all of them labelled."""
-    pieces, owner = [], []
-    for k, w in enumerate(words):
-        data = w.encode("utf-8", "surrogatepass")
-        for lo in range(0, len(data), PIECE):
-            pieces.append(data[lo : lo + PIECE])
-            owner.append(k)
-    return pieces, np.array(owner, np.int64)
+    def _steps(self, side: str):
+        """(table of inputs by byte, recurrent weights of the gates and of the candidate), transposed. All are written as
+        1 / (1 + exp(x)), so the signs (and the candidate's 2, as tanh(x) is 2 / (1 + exp(-2x)) - 1) go into the weights."""
+        sign = np.concatenate((np.full(2 * HIDDEN, -1.0), np.full(HIDDEN, -2.0)))[:, None]
+        table, back = self._inputs(side).T * sign, self.p[f"rec_{side}"].T * sign
+        return tuple(np.ascontiguousarray(w, np.float32) for w in (table, back[: 2 * HIDDEN], back[2 * HIDDEN :]))
+
+    @staticmethod
+    def _step(weights, x: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The next states (HIDDEN, n) of n windows from their bytes x and states h."""
+        table, gate, candidate = weights
+        g = table.take(x, axis=1, mode="clip")
+        t = gate @ h
+        t += g[: 2 * HIDDEN]
+        np.exp(t, out=t)
+        t += 1
+        np.reciprocal(t, out=t)
+        z, r = t[:HIDDEN], t[HIDDEN:]
+        r *= h
+        c = candidate @ r
+        c += g[2 * HIDDEN :]
+        np.exp(c, out=c)
+        c += 1
+        np.divide(2, c, out=c)
+        c -= 1
+        out = h - c
+        out *= z
+        out += c
+        return out
+
+    def _windows(self, data: np.ndarray, text: np.ndarray, start: np.ndarray, lo: np.ndarray, hi: np.ndarray):
+        """(byte places, probabilities (languages, places)) of the windows that begin at start in texts from lo to hi, place by place."""
+        length = np.minimum(hi - start, OWN)
+        order = np.argsort(-length, kind="stable")
+        start, lo, hi, length = start[order], lo[order], hi[order], length[order]
+        n, weights = len(start), {s: self._steps(s) for s in "fb"}
+        # How many windows are longer than each place.
+        active = n - np.searchsorted(np.sort(length), np.arange(OWN), "right")
+        out, bias = np.ascontiguousarray(self.p["out"].T, np.float32), self.p["out_bias"].astype(np.float32)[:, None]
+        h = np.zeros((HIDDEN, n), np.float32)
+        led = np.flatnonzero(start > lo)
+        if len(led):
+            own = np.zeros((HIDDEN, len(led)), np.float32)
+            for k in range(LEAD, 0, -1):
+                own = self._step(weights["f"], data[start[led] - k], own)
+            h[:, led] = own
+        forward = []
+        for k in range(int(length[0])):
+            h = self._step(weights["f"], data[start[: active[k]] + k], h[:, : active[k]])
+            forward.append(out[:, :HIDDEN] @ h)
+        h = np.zeros((HIDDEN, n), np.float32)
+        end = start + length
+        follow = np.minimum(hi - end, LEAD)
+        led = np.argsort(-follow, kind="stable")
+        more = n - np.searchsorted(np.sort(follow), np.arange(LEAD), "right")
+        own = np.zeros((HIDDEN, int(more[0])), np.float32)
+        for k in range(LEAD - 1, -1, -1):
+            if more[k]:
+                own[:, : more[k]] = self._step(weights["b"], data[end[led[: more[k]]] + k], own[:, : more[k]])
+        h[:, led[: more[0]]] = own
+        for k in range(int(length[0]) - 1, -1, -1):
+            m = active[k]
+            h[:, :m] = self._step(weights["b"], data[start[:m] + k], h[:, :m])
+            z = out[:, HIDDEN:] @ h[:, :m]
+            z += forward.pop()
+            z += bias
+            z -= z.max(0)
+            np.exp(z, out=z)
+            z /= z.sum(0)
+            yield order[:m], k, z
+
+    def _cut(self, offsets: np.ndarray):
+        """(text, start, the text's beginning and end) of all windows, WINDOWS at a time."""
+        sizes = np.diff(offsets)
+        many = -(-sizes // OWN)
+        text = np.repeat(np.arange(len(sizes)), many)
+        start = offsets[:-1][text] + OWN * (np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many))
+        for a in range(0, len(text), WINDOWS):
+            some = text[a : a + WINDOWS]
+            yield some, start[a : a + WINDOWS], offsets[some], offsets[some + 1]
+
+    def pooled(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Mean probability of each language over the bytes of each text (texts, languages); 0 for empty texts."""
+        total = np.zeros((len(offsets) - 1, self.p["out"].shape[1]))
+        for text, start, lo, hi in self._cut(offsets):
+            sums = np.zeros((total.shape[1], len(text)), np.float32)
+            for which, _, p in self._windows(data, text, start, lo, hi):
+                sums[:, which] += p
+            np.add.at(total, text, sums.T)
+        return total / np.maximum(np.diff(offsets), 1)[:, None]
+
+    def positions(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The probabilities of every byte (bytes, languages)."""
+        out = np.zeros((len(data), self.p["out"].shape[1]), np.float32)
+        for text, start, lo, hi in self._cut(offsets):
+            for which, k, p in self._windows(data, text, start, lo, hi):
+                out[start[which] + k] = p.T
+        return out
 
 
 def _padded(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -162,34 +230,26 @@ def training_rows(docs: DataFrame, most: int, seed: int = 17) -> list[tuple[str,
     return out
 
 
-def train(rows: list[tuple[str, str]], steps: int = 420, batch: int = 384, seed: int = 1) -> tuple[list[str], dict[str, np.ndarray]]:
+def train(rows: list[tuple[str, str]], steps: int = 300, batch: int = 48, seed: int = 1) -> tuple[list[str], dict[str, np.ndarray]]:
+    """Languages are drawn alike, their texts by length, and windows of TRAIN bytes from anywhere in a text."""
     langs = sorted({lang for _, lang in rows})
-    counts: dict[tuple[str, int], int] = {}
-    for text, lang in rows:
-        y = langs.index(lang)
-        for w in text.split():
-            counts[w, y] = counts.get((w, y), 0) + 1
-    items = sorted(counts)
     rng = np.random.Generator(np.random.PCG64(seed))
-    weight = np.sqrt(np.array([counts[i] for i in items], float))
-    total = np.zeros(len(langs))
-    np.add.at(total, [y for _, y in items], weight)
-    chance = weight / total[[y for _, y in items]]
-    chance /= chance.sum()
-    pieces, owner = _pieces([w for w, _ in items])
-    by_owner = np.searchsorted(owner, np.arange(len(items)))
+    own = [[x for t, g in rows if g == lang and (x := t.encode("utf-8", "surrogatepass"))] or [b" "] for lang in langs]
+    chance = [np.cumsum(np.sqrt([min(len(x), 100 * TRAIN) for x in xs])) for xs in own]
     draw = lambda *shape: rng.normal(0, shape[0] ** -0.5, shape)
     p = {"embed": rng.normal(0, 0.4, (256, EMBED)), "out": draw(2 * HIDDEN, len(langs)), "out_bias": np.zeros(len(langs))}
     for s in "fb":
         p |= {f"in_{s}": draw(EMBED, 3 * HIDDEN), f"rec_{s}": draw(HIDDEN, 3 * HIDDEN), f"bias_{s}": np.zeros(3 * HIDDEN)}
     net, m, v = Network(p), {}, {}
-    drawn = np.searchsorted(np.cumsum(chance), rng.random(steps * batch)).clip(0, len(items) - 1)
     for step in range(1, steps + 1):
-        some = drawn[(step - 1) * batch : step * batch]
-        X, M = _padded([pieces[k] for k in by_owner[some]])
-        y = np.array([items[k][1] for k in some])
+        y, pieces = np.arange(batch) % len(langs), []
+        for k in y:
+            x = own[k][int(np.searchsorted(chance[k], rng.random() * chance[k][-1]))]
+            at = int(rng.integers(0, max(1, len(x) - TRAIN + 1)))
+            pieces.append(x[at : at + TRAIN])
+        X, M = _padded(pieces)
         rate = 1.5e-2 * (1 - step / (steps + 1)) + 1e-3
-        for k, g in net.gradient(X, M, y, np.ones(len(some))).items():
+        for k, g in net.gradient(X, M, y, np.ones(batch)).items():
             m[k] = 0.9 * m.get(k, 0) + 0.1 * g
             v[k] = 0.99 * v.get(k, 0) + 0.01 * g * g
             p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
@@ -202,22 +262,13 @@ def fit(docs: DataFrame, most: int = 150) -> tuple[list[str], dict[str, np.ndarr
     return train(rows) if rows else None
 
 
-def _predict(texts: list[str | None], model) -> tuple[list[str], np.ndarray]:
+def _predict(texts: pa.Array, model) -> tuple[list[str], np.ndarray]:
     if model is None:
         return ["und"] * len(texts), np.zeros(len(texts))
     langs, parts = model
-    key = f"{zlib.crc32(parts['out'].tobytes())}-{zlib.crc32(parts['embed'].tobytes())}"
-    nets = remembered("language")
-    if key not in nets:
-        nets.clear()
-        nets[key] = Network(parts)
-    split = [(t or "").split() for t in texts]
-    first = np.concatenate(([0], np.cumsum([len(w) for w in split]))).astype(int)
-    rows = nets[key].sums_of([w for words in split for w in words])
-    running = np.concatenate((np.zeros((1, rows.shape[1])), np.cumsum(rows, axis=0)))
-    sums = running[first[1:]] - running[first[:-1]]
-    mean = sums[:, :-1] / np.maximum(sums[:, -1:], 1)
-    spoken = np.array([any(map(str.isalpha, t or "")) for t in texts])
+    with np.errstate(over="ignore"):  # 1 / (1 + inf) is 0, as it should be
+        mean = Network(parts).pooled(*buffers(texts))
+    spoken = np.array([any(map(str.isalpha, t or "")) for t in texts.to_pylist()], bool)
     names = [langs[k] if s else "und" for k, s in zip(mean.argmax(1), spoken)]
     return names, np.clip(np.where(spoken, mean.max(1), 0.0), 0, 1)
 
@@ -228,7 +279,7 @@ def predict(docs: DataFrame, model) -> DataFrame:
     def scan(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                names, scores = _predict(part.column("text").to_pylist(), model)
+                names, scores = _predict(part.column("text").cast(pa.string()), model)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -242,7 +293,7 @@ def keep_known(docs: DataFrame, model, least: float = 0.3) -> DataFrame:
     def scan(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                names, scores = _predict(part.column("text").to_pylist(), model)
+                names, scores = _predict(part.column("text").cast(pa.string()), model)
                 yield part.filter(pa.array([n != "und" and s >= least for n, s in zip(names, scores)], pa.bool_()))
 
     return bounded(docs).mapInArrow(scan, docs.schema)

@@ -392,3 +392,33 @@ def test_distinct_segments_with_equal_hashes(monkeypatch):
     one, kind = _text.distinct(codes, np.ones(256, np.uint64), start, size)
     segments = [codes[a : a + n].tobytes() for a, n in zip(start, size)]
     assert [segments[one[k]] for k in kind] == segments
+
+
+@pytest.mark.parametrize(("own", "lead"), [(192, 32), (7, 3), (16, 16), (5, 1)])
+def test_pooled_probabilities_are_those_of_a_plain_run(monkeypatch, own, lead):
+    """Windows of all texts at once against the network run over each text's bytes, run-up by run-up."""
+    monkeypatch.setattr(language, "OWN", own)
+    monkeypatch.setattr(language, "LEAD", lead)
+    monkeypatch.setattr(language, "WINDOWS", 11)
+    _, parts = language.train([("der die das über", "de"), ("the of and", "en"), ("les est", "fr")], steps=2)
+    net = language.Network(parts)
+    texts = ["", "a", "the cat sat on the mat over and over again. " * 5, "", "über", "x" * own, "y" * (own + 1), "donaudampfschifffahrtsgesellschaft" * 9, None]
+    data, offsets = language.buffers(pa.array(texts))
+    found, pooled = net.positions(data, offsets), net.pooled(data, offsets)
+    for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+        plain = np.zeros((b - a, 3))
+        for s in range(a, b, own):
+            e = min(s + own, b)
+            lo, hi = max(a, s - lead), min(b, e + lead)
+            states = []
+            for side, part, cut in (("f", data[lo:e], slice(s - lo, None)), ("b", data[s:hi], slice(0, e - s))):
+                X = part[None].astype(np.uint8)
+                states.append(net.states(X, np.ones(X.shape), side)[0][cut])
+            z = np.concatenate(states, axis=1) @ parts["out"] + parts["out_bias"]
+            plain[s - a : e - a] = np.exp(z) / np.exp(z).sum(1, keepdims=True)
+        assert np.allclose(found[a:b], plain, atol=2e-5)
+        assert np.allclose(pooled[i], plain.mean(0) if b > a else 0, atol=2e-5)
+    if own == 192:  # a text of one window is the network run from end to end
+        X, M = language._padded([b"the cat sat"])
+        data, offsets = language.buffers(pa.array(["the cat sat"]))
+        assert np.allclose(net.positions(data, offsets), net.probabilities(X, M)[0], atol=2e-5)
