@@ -1,16 +1,25 @@
 """Near-duplicate embeddings: spherical k-means cells, blocked cosine products in them, one kept per group.
 
-Centres are fitted on a bounded sample; every vector is assigned. A vector belongs to its
-nearest cell and is lent to each other cell whose centre is nearly as near: with x in cell j
-and y in cell i, (y.ci - y.cj) is at most |x - y| |ci - cj|, so a pair above the threshold can
-only be missed where `reach` is below 1. Each vector is compared with all of its own
-cell, and counts its links there; links are counted and chained in blocks, never listed.
+Centres are fitted on a bounded sample; every vector is assigned. A vector belongs to its nearest
+cell and is lent to cells that are nearly as near. With x at home in cell i and y in cell j, the arc from x
+to y crosses the plane halfway between the two centres, so the angles of x and y to that plane add up
+to no more than the angle between x and y: one of the two is within half of the threshold's angle of it.
+Lending every vector over planes that are so near therefore brings each pair above the threshold
+together in the home cell of one of them, and no link is lost (below `reach` 1 some can be). Where both are
+lent to the other's home, the pair counts in the cell of the smaller number only. Links are
+counted and chained in blocks, never listed.
+
+The number of cells is the largest power of two for which the sample's vectors are lent to fewer than
+`most_lent` cells each on average (and cells keep `per_cell` of a label's vectors): where cells can't part the vectors
+there are few, and lent copies never grow faster than the vectors. Vectors of each length, and each label, have cells
+of their own size; labels are never compared.
 
 Equal vectors (of one label) are one point with a multiplicity throughout, so a large group
 of copies costs one row. Vectors are compared only where labels are equal and not null.
 Vectors that are null, empty, zero, or hold null or non-finite components link with nothing
-and are kept. Vectors of each length have cells of their own. A row
-without vec_id takes part in links and gets a null component if it is alone.
+and are kept. Components are scaled by the largest one first, so very small and very large ones neither vanish
+nor overflow. A row without vec_id takes part in links and gets a null component if it is alone. No rows give no
+rows. Columns other than vec_id, embedding and label are not read.
 """
 
 from __future__ import annotations
@@ -25,8 +34,8 @@ from pyspark.sql import functions as F
 from quillstone.llm._components import components, local_forest
 from quillstone.llm._io import cut
 
-#: Rows of a block; a block pair's product has this many squared.
-BLOCK = 1024
+#: Bytes of unit vectors in a block; two blocks are compared at once.
+BLOCK_BYTES = 4 << 20
 #: Points drawn to fit the centres.
 SAMPLE = 20_000
 
@@ -45,10 +54,40 @@ def spherical_kmeans(X: np.ndarray, k: int, rounds: int = 8, seed: int = 4) -> n
 
 def _unit(vectors) -> np.ndarray:
     X = np.array(vectors, np.float64)
+    X /= np.abs(X).max(1)[:, None]
     return X / np.sqrt((X * X).sum(1))[:, None]
 
 
-def cosine_links(vectors: DataFrame, threshold: float = 0.93, reach: float = 1.0, per_cell: int = 2000, most_cells: int = 1024) -> DataFrame:
+class Cells:
+    """Centres of vectors of one length, and to which cells a vector is lent."""
+
+    def __init__(self, centres: np.ndarray, threshold: float, reach: float):
+        self.centres = centres
+        # The sine of half the threshold's angle, times the distance of two centres; a little more for rounding.
+        self.apart = np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T)) * reach * np.sqrt((1 - threshold) / 2) + 1e-9
+
+    def of(self, X: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(home of each vector, whether it is in each cell)."""
+        S = X @ self.centres.T
+        home = S.argmax(1)
+        near = (S[np.arange(len(X)), home][:, None] - S) <= self.apart[home]
+        near[np.arange(len(X)), home] = True
+        return home, near
+
+
+def fit_cells(X: np.ndarray, most: int, threshold: float, reach: float, most_lent: float) -> Cells:
+    """The most cells, a power of two and no more than `most`, to which X is lent less than most_lent times on average."""
+    best = Cells(np.zeros((1, X.shape[1])), threshold, reach)
+    k = 2
+    while k <= min(most, len(X) // 4):
+        tried = Cells(spherical_kmeans(X, k), threshold, reach)
+        if sum(int(tried.of(X[lo : lo + 1000])[1].sum()) for lo in range(0, len(X), 1000)) >= (1 + most_lent) * len(X):
+            break
+        best, k = tried, 2 * k
+    return best
+
+
+def cosine_links(vectors: DataFrame, threshold: float = 0.93, reach: float = 1.0, per_cell: int = 256, most_cells: int = 1024, most_lent: float = 1.0) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     spark = vectors.sparkSession
     good = F.col("embedding").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0)
@@ -69,67 +108,52 @@ def cosine_links(vectors: DataFrame, threshold: float = 0.93, reach: float = 1.0
     alone = rows.filter("not good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     if not n:
         return spark.createDataFrame([], schema).unionByName(alone)
-    # (first cell, centres, how far a vector is lent) by length; a length that the sample misses has one cell.
+    # (first cell, cells) by length; a length that the sample misses has one cell.
     cells, taken = {}, 0
-    for width, found in sorted(many.items()):
+    for width, seen in sorted(many.items()):
         own = [v for v in sample if len(v) == width]
-        centres = np.zeros((1, width))
-        if own:
-            X = _unit(own)
-            centres = spherical_kmeans(X, int(max(1, min(most_cells, found.most // per_cell, len(X)))))
-        # A little more for rounding.
-        apart = np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T)) * reach * np.sqrt(2 - 2 * threshold) + 1e-9
-        cells[width] = (taken, centres, apart)
-        taken += len(centres)
+        most = int(max(1, min(most_cells, seen.most // per_cell)))
+        cells[width] = taken, fit_cells(_unit(own) if own else np.zeros((0, width)), most, threshold, reach, most_lent)
+        taken += len(cells[width][1].centres)
 
     def assign(batches):
         for batch in batches:
             widths = pc.list_value_length(batch.column("embedding"))
             for width in pc.unique(widths).to_pylist():
                 part = batch.filter(pc.equal(widths, width))
-                start, centres, apart = cells[width]
+                start, own = cells[width]
                 X = _unit(part.column("embedding").to_pylist())
-                S = X @ centres.T
-                home = S.argmax(1)
-                near = (S[np.arange(len(X)), home][:, None] - S) <= apart[home]
-                near[np.arange(len(X)), home] = True
+                home, near = own.of(X)
                 row, cell = np.nonzero(near)
-                at = pa.array(row)
+                at, units = pa.array(row), [x.tobytes() for x in X]
+                also = [(start + np.flatnonzero(x)).astype("<i8").tobytes() for x in near]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("label").take(at), pa.array(start + cell.astype(np.int64)), pa.array(home[row] == cell), part.column("point").take(at), part.column("copies").take(at), pa.array([X[i].tobytes() for i in row], pa.binary())],
-                    ["label", "cell", "home", "point", "copies", "unit"],
+                    [
+                        part.column("label").take(at),
+                        pa.array(start + cell.astype(np.int64)),
+                        pa.array(start + home[row].astype(np.int64)),
+                        pa.array([also[i] for i in row], pa.binary()),
+                        part.column("point").take(at),
+                        part.column("copies").take(at),
+                        pa.array([units[i] for i in row], pa.binary()),
+                    ],
+                    ["label", "cell", "home", "cells", "point", "copies", "unit"],
                 )
 
-    lent = cut(points.mapInArrow(assign, "label string, cell long, home boolean, point long, copies long, unit binary"), "lent")
-    sizes = lent.groupBy("label", "cell").agg(F.count("*").alias("n"), F.sum(F.col("home").cast("long")).alias("homes"))
+    columns = "label string, cell long, home long, cells binary, point long, copies long, unit binary"
+    lent = cut(points.mapInArrow(assign, columns), "lent")
     # Sizes are one short row a cell and label; cells are at most most_cells for each length.
-    blocks = lent.join(sizes.filter("homes > 0"), ["label", "cell"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    sizes = lent.groupBy("label", "cell").agg(F.sum(F.length("unit")).alias("bytes"), F.sum((F.col("home") == F.col("cell")).cast("long")).alias("homes"))
+    blocks = lent.join(sizes.filter("homes > 0"), ["label", "cell"]).withColumn("blocks", F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int"))
     blocks = blocks.withColumn("block", F.pmod(F.xxhash64("point"), F.col("blocks")).cast("int"))
-    # The products of a block of own vectors with each block of its cell: side 0 asks, side 1 answers.
-    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    columns = ["label", "cell", "point", "copies", "unit"]
-    asks = blocks.filter("home").withColumn("other", each).select(*columns, F.col("block").alias("b1"), F.col("other").alias("b2"), F.lit(0).alias("side"))
-    answers = blocks.withColumn("other", each).select(*columns, F.col("other").alias("b1"), F.col("block").alias("b2"), F.lit(1).alias("side"))
+    # A block goes to every task of its cell: with itself and with each other block.
+    dealt = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("label", "cell", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "home", "cells", "point", "copies", "unit")
 
     def products(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["side", "point"])
-        A, B = frame[frame.side == 0], frame[frame.side == 1]
-        if not len(A) or not len(B):
-            return pd.DataFrame({"a": [], "b": [], "links": []}).astype("int64")
-        unit = lambda f: np.frombuffer(b"".join(f.unit), np.float64).reshape(len(f), -1)
-        pa_, pb, copies = A.point.to_numpy(), B.point.to_numpy(), B.copies.to_numpy()
-        left, right = unit(A), unit(B)
-        counts, pairs = np.zeros(len(A), np.int64), []
-        for lo in range(0, len(A), 256):
-            near = (left[lo : lo + 256] @ right.T >= threshold) & (pa_[lo : lo + 256, None] != pb[None])
-            counts[lo : lo + 256] = near @ copies
-            i, j = np.nonzero(near)
-            pairs += local_forest(zip(pa_[lo + i].tolist(), pb[j].tolist()))
-        forest = local_forest(pairs)
-        found = np.flatnonzero(counts)
-        return pd.DataFrame({"a": np.concatenate((pa_[found], np.array([a for a, _ in forest], np.int64))), "b": np.concatenate((pa_[found], np.array([b for _, b in forest], np.int64))), "links": np.concatenate((counts[found], np.zeros(len(forest), np.int64)))})
-
-    found = cut(asks.unionByName(answers).groupBy("label", "cell", "b1", "b2").applyInPandas(products, "a long, b long, links long"), "found")
+        return compared(frame, threshold)
+
+    found = cut(dealt.groupBy("label", "cell", "b1", "b2").applyInPandas(products, "a long, b long, links long"), "found")
     counts = found.filter("a = b").groupBy(F.col("a").alias("point")).agg(F.sum("links").alias("links"))
     joined = components(found.filter("a <> b"))
     named = points.select("point", "copies").join(counts, "point", "left").join(joined.withColumnRenamed("node", "point"), "point", "left")
@@ -139,3 +163,43 @@ def cosine_links(vectors: DataFrame, threshold: float = 0.93, reach: float = 1.0
     least = own.groupBy("component").agg(F.min("vec_id").alias("component_id"))
     linked = own.join(least, "component").select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
     return linked.unionByName(alone)
+
+
+def compared(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Of one block of a cell, or of two: (a, a, links) of every vector with links, and a forest of the links as (a, b, 0)."""
+    frame = frame.sort_values("point")
+    b1, b2 = frame.b1.iloc[0], frame.b2.iloc[0]
+    cell = int(frame.cell.iloc[0])
+    left = np.flatnonzero(frame.block.to_numpy() == b1)
+    right = left if b1 == b2 else np.flatnonzero(frame.block.to_numpy() == b2)
+    units = np.frombuffer(b"".join(frame.unit), np.float64).reshape(len(frame), -1)
+    point, copies, home = frame.point.to_numpy(), frame.copies.to_numpy(), frame.home.to_numpy()
+    # Homes other than this cell, as numbers; of which of them each vector is in the cell as well.
+    homes, number = np.unique(home, return_inverse=True)
+    inside = np.zeros((len(frame), len(homes)), bool)
+    for i, cells in enumerate(frame.cells):
+        at = np.searchsorted(homes, own := np.frombuffer(cells, "<i8"))
+        at = at[(at < len(homes)) & (homes[at.clip(0, len(homes) - 1)] == own)]
+        inside[i, at] = True
+    own, counts, pairs = home == cell, np.zeros(len(frame), np.int64), []
+    for lo in range(0, len(left), 256):
+        a = left[lo : lo + 256]
+        near = units[a] @ units[right].T >= threshold
+        i, j = np.nonzero(near)
+        i, j = a[i], right[j]
+        if b1 == b2:
+            i, j = i[i < j], j[i < j]
+        # Two that are both lent here meet in one of their homes. One at home and one lent here meet in the other's home,
+        # too, if the first is lent there; then the cell of the smaller number counts.
+        here = own[i] & own[j]
+        for x, y in ((i, j), (j, i)):
+            here |= own[x] & ~own[y] & (~inside[x, number[y]] | (cell < home[y]))
+        i, j = i[here], j[here]
+        np.add.at(counts, i, copies[j])
+        np.add.at(counts, j, copies[i])
+        pairs += local_forest(zip(point[i].tolist(), point[j].tolist()))
+    forest = local_forest(pairs)
+    some = np.flatnonzero(counts)
+    a = np.concatenate((point[some], np.array([x for x, _ in forest], np.int64)))
+    b = np.concatenate((point[some], np.array([y for _, y in forest], np.int64)))
+    return pd.DataFrame({"a": a, "b": b, "links": np.concatenate((counts[some], np.zeros(len(forest), np.int64)))})

@@ -162,7 +162,8 @@ def brute_cosine(rows, threshold=0.93):
     good, n = {}, len(rows)
     for i, (_, v, label) in enumerate(rows):
         if v is not None and label is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v):
-            good[i] = np.array(v, float) / np.linalg.norm(v)
+            v = np.array(v, float) / np.abs(v).max()
+            good[i] = v / np.linalg.norm(v)
     pairs = [(a, b) for b in good for a in good if a < b and rows[a][2] == rows[b][2] and len(good[a]) == len(good[b]) and float(good[a] @ good[b]) >= threshold]
     links = [0] * n
     for a, b in pairs:
@@ -196,6 +197,56 @@ def test_embedding_links(spark, reach):
     assert embedding_dedup.cosine_links(df.limit(0)).count() == 0
 
 
+def near_vectors(n, width, groups, seed, spread):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(groups, width))
+    X = centres[rng.integers(groups, size=n)] + rng.normal(size=(n, width)) * spread
+    twins = X[rng.integers(n, size=n // 2)]
+    return np.concatenate((X, twins + rng.normal(size=twins.shape) * 0.25 * np.linalg.norm(twins, axis=1)[:, None] / width**0.5))
+
+
+@pytest.mark.parametrize(("width", "groups", "cells"), [(64, 1, 1), (8, 5, 5), (16, 25, 25), (3, 100, 100), (64, 100, 100)])
+def test_every_planted_link_is_found_at_any_number_of_cells(width, groups, cells):
+    """Recall against brute force is 1, each link counted once, whatever the vectors and the cells."""
+    X = embedding_dedup._unit(near_vectors(600, width, groups, cells, 0.6))
+    own = embedding_dedup.Cells(embedding_dedup.spherical_kmeans(X, cells) if cells > 1 else np.zeros((1, width)), 0.93, 1.0)
+    home, near = own.of(X)
+    links = np.zeros(len(X), int)
+    for c in range(cells):
+        rows = np.flatnonzero(near[:, c])
+        for b1, b2 in ((0, 0), (0, 1), (1, 1)):
+            some = [i for i in rows if i % 2 in (b1, b2)]
+            if len(some):
+                frame = embedding_dedup.pd.DataFrame({"cell": c, "b1": b1, "b2": b2, "block": [i % 2 for i in some], "home": home[some], "cells": [np.flatnonzero(near[i]).astype("<i8").tobytes() for i in some], "point": some, "copies": 1, "unit": [X[i].tobytes() for i in some]})
+                out = embedding_dedup.compared(frame, 0.93)
+                links[out.a[out.links > 0]] += out.links[out.links > 0]
+    expected = (X @ X.T >= 0.93).sum(1) - 1
+    assert expected.sum() > 300 and (links == expected).all()
+
+
+def test_cells_are_as_many_as_part_the_vectors():
+    parted = embedding_dedup._unit(near_vectors(3000, 16, 64, 1, 0.05))
+    even = embedding_dedup._unit(np.random.default_rng(2).normal(size=(3000, 64)))
+    for X, least, most in ((parted, 16, 1024), (even, 1, 16)):
+        own = embedding_dedup.fit_cells(X, 1024, 0.93, 1.0, 1.0)
+        assert least <= len(own.centres) <= most and own.of(X)[1].sum() < 2 * len(X)
+
+
+def test_vectors_of_several_lengths_and_sizes(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [1e-200 * x for x in (1.0, 2.0, 3.0 + i / 50)], 1) for i in range(5)] + [(10 + i, [1e200, 2e200 + i * 1e199], 1) for i in range(3)]
+    rows += [(20 + i, rng.normal(size=5).tolist(), 1) for i in range(20)] + [(None, rows[0][1], 1), (None, None, 1), (50, [5e-324, 0.0], 2), (51, [1.0, 0.0], 2), (52, [1.0, 2.0], None)]
+    links, groups = brute_cosine(rows)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(embedding_dedup.cosine_links(df, per_cell=2).collect(), key=str)
+    smallest = {}
+    for r, g in zip(rows, groups):
+        smallest[g] = min((x for x in (smallest.get(g), r[0]) if x is not None), default=None)
+    assert [(r.vec_id, r.n_links, r.component_id) for r in got] == sorted(((r[0], n, smallest[g]) for r, n, g in zip(rows, links, groups)), key=lambda x: f"Row(vec_id={x[0]}, n_links={x[1]}, component_id={x[2]}")
+    empty = df.filter("vec_id is null and embedding is null")
+    assert [(r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.cosine_links(empty).collect()] == [(None, 0, None)]
+
+
 # -- archives -----------------------------------------------------------------------------------------
 
 
