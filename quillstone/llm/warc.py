@@ -10,7 +10,8 @@ Of pages with equal payloads of at least `least_bytes`, the one with the largest
 is a response and the others are revisits that refer to it; smaller payloads are all responses.
 A null html is an empty payload. A page without page_id counts as smaller than all others
 and is never referred to by a page with one; rows that repeat a page_id and payload: one of
-them is the response. No pages: no archive and no rows.
+them is the response. No pages: no archive and no rows. A record may be longer than a range: the task
+that owns its start reads it to its end. Columns other than page_id, url and html are not read.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from quillstone.llm._io import cut, fresh_path, open_fs, read_range, write_file
 
 MAGIC = b"\x1f\x8b\x08"
 _DATE = "2024-01-01T00:00:00Z"
+RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+MOST_TASKS = 100_000
 
 
 def _member(head: list[str], body: bytes, level: int = 3) -> bytes:
@@ -137,13 +140,14 @@ def parse_record(data: bytes) -> dict | None:
 def read_split(uri: str, start: int, end: int, size: int, step: int = 1 << 18):
     """Records of the archive whose gzip member starts in [start, end)."""
     stream = _Stream(uri, start, size, step)
-    data, base = stream.more(), start
+    data, base = bytearray(stream.more()), start  # grows and shrinks in place: a long record is copied once
     at = 0
     while base + at < end:
         found = data.find(MAGIC, at)
         if found < 0:
             keep = max(at, len(data) - 2)
-            base, data, at = base + keep, data[keep:], 0
+            base, at = base + keep, 0
+            del data[:keep]
             fresh = stream.more()
             if not fresh:
                 return
@@ -152,7 +156,9 @@ def read_split(uri: str, start: int, end: int, size: int, step: int = 1 << 18):
         if base + found >= end:
             return
         if found > step:
-            base, data, found = base + found, data[found:], 0
+            base += found
+            del data[:found]
+            found = 0
         # Decode from here; a chance match fails at once, at the version line, or at the checksum.
         expand, pieces, fed, good = zlib.decompressobj(31), [], found, True
         try:
@@ -183,7 +189,11 @@ def read_archives(archives: DataFrame, split_bytes: int = 8 << 20) -> DataFrame:
     A response's figures are those of the decoded payload; a revisit's are told by its headers.
     """
     ranges = archives.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
-    ranges = ranges.repartition("path", "start")
+    # As many tasks as ranges, up to a number a driver can schedule; then tasks take several.
+    many = archives.agg(F.sum(F.ceil(F.col("size") / split_bytes))).first()[0]
+    if not many:
+        return archives.sparkSession.createDataFrame([], RECORDS)
+    ranges = ranges.repartition(int(min(many, MOST_TASKS)))
 
     def scan(frames):
         for frame in frames:
@@ -202,7 +212,7 @@ def read_archives(archives: DataFrame, split_bytes: int = 8 << 20) -> DataFrame:
                         rows = []
                 yield _frame(rows)
 
-    return ranges.mapInPandas(scan, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return ranges.mapInPandas(scan, RECORDS)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:

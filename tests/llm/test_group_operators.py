@@ -293,3 +293,24 @@ def test_pipeline(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "jaccard_join", "benchmark_decontamination", "secret_scan", "sentencepiece"]
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(0), sf).columns == docs.columns
+
+
+def test_archives_of_long_records_and_pages_without_ids(spark):
+    """Records longer than a range, and than a step of the reader; null ids; every range is a task of its own."""
+    rng = random.Random(3)
+    noise = "".join(chr(rng.randrange(32, 0x2000)) for _ in range(400_000))
+    rows = [(1, "u", noise), (2, "u", noise), (None, "u", noise), (None, "u", "short"), (5, None, noise[:300_000]), (None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload_digest", F.lit("x")).withColumn("d", F.lit(1))
+    archives = warc.write_archives(df.coalesce(1))
+    size = archives.first().size
+    for split in (20_000, 1 << 20):
+        records = warc.read_archives(archives, split)
+        assert records.rdd.getNumPartitions() >= min(4, -(-size // split))
+        got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in records.collect()), key=str)
+        n = len(noise.encode())
+        expected = [(1, n, "revisit", 2), (2, n, "response", None), (None, n, "revisit", 2), (None, 5, "response", None), (5, len(noise[:300_000].encode()), "response", None), (None, 0, "response", None)]
+        assert got == sorted(expected, key=str)
+    digests = {r.payload_digest for r in warc.read_archives(archives).filter("page_id = 1").collect()}
+    import hashlib
+
+    assert digests == {hashlib.sha1(noise.encode()).hexdigest()}
