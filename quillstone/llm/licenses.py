@@ -12,7 +12,8 @@ Only hits and one row a document are shuffled, never texts; grouping keys are si
 input, so copies or a hot source gather nowhere.
 
 A null or empty text has no words, null places, empty labels and score 0. Repeated rows give
-repeated results. Columns other than doc_id and text are not read.
+repeated results; no rows give no rows. Time grows with a text's length, however long it is. Columns other
+than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -65,9 +66,13 @@ def words_of(text):
     return F.filter(F.split(plain, _PARTS), lambda w: w != "")
 
 
-def _grams(words, k: int):
-    """Hash of the k words from each place on; null where fewer are left. The gram's size is part of the hash."""
-    return F.transform(words, lambda w, i: F.when(i + (k - 1) < F.size(words), F.xxhash64(F.lit(k), w, *[F.get(words, i + x) for x in range(1, k)])))
+def _hits(words, k: int, hashes: list[int]):
+    """Of the k words from each place on: those whose hash a template has, as (place, hash, words). The gram's size is part of the hash.
+
+    All grams are hashed and looked up inside the array, so a document is never copied for each of its words."""
+    gram = lambda w, i: F.when(i + (k - 1) < F.size(words), F.xxhash64(F.lit(k), w, *[F.get(words, i + x) for x in range(1, k)]))
+    met = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("i"), gram(w, i).alias("h"))), lambda g: g["h"].isin(hashes))
+    return F.transform(met, lambda g: F.struct(g["i"].alias("i"), g["h"].alias("h"), F.array_join(F.slice(words, g["i"] + 1, k), " ").alias("gram")))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -78,16 +83,14 @@ def scan(docs: DataFrame) -> DataFrame:
     # Every document hits the marker once, and so reaches the result without a second scan.
     hashed = F.when(F.col("t") == -1, F.lit(0).cast("long")).when(F.col("k") == K, F.xxhash64(F.lit(K), *[F.get(first, F.lit(x)) for x in range(K)])).otherwise(F.xxhash64(F.lit(LONG_K), *[F.get(first, F.lit(x)) for x in range(LONG_K)]))
     known = known.withColumn("h", hashed)
+    # The templates are a fixed table, and so are their hashes.
+    hashes = {k: sorted({r.h for r in known.filter(F.col("k") == k).select("h").collect()}) for k in (K, LONG_K)}
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), words_of(F.col("text")).alias("words"))
-    # Places: -1 the marker, then k-grams of size K from each word, then those of size LONG_K.
-    n = F.size("words")
-    grams = F.concat(F.array(F.lit(0).cast("long")), _grams(F.col("words"), K), _grams(F.col("words"), LONG_K))
-    hits = rows.select("doc_id", "row", "words", F.posexplode(grams).alias("p", "h")).filter("h is not null")
-    hits = hits.join(F.broadcast(known), "h")
-    place = F.when(F.col("p") <= n, F.col("p") - 1).otherwise(F.col("p") - 1 - n)
-    same = (F.col("t") == -1) | (F.array_join(F.slice("words", place + 1, F.col("k")), " ") == F.col("gram"))
-    hits = hits.withColumn("i", place).filter(F.when(F.col("t") == -1, F.col("p") == 0).otherwise(same & (F.col("p") > 0)))
-    hits = hits.select("doc_id", "row", n.cast("long").alias("n_words"), "t", "j", (F.col("i") - F.col("j")).alias("diagonal"), "k", "n_template", "label", "share", "base")
+    marker = F.array(F.struct(F.lit(-1).alias("i"), F.lit(0).cast("long").alias("h"), F.lit("").alias("gram")))
+    grams = F.concat(marker, _hits(F.col("words"), K, hashes[K]), _hits(F.col("words"), LONG_K, hashes[LONG_K]))
+    hits = rows.select("doc_id", "row", F.size("words").cast("long").alias("n_words"), F.explode(grams).alias("g"))
+    hits = hits.select("doc_id", "row", "n_words", "g.i", "g.h", F.col("g.gram").alias("found")).join(F.broadcast(known), "h").filter(F.col("found") == F.col("gram"))
+    hits = hits.select("doc_id", "row", "n_words", "t", "j", (F.col("i") - F.col("j")).alias("diagonal"), "k", "n_template", "label", "share", "base")
     # From here on rows are hits; all grouping below is within a row of the input, on one exchange.
     hits = hits.repartition("row")
     own = ["row", "doc_id", "t", "label", "share", "base", "n_template", "k"]
