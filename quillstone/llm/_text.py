@@ -6,6 +6,8 @@ buffer come from one running sum; A-Z count as a-z.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -141,3 +143,21 @@ def distinct(codes: np.ndarray, spread: np.ndarray, start: np.ndarray, size: np.
         kind[bad] = len(one) + np.arange(len(bad))
         one = np.concatenate((one, bad))
     return one, kind
+
+
+class Taken:
+    """Stretches of a text, for asking many times whether a span touches one of them."""
+
+    def __init__(self, spans):
+        # Base spans of several kinds may overlap; what they cover together doesn't.
+        self.start, self.end = [], []
+        for a, b in sorted(spans):
+            if self.end and a <= self.end[-1]:
+                self.end[-1] = max(self.end[-1], b)
+            else:
+                self.start.append(a)
+                self.end.append(b)
+
+    def free(self, start: int, end: int) -> bool:
+        k = bisect_left(self.start, end)
+        return k == 0 or self.end[k - 1] <= start

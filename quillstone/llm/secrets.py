@@ -6,7 +6,8 @@ stated recall there. Candidates are all runs of token characters of 16 or more t
 a letter and a digit, at any place of the whole text, of any length.
 
 Spans are code points, end exclusive. A null or empty text has no spans; repeated rows give
-repeated results; columns other than doc_id and text are not read.
+repeated results; no rows give no rows. A very long text is scanned alone, its findings counted in time that grows
+with its length. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm._io import bounded, slices
-from quillstone.llm._text import buffers
+from quillstone.llm._text import Taken, buffers
 
 KINDS = ("assign", "access", "hex", "cnn")
 _either = lambda s: "".join(f"[{c.upper()}{c}]" for c in s)
@@ -201,6 +202,8 @@ def all_spans(texts: list[str], column: pa.Array, net: Network, threshold: float
     whole = [list(b) for b in base]
     start, end = candidates(data, offsets)
     text_of = np.searchsorted(offsets, start, "right") - 1
+    letters = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80))) if len(start) else start
+    taken: dict[int, Taken] = {}
     for lo in range(0, len(start), 2000):
         part = range(lo, min(lo + 2000, len(start)))
         seen = [windows(data, offsets[text_of[k]], offsets[text_of[k] + 1], start[k], end[k]) for k in part]
@@ -208,10 +211,11 @@ def all_spans(texts: list[str], column: pa.Array, net: Network, threshold: float
         first = np.concatenate(([0], np.cumsum([len(ws) for ws in seen])[:-1]))
         for k in np.flatnonzero(np.maximum.reduceat(scores, first) >= threshold) + lo:
             i = int(text_of[k])
-            raw = data[offsets[i] : offsets[i + 1]]
-            a = int((raw[: start[k] - offsets[i]] & 0xC0 != 0x80).sum())
+            a = int(letters[start[k]] - letters[offsets[i]])
             b = a + int(end[k] - start[k])
-            if all(b <= s or e <= a for s, _, e in base[i]):
+            if i not in taken:
+                taken[i] = Taken((s, e) for s, _, e in base[i])
+            if taken[i].free(a, b):
                 whole[i].append((a, 3, b))
     for w in whole:
         w.sort()

@@ -422,3 +422,50 @@ def test_pooled_probabilities_are_those_of_a_plain_run(monkeypatch, own, lead):
         X, M = language._padded([b"the cat sat"])
         data, offsets = language.buffers(pa.array(["the cat sat"]))
         assert np.allclose(net.positions(data, offsets), net.probabilities(X, M)[0], atol=2e-5)
+
+
+def test_counts_and_spans_of_secrets_and_personal_data(spark):
+    """Counts, base spans and all spans by brute force, on random texts full of findings."""
+    rng = random.Random(6)
+    bits = ["password", "=", ": ", "'", "token", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "abc", " ", "\n", "é", "api_key", "a@b.c", "+1 555 1234567", "10.0.0.1", "4532015112830366", "."]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(60))) for _ in range(250)]
+    found, personal = collect(secrets.find_secrets(documents(spark, texts))), collect(pii.find_personal_data(documents(spark, texts)))
+    for i, text in enumerate(texts):
+        for got, kinds, base in ((found[i], ("assign", "access", "hex"), base_secrets(text)), (personal[i], pii.KINDS, base_pii(text))):
+            spans = [tuple(x.split(":")) for x in base.split(",") if x]
+            assert [got[f"n_{k}"] for k in kinds] == [sum(s[0] == k for s in spans) for k in kinds]
+            whole = [tuple(x.split(":")) for x in got["spans"].split(",") if x]
+            assert set(spans) <= set(whole)
+            for k, a, b in set(whole) - set(spans):  # added spans touch no base span
+                assert all(int(b) <= int(s) or int(e) <= int(a) for _, s, e in spans) and 0 <= int(a) < int(b) <= len(text)
+
+
+def test_time_of_findings_grows_with_the_text():
+    import time
+
+    field = pii.train()
+    took = []
+    for n in (4000, 16000):
+        text = "call (555) 123-4567 or a@b.co " * n
+        began = time.process_time()
+        base, whole = pii.all_spans([text], field)
+        took.append(time.process_time() - began)
+        assert len(base[0]) == n and len(whole[0]) == 2 * n
+    assert took[1] < 9 * took[0]
+
+
+def test_license_scan_of_a_very_long_text(spark):
+    import time
+
+    rng = random.Random(1)
+    words = "licensed under apache license gnu public mit the one".split()
+    took = []
+    for n in (40_000, 160_000):
+        text = " ".join(rng.choice(words) if rng.random() < 0.1 else f"w{rng.randrange(9999)}" for _ in range(n)) + " mit license"
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        licenses.scan(df).collect()
+        began = time.time()
+        r = licenses.scan(df).first()
+        took.append(time.time() - began)
+        assert r.n_words == n + 2 and r.last_word == n and "mit" in r.labels
+    assert took[1] < 8 * took[0] + 2
