@@ -1,18 +1,21 @@
-"""Benchmark decontamination by hashes of word pairs, counted on diagonals.
+"""Benchmark decontamination by spaced seeds.
 
-Pairs of neighbouring words of the benchmark are looked up in all documents. A hit lays the two
-texts over each other at its offset, and the stretch with the best score (a match counts 1, a
-substitution costs SUBSTITUTION) decides. A stretch of M matches and S substitutions has at most
-S + 1 runs of matches, so at least M - S - 1 equal pairs: no fewer than its score less 1. Offsets
-with fewer hits than that can't reach the score and are not compared; no leak is lost by it,
-wherever its words were substituted.
+Two fixed masks of word places, one of which ignores its third place, are hashed from every place of the
+benchmark's items and of all documents, and equal hashes are joined. A hit lays the two
+texts over each other at its offset, and the stretch there with the best score (a match counts 1, a
+substitution costs SUBSTITUTION) decides. The masks lose nothing: a stretch without a hit has two matches
+followed by two substitutions again and again, and so a score of 2 at most, and each hit can add no more than one. So an offset
+with fewer hits than the asked-for score less 2 can't reach it and is not compared; wherever a leak's words
+were substituted, it is found.
 
 The benchmark is taken in blocks of a bounded size that are broadcast one after another,
 whatever its size; documents are scanned once a block and never shuffled.
 
 Words are runs of letters, digits and non-ASCII characters, A-Z as a-z. Items of fewer than
-`shortest` words match nothing. A null or empty text has no words. Repeated rows give repeated results; where several offsets of an
-item match in a document the best one is told (then the first).
+`shortest` words match nothing; null items neither. A null or empty text has no words; no rows on either side give no
+rows. A very long text is scanned alone, its hits counted HITS at a time. Repeated rows give repeated results; where
+several offsets of an item match in a document the best one is told (then the first). Of the documents
+doc_id and text are read, of the benchmark item_id and text.
 """
 
 from __future__ import annotations
@@ -25,31 +28,36 @@ from pyspark.sql import functions as F
 from quillstone.llm._io import bounded, slices
 from quillstone.llm._text import NOT_WORD, U, Words, combine
 
-PAIR = (0, 1)
-#: At least 1, or the count of pairs would not bound the score.
+#: The places of words that a seed looks at.
+MASKS = ((0, 1, 2), (0, 1, 3))
+#: At least 1, or the count of hits would not bound the score.
 SUBSTITUTION = 1.0
 #: Characters of benchmark text in a block.
 BLOCK_CHARS = 4_000_000
 BITS = 22
-#: Hits counted at once, beyond those of one document.
+#: Hits counted at once.
 HITS = 2_000_000
 
 
 class Index:
-    """All word pairs of a block of items."""
+    """The seeds of a block of items."""
 
     def __init__(self, ids: list[int], texts: list[str], shortest: int = 5):
         words = Words(pa.array(texts, pa.string()), NOT_WORD)
         self.ids, self.hash, self.first = ids, words.hash, words.first
         self.sizes = np.diff(words.first)
         self.item = np.repeat(np.arange(len(ids)), self.sizes)
-        n = max(0, len(self.hash) - 1)
-        at = np.flatnonzero((self.item[:n] == self.item[1:]) & (self.sizes[self.item[:n]] >= shortest))
-        hashes = combine(self.hash, PAIR, n)[at]
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.places = hashes[order], at[order]
-        self.seen = np.zeros(1 << BITS, bool)
-        self.seen[self.hashes >> U(64 - BITS)] = True
+        self.seeds, places = [], []
+        for mask in MASKS:
+            n = max(0, len(self.hash) - mask[-1])
+            at = np.flatnonzero((self.item[:n] == self.item[mask[-1] :]) & (self.sizes[self.item[:n]] >= shortest))
+            hashes = combine(self.hash, mask, n)[at]
+            order = np.argsort(hashes, kind="stable")
+            seen = np.zeros(1 << BITS, bool)
+            seen[hashes >> U(64 - BITS)] = True
+            self.seeds.append((mask, hashes[order], seen, sum(map(len, places))))
+            places.append(at[order])
+        self.places = np.concatenate(places)
 
 
 def blocks(benchmark: DataFrame, shortest: int = 5):
@@ -76,35 +84,46 @@ def best_stretch(same: np.ndarray) -> tuple[float, int, int]:
     return float(gain[end]), start, end
 
 
+def seed_hits(words: Words, index: Index) -> tuple[np.ndarray, ...]:
+    """(place, text, first of its equal seeds in the index, how many) of all seeds that the index has, by place."""
+    h, first, found = words.hash, words.first, []
+    for mask, hashes, seen, base in index.seeds:
+        seeds = combine(h, mask, max(0, len(h) - mask[-1]))
+        at = np.flatnonzero(seen[seeds >> U(64 - BITS)])
+        text = np.searchsorted(first, at, "right") - 1
+        inside = at + mask[-1] < first[text + 1]
+        at, text = at[inside], text[inside]
+        lo, hi = (np.searchsorted(hashes, seeds[at], side) for side in ("left", "right"))
+        met = hi > lo
+        found.append((at[met], text[met], lo[met] + base, (hi - lo)[met]))
+    at, text, lo, counts = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(at, kind="stable")
+    return at[order], text[order], lo[order], counts[order]
+
+
 def diagonals(words: Words, index: Index, least: int, share: float):
-    """(text, item, offset) wherever so many pairs are equal that the score can suffice."""
-    h, first = words.hash, words.first
-    n = max(0, len(h) - 1)
-    pairs = combine(h, PAIR, n)
-    at = np.flatnonzero(index.seen[pairs >> U(64 - BITS)])
-    text = np.searchsorted(first, at, "right") - 1
-    inside = at + 1 < first[text + 1]
-    at, text = at[inside], text[inside]
-    lo, hi = (np.searchsorted(index.hashes, pairs[at], side) for side in ("left", "right"))
-    met = hi > lo
-    at, text, lo, counts = at[met], text[met], lo[met], (hi - lo)[met]
+    """(text, item, offset) wherever so many seeds are equal that the score can suffice."""
+    at, text, lo, counts = seed_hits(words, index)
     if not len(at):
         return
-    need = np.maximum(1, np.ceil(np.minimum(least, share * index.sizes)) - 1)
-    starts = np.flatnonzero(np.diff(text, prepend=-1))
-    group = (np.cumsum(counts) - counts)[starts] // HITS
-    edges = [*starts[np.flatnonzero(np.diff(group, prepend=-1))].tolist(), len(at)]
-    base, span = len(index.hash), len(index.hash) + len(h)
+    need = np.maximum(1, np.ceil(np.minimum(least, share * index.sizes)) - 2)
+    edges = [*np.flatnonzero(np.diff((np.cumsum(counts) - counts) // HITS, prepend=-1)).tolist(), len(at)]
+    base, span, many = len(index.hash), len(index.hash) + len(words.hash), len(index.ids)
+    held = np.zeros(0, np.int64), np.zeros(0, np.int64)  # (text, item, offset) as one number, and hits, of the last text so far
     for a, b in zip(edges[:-1], edges[1:]):
         times = counts[a:b]
         rank = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
         q = index.places[np.repeat(lo[a:b], times) + rank]
-        item = index.item[q]
-        key = (np.repeat(text[a:b], times) * len(index.ids) + item) * span + (np.repeat(at[a:b], times) - q + base)
+        key = (np.repeat(text[a:b], times) * many + index.item[q]) * span + (np.repeat(at[a:b], times) - q + base)
         key, hits = np.unique(key, return_counts=True)
-        both, shift = np.divmod(key, span)
-        enough = hits >= need[both % len(index.ids)]
-        yield from zip((both[enough] // len(index.ids)).tolist(), (both[enough] % len(index.ids)).tolist(), (shift[enough] - base).tolist())
+        key, back = np.unique(np.concatenate((held[0], key)), return_inverse=True)
+        hits = np.bincount(back, np.concatenate((held[1], hits))).astype(np.int64)
+        # The last text may go on in the next part.
+        done = len(key) if b == len(at) else int(np.searchsorted(key, text[b] * many * span))
+        held = key[done:], hits[done:]
+        both, shift = np.divmod(key[:done], span)
+        enough = hits[:done] >= need[both % many]
+        yield from zip((both[enough] // many).tolist(), (both[enough] % many).tolist(), (shift[enough] - base).tolist())
 
 
 def overlaps(texts: pa.Array, index: Index, least: int, share: float) -> list[tuple[int, int, int, int, int, float]]:
