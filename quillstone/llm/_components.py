@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm._io import cut
+from quillstone.llm._io import cut, forget
 
 
 def local_forest(pairs) -> list[tuple[int, int]]:
@@ -42,7 +42,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Edges may repeat, run either way or be loops; rows with a null end are left out. Each round
     every node takes its smallest neighbour, its other neighbours move to that one, and parents
     are replaced by their own parents, so path lengths at least halve. Each round's edges
-    are written to the shared folder; a round's state is its edges, never more than the first.
+    are written to the shared folder and the last round's deleted; a round's state is its edges, never more than the first.
     """
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u <> v")
     e = cut(e.mapInArrow(_contract, "u long, v long").distinct(), "links")
@@ -50,10 +50,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         least = e.groupBy("u").agg(F.min("v").alias("p"))
         moved = e.join(least, "u").filter("v <> p").select(F.greatest("v", "p").alias("u"), F.least("v", "p").alias("v"))
+        before = e
         e = least.select("u", F.col("p").alias("v")).unionByName(moved).distinct()
         up = e.groupBy("u").agg(F.min("v").alias("p"))
         jumped = e.join(up.withColumnRenamed("u", "v"), "v", "left").select("u", F.coalesce("p", "v").alias("v"))
         e = cut(jumped.unionByName(up.select("u", F.col("p").alias("v"))).filter("u <> v").distinct(), "links")
+        forget(before)
         row = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if tuple(row) == state:
             break

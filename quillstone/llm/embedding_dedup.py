@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm._components import components, local_forest
-from quillstone.llm._io import cut
+from quillstone.llm._io import cut, forget
 
 #: Bytes of unit vectors in a block; two blocks are compared at once.
 BLOCK_BYTES = 4 << 20
@@ -154,6 +154,7 @@ def cosine_links(vectors: DataFrame, threshold: float = 0.93, reach: float = 1.0
         return compared(frame, threshold)
 
     found = cut(dealt.groupBy("label", "cell", "b1", "b2").applyInPandas(products, "a long, b long, links long"), "found")
+    forget(lent)
     counts = found.filter("a = b").groupBy(F.col("a").alias("point")).agg(F.sum("links").alias("links"))
     joined = components(found.filter("a <> b"))
     named = points.select("point", "copies").join(counts, "point", "left").join(joined.withColumnRenamed("node", "point"), "point", "left")

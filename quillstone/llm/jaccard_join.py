@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm._components import components, local_forest
-from quillstone.llm._io import bounded, cut, slices
+from quillstone.llm._io import bounded, cut, forget, slices
 from quillstone.llm._text import SPACES, U, Words, mix, shingle_sets
 
 #: Sets, and shingles of sets, of a block in a candidate group; larger groups are compared block by block.
@@ -73,10 +73,12 @@ def counted(docs: DataFrame, k: int) -> np.ndarray:
     n = tables.count()
     while n > 16:
         n = -(-n // 16)
-        tables = cut(tables.repartition(n).mapInArrow(add, "counts binary"), "counts")
+        tables, before = cut(tables.repartition(n).mapInArrow(add, "counts binary"), "counts"), tables
+        forget(before)
     total = np.zeros(1 << BITS, np.uint64)
     for row in tables.toLocalIterator():
         total += _unpacked(row.counts)
+    forget(tables)
     return total
 
 
@@ -267,7 +269,9 @@ def candidate_groups(docs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
     # Parts of a frequent list: the ends of their chains, a and b of which are the same, in one list by size.
     parts = chains.filter("a = b").select("shingle", F.lit(0).cast("short").alias("salt"), "size", F.col("a").alias("node")).distinct()
     joined = parts.repartition("shingle").sortWithinPartitions(*sort).mapInArrow(_chains(threshold, False), schema)
-    return components(chains.filter("a <> b").select("a", "b").unionByName(joined.select("a", "b")))
+    out = components(chains.filter("a <> b").select("a", "b").unionByName(joined.select("a", "b")))
+    forget(chains)
+    return out
 
 
 def _group_links(groups, threshold: Fraction):
@@ -339,7 +343,9 @@ def link_nodes(docs: DataFrame, nodes: DataFrame, k: int, threshold: Fraction) -
                 split = sum(i < split for i in keep)
             yield from _group_links([([sets[i] for i in keep], [names[i] for i in keep], split)], threshold)
 
-    return components(tasks.mapInArrow(scan, "a long, b long"))
+    out = components(tasks.mapInArrow(scan, "a long, b long"))
+    forget(wanted)
+    return out
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, threshold: Fraction = Fraction(9, 10)) -> DataFrame:
