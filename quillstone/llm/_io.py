@@ -123,6 +123,26 @@ def bounded(df: DataFrame, rows: int = 2000) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Memory that a worker no longer needs goes back to the system; workers live longer than tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(scan):
+    """scan, with memory given back behind the last batch."""
+
+    def run(batches):
+        try:
+            yield from scan(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 _worker: dict[str, dict] = {}
 
 
@@ -133,10 +153,7 @@ def remembered(operator: str) -> dict:
     for kept in others:
         kept.clear()
     if others:
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        give_back()
     return _worker.setdefault(operator, {})
 
 

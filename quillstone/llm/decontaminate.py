@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm._io import bounded, slices
+from quillstone.llm._io import bounded, slices, tidy
 from quillstone.llm._text import NOT_WORD, U, Words, combine
 
 #: The places of words that a seed looks at.
@@ -162,7 +162,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 8, share: float =
                         columns = [[ids[f[0]] for f in found], [own.ids[f[1]] for f in found], *([f[k] for f in found] for k in (2, 3, 4))]
                         yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array([f[5] for f in found], pa.float64())], ["doc_id", "item_id", "first_word", "n_words", "n_matched", "coverage"])
 
-        one = rows.mapInArrow(scan, schema)
+        one = rows.mapInArrow(tidy(scan), schema)
         out = one if out is None else out.unionByName(one)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
@@ -179,5 +179,5 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, least: int = 8, share: flo
                     bad = {f[0] for f in overlaps(part.column("text"), held.value, least, share)}
                     yield part.filter(pa.array([i not in bad for i in range(part.num_rows)], pa.bool_()))
 
-        out = out.mapInArrow(scan, docs.schema)
+        out = out.mapInArrow(tidy(scan), docs.schema)
     return out

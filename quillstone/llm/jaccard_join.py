@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm._components import components, local_forest
-from quillstone.llm._io import bounded, cut, forget, slices
+from quillstone.llm._io import bounded, cut, forget, slices, tidy
 from quillstone.llm._text import SPACES, U, Words, mix, shingle_sets
 
 #: Sets, and shingles of sets, of a block in a candidate group; larger groups are compared block by block.
@@ -69,11 +69,11 @@ def counted(docs: DataFrame, k: int) -> np.ndarray:
         yield _packed(total)
 
     # The order must be the same for all readers, so the tables are written before they are added up.
-    tables = cut(docs.select("text").mapInArrow(scan, "counts binary"), "counts")
+    tables = cut(docs.select("text").mapInArrow(tidy(scan), "counts binary"), "counts")
     n = tables.count()
     while n > 16:
         n = -(-n // 16)
-        tables, before = cut(tables.repartition(n).mapInArrow(add, "counts binary"), "counts"), tables
+        tables, before = cut(tables.repartition(n).mapInArrow(tidy(add), "counts binary"), "counts"), tables
         forget(before)
     total = np.zeros(1 << BITS, np.uint64)
     for row in tables.toLocalIterator():
@@ -189,7 +189,7 @@ def _node_rows(docs: DataFrame, k: int) -> DataFrame:
                 sets = _sets(part, k)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64())], ["doc_id", "key", "n_shingles", "node"])
 
-    return docs.withColumn("key", F.xxhash64("doc_id", "text")).mapInArrow(scan, "doc_id long, key long, n_shingles long, node long")
+    return docs.withColumn("key", F.xxhash64("doc_id", "text")).mapInArrow(tidy(scan), "doc_id long, key long, n_shingles long, node long")
 
 
 def _first_rows(docs: DataFrame, k: int, threshold: Fraction, counts: np.ndarray) -> DataFrame:
@@ -217,7 +217,7 @@ def _first_rows(docs: DataFrame, k: int, threshold: Fraction, counts: np.ndarray
                     columns = [np.concatenate(shingles).view(np.int64), salt.astype(np.int16), np.repeat(np.array(sizes, np.int64), many), node]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shingle", "salt", "size", "node"])
 
-    return docs.select("text").mapInArrow(scan, "shingle long, salt short, size long, node long")
+    return docs.select("text").mapInArrow(tidy(scan), "shingle long, salt short, size long, node long")
 
 
 def _chains(threshold: Fraction, ends: bool):
@@ -327,7 +327,7 @@ def link_nodes(docs: DataFrame, nodes: DataFrame, k: int, threshold: Fraction) -
     # One hash join at every size: the wanted rows grow with the input, a task's part of them is small.
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text")
     texts = keyed.join(wanted.hint("shuffle_hash"), "key").select("text", "comp", "node", "blocks", "block")
-    sets = texts.mapInArrow(sets_of, "comp long, node long, blocks int, block int, shingles binary")
+    sets = texts.mapInArrow(tidy(sets_of), "comp long, node long, blocks int, block int, shingles binary")
     # A set goes to every task of its block: with itself and with each other block of its group.
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     tasks = sets.withColumn("other", other).select(
@@ -343,7 +343,7 @@ def link_nodes(docs: DataFrame, nodes: DataFrame, k: int, threshold: Fraction) -
                 split = sum(i < split for i in keep)
             yield from _group_links([([sets[i] for i in keep], [names[i] for i in keep], split)], threshold)
 
-    out = components(tasks.mapInArrow(scan, "a long, b long"))
+    out = components(tasks.mapInArrow(tidy(scan), "a long, b long"))
     forget(wanted)
     return out
 

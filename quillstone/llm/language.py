@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm._io import bounded, slices
+from quillstone.llm._io import bounded, slices, tidy
 from quillstone.llm._text import buffers
 
 EMBED, HIDDEN = 8, 8
@@ -284,7 +284,7 @@ def predict(docs: DataFrame, model) -> DataFrame:
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held_out"))
-    return rows.mapInArrow(scan, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(tidy(scan), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, model, least: float = 0.3) -> DataFrame:
@@ -296,4 +296,4 @@ def keep_known(docs: DataFrame, model, least: float = 0.3) -> DataFrame:
                 names, scores = _predict(part.column("text").cast(pa.string()), model)
                 yield part.filter(pa.array([n != "und" and s >= least for n, s in zip(names, scores)], pa.bool_()))
 
-    return bounded(docs).mapInArrow(scan, docs.schema)
+    return bounded(docs).mapInArrow(tidy(scan), docs.schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm._io import bounded, slices
+from quillstone.llm._io import bounded, slices, tidy
 from quillstone.llm._text import Taken
 
 KINDS = ("email", "ip", "card", "phone")
@@ -330,4 +330,4 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
                     ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
                 )
 
-    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, schema)
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(scan), schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm._io import bounded, slices
+from quillstone.llm._io import bounded, slices, tidy
 from quillstone.llm._text import Taken, buffers
 
 KINDS = ("assign", "access", "hex", "cnn")
@@ -252,7 +252,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
                     ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
                 )
 
-    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, schema)
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(scan), schema)
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
@@ -273,4 +273,4 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
                     columns["n_chars"] = pa.array([len(c) if w else n for c, w, n in zip(clean, whole, old.to_pylist())], old.type)
                 yield pa.RecordBatch.from_pydict(columns)
 
-    return bounded(docs).mapInArrow(scan, docs.schema)
+    return bounded(docs).mapInArrow(tidy(scan), docs.schema)

@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm._io import bounded, gathered, remembered
+from quillstone.llm._io import bounded, gathered, remembered, tidy
 from quillstone.llm._text import distinct
 
 SPACE = "▁"
 #: Different segments indexed at once.
 KINDS = 400_000
 #: Bytes of text in a batch.
-BATCH = 1 << 20
+BATCH = 1 << 19
 
 
 NORMAL, BYTE = 1, 6
@@ -308,6 +308,7 @@ class Codec:
         depth = np.zeros(len(coded) + 1, np.int32)
         depth[1 + place] = np.arange(1, len(place) + 1, dtype=np.int32) - np.repeat((np.cumsum(length) - length).astype(np.int32), length)
         level = depth[end]
+        del depth, place, source
         order = np.argsort(level.astype(np.int16) if len(level) and level.max() < 1 << 15 else level, kind="stable")
         cuts = np.cumsum(np.bincount(level)) if len(level) else np.zeros(1, int)
         for a, b in zip(cuts[:-1], cuts[1:]):
@@ -433,4 +434,4 @@ def encode(docs: DataFrame, model: str, with_ids: bool = True, keep_text: bool =
                 columns.append(pa.array([x.decode("utf-8", "replace") for x in back], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_crc32", "round_trip", *["ids"] * with_ids, *["decoded"] * keep_text])
 
-    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, schema)
+    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(scan), schema)

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm._io import bounded, cut, fresh_path, gathered, open_fs, remembered, write_file
+from quillstone.llm._io import bounded, cut, fresh_path, gathered, open_fs, remembered, tidy, write_file
 from quillstone.llm._text import buffers, distinct, segment_hashes
 
 MAGIC, TRAILER = b"QBITPLN1", struct.Struct("<QQQQB7x8s")
@@ -346,7 +346,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, planes: str =
         yield pa.RecordBatch.from_pydict({"shard": [number], "path": [path], "n_docs": [totals[0]], "n_ids": [totals[1]]})
 
     ordered = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return cut(ordered.mapInArrow(shard, "shard long, path string, n_docs long, n_ids long"), "shards")
+    return cut(ordered.mapInArrow(tidy(shard), "shard long, path string, n_docs long, n_ids long"), "shards")
 
 
 def read_tokens(shards: DataFrame, with_ids: bool = False) -> DataFrame:
