@@ -7,6 +7,7 @@ are embedded once and every pair's similarity read off one matrix product a row.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -15,28 +16,41 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillstone.functions.numeric import rescaled_cosine, transport_cost
-from quillstone.functions.similarity import hashed_ngrams
+from quillstone.functions.similarity import CLASS_VALUES, hashed_ngrams
 from quillstone.functions.text import porter_stem
 
 THRESHOLD = 0.7
 
 
+#: Comparators that take two phrases as n-gram texts; the others compare vectors.
+TEXT_KINDS = ("bleu", "sacrebleu", "rouge1", "rouge2", "rougeL", "rougeLsum")
+
+
 class Phrases:
-    """Similarities of phrases with embeddings remembered."""
+    """Similarities of phrases: of vectors (cosine_relu, cosine, euclidean), of their words (TEXT_KINDS), or 1 for equal
+    phrases and 0 for others (exact). Vectors are made once for each phrase of a batch."""
 
     def __init__(self, embed=hashed_ngrams, kind: str = "cosine_relu"):
+        if kind not in ("cosine_relu", "cosine", "euclidean", "exact", *TEXT_KINDS):
+            raise ValueError(f"no comparator is called {kind}")
         self.embed, self.kind, self.known = embed, kind, {}
 
-    def vectors(self, phrases: list[str]) -> np.ndarray:
-        for p in phrases:
-            if p not in self.known:
-                self.known[p] = np.asarray(self.embed(p), float)
-        return np.array([self.known[p] for p in phrases])
+    def learn(self, phrases) -> None:
+        """Unit vectors of phrases not met before."""
+        new = [p for p in dict.fromkeys(phrases) if p not in self.known]
+        if new and self.kind in ("cosine_relu", "cosine", "euclidean"):
+            X = np.array([self.embed(p) for p in new], float)
+            n = np.linalg.norm(X, axis=1, keepdims=True)
+            self.known.update(zip(new, np.divide(X, n, out=np.zeros_like(X), where=n > 0)))
 
     def __call__(self, a: list[str], b: list[str]) -> np.ndarray:
-        A, B = self.vectors(a), self.vectors(b)
-        norms = np.linalg.norm(A, axis=1)[:, None] * np.linalg.norm(B, axis=1)[None]
-        cos = np.divide(A @ B.T, norms, out=np.zeros(norms.shape), where=norms > 0)
+        if self.kind == "exact":
+            return np.array([[float(x == y) for y in b] for x in a])
+        if self.kind in TEXT_KINDS:
+            score = METRICS[self.kind][0]
+            return np.array([[score([x], [y], None) for y in b] for x in a])
+        self.learn([*a, *b])
+        cos = np.array([self.known[x] for x in a]) @ np.array([self.known[y] for y in b]).T
         if self.kind == "cosine":
             return cos
         if self.kind == "euclidean":
@@ -44,10 +58,44 @@ class Phrases:
         return rescaled_cosine(cos.ravel()).reshape(cos.shape)
 
 
-def clean(phrases, stem: bool = False) -> list[str]:
-    """Lower-case, white space collapsed, each once, sorted."""
-    out = {" ".join(p.lower().split()) for p in (phrases if phrases is not None else [])}
-    return sorted({" ".join(map(porter_stem, p.split())) for p in out} if stem else out)
+class ClassTable:
+    """Similarities from a table of named classes by unordered pair; pairs not in it count 0."""
+
+    def __init__(self, classes: dict[tuple[str, str], str], kind: str):
+        values = CLASS_VALUES[kind]
+        self.value = {tuple(sorted(pair)): values.get(name.strip().lower(), 0.0) for pair, name in classes.items()}
+
+    def learn(self, phrases) -> None:
+        pass
+
+    def __call__(self, a: list[str], b: list[str]) -> np.ndarray:
+        return np.array([[self.value.get(tuple(sorted((x, y))), 0.0) for y in b] for x in a])
+
+
+_lemma: list = [lambda word: word]
+
+
+def set_lemmatizer(function) -> None:
+    """The function from a lower-case word to its lemma that lemmatised metrics use (as it is without one); a vocabulary
+    of lemmas is the user's to bring."""
+    _lemma[0] = function
+
+
+def modified(phrase: str, how: str | None) -> str:
+    """A lower-case phrase with its words as they are, stemmed, or lemmatised."""
+    word = {None: None, "stem": porter_stem, "lemmatize": _lemma[0]}[how]
+    return phrase if word is None else " ".join(map(word, phrase.split()))
+
+
+def clean(phrases, how: str | None = None) -> list[str]:
+    """Lower-case, white space collapsed, words modified, each once, sorted."""
+    out = {" ".join(p.lower().split()) for p in (phrases if phrases is not None else []) if p is not None}
+    return sorted({modified(p, how) for p in out})
+
+
+def listed(phrases) -> list[str]:
+    """Lower-case, white space collapsed; repeated phrases stay, as counts of classes count each."""
+    return [" ".join(p.lower().split()) for p in (phrases if phrases is not None else []) if p is not None]
 
 
 def _edge(mine: list, other: list) -> float | None:
@@ -112,7 +160,10 @@ def word_mover(pred: list[str], ref: list[str], sim: Phrases) -> float:
 
 
 def threshold_counts(pred, ref, sim, threshold: float = THRESHOLD) -> dict[str, float]:
-    """tp: references met; fn: references not met; fp: predictions that meet none; tn: both are empty."""
+    """tp: references met; fn: references not met; fp: predictions that meet none; tn: both are empty.
+
+    A reference that repeats counts once, a prediction as often as it stands there."""
+    ref = list(dict.fromkeys(ref))
     if not pred or not ref:
         return {"tp": 0.0, "fp": float(len(pred)), "tn": float(not pred and not ref), "fn": float(len(ref))}
     near = sim(pred, ref) >= threshold
@@ -124,13 +175,13 @@ def negative_class_counts(pred, ref, sim, threshold: float = THRESHOLD) -> dict[
     """As threshold_counts, with "no usage" a class of its own."""
     if not ref:
         return {"tp": float(not pred), "fp": float(len(pred)), "tn": math.inf, "fn": float(bool(pred))}
-    if not pred:
-        return {"tp": 0.0, "fp": 1.0, "tn": math.inf, "fn": float(len(ref))}
     return threshold_counts(pred, ref, sim, threshold) | {"tn": math.inf}
 
 
 def soft_counts(pred, ref, sim) -> dict[str, float]:
-    """Counts as sums of best similarities; an empty side stands as one phrase like nothing but another empty side."""
+    """Counts as sums of best similarities; an empty side stands as one phrase like nothing but another empty side.
+    Phrases that repeat count once."""
+    pred, ref = list(dict.fromkeys(pred)), list(dict.fromkeys(ref))
     if not pred or not ref:
         both = not pred and not ref
         return {"tp": float(both), "fp": 0.0 if both else float(max(1, len(pred))), "tn": math.inf, "fn": 0.0 if both else float(max(1, len(ref)))}
@@ -146,10 +197,20 @@ def _grams(tokens: list[str], n: int) -> Counter:
     return Counter(tuple(tokens[i : i + n]) for i in range(len(tokens) - n + 1))
 
 
+def words_and_marks(text: str) -> list[str]:
+    """Tokens by the rules that BLEU scores are published with: marks stand alone, but for dots and commas within
+    numbers, and dashes only behind a digit."""
+    text = re.sub(r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", r" \1 ", f" {text} ")
+    text = re.sub(r"([^0-9])([\.,])", r"\1 \2 ", text)
+    text = re.sub(r"([\.,])([^0-9])", r" \1 \2", text)
+    return re.sub(r"([0-9])(-)", r"\1 \2 ", text).split()
+
+
 def bleu(pred: list[str], refs: list[str], smooth: bool = False) -> float:
-    """Corpus BLEU of each prediction against all references, up to 4-grams; smooth: halves for empty matches."""
-    pairs = [p.lower().split() for p in pred]
-    refs_t = [r.lower().split() for r in refs]
+    """Corpus BLEU of each prediction against all references, up to 4-grams, over lower-case words; smooth: halves for
+    empty matches, over words and marks."""
+    tokens = (lambda x: words_and_marks(x.lower())) if smooth else (lambda x: x.lower().split())
+    pairs, refs_t = [tokens(p) for p in pred], [tokens(r) for r in refs]
     if not pairs or not refs_t:
         return float(not pairs and not refs_t)
     logs, size, closest, halves = 0.0, 0, 0, 1.0
@@ -212,26 +273,71 @@ def rouge_l(pred: list[str], refs: list[str]) -> float:
     return float(np.mean([max(one(p, r) for r in refs) for p in pred]))
 
 
-#: Names of metrics: (function, needs similarity, stem).
+def _common_places(a: list[str], b: list[str]) -> set[int]:
+    """Places in a of one longest common subsequence with b."""
+    n, m = len(a), len(b)
+    rows = np.zeros((n + 1, m + 1), np.int32)
+    for i, x in enumerate(a, 1):
+        for j, y in enumerate(b, 1):
+            rows[i, j] = rows[i - 1, j - 1] + 1 if x == y else max(rows[i - 1, j], rows[i, j - 1])
+    out, i, j = set(), n, m
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            out.add(i - 1)
+            i, j = i - 1, j - 1
+        elif rows[i, j - 1] > rows[i - 1, j]:
+            j -= 1
+        else:
+            i -= 1
+    return out
+
+
+def rouge_lsum(pred: list[str], refs: list[str]) -> float:
+    """Longest common subsequences by line: for each line of the reference the words that any line of the prediction shares
+    with it, none counted more often than both texts hold it. One line a side is rougeL."""
+    if not pred or not refs:
+        return float(not pred and not refs)
+    lines = lambda text: [x for x in (line.lower().split() for line in text.split("\n")) if x]
+
+    def one(p: str, r: str) -> float:
+        a, b = lines(p), lines(r)
+        if len(a) < 2 and len(b) < 2:
+            return rouge_l([p], [r])
+        own, other, hit = Counter(w for x in a for w in x), Counter(w for x in b for w in x), 0
+        n, m = own.total(), other.total()
+        for line in b:
+            for k in sorted(set().union(*(_common_places(line, x) for x in a))):
+                w = line[k]
+                if own[w] > 0 and other[w] > 0:
+                    own[w], other[w], hit = own[w] - 1, other[w] - 1, hit + 1
+        return harmonic(hit / n, hit / m) if hit else 0.0
+
+    return float(np.mean([max(one(p, r) for r in refs) for p in pred]))
+
+
+#: Names of metrics: (function of predictions, references and a similarity; how words are modified).
 METRICS = {
-    "custom_min_precision": (lambda p, r, s: precision(p, r, s, "min"), False),
-    "custom_mean_precision": (precision, False),
-    "custom_min_recall": (lambda p, r, s: recall(p, r, s, "min"), False),
-    "custom_mean_recall": (recall, False),
-    "custom_min_f1": (lambda p, r, s: f1(p, r, s, "min"), False),
-    "custom_mean_f1": (f1, False),
-    "custom_weighted_mean_precision": (weighted_precision, False),
-    "custom_weighted_mean_recall": (weighted_recall, False),
-    "custom_weighted_mean_f1": (weighted_f1, False),
-    "custom_weighted_mean_f1_stem": (weighted_f1, True),
-    "word_movers_similarity": (word_mover, False),
-    "bleu": (lambda p, r, s: bleu(p, r), False),
-    "sacrebleu": (lambda p, r, s: bleu(p, r, True), False),
-    "rouge1": (lambda p, r, s: rouge_n(p, r, 1), False),
-    "rouge2": (lambda p, r, s: rouge_n(p, r, 2), False),
-    "rougeL": (lambda p, r, s: rouge_l(p, r), False),
-    "rougeLsum": (lambda p, r, s: rouge_l(p, r), False),
+    "custom_min_precision": (lambda p, r, s: precision(p, r, s, "min"), None),
+    "custom_mean_precision": (precision, None),
+    "custom_min_recall": (lambda p, r, s: recall(p, r, s, "min"), None),
+    "custom_mean_recall": (recall, None),
+    "custom_min_f1": (lambda p, r, s: f1(p, r, s, "min"), None),
+    "custom_mean_f1": (f1, None),
+    "custom_weighted_mean_precision": (weighted_precision, None),
+    "custom_weighted_mean_recall": (weighted_recall, None),
+    "custom_weighted_mean_f1": (weighted_f1, None),
+    "custom_weighted_mean_f1_stem": (weighted_f1, "stem"),
+    "custom_weighted_mean_f1_lemmatize": (weighted_f1, "lemmatize"),
+    "word_movers_similarity": (word_mover, None),
+    "bleu": (lambda p, r, s: bleu(p, r), None),
+    "sacrebleu": (lambda p, r, s: bleu(p, r, True), None),
+    "rouge1": (lambda p, r, s: rouge_n(p, r, 1), None),
+    "rouge2": (lambda p, r, s: rouge_n(p, r, 2), None),
+    "rougeL": (lambda p, r, s: rouge_l(p, r), None),
+    "rougeLsum": (lambda p, r, s: rouge_lsum(p, r), None),
 }
+#: Metrics of line-wise texts keep line feeds.
+_LINEWISE = ("rougeLsum",)
 COUNTS = {
     "custom_classification_score": threshold_counts,
     "custom_classification_score_with_negative_class": negative_class_counts,
@@ -240,32 +346,53 @@ COUNTS = {
 DEFAULT_METRICS = ("custom_weighted_mean_f1", "word_movers_similarity")
 
 
-def register_metric(name: str, function, stem: bool = False) -> None:
+def register_metric(name: str, function, how: str | None = None) -> None:
     """function(predictions, references, similarity) -> float, on cleaned lists."""
-    METRICS[name] = (function, stem)
+    METRICS[name] = (function, how)
 
 
-def metric(name: str, predictions: Column, references: Column, embed=hashed_ngrams, kind: str = "cosine_relu") -> Column:
-    """One metric as a column of doubles; a division by zero is nan, a null list is empty."""
-    if name not in METRICS:
-        raise ValueError(f"no metric is called {name}")
-    function, stem = METRICS[name]
+def register_class_metric(name: str, classes: dict[tuple[str, str], str], kind: str) -> None:
+    """The weighted F1 over similarities of named classes (named_v1 or scale_v1), as a client told them for pairs of phrases."""
+    table = ClassTable(classes, kind)
+    METRICS[name] = (lambda p, r, _: weighted_f1(p, r, table), None)
 
-    @F.pandas_udf("double")
-    def score(p: pd.Series, r: pd.Series) -> pd.Series:
-        sim = Phrases(embed, kind)
 
-        def one(a, b) -> float:
-            try:
-                return function(clean(a, stem), clean(b, stem), sim)
-            except ZeroDivisionError:
-                return math.nan
+def metrics(names, predictions: Column, references: Column, embed=hashed_ngrams, kind: str = "cosine_relu") -> Column:
+    """struct of one double a metric, all in one pass over the rows; a division by zero is nan, a null list is empty."""
+    names = list(names)
+    for name in names:
+        if name not in METRICS:
+            raise ValueError(f"no metric is called {name}")
+    known = {name: METRICS[name] for name in names}
+    ways = {how for _, how in known.values()}
+    linewise = {name: name in _LINEWISE for name in names}
 
-        return pd.Series([one(a, b) for a, b in zip(p, r)], dtype="float64")
+    @F.pandas_udf(", ".join(f"`{n}` double" for n in names))
+    def score(p: pd.Series, r: pd.Series) -> pd.DataFrame:
+        sim = Phrases(embed, kind)
+        sides = {how: [(clean(a, how), clean(b, how)) for a, b in zip(p, r)] for how in ways}
+        sim.learn(x for rows in sides.values() for row in rows for side in row for x in side)
+        out = {}
+        for name, (function, how) in known.items():
+            rows = zip(p, r) if linewise[name] else sides[how]
+            out[name] = [_of(function, a, b, sim) for a, b in rows]
+        return pd.DataFrame(out, columns=names, dtype="float64")
 
     return score(predictions, references)
 
 
+def _of(function, a, b, sim) -> float:
+    try:
+        return function([x for x in a if x is not None] if a is not None else [], [x for x in b if x is not None] if b is not None else [], sim)
+    except ZeroDivisionError:
+        return math.nan
+
+
+def metric(name: str, predictions: Column, references: Column, embed=hashed_ngrams, kind: str = "cosine_relu") -> Column:
+    """One metric as a column of doubles."""
+    return metrics([name], predictions, references, embed, kind)[name]
+
+
 def counts(name: str, predictions: Column, references: Column, embed=hashed_ngrams, kind: str = "cosine_relu") -> Column:
     """struct<tp, fp, tn, fn> of doubles."""
     function = COUNTS[name]
@@ -273,6 +400,8 @@ def counts(name: str, predictions: Column, references: Column, embed=hashed_ngra
     @F.pandas_udf("tp double, fp double, tn double, fn double")
     def score(p: pd.Series, r: pd.Series) -> pd.DataFrame:
         sim = Phrases(embed, kind)
-        return pd.DataFrame([function(clean(a), clean(b), sim) for a, b in zip(p, r)], columns=["tp", "fp", "tn", "fn"])
+        rows = [(listed(a), listed(b)) for a, b in zip(p, r)]
+        sim.learn(x for row in rows for side in row for x in side)
+        return pd.DataFrame([function(a, b, sim) for a, b in rows], columns=["tp", "fp", "tn", "fn"])
 
     return score(predictions, references)

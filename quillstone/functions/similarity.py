@@ -72,6 +72,14 @@ def most_similar(scored: Column, threshold: float = 0.0) -> Column:
     return F.struct(F.coalesce(best["sim"], F.lit(0.0)).alias("sim"), best["option"].alias("option"))
 
 
+def best_of(pairs: DataFrame, by: list[str], option: str, sim: str, threshold: float = 0.0) -> DataFrame:
+    """by, option, sim: the most similar option of each group at or above the threshold; of equals the greatest option.
+    Groups are never held: one row a group is kept while pairs stream by."""
+    near = pairs.filter(F.col(sim) >= threshold)
+    best = near.groupBy(*by).agg(F.max(F.struct(sim, option)).alias("_best"))
+    return best.select(*by, F.col(f"_best.{option}").alias(option), F.col(f"_best.{sim}").alias(sim))
+
+
 # -- phrase vectors ------------------------------------------------------------------------
 
 

@@ -1,8 +1,8 @@
 """Clusters of phrase vectors: k-means, agglomerative, communities, quality, outliers.
 
-k-means and the quality measures other than the silhouette are distributed. Agglomerative
-clustering, communities and the silhouette compare all pairs, so they refuse more than `most`
-rows: they are meant for the distinct phrases of a review set.
+k-means, spectral clusters and the quality measures are distributed; the silhouette compares all pairs,
+block by block, at any size. Agglomerative clustering and communities hold all distances in one task, so
+they refuse more than `most` rows: they are meant for the distinct phrases of a review set.
 """
 
 from __future__ import annotations
@@ -142,41 +142,75 @@ def community_detection(df: DataFrame, threshold: float, least: int = 1, key: st
     return _whole(df, key, column, most, f"{key} {dict(df.dtypes)[key]}, cluster long", run)
 
 
-def quality(X: np.ndarray, labels: np.ndarray) -> dict[str, float]:
-    """Silhouette, Davies-Bouldin, Calinski-Harabasz, mean similarity within clusters and to their centres, best and worst cluster."""
-    names = np.unique(labels)
-    D, k, n = distances(X, "euclidean"), len(names), len(X)
-    sums = np.stack([D[:, labels == c].sum(1) for c in names], axis=1)
-    sizes = np.array([(labels == c).sum() for c in names])
-    own = np.searchsorted(names, labels)
-    a = sums[np.arange(n), own] / np.maximum(1, sizes[own] - 1)
-    others = sums / sizes
-    others[np.arange(n), own] = np.inf
-    b = others.min(1) if k > 1 else np.zeros(n)
-    sil = np.where(sizes[own] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0)
-    C = np.stack([X[labels == c].mean(0) for c in names])
-    scatter = np.array([np.linalg.norm(X[labels == c] - C[i], axis=1).mean() for i, c in enumerate(names)])
-    between = distances(C, "euclidean")
-    np.fill_diagonal(between, np.inf)
-    within = sum(((X[labels == c] - C[i]) ** 2).sum() for i, c in enumerate(names))
-    spread = (sizes * ((C - X.mean(0)) ** 2).sum(1)).sum()
-    cos = 1 - distances(X, "cosine")
-    mean_sim = np.array([cos[np.ix_(labels == c, labels == c)].mean() for c in names])
-    centre_sim = np.array([(X[labels == c] @ C[i] / np.maximum(1e-300, np.linalg.norm(X[labels == c], axis=1) * np.linalg.norm(C[i]))).mean() for i, c in enumerate(names)])
-    return {"silhouette": float(sil.mean()), "davies_bouldin": float(((scatter[:, None] + scatter[None]) / between).max(1).mean()) if k > 1 else 0.0, "calinski_harabasz": float(spread / (k - 1) / (within / (n - k))) if 1 < k < n and within else 0.0, "sim_in_cluster": float(mean_sim.mean()), "sim_to_centroid": float(centre_sim.mean()), "best": float(names[mean_sim.argmax()]), "worst": float(names[mean_sim.argmin()])}
-
-
-def cluster_quality(df: DataFrame, key: str = "vec_id", column: str = "embedding", most: int = MOST) -> DataFrame:
-    """(measure, value) of clustered rows (key, column, cluster)."""
-    n = df.limit(most + 1).count()
-    if n > most:
-        raise ValueError(f"this compares all pairs and takes {most} rows at most")
+def _far_sums(df: DataFrame, key: str, block: int) -> DataFrame:
+    """(key, own, other, far): of every row the sum of its distances to each cluster's rows, block against block."""
+    many = max(1, -(-df.count() // block))
+    rows = df.select(F.col(key).alias("_k"), "cluster", "_v", F.pmod(F.xxhash64(key), F.lit(many)).cast("int").alias("_b"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
+    asks = rows.withColumn("_o", other).select("_k", "cluster", "_v", F.col("_b").alias("b1"), F.col("_o").alias("b2"), F.lit(0).alias("side"))
+    answers = rows.withColumn("_o", other).select("_k", "cluster", "_v", F.col("_o").alias("b1"), F.col("_b").alias("b2"), F.lit(1).alias("side"))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        found = quality(np.stack(frame["_v"]), frame["cluster"].to_numpy())
-        return pd.DataFrame({"measure": list(found), "value": list(found.values())})
-
-    return df.select(F.col(column).cast("array<double>").alias("_v"), "cluster", F.lit(0).alias("_g")).groupBy("_g").applyInPandas(run, "measure string, value double")
+        a, b = frame[frame.side == 0], frame[frame.side == 1]
+        if not len(a) or not len(b):
+            return pd.DataFrame({"key": [], "own": [], "other": [], "far": []})
+        names, place = np.unique(b["cluster"].to_numpy(), return_inverse=True)
+        X, Y = np.stack(a["_v"]), np.stack(b["_v"])
+        inside = np.eye(len(names))[place]
+        sums = np.concatenate([np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (Y * Y).sum(1)[None] - 2 * x @ Y.T)) @ inside for x in np.array_split(X, -(-len(X) // 512))])
+        same = a["_k"].to_numpy()[:, None] == b["_k"].to_numpy()[None] if many == 1 or frame["b1"].iloc[0] == frame["b2"].iloc[0] else None
+        if same is not None:  # a row's distance to itself is nothing but rounding
+            i, j = np.nonzero(same)
+            own = np.sqrt(np.maximum(0, ((X[i] * X[i]).sum(1) + (Y[j] * Y[j]).sum(1) - 2 * (X[i] * Y[j]).sum(1))))
+            np.subtract.at(sums, (i, place[j]), own)
+        n = len(names)
+        return pd.DataFrame({"key": np.repeat(a["_k"].to_numpy(), n), "own": np.repeat(a["cluster"].to_numpy(), n), "other": np.tile(names, len(a)), "far": sums.ravel()})
+
+    kinds = dict(df.dtypes)
+    schema = f"key {kinds[key]}, own {kinds['cluster']}, other {kinds['cluster']}, far double"
+    found = asks.unionByName(answers).groupBy("b1", "b2").applyInPandas(run, schema)
+    return found.groupBy("key", "own", "other").agg(F.sum("far").alias("far"))
+
+
+def cluster_quality(df: DataFrame, key: str = "vec_id", column: str = "embedding", block: int = 2048) -> DataFrame:
+    """(measure, value) of clustered rows (key, column, cluster): silhouette, Davies-Bouldin, Calinski-Harabasz, mean similarity
+    within clusters (a row with itself counted), mean similarity to their centres, and the clusters of most and least of the former.
+
+    All but the silhouette come from sums of vectors; the number of clusters, not of rows, is held at once.
+    """
+    rows = df.select(key, "cluster", F.col(column).cast("array<double>").alias("_v"))
+    width = rows.agg(F.max(F.size("_v"))).first()[0] or 0
+    unit = F.transform("_v", lambda x: F.coalesce(F.try_divide(x, F.col("_n")), F.lit(0.0)))
+    rows = rows.withColumn("_n", S.norm(F.col("_v"))).withColumn("_u", unit)
+    means = lambda c: F.array(*[F.avg(F.get(c, F.lit(i))) for i in range(width)])
+    centres = rows.groupBy("cluster").agg(F.count("*").alias("n"), means("_v").alias("c"), means("_u").alias("u"))
+    near = rows.join(centres.select("cluster", "n", "c"), "cluster")
+    apart = F.aggregate(F.zip_with("_v", "c", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    to_centre = F.coalesce(S.cosine(F.col("_v"), F.col("c")), F.lit(0.0))
+    own = near.groupBy("cluster").agg(F.sum(apart).alias("within"), F.avg(F.sqrt(apart)).alias("scatter"), F.avg(to_centre).alias("centre_sim"))
+    table = [r.asDict() for r in centres.join(own, "cluster").orderBy("cluster").collect()]  # a row a cluster
+    k, n = len(table), sum(r["n"] for r in table)
+    far = _far_sums(rows, key, block).join(centres.select(F.col("cluster").alias("other"), "n"), "other")
+    mine = F.max(F.when(F.col("own") == F.col("other"), F.col("far") / F.greatest(F.lit(1), F.col("n") - 1)))
+    size = F.max(F.when(F.col("own") == F.col("other"), F.col("n")))
+    nearest = F.min(F.when(F.col("own") != F.col("other"), F.col("far") / F.col("n")))
+    each = far.groupBy("key").agg(mine.alias("a"), nearest.alias("b"), size.alias("size"))
+    value = F.when(F.col("size") > 1, F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))).otherwise(F.lit(0.0))
+    silhouette = each.agg(F.avg(value)).first()[0] if k > 1 else 0.0
+    sizes, C = np.array([r["n"] for r in table], float), np.array([r["c"] for r in table], float).reshape(k, -1)
+    between = distances(C, "euclidean") if k else np.zeros((0, 0))
+    np.fill_diagonal(between, np.inf)
+    scatter, within = np.array([r["scatter"] for r in table]), sum(r["within"] for r in table)
+    spread = float((sizes * ((C - (sizes[:, None] * C).sum(0) / max(n, 1)) ** 2).sum(1)).sum()) if k else 0.0
+    sims = np.array([float(np.dot(r["u"], r["u"])) for r in table])
+    out = {"silhouette": silhouette}
+    out["davies_bouldin"] = float(((scatter[:, None] + scatter[None]) / between).max(1).mean()) if k > 1 else 0.0
+    out["calinski_harabasz"] = float(spread / (k - 1) / (within / (n - k))) if 1 < k < n and within > 0 else 0.0
+    out["sim_in_cluster"] = float(sims.mean()) if k else 0.0
+    out["sim_to_centroid"] = float(np.mean([r["centre_sim"] for r in table])) if k else 0.0
+    if k:
+        out |= {"best": float(table[int(sims.argmax())]["cluster"]), "worst": float(table[int(sims.argmin())]["cluster"])}
+    return df.sparkSession.createDataFrame([(m, float(v)) for m, v in out.items()], "measure string, value double")
 
 
 def sweep(n_clusters: list[int] | None = None, distance_thresholds: list[float] | None = None, n_rows: int | None = None) -> list[dict]:
@@ -205,8 +239,52 @@ def remove_outliers(reviews: DataFrame, phrases: DataFrame, share: float, distan
     return reviews.join(gone, "review_id", "left_anti")
 
 
-def loss_map_clusters(statistics: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
-    """Clusters of examples by (confidence, variability); k-means stands in for spectral clustering."""
+def spectral(X: np.ndarray, k: int, gamma: float = 1.0, seed: int = 42):
+    """A function from points to clusters: the normalised neighbourhoods exp(-gamma d^2) of the landmarks X are laid on their
+    first k axes, other points by their neighbourhoods with the landmarks, and k-means parts the axes."""
+    affinity = lambda a, b: np.exp(-gamma * distances_between(a, b) ** 2)
+    K = affinity(X, X)
+    degree = np.sqrt(K.sum(1))
+    values, axes = np.linalg.eigh(K / degree[:, None] / degree[None])
+    values, axes = values[::-1][:k], axes[:, ::-1][:, :k]
+    scale = (axes / degree[:, None]) / values
+    unit = lambda E: E / np.maximum(1e-300, np.linalg.norm(E, axis=1, keepdims=True))
+    lay = lambda P: unit(affinity(P, X) @ scale)
+    E, rng = lay(X), np.random.Generator(np.random.PCG64(seed))
+    C = E[[int(rng.integers(len(E)))]]
+    while len(C) < k:  # the farthest point from the centres so far
+        C = np.concatenate((C, E[[int(distances_between(E, C).min(1).argmax())]]))
+    for _ in range(50):
+        own = distances_between(E, C).argmin(1)
+        C = np.stack([E[own == c].mean(0) if (own == c).any() else C[c] for c in range(k)])
+    return lambda P: distances_between(lay(P), C).argmin(1)
+
+
+def distances_between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0, (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T))
+
+
+#: Landmarks of spectral clusters, drawn by hash; the driver holds their square.
+LANDMARKS = 1500
+
+
+def loss_map_clusters(statistics: DataFrame, k: int = 3, seed: int = 42, method: str = "spectral", gamma: float = 1.0, landmarks: int = LANDMARKS) -> DataFrame:
+    """Clusters of examples by (confidence, variability): spectral ones, exact for up to `landmarks` examples and by a sample of
+    so many beyond that, or k-means."""
     kept = statistics.na.drop("any", subset=["confidence", "variability"])
-    tagged = kept.withColumn("_v", array_to_vector(F.array(F.col("confidence").cast("double"), F.col("variability").cast("double"))))
-    return KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="cluster").fit(tagged).transform(tagged).drop("_v")
+    point = F.array(F.col("confidence").cast("double"), F.col("variability").cast("double"))
+    if method == "kmeans":
+        tagged = kept.withColumn("_v", array_to_vector(point))
+        return KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="cluster").fit(tagged).transform(tagged).drop("_v")
+    if method != "spectral":
+        raise ValueError(f"{method} is not offered; spectral and kmeans are")
+    sample = [list(r[0]) for r in kept.select(point.alias("p")).orderBy(F.xxhash64("p", F.lit(seed)), "p").limit(landmarks).collect()]
+    if len(sample) <= k:
+        return kept.withColumn("cluster", F.lit(0))
+    own = spectral(np.array(sample, float), k, gamma, seed)
+
+    @F.pandas_udf("int")
+    def assign(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series(own(np.stack((x, y), axis=1)).astype("int32") if len(x) else [], dtype="int32")
+
+    return kept.withColumn("cluster", assign(F.col("confidence").cast("double"), F.col("variability").cast("double")))

@@ -195,6 +195,23 @@ def correct_by_pattern(labels: Column, patterns: list[str], created_at: Column,
     return F.when(first.isNull() | F.map_contains_key(labels, new_id), labels).otherwise(put(labels, new_id, label))
 
 
+def apply_decisions(df: DataFrame, decisions: DataFrame, created_at: Column, source: str = "chat_gpt*", new_id: str = "bp-chat_gpt_correction") -> DataFrame:
+    """Corrections by hand: decisions (review_id, usage_option, keep, revised) of the options of the first label that source
+    names. Options not kept go, a revised text stands in an option's place (behind the others), those without a decision
+    stay. The outcome is a new label; reviews without decisions, or with that label already, stay as they are."""
+    entry = F.struct("keep", F.nullif(F.col("revised"), F.lit("")).alias("revised"))
+    told = decisions.groupBy("review_id").agg(F.map_from_entries(F.collect_list(F.struct("usage_option", entry))).alias("_told"))
+    joined = df.join(told, "review_id", "left")
+    first = first_id(F.col("labels"), ByGlob(source))
+    old = F.try_element_at("labels", first)
+    said = lambda x: F.try_element_at("_told", x)
+    stay = F.filter(old["usageOptions"], lambda x: F.coalesce(said(x)["keep"] & said(x)["revised"].isNull(), F.lit(True)))
+    revised = F.filter(F.transform(old["usageOptions"], lambda x: F.when(said(x)["keep"], said(x)["revised"])), lambda x: x.isNotNull())
+    label = _label(F.concat(stay, revised), created_at, F.array().cast("array<string>"), F.to_json(F.struct(first.alias("corrected_from"))))
+    as_is = F.col("_told").isNull() | first.isNull() | F.map_contains_key("labels", F.lit(new_id))
+    return joined.withColumn("labels", F.when(as_is, F.col("labels")).otherwise(put(F.col("labels"), new_id, label))).select(*df.columns)
+
+
 # -- normal forms ----------------------------------------------------------------------------
 
 
@@ -221,9 +238,23 @@ def augmentations_long(df: DataFrame) -> DataFrame:
     return one.select("review_id", "label_id", "aug_set", "idx", "x.review_body", "x.product_title", F.col("x.usageOptions").alias("usage_options"), "x.metadata")
 
 
-def pivot_labels(long: DataFrame) -> DataFrame:
-    """labels_long rows back to (review_id, labels), without scores and augmentations; ids sorted."""
+def pivot_labels(long: DataFrame, scores: DataFrame | None = None, augmentations: DataFrame | None = None) -> DataFrame:
+    """labels_long rows back to (review_id, labels), ids sorted; with scores_long and augmentations_long rows theirs as well."""
     value = F.struct("usage_options", "created_at", "datasets", "metadata").alias("value")
     entries = F.sort_array(F.collect_list(F.struct(F.col("label_id").alias("key"), value)))
     labels = F.transform_values(F.map_from_entries("entries"), lambda _, v: _label(v["usage_options"], v["created_at"], v["datasets"], v["metadata"]))
-    return long.groupBy("review_id").agg(entries.alias("entries")).select("review_id", labels.alias("labels"))
+    out = long.groupBy("review_id").agg(entries.alias("entries")).select("review_id", labels.alias("labels"))
+    if augmentations is not None:
+        one = F.struct("idx", F.struct("review_body", "product_title", F.col("usage_options").alias("usageOptions"), "metadata").alias("x"))
+        sets = augmentations.groupBy("review_id", "label_id", "aug_set").agg(F.transform(F.sort_array(F.collect_list(one)), lambda e: e["x"]).alias("a"))
+        by_label = sets.groupBy("review_id", "label_id").agg(F.map_from_entries(F.collect_list(F.struct("aug_set", "a"))).alias("s"))
+        made = by_label.groupBy("review_id").agg(F.map_from_entries(F.collect_list(F.struct("label_id", "s"))).alias("_aug"))
+        joined = out.join(made, "review_id", "left").withColumn("_aug", F.col("_aug").cast(f"map<string,{AUGMENTATIONS}>"))
+        fields = ("createdAt", "usageOptions", "datasets", "metadata", "scores")
+        put_in = lambda k, x: F.struct(*[x[f].alias(f) for f in fields], F.coalesce(F.try_element_at("_aug", k), x["augmentations"]).alias("augmentations"))
+        out = joined.select("review_id", F.when(F.col("_aug").isNull(), F.col("labels")).otherwise(F.transform_values("labels", put_in)).alias("labels"))
+    if scores is not None:
+        from quillstone.operators.scoring import store_scores
+
+        out = store_scores(out, scores)
+    return out

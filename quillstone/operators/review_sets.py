@@ -119,6 +119,42 @@ class ReviewSet:
             raise KeyError(review_id)
         return row
 
+    def __iter__(self):
+        """Reviews in the order of their ids, fetched a partition at a time."""
+        return iter(self.df.orderBy("review_id").toLocalIterator())
+
+    def slice(self, start: int, stop: int) -> ReviewSet:
+        """Reviews of places start to stop (exclusive) in the order of their ids; start and stop count from 0."""
+        if not 0 <= start <= stop:
+            raise ValueError("a slice goes from a place to one not before it")
+        return ReviewSet(self.df.orderBy("review_id").offset(start).limit(stop - start), self.save_path)
+
+    def score_labels(self, label_ids: list[str], ref_ids: list[str], metric_ids=None, **how) -> ReviewSet:
+        """Labels scored against references, the scores kept in the set; patterns name the labels."""
+        from quillstone.functions.metrics import DEFAULT_METRICS
+        from quillstone.operators.scoring import score_labels
+
+        known = self.label_ids()
+        labels, refs = L.resolve_ids(known, label_ids), L.resolve_ids(known, ref_ids)
+        return ReviewSet(score_labels(self.df, labels, refs, metric_ids or DEFAULT_METRICS, **how), self.save_path)
+
+    def annotate(self, label: Callable[[list[str]], list[list[str]]], label_id: str, created_at: str, **how) -> ReviewSet:
+        """A new label made by a client or model for every review."""
+        from quillstone.operators.augmentation import label_in_batches
+
+        return ReviewSet(label_in_batches(self.df, label, label_id, created_at, **how), self.save_path)
+
+    def cluster_usage_options(self, strategy, k: int, seed: int = 42) -> DataFrame:
+        """review_id, pos, usage_option, cluster, is_centroid of the selected labels' options."""
+        from quillstone.operators.clustering import kmeans, usage_frame
+
+        frame = usage_frame(self.df, strategy).withColumn("_id", F.concat_ws("/", "review_id", "pos"))
+        return kmeans(frame, k, seed, key="_id").select("review_id", "pos", "usage_option", "cluster", "is_centroid")
+
+    def delete_labels(self, *patterns: str) -> ReviewSet:
+        """Without the labels that the patterns name, and without scores against them; patterns that name none are an error."""
+        return ReviewSet(L.delete_labels(self.df, L.resolve_ids(self.label_ids(), list(patterns))), self.save_path)
+
     def merge(self, other: ReviewSet, allow_new: bool = True) -> ReviewSet:
         return ReviewSet(merge(self.df, other.df, allow_new), self.save_path)
 

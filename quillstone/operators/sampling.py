@@ -56,6 +56,13 @@ def sample_n(df: DataFrame, n: int, seed: int, id_column: str) -> DataFrame:
     return ranked.filter(F.col("_rank") <= n).drop("_rank", "_size")
 
 
+def sample_per_group(df: DataFrame, by: list[str], n: int, seed: int, id_column: str) -> DataFrame:
+    """n rows of each group, drawn by hash (all of a smaller one)."""
+    if n < 1:
+        raise ValueError("a sample has a row at least")
+    return _rank(df, [draw(seed, id_column), F.col(id_column)], by).filter(F.col("_rank") <= n).drop("_rank", "_size")
+
+
 def train_test_val(df: DataFrame, strata: list[str], id_column: str, train: float = 0.7, test: float = 0.2, val: float = 0.1, exact: bool = True) -> DataFrame:
     """Adds part: train, test or val, by position within each stratum. Rows with a null stratum vanish.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import metrics as M
 from quillstone.functions import similarity as S
+from quillstone.operators import labels as L
 from quillstone.operators.labels import labels_long
 
 KEYS = ("review_id", "label_id", "ref_id", "metric_id")
@@ -14,8 +15,10 @@ KEYS = ("review_id", "label_id", "ref_id", "metric_id")
 
 def score_pairs(pairs: DataFrame, metric_ids, embed=S.hashed_ngrams, kind: str = "cosine_relu") -> DataFrame:
     """Of (review_id, label_id, ref_id, predictions, references): a row for each metric with score, pred_pos, ref_pos."""
-    scored = pairs.select("review_id", "label_id", "ref_id", (F.size("predictions") > 0).alias("pred_pos"), (F.size("references") > 0).alias("ref_pos"), *[M.metric(m, F.col("predictions"), F.col("references"), embed, kind).alias(f"m_{i}") for i, m in enumerate(metric_ids)])
-    entries = F.array(*[F.struct(F.lit(m).alias("metric_id"), F.col(f"m_{i}").alias("score")) for i, m in enumerate(metric_ids)])
+    names, flags = list(metric_ids), [(F.size("predictions") > 0).alias("pred_pos"), (F.size("references") > 0).alias("ref_pos")]
+    made = M.metrics(names, F.col("predictions"), F.col("references"), embed, kind)
+    scored = pairs.select("review_id", "label_id", "ref_id", *flags, made.alias("m"))
+    entries = F.array(*[F.struct(F.lit(m).alias("metric_id"), F.col("m")[m].alias("score")) for m in names])
     return scored.select("review_id", "label_id", "ref_id", "pred_pos", "ref_pos", F.inline(entries)).select(*KEYS, "score", "pred_pos", "ref_pos")
 
 
@@ -33,15 +36,39 @@ def label_pairs(df: DataFrame, label_ids: list[str] | None = None, ref_ids: list
 
 def score_missing(pairs: DataFrame, known: DataFrame, metric_ids, **how) -> DataFrame:
     """known and the scores it lacks; only those are computed."""
-    spark = pairs.sparkSession
-    wanted = pairs.crossJoin(F.broadcast(spark.createDataFrame([(m,) for m in metric_ids], "metric_id string")))  # a row for each metric asked for
-    missing = wanted.join(known.select(*KEYS), list(KEYS), "left_anti")
+    names = list(metric_ids)
+    have = known.filter(F.col("metric_id").isin(*names)).groupBy("review_id", "label_id", "ref_id").agg(F.collect_set("metric_id").alias("_have"))
+    lacking = F.array_except(F.array(*map(F.lit, names)), F.coalesce("_have", F.array().cast("array<string>")))
+    missing = pairs.join(have, ["review_id", "label_id", "ref_id"], "left").withColumn("_lack", lacking).filter(F.size("_lack") > 0)
     out = known.select(*KEYS, "score", "pred_pos", "ref_pos")
-    for m in metric_ids:
-        out = out.unionByName(score_pairs(missing.filter(F.col("metric_id") == m).drop("metric_id"), [m], **how))
+    # Pairs that lack the same metrics are scored together, all their metrics in one pass.
+    for wanted in [r[0] for r in missing.select(F.array_sort("_lack").alias("w")).distinct().collect()]:  # few: subsets of the metrics asked for
+        some = missing.filter(F.array_sort("_lack") == F.array(*map(F.lit, wanted))).drop("_have", "_lack")
+        out = out.unionByName(score_pairs(some, wanted, **how))
     return out
 
 
+def store_scores(df: DataFrame, scores: DataFrame) -> DataFrame:
+    """Reviews with the scores in their label map, under reference and metric; scores there already are replaced, others stay.
+    Scores of reviews or labels that the set has not are passed over."""
+    entry = F.struct("metric_id", F.struct("score", "pred_pos", "ref_pos").alias("s"))
+    by_ref = scores.groupBy("review_id", "label_id", "ref_id").agg(F.map_from_entries(F.collect_list(entry)).alias("m"))
+    by_label = by_ref.groupBy("review_id", "label_id").agg(F.map_from_entries(F.collect_list(F.struct("ref_id", "m"))).alias("r"))
+    new = by_label.groupBy("review_id").agg(F.map_from_entries(F.collect_list(F.struct("label_id", "r"))).alias("_new"))
+    joined = df.join(new, "review_id", "left").withColumn("_new", F.col("_new").cast(f"map<string,{L.SCORES}>"))
+    both = lambda x, y: F.when(x.isNull(), y).when(y.isNull(), x).otherwise(F.map_zip_with(x, y, lambda _, a, b: F.coalesce(b, a)))
+    added = lambda k, x: L.with_scores(x, F.map_zip_with(x["scores"], F.try_element_at("_new", k), lambda _, a, b: both(a, b)))
+    changed = F.transform_values("labels", lambda k, x: F.when(F.map_contains_key(F.col("_new"), k), added(k, x)).otherwise(x))
+    return joined.withColumn("labels", F.when(F.col("_new").isNull(), F.col("labels")).otherwise(changed)).select(*df.columns)
+
+
+def score_labels(df: DataFrame, label_ids: list[str], ref_ids: list[str], metric_ids=M.DEFAULT_METRICS, **how) -> DataFrame:
+    """Reviews with each label scored against each reference; scores that are there already are not made again."""
+    pairs = label_pairs(df, label_ids, ref_ids)
+    known = L.scores_long(df)
+    return store_scores(df, score_missing(pairs, known, metric_ids, **how).join(known.select(*KEYS), list(KEYS), "left_anti"))
+
+
 def best_reference(scores: DataFrame, by: tuple[str, ...] = ("review_id", "label_id", "metric_id")) -> DataFrame:
     """The greatest score over the references, with its flags; nan never counts."""
     kept = scores.filter(F.col("score").isNotNull() & ~F.isnan("score"))

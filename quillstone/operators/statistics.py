@@ -14,21 +14,22 @@ GAP_EDGES = (-0.001, 0, DAY, 2 * DAY, 3 * DAY, 4 * DAY, 5 * DAY, 6 * DAY)
 LENGTHS = (("very short", 0, 15), ("short", 16, 25), ("medium", 26, 40), ("long", 41, 90), ("very long", 91, 100000))
 
 
-def _sample_std(c: Column) -> Column:
-    return F.stddev_samp(c)
-
-
 def describe(df: DataFrame, columns: list[str], by: list[str] | None = None, approximate: bool = False) -> DataFrame:
     """One row a column (and group): count, mean, std (n - 1), min, quartiles, max.
 
     Exact quartiles keep each distinct value of a group; approximate ones are of bounded size, for columns of
     very many distinct values.
     """
-    quartile = (lambda c, q: F.percentile_approx(c, q, 100_000).cast("double")) if approximate else (lambda c, q: F.percentile(c, F.lit(q)))
-    stats = lambda c: F.struct(F.lit(c).alias("column_name"), F.count(c).alias("count"), F.avg(c).alias("mean"), _sample_std(F.col(c)).alias("std"), F.min(c).cast("double").alias("min"), quartile(c, 0.25).alias("p25"), quartile(c, 0.5).alias("p50"), quartile(c, 0.75).alias("p75"), F.max(c).cast("double").alias("max"))
+    quartiles = (lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], 100_000)) if approximate else (lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
+
+    def stats(c: str) -> Column:
+        moments = [F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std")]
+        return F.struct(F.lit(c).alias("column_name"), *moments, F.min(c).cast("double").alias("min"), quartiles(c).alias("q"), F.max(c).cast("double").alias("max"))
+
     keys = by or []
-    one = df.groupBy(*keys).agg(F.array(*[stats(c) for c in columns]).alias("s"))
-    return one.select(*keys, F.inline("s"))
+    one = df.groupBy(*keys).agg(F.array(*[stats(c) for c in columns]).alias("s")).select(*keys, F.inline("s"))
+    cuts = [F.get("q", F.lit(i)).cast("double").alias(name) for i, name in enumerate(("p25", "p50", "p75"))]
+    return one.select(*keys, "column_name", "count", "mean", "std", "min", *cuts, "max")
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -136,11 +137,6 @@ def loss_statistics(log: DataFrame, mode: str = "training", keys: tuple[str, ...
     return rows.withColumn("p", F.exp(-F.col("loss"))).groupBy(*keys).agg(F.avg("p").alias("confidence"), F.stddev_samp("p").alias("variability"), F.count("*").alias("n"))
 
 
-def upper_median(values: Column) -> Column:
-    """sorted[n // 2] of a group."""
-    return F.element_at(F.array_sort(F.collect_list(values)), (F.count(values) / 2).cast("int") + 1)
-
-
 def token_length_statistics(df: DataFrame, length: str, limit: int) -> DataFrame:
     """Mean, upper median, least, most, and rows over a limit. The median counts rows a length, which are few."""
     counts = df.groupBy(F.col(length).alias("_length")).agg(F.count("*").alias("_n"))

@@ -89,7 +89,13 @@ def usage_indicator_count(spark, sf_dir):
     return load(spark, sf_dir, "documents").groupBy("lang").agg(F.sum(X.usage_count(F.col("text"))).alias("uses"))
 
 
-@query()
+_SYLLABLES = """greatest(1, len(list_filter(string_split_regex(CASE WHEN regexp_matches(c, '[^aeiouy]e$') THEN left(c, length(c) - 1) ELSE c END, '[^aeiouy]+'), lambda v: v <> '')))"""
+
+
+@query(f"""WITH w AS (SELECT doc_id, text, {W} AS w FROM documents),
+        s AS (SELECT doc_id, len(w) AS n, greatest(1, len(list_filter(string_split_regex(text, '[.!?]+(\s+|$)'), lambda p: len(list_filter(string_split_regex(p, '\s+'), lambda x: x <> '')) > 2)))::BIGINT AS sentences,
+            list_sum(list_transform(list_transform(w, lambda x: regexp_replace(lower(x), '[^a-z]', '', 'g')), lambda c: {_SYLLABLES})) AS y FROM w)
+        SELECT doc_id, sentences, coalesce(y, 0)::BIGINT AS syllables, CASE WHEN n = 0 THEN 0 ELSE round(206.835::DOUBLE - 1.015::DOUBLE * (n / sentences) - 84.6::DOUBLE * (y / n), 2) END AS flesch FROM s""")
 def readability(spark, sf_dir):
     t = F.col("text")
     return load(spark, sf_dir, "documents").select("doc_id", X.sentence_count(t).alias("sentences"), X.syllable_count(t).alias("syllables"), X.flesch_reading_ease(t).alias("flesch"))
@@ -509,18 +515,18 @@ def euclid_pairs(spark, sf_dir):
 
 @query(f"SELECT a, arg_max(b, (s, b)) AS b, round(max(s), 6) AS sim FROM (SELECT a.vec_id AS a, b.vec_id AS b, {_COS} AS s FROM {_PAIRED}) WHERE s >= 0.1 GROUP BY a")
 def most_similar(spark, sf_dir):
-    scored = _vector_pairs(spark, sf_dir).select("a", F.struct(F.col("b").alias("k"), S.cosine(F.col("x"), F.col("y")).alias("sim"), F.col("b").cast("string").alias("option")).alias("o"))
-    best = scored.groupBy("a").agg(S.most_similar(F.sort_array(F.collect_list("o")), 0.1).alias("m")).filter("m.option is not null")
-    return rounded(best.select("a", F.col("m.option").cast("long").alias("b"), F.col("m.sim").alias("sim")), "sim")
+    scored = _vector_pairs(spark, sf_dir).select("a", "b", S.cosine(F.col("x"), F.col("y")).alias("sim"))
+    best = S.best_of(scored, ["a"], "b", "sim", 0.1)
+    return rounded(best, "sim")
 
 
 def _phrase_pairs(spark, sf_dir):
-    """Vectors as phrases: those of even number are predictions of their label, the others references, ten of each."""
-    vectors = load(spark, sf_dir, "embeddings").filter("vec_id < 200").select("label", F.col("vec_id").alias("phrase"), "embedding")
-    return scoring.phrase_similarities(vectors.filter("phrase % 2 = 0"), vectors.filter("phrase % 2 = 1"), "label")
+    """Vectors as phrases: every fiftieth is a prediction of its label, all others are its references."""
+    vectors = load(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("phrase"), "embedding")
+    return scoring.phrase_similarities(vectors.filter("phrase % 50 = 0"), vectors.filter("phrase % 50 <> 0"), "label")
 
 
-_PHRASE_PAIRS = f"(SELECT a.label, a.vec_id AS p, b.vec_id AS r, {_COS} AS s FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id < 200 AND b.vec_id < 200 AND a.vec_id % 2 = 0 AND b.vec_id % 2 = 1)"
+_PHRASE_PAIRS = f"(SELECT a.label, a.vec_id AS p, b.vec_id AS r, {_COS} AS s FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id % 50 = 0 AND b.vec_id % 50 <> 0)"
 
 
 def _set_sql(agg: str) -> str:
@@ -581,16 +587,19 @@ def _scores(spark, sf_dir):
     """Three labels a document scored against each other, by arithmetic on ids."""
     ids = spark.createDataFrame([("x", "y"), ("x", "z"), ("y", "z")], "label_id string, ref_id string")
     rows = _flags(spark, sf_dir).crossJoin(F.broadcast(ids))  # three rows
-    value = (F.crc32(F.concat_ws("/", "review_id", "label_id", "ref_id").cast("binary")) % 1000) / 1000.0
-    return rows.withColumn("score", value).withColumn("metric_id", F.lit("m"))
+    place = F.when(F.col("ref_id") == "y", 3).when(F.col("label_id") == "x", 5).otherwise(7)
+    return rows.withColumn("score", (F.col("review_id").cast("long") * place % 1000) / 1000.0).withColumn("metric_id", F.lit("m"))
 
 
-@query()
+_CROSS = "(SELECT doc_id, l, r, (doc_id * m % 1000) / 1000.0::DOUBLE AS s FROM documents JOIN labels USING (doc_id), (VALUES ('x', 'y', 3), ('x', 'z', 5), ('y', 'z', 7)) v(l, r, m))"
+
+
+@query(f"SELECT 'm' AS metric_id, round(avg(m), 6) AS mean, round(avg(v), 6) AS variance FROM (SELECT doc_id, avg(s) AS m, var_pop(s) AS v FROM {_CROSS} GROUP BY 1)")
 def label_variance(spark, sf_dir):
     return rounded(scoring.label_variance(_scores(spark, sf_dir)), "mean", "variance")
 
 
-@query()
+@query(f"SELECT 'm' AS metric_id, l AS a, r AS b, round(avg(s), 6) AS mean, round(var_pop(s), 6) AS variance FROM {_CROSS} GROUP BY 2, 3")
 def label_variance_pairs(spark, sf_dir):
     return rounded(scoring.label_variance(_scores(spark, sf_dir), False), "mean", "variance")
 

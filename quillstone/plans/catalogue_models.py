@@ -61,7 +61,7 @@ def logprob_sums(spark, sf_dir):
 
 @query()
 def stem_phrases(spark, sf_dir):
-    return load(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", F.array_join(X.stem_phrases(phrases()), ";").alias("stems"))
+    return load(spark, sf_dir, "documents").select("doc_id", F.array_join(X.stem_phrases(phrases()), ";").alias("stems"))
 
 
 # -- documents -------------------------------------------------------------------------------------
@@ -112,9 +112,9 @@ def document_upgrade(spark, sf_dir):
     return out
 
 
-@query(f"SELECT doc_id::VARCHAR AS review_id, array_to_string(list_concat(['c' || (doc_id % 3)], [coalesce(o[1], '') || ' z']), ';') AS options FROM (SELECT *, {_PHRASES} AS o FROM documents WHERE doc_id % 10 < 3)")
+@query(f"SELECT doc_id::VARCHAR AS review_id, array_to_string(list_concat(['c' || (doc_id % 3)], [coalesce(o[1], '') || ' z']), ';') AS options FROM (SELECT *, {_PHRASES} AS o FROM documents)")
 def manifest_parse(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").filter("doc_id % 10 < 3").withColumn("o", F.coalesce(F.get(phrases(), F.lit(0)), F.lit("")))
+    docs = load(spark, sf_dir, "documents").withColumn("o", F.coalesce(F.get(phrases(), F.lit(0)), F.lit("")))
     marks = F.struct(F.array(F.array(F.struct(F.array("o", F.lit("z")).alias("tokens")))).alias("annotations"), F.array(F.array(F.concat(F.lit("c"), (F.col("doc_id") % 3).cast("string")))).alias("customUsageOptions"))
     content = lambda m: F.to_json(F.struct(F.to_json(m).alias("annotations")))
     worker = lambda i, m: F.struct(F.lit(i).alias("workerId"), F.struct(content(m).alias("content")).alias("annotationData"))
@@ -141,11 +141,27 @@ def _lists(spark, sf_dir):
     return rows.select("review_id", L.usage_options(F.col("labels"), "chat*").alias("p"), L.usage_options(F.col("labels"), "bp*").alias("r"))
 
 
+_EXACT = f"""(SELECT review_id, lang, source, p, g, CASE WHEN len(p) = 0 OR len(g) = 0 THEN (len(p) = 0 AND len(g) = 0)::INT ELSE i / len(p) END::DOUBLE AS precision,
+        CASE WHEN len(p) = 0 OR len(g) = 0 THEN (len(p) = 0 AND len(g) = 0)::INT ELSE i / len(g) END::DOUBLE AS recall, i
+        FROM (SELECT *, pred AS p, gold AS g, len(list_intersect(pred, gold)) AS i FROM {_LABELLED}))"""
+_F1 = "CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END"
+_METRICS = ("custom_mean_precision", "custom_mean_recall", "custom_mean_f1", "custom_min_f1", "custom_weighted_mean_precision", "custom_weighted_mean_recall", "custom_weighted_mean_f1")
+
+
+@query(f"""SELECT review_id, round(precision, 6) AS custom_mean_precision, round(recall, 6) AS custom_mean_recall, round({_F1}, 6) AS custom_mean_f1,
+        CASE WHEN precision = 1 AND recall = 1 THEN 1 ELSE 0 END::DOUBLE AS custom_min_f1, round(precision, 6) AS custom_weighted_mean_precision,
+        round(recall, 6) AS custom_weighted_mean_recall, round({_F1}, 6) AS custom_weighted_mean_f1 FROM {_EXACT}""")
+def exact_metrics(spark, sf_dir):
+    """Equal phrases are alike and no others: what the metrics make of similarities, without a model's."""
+    out = _lists(spark, sf_dir).select("review_id", M.metrics(_METRICS, F.col("p"), F.col("r"), kind="exact").alias("m"))
+    return rounded(out.select("review_id", "m.*"), *_METRICS)
+
+
 @query()
 def list_metrics(spark, sf_dir):
-    names = ("custom_mean_precision", "custom_mean_recall", "custom_mean_f1", "custom_min_f1", "custom_weighted_mean_precision", "custom_weighted_mean_recall", "custom_weighted_mean_f1", "custom_weighted_mean_f1_stem")
-    out = _lists(spark, sf_dir).select("review_id", *[M.metric(n, F.col("p"), F.col("r")).alias(n) for n in names])
-    return rounded(out, *names)
+    names = (*_METRICS, "custom_weighted_mean_f1_stem", "custom_weighted_mean_f1_lemmatize")
+    out = _lists(spark, sf_dir).select("review_id", M.metrics(names, F.col("p"), F.col("r")).alias("m"))
+    return rounded(out.select("review_id", "m.*"), *names)
 
 
 @query()
@@ -160,7 +176,8 @@ def ngram_metrics(spark, sf_dir):
     number = F.coalesce(F.pmod("doc_id", F.lit(max(1, items.count()))), F.lit(0)) + 1
     docs = load(spark, sf_dir, "documents").withColumn("k", number).join(items, "k")
     names = ("bleu", "sacrebleu", "rouge1", "rouge2", "rougeL", "rougeLsum")
-    return rounded(docs.select("doc_id", *[M.metric(n, F.array("text"), F.array("ref")).alias(n) for n in names]), *names)
+    scored = docs.select("doc_id", M.metrics(names, F.array("text"), F.array("ref")).alias("m"))
+    return rounded(scored.select("doc_id", "m.*"), *names)
 
 
 @query(f"""SELECT review_id, CASE WHEN len(p) = 0 THEN 0 ELSE len(list_intersect(p, r)) END::DOUBLE AS tp, len(list_filter(p, lambda x: NOT list_contains(r, x)))::DOUBLE AS fp,
@@ -172,32 +189,43 @@ def classification_counts(spark, sf_dir):
 
 def _exact_counts(p, r):
     """The counts with a comparator that knows equal phrases only."""
+    return M.counts("custom_classification_score", p, r, kind="exact")
 
-    def one_hot(phrase):
-        import zlib
 
-        import numpy as np
-
-        v = np.zeros(4096)
-        v[zlib.crc32(phrase.encode()) % 4096] = 1.0
-        v[(zlib.crc32(phrase.encode()[::-1]) >> 8) % 4096] += 1.0
-        return v
-
-    return M.counts("custom_classification_score", p, r, embed=one_hot, kind="cosine")
+@query(f"""SELECT review_id, CASE WHEN len(p) = 0 AND len(g) = 0 THEN 1 ELSE i END::DOUBLE AS tp, CASE WHEN len(p) = 0 AND len(g) = 0 THEN 0 ELSE greatest(len(p), 1) - i END::DOUBLE AS fp,
+        CASE WHEN len(p) = 0 AND len(g) = 0 THEN 0 ELSE greatest(len(g), 1) - i END::DOUBLE AS fn, CASE WHEN len(g) = 0 THEN (len(p) = 0)::INT ELSE i END::DOUBLE AS ntp,
+        (len(p) - i)::DOUBLE AS nfp, CASE WHEN len(g) = 0 THEN (len(p) > 0)::INT ELSE len(g) - i END::DOUBLE AS nfn FROM {_EXACT}""")
+def soft_classification(spark, sf_dir):
+    c = M.counts("custom_similarity_classification_score_with_negative_class", F.col("p"), F.col("r"), kind="exact")
+    d = M.counts("custom_classification_score_with_negative_class", F.col("p"), F.col("r"), kind="exact")
+    out = _lists(spark, sf_dir).select("review_id", c.alias("c"), d.alias("d"))
+    return out.select("review_id", "c.tp", "c.fp", "c.fn", F.col("d.tp").alias("ntp"), F.col("d.fp").alias("nfp"), F.col("d.fn").alias("nfn"))
 
 
-@query()
-def soft_classification(spark, sf_dir):
-    c = M.counts("custom_similarity_classification_score_with_negative_class", F.col("p"), F.col("r"))
-    d = M.counts("custom_classification_score_with_negative_class", F.col("p"), F.col("r"))
-    out = _lists(spark, sf_dir).select("review_id", c.alias("c"), d.alias("d")).select("review_id", "c.tp", "c.fp", "c.fn", F.col("d.tp").alias("ntp"), F.col("d.fp").alias("nfp"), F.col("d.fn").alias("nfn"))
-    return rounded(out, "tp", "fp", "fn")
+_BOTH_WAYS = f"(SELECT review_id, 'chat_gpt-v1' AS a, 'bp-golden' AS b, precision, recall, p, g FROM {_EXACT} UNION ALL SELECT review_id, 'bp-golden', 'chat_gpt-v1', recall, precision, g, p FROM {_EXACT})"
 
 
-@query()
+@query(f"""SELECT review_id, a AS label_id, b AS ref_id, metric_id, round(CASE WHEN metric_id = 'custom_mean_recall' THEN recall ELSE {_F1} END, 6) AS score, len(p) > 0 AS pred_pos, len(g) > 0 AS ref_pos
+        FROM {_BOTH_WAYS}, (VALUES ('custom_mean_f1'), ('custom_mean_recall')) v(metric_id)""")
 def score_pairs(spark, sf_dir):
     pairs = scoring.label_pairs(labelled(spark, sf_dir))
-    return rounded(scoring.score_pairs(pairs, ("custom_mean_f1", "custom_mean_recall")), "score")
+    return rounded(scoring.score_pairs(pairs, ("custom_mean_f1", "custom_mean_recall"), kind="exact"), "score")
+
+
+@query(f"""SELECT review_id, 'chat_gpt-v1' AS label_id, 'bp-golden' AS ref_id, metric_id, round(CASE WHEN metric_id = 'custom_mean_recall' THEN recall ELSE {_F1} END, 6) AS score
+        FROM {_EXACT}, (VALUES ('custom_mean_f1'), ('custom_mean_recall')) v(metric_id)""")
+def stored_scores(spark, sf_dir):
+    """Scores kept in the set's labels: one metric first, then the other beside it."""
+    rows = R.ReviewSet(labelled(spark, sf_dir)).score_labels(["chat*"], ["bp*"], ["custom_mean_f1"], kind="exact")
+    rows = rows.score_labels(["chat*"], ["bp*"], ["custom_mean_f1", "custom_mean_recall"], kind="exact")
+    return rounded(L.scores_long(rows.df).select("review_id", "label_id", "ref_id", "metric_id", "score"), "score")
+
+
+@query(f"SELECT review_id, 'chat_gpt-v1' AS label_id, 0 AS scores FROM {_LABELLED}")
+def deleted_label_scores(spark, sf_dir):
+    """A label's removal takes the scores against it along."""
+    rows = R.ReviewSet(labelled(spark, sf_dir)).score_labels(["chat*"], ["bp*"], ["custom_mean_f1"], kind="exact").delete_labels("bp*")
+    return rows.df.select("review_id", F.explode("labels").alias("label_id", "l")).select("review_id", "label_id", F.size("l.scores").alias("scores"))
 
 
 @query(f"SELECT CASE WHEN len(pred) > 0 AND len(gold) > 0 THEN 'TP' WHEN len(pred) > 0 THEN 'FP' WHEN len(gold) > 0 THEN 'FN' ELSE 'TN' END AS usage_class, count(*) AS count FROM {_LABELLED} GROUP BY 1")
@@ -207,10 +235,10 @@ def report_classes(spark, sf_dir):
     return scoring.score_report(scoring.scored_reviews(rows, scores, "chat_gpt-v1", ["bp-golden"], "custom_mean_f1"), "custom_mean_f1")["classes"]
 
 
-@query()
+@query(f"SELECT lang AS product_category, count(*) AS count, round(avg(f), 6) AS mean, round(stddev_samp(f), 6) AS std FROM (SELECT lang, {_F1} AS f FROM {_EXACT} WHERE len(p) > 0 AND len(g) > 0) GROUP BY 1")
 def report_by_category(spark, sf_dir):
     rows = labelled(spark, sf_dir)
-    scores = scoring.score_pairs(scoring.label_pairs(rows, ["chat_gpt-v1"], ["bp-golden"]), ("custom_mean_f1",))
+    scores = scoring.score_pairs(scoring.label_pairs(rows, ["chat_gpt-v1"], ["bp-golden"]), ("custom_mean_f1",), kind="exact")
     tables = scoring.score_report(scoring.scored_reviews(rows, scores, "chat_gpt-v1", ["bp-golden"], "custom_mean_f1"), "custom_mean_f1")
     return rounded(tables["by_product_category"], "mean", "std")
 

@@ -12,6 +12,7 @@ from quillstone.operators import review_sets as R
 from quillstone.operators import sampling as P
 from quillstone.operators import statistics as A
 from quillstone.plans.catalogue import _DIFF, _LABELLED, _PHRASES, _paired, labelled, load, phrases, query, rounded
+from quillstone.session import shared_path
 from quillstone.sources import documents, manifests
 
 
@@ -29,12 +30,12 @@ def class_similarity(spark, sf_dir):
     return S.pair_similarity(rows, known, "named_v1").select("event_id", "similarity")
 
 
-@query("""SELECT a.vec_id AS a, b.vec_id AS b, round(CASE WHEN a.vec_id = b.vec_id OR s >= 1 THEN 0 ELSE -ln(greatest(1e-6, s)) END, 6) AS far FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 100 = 0 AND b.vec_id < 100,
+@query("""SELECT a.vec_id AS a, b.vec_id AS b, round(CASE WHEN a.vec_id = b.vec_id OR s >= 1 THEN 0 ELSE -ln(greatest(1e-6, s)) END, 6) AS far FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 50 = 0,
         LATERAL (SELECT list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s) WHERE s > 0.001""")
 def log_distances(spark, sf_dir):
     v = load(spark, sf_dir, "embeddings")
-    a = v.filter("vec_id % 100 = 0").select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("x"))
-    pairs = a.join(v.filter("vec_id < 100").select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("y")), "label")
+    a = v.filter("vec_id % 50 = 0").select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("x"))
+    pairs = a.join(v.select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("y")), "label")
     out = pairs.withColumn("s", S.cosine(F.col("x"), F.col("y"))).filter("s > 0.001")
     return rounded(out.select("a", "b", S.log_distance(F.col("s"), F.col("a"), F.col("b")).alias("far")), "far")
 
@@ -83,7 +84,7 @@ def paired_scores(spark, sf_dir):
 @query()
 def significance_tests(spark, sf_dir):
     pairs = _paired(spark, sf_dir)
-    found = {"ttest": significance.t_test(pairs), "wilcoxon": significance.wilcoxon(pairs), "permutation": significance.permutation(pairs, replicates=200)}
+    found = {"ttest": significance.t_test(pairs), "wilcoxon": significance.wilcoxon(pairs), "permutation": significance.permutation(pairs}
     return spark.createDataFrame([(k, float(v["statistic"]), float(v["p"])) for k, v in found.items()], "test string, statistic double, p double")
 
 
@@ -102,9 +103,9 @@ def legacy_labels(spark, sf_dir):
     return documents.legacy_labels(docs).select("review_id", F.array_join("usage_options", ";").alias("options"))
 
 
-@query("SELECT doc_id::VARCHAR AS review_id, w AS \"workerId\", CASE WHEN w = 'w1' THEN source ELSE 'no' END AS options FROM documents, (VALUES ('w1'), ('w2')) v(w) WHERE doc_id < 100")
+@query("SELECT doc_id::VARCHAR AS review_id, w AS \"workerId\", CASE WHEN w = 'w1' THEN source ELSE 'no' END AS options FROM documents, (VALUES ('w1'), ('w2')) v(w)")
 def manifest_flat(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").filter("doc_id < 100")
+    docs = load(spark, sf_dir, "documents")
     marks = lambda c: F.to_json(F.struct(F.to_json(F.struct(F.array(F.array().cast("array<struct<tokens:array<string>>>")).alias("annotations"), F.array(F.array(c)).alias("customUsageOptions"))).alias("annotations")))
     worker = lambda i, c: F.struct(F.lit(i).alias("workerId"), F.struct(marks(c).alias("content")).alias("annotationData"))
     lines = docs.select(F.to_json(F.struct(F.array(F.struct(F.col("doc_id").cast("string").alias("review_id"))).alias("metadata"), F.struct(F.array(worker("w1", F.col("source")), worker("w2", F.lit("no"))).alias("annotationsFromAllWorkers")).alias("run"), F.struct(F.lit("run").alias("job-name")).alias("m"))).alias("value"))
@@ -148,8 +149,7 @@ def symbols_replaced(spark, sf_dir):
 
 @query("SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5('3:' || doc_id::VARCHAR), doc_id) AS k FROM documents) WHERE k <= 5")
 def sample_per_class(spark, sf_dir):
-    ranked = P._rank(load(spark, sf_dir, "documents").select("lang", "doc_id"), [P.draw(3, "doc_id"), F.col("doc_id")], ["lang"])
-    return ranked.filter("_rank <= 5").select("lang", "doc_id")
+    return P.sample_per_group(load(spark, sf_dir, "documents").select("lang", "doc_id"), ["lang"], 5, 3, "doc_id")
 
 
 @query()
@@ -161,14 +161,9 @@ def loss_map_clusters(spark, sf_dir):
 @query("SELECT count(*) AS n, round(sum(o_totalprice), 2) AS total, (min(o_orderdate)::VARCHAR)[:10] AS first FROM orders")
 def table_round_trip(spark, sf_dir):
     """Written as tab-separated text to a folder of the shared file system, and read back."""
-    import os
-    import tempfile
-    import uuid
-
     from quillstone.sources.tables import write_table
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + os.path.join(tempfile.gettempdir(), "quillstone-shared")
-    path = f"{base}/tsv-{uuid.uuid4().hex}"
+    path = shared_path(spark, "tsv")
     orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.col("o_orderdate").cast("string").alias("o_orderdate"))
     write_table(orders, path, "tsv")
     back = spark.read.schema(orders.schema).option("sep", "\t").option("header", True).option("quote", "").csv(path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -27,6 +28,16 @@ def ship_package(spark: SparkSession, root: str) -> None:
     _shipped.add(app)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that all machines share (spark.checkpoint.dir); a session on one machine may go without."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        base = "file://" + os.path.join(tempfile.gettempdir(), "quillstone-shared")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def local_session(cpus: str = "8", **conf: str) -> SparkSession:
     """A local session for tests and benchmarks."""
     builder = SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", cpus if cpus.isdigit() else "8")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.operators import labels as L
-from quillstone.operators.review_sets import ATTRIBUTES, VERSION, ReviewSet, merge
+from quillstone.operators.review_sets import ATTRIBUTES, VERSION, ReviewSet, merge, merge_label_maps
 
 _SCORE = "map<string,map<string,array<string>>>"
 
@@ -63,10 +63,13 @@ def _old_label(review: Column, label_id: str, source: str, created_at: Column) -
     return F.when(text.isNull(), none).otherwise(F.create_map(F.lit(label_id), label))
 
 
-def parse_documents(docs: DataFrame, version: int, created_at: str = "1970-01-01T00:00:00+00:00", label_id: str | None = None, source: str = "labellingTool") -> DataFrame:
+def parse_documents(
+    docs: DataFrame, version: int, created_at: str = "1970-01-01T00:00:00+00:00", label_id: str | None = None, source: str = "labellingTool", keys: tuple[str, ...] = ()
+) -> DataFrame:
     """Reviews of documents (column value: JSON texts) of one version.
 
-    Of reviews that repeat an id in a document the last counts. created_at stands where a version has no time.
+    Of reviews that repeat an id in a document the last counts (with `keys`, other columns of docs, once for each value of
+    those). created_at stands where a version has no time.
     """
     if version == 0 and label_id is None:
         raise ValueError("documents of version 0 need a label id")
@@ -76,36 +79,58 @@ def parse_documents(docs: DataFrame, version: int, created_at: str = "1970-01-01
     bare = F.startswith(F.ltrim("value"), F.lit("["))
     text = F.when(bare, F.col("value")).otherwise(F.try_element_at(body, F.lit("reviews")))
     if version < 2:
-        rows = docs.select(F.posexplode(F.from_json(text, "array<map<string,string>>")).alias("_pos", "_r")).withColumn("review_id", F.try_element_at("_r", F.lit("review_id")))
+        rows = docs.select(*keys, F.posexplode(F.from_json(text, "array<map<string,string>>")).alias("_pos", "_r")).withColumn("review_id", F.try_element_at("_r", F.lit("review_id")))
     else:
         entries = F.map_entries(F.from_json(text, "map<string,map<string,string>>"))
-        rows = docs.select(F.posexplode(entries).alias("_pos", "_e")).select("_pos", F.col("_e.key").alias("review_id"), F.col("_e.value").alias("_r"))
+        rows = docs.select(*keys, F.posexplode(entries).alias("_pos", "_e")).select(*keys, "_pos", F.col("_e.key").alias("review_id"), F.col("_e.value").alias("_r"))
     review, now = F.col("_r"), F.lit(created_at)
     if version == 0:
         labels = _old_label(review, label_id, source, now)
     else:
         parsed = F.coalesce(F.from_json(F.try_element_at(review, F.lit("labels")), "map<string,map<string,string>>"), F.create_map().cast("map<string,map<string,string>>"))
         labels = F.transform_values(parsed, lambda _, x: upgrade_label(x, version, now))
-    flat = rows.select("review_id", *_attributes(review), labels.cast(L.LABELS).alias("labels"), "_pos")
-    columns = [c for c in flat.columns if c not in ("review_id", "_pos")]
-    last = flat.groupBy("review_id").agg(F.max_by(F.struct(*columns), "_pos").alias("r"))
-    return last.select("review_id", *[F.col(f"r.{c}").alias(c) for c in columns])
+    flat = rows.select(*keys, "review_id", *_attributes(review), labels.cast(L.LABELS).alias("labels"), "_pos")
+    columns = [c for c in flat.columns if c not in (*keys, "review_id", "_pos")]
+    last = flat.groupBy(*keys, "review_id").agg(F.max_by(F.struct(*columns), "_pos").alias("r"))
+    return last.select(*keys, "review_id", *[F.col(f"r.{c}").alias(c) for c in columns])
 
 
-def document_version(docs: DataFrame) -> int:
+def version_of(value: Column) -> Column:
     """Version that a document states; a bare list or none stated: 0."""
-    row = docs.select(F.max(F.coalesce(F.try_element_at(F.from_json("value", "map<string,string>"), F.lit("version")).try_cast("int"), F.lit(0)))).first()
-    return row[0] or 0
+    return F.coalesce(F.try_element_at(F.from_json(value, "map<string,string>"), F.lit("version")).try_cast("int"), F.lit(0))
 
 
-def read_documents(spark: SparkSession, *paths: str, **how) -> ReviewSet:
-    """Documents of any version, upgraded and merged from left to right; folders are read by their *.json files."""
+def parse_files(docs: DataFrame, version: int | None = None, **how) -> DataFrame:
+    """Reviews of documents (columns file, value), each of its own version, merged in the order of their files: attributes of
+    the first file that has a review, labels of all."""
+    if version is None:
+        tagged = docs.withColumn("_version", version_of(F.col("value")))
+        versions = [r[0] for r in tagged.select("_version").distinct().collect()]  # there are few versions
+        parts = [parse_documents(tagged.filter(F.col("_version") == v), v, keys=("file",), **how) for v in versions]
+    else:
+        parts = [parse_documents(docs, version, keys=("file",), **how)]
+    if not parts:
+        parts = [parse_documents(docs, VERSION, keys=("file",), **how)]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    columns = [c for c in rows.columns if c not in ("file", "review_id", "labels")]
+    # An entry for each file that holds a review.
+    grouped = rows.groupBy("review_id").agg(F.min_by(F.struct(*columns), "file").alias("r"), F.map_from_entries(F.collect_list(F.struct("file", "labels"))).alias("m"))
+    files = F.array_sort(F.map_keys("m"))
+    labels = F.aggregate(F.slice(files, 2, F.size(files)), F.element_at("m", F.element_at(files, 1)), lambda a, k: merge_label_maps(a, F.element_at("m", k)))
+    return grouped.select("review_id", *[F.col(f"r.{c}").alias(c) for c in columns], labels.alias("labels"))
+
+
+def read_documents(spark: SparkSession, *paths: str, lines: bool = False, **how) -> ReviewSet:
+    """Documents of any version, upgraded and merged from left to right; folders are read by their *.json files in the order
+    of their names. With lines, every line of a text file is a document of its own (save_lines)."""
     if not paths:
         raise ValueError("no document is named")
     out = None
     for path in paths:
-        docs = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
-        reviews = parse_documents(docs, how.get("version", document_version(docs)), **{k: v for k, v in how.items() if k != "version"})
+        reader = spark.read if lines else spark.read.option("pathGlobFilter", "*.json")
+        reviews = parse_files(reader.text(path, wholetext=not lines).select(F.col("_metadata.file_path").alias("file"), "value"), **how)
         out = reviews if out is None else merge(out, reviews)
     return ReviewSet(out, paths[0] if len(paths) == 1 else None)
 
@@ -132,12 +157,43 @@ def _written(column: str) -> Column:
     return F.transform_values("labels", lambda _, x: F.struct(*[(scores(x[f]) if f == "scores" else x[f]).alias(f) for f in fields])).alias("labels")
 
 
+def _entries(reviews: ReviewSet) -> Column:
+    return F.struct(*[_written(c) for c in reviews.df.columns if c != "review_id"])
+
+
+def document_lines(reviews: ReviewSet) -> DataFrame:
+    """(place, review_id, value): the lines of the one document of a set, without the commas between reviews."""
+    line = F.concat(F.to_json(F.create_map("review_id", _entries(reviews))))
+    rows = reviews.df.select(F.lit(1).alias("place"), "review_id", F.substring(line, F.lit(2), F.length(line) - 2).alias("value"))
+    ends = reviews.df.sparkSession.createDataFrame([(0, None, f'{{"version":{VERSION},"reviews":{{'), (2, None, "}}")], "place int, review_id string, value string")
+    return rows.unionByName(ends)
+
+
 def save_documents(reviews: ReviewSet, path: str | None = None) -> None:
-    """One document a review in a folder of text files; a set without a path is an error."""
+    """One document {version, reviews} in one file, reviews by id; a set without a path is an error.
+
+    One file is written by one task, row by row; save_lines writes a large set in parallel.
+    """
     path = path or reviews.save_path
     if not path:
         raise ValueError("there is no path to save to")
-    inner = F.create_map(F.col("review_id"), F.struct(*[_written(c) for c in reviews.df.columns if c != "review_id"]))
+    spark = reviews.df.sparkSession
+    ordered = document_lines(reviews).repartition(1).sortWithinPartitions("place", "review_id").withColumn("_n", F.monotonically_increasing_id())
+    comma = F.when((F.col("place") == 1) & (F.col("_n") > 1), F.lit(",")).otherwise(F.lit(""))
+    folder = f"{path}.parts"
+    ordered.select(F.concat(comma, "value").alias("value")).write.mode("overwrite").text(folder)
+    jvm = spark._jvm.org.apache.hadoop.fs
+    source, target = jvm.Path(folder), jvm.Path(path)
+    files = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    (part,) = [f.getPath() for f in files.globStatus(jvm.Path(f"{folder}/part-*"))]
+    files.delete(target, True)
+    files.rename(part, target)
+    files.delete(source, True)
+
+
+def save_lines(reviews: ReviewSet, path: str) -> None:
+    """A document a review, one a line, in as many files as there are partitions."""
+    inner = F.create_map(F.col("review_id"), _entries(reviews))
     reviews.df.select(F.to_json(F.struct(F.lit(VERSION).alias("version"), inner.alias("reviews"))).alias("value")).write.text(path)
 
 

@@ -3,23 +3,35 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstone.operators.cleaning import REVIEW_SCHEMA
 
 
+BAD = "_malformed"
+
+
 def tsv_schema(flags_as_numbers: bool = False) -> T.StructType:
     kind = lambda f: T.ByteType() if flags_as_numbers and f.name in ("vine", "verified_purchase") else f.dataType
     return T.StructType([T.StructField(f.name, kind(f)) for f in REVIEW_SCHEMA])
 
 
-def read_tsv(spark: SparkSession, path: str | list[str], flags_as_numbers: bool = False, schema: T.StructType | None = None) -> DataFrame:
+def read_tsv(spark: SparkSession, path: str | list[str], flags_as_numbers: bool = False, schema: T.StructType | str | None = None) -> DataFrame:
     """Tab-separated files with a header line and no quoting; lines with too many columns or wrong types are dropped.
 
-    A folder is read by its *.tsv files, plain or compressed; several paths make one table.
+    A folder is read by its *.tsv files, plain or compressed; several paths make one table. All columns are parsed
+    whatever is asked for: a line counts as malformed by all of them, so counts and columns are of the same rows.
     """
-    reader = spark.read.schema(schema or tsv_schema(flags_as_numbers)).option("sep", "\t").option("header", True).option("quote", "").option("mode", "DROPMALFORMED").option("enforceSchema", True)
-    return reader.option("pathGlobFilter", "*.tsv*").csv(path)
+    own = schema or tsv_schema(flags_as_numbers)
+    own = T.StructType.fromDDL(own) if isinstance(own, str) else own
+    names = [f.name for f in own]
+    reader = spark.read.schema(T.StructType([*own, T.StructField(BAD, T.StringType())])).option("sep", "\t").option("header", True).option("quote", "")
+    reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD).option("enforceSchema", True)
+    rows = reader.option("pathGlobFilter", "*.tsv*").csv(path)
+    # True of every row, but it takes all columns to know.
+    parsed = F.xxhash64(*[F.col(f"`{n}`") for n in names]) >= F.lit(-(1 << 63)).cast("long")
+    return rows.filter(F.col(BAD).isNull() & parsed).select(*[F.col(f"`{n}`") for n in names])
 
 
 def read_table(spark: SparkSession, path: str, file_type: str = "parquet") -> DataFrame:

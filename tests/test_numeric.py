@@ -110,3 +110,37 @@ def test_bleu_and_rouge():
     assert 0 < M.bleu(["the cat sat on the"], ref) < 1
     assert M.rouge_n(["the cat"], ref, 1) == pytest.approx(2 * (2 / 2 * 2 / 6) / (2 / 2 + 2 / 6))
     assert M.rouge_l(["the mat"], ref) == pytest.approx(0.5)
+
+
+def test_counts_of_repeated_phrases_and_empty_sides():
+    """A prediction counts as often as it stands there, a reference once; no prediction is no false one."""
+    same = M.Phrases(kind="exact")
+    assert M.negative_class_counts([], ["a", "b"], same) == {"tp": 0.0, "fp": 0.0, "tn": math.inf, "fn": 2.0}
+    assert M.threshold_counts(["x", "x", "a"], ["a", "a"], same) == {"tp": 1.0, "fp": 2.0, "tn": 0.0, "fn": 0.0}
+    assert M.soft_counts([], ["a"], same) == {"tp": 0.0, "fp": 1.0, "tn": math.inf, "fn": 1.0}
+    assert M.listed(["A  b", "a b", None]) == ["a b", "a b"] and M.clean(["A  b", "a b", None]) == ["a b"]
+
+
+def test_comparators_of_texts_and_classes():
+    for kind in M.TEXT_KINDS:
+        s = M.Phrases(kind=kind)(["the cat sat on mats", "dog"], ["the cat sat on mats", "zebra"])
+        assert s[0, 0] == pytest.approx(1) and s[1, 1] == 0
+    M.register_class_metric("told", {("a", "b"): "very similar"}, "named_v1")
+    assert M.METRICS["told"][0](["a"], ["b"], None) == pytest.approx(0.9) == M.METRICS["told"][0](["b"], ["a"], None)
+    assert M.METRICS.pop("told")[0](["a"], ["c"], None) == 0
+    with pytest.raises(ValueError):
+        M.Phrases(kind="none")
+
+
+def test_lemmatised_words():
+    M.set_lemmatizer(lambda w: {"mice": "mouse"}.get(w, w))
+    try:
+        assert M.clean(["Catching mice", "catching mouse"], "lemmatize") == ["catching mouse"]
+    finally:
+        M.set_lemmatizer(lambda w: w)
+
+
+def test_lines_and_marks():
+    assert M.rouge_lsum(["a b\nc d"], ["c d\na b"]) == pytest.approx(1) and M.rouge_l(["a b\nc d"], ["c d\na b"]) == pytest.approx(0.5)
+    assert M.rouge_lsum(["a b c"], ["a x c"]) == M.rouge_l(["a b c"], ["a x c"])
+    assert M.words_and_marks("Hello, it's 3.5 or 1,000 (now)-then 2-3.") == ["Hello", ",", "it's", "3.5", "or", "1,000", "(", "now", ")", "-then", "2", "-", "3", "."]

@@ -1,4 +1,5 @@
 import fnmatch
+import json
 import re
 
 import pytest
@@ -156,10 +157,67 @@ def test_document_files(spark, tmp_path):
     both = documents.read_documents(spark, str(tmp_path / "v3.json"), str(tmp_path / "v0.json"), label_id="old")
     assert both["a"].labels["old"].usageOptions == ["c", "p q"] and both["b"].labels == {}
     assert "isFlagged" in both["a"].labels["old"].metadata and "replacement" not in both["a"].labels["old"].metadata
-    documents.save_documents(both, str(tmp_path / "out"))
-    back = documents.parse_documents(spark.read.option("wholetext", False).text(str(tmp_path / "out")), 5)
-    assert {r.review_id: r.asDict(True) for r in back.collect()} == {r.review_id: r.asDict(True) for r in both.df.collect()}
+    rows = {r.review_id: r.asDict(True) for r in both.df.collect()}
+    documents.save_documents(both, str(tmp_path / "out.json"))
+    saved = json.loads((tmp_path / "out.json").read_text())
+    assert saved["version"] == 5 and list(saved["reviews"]) == ["a", "b"] and saved["reviews"]["a"]["labels"]["g"]["scores"] == {"r": {"m": [1.0, True, False]}}
+    back = documents.read_documents(spark, str(tmp_path / "out.json"))
+    assert {r.review_id: r.asDict(True) for r in back.df.collect()} == rows
+    documents.save_lines(both, str(tmp_path / "lines"))
+    assert {r.review_id: r.asDict(True) for r in documents.read_documents(spark, str(tmp_path / "lines"), lines=True).df.collect()} == rows
+    documents.save_documents(R.ReviewSet(both.df.limit(0)), str(tmp_path / "none.json"))
+    assert json.loads((tmp_path / "none.json").read_text()) == {"version": 5, "reviews": {}}
+    assert len(documents.read_documents(spark, str(tmp_path / "none.json"))) == 0
     with pytest.raises(ValueError):
         documents.read_documents(spark)
     with pytest.raises(ValueError):
         documents.save_documents(R.ReviewSet(both.df))
+
+
+def test_files_of_a_folder_are_merged(spark, tmp_path):
+    """Each file has its own version; labels of all files stay, attributes are the first file's, and a repeated id within a file
+    counts last."""
+    label = lambda o: {"createdAt": "t", "usageOptions": [o], "metadata": {}, "scores": {}, "datasets": [], "augmentations": {}}
+    folder = tmp_path / "set"
+    folder.mkdir()
+    (folder / "a.json").write_text(json.dumps({"version": 5, "reviews": {"r1": {"review_body": "one", "labels": {"x": label("p")}}, "r2": {"review_body": "two", "labels": {}}}}))
+    (folder / "b.json").write_text(json.dumps({"version": 5, "reviews": {"r1": {"review_body": "other", "labels": {"y": label("q")}}}}))
+    (folder / "c.json").write_text(json.dumps([{"review_id": "r3", "review_body": "old", "label": {"customUsageOptions": ["c"], "annotations": []}}, {"review_id": "r1", "review_body": "z", "label": {"customUsageOptions": ["d"], "annotations": []}}]))
+    rows = {r.review_id: r for r in documents.read_documents(spark, str(folder), label_id="v0").df.collect()}
+    assert set(rows) == {"r1", "r2", "r3"} and rows["r1"].review_body == "one"
+    assert {k: v.usageOptions for k, v in rows["r1"].labels.items()} == {"x": ["p"], "y": ["q"], "v0": ["d"]}
+    assert rows["r3"].labels["v0"].usageOptions == ["c"] and rows["r2"].labels == {}
+    apart = documents.read_documents(spark, *(str(folder / f) for f in ("a.json", "b.json", "c.json")), label_id="v0")
+    assert {r.review_id: r.asDict(True) for r in apart.df.collect()} == {k: r.asDict(True) for k, r in rows.items()}
+
+
+def test_scores_are_stored_in_the_set(spark):
+    """The two-review fixture: weighted precision, recall and F1 are 0.5 on average; what is known is not made again."""
+    def review(i, pred, ref):
+        made = lambda o: ("t", o, [], "{}", {}, {})
+        return (i, {"openai-m": made(pred), "bp-golden": made(ref)})
+
+    rs = R.ReviewSet(spark.createDataFrame([review("a", ["going crazy"], []), review("b", ["sleeping"], ["sleeping"])], f"review_id string, labels {L.LABELS}"))
+    names = ["custom_weighted_mean_precision", "custom_weighted_mean_recall", "custom_weighted_mean_f1"]
+    first = rs.score_labels(["openai*"], ["bp*"], names[:1])
+    scored = first.score_labels(["openai*"], ["bp*"], names)
+    long = L.scores_long(scored.df)
+    means = {r.metric_id: r.mean for r in scoring.mean_scores(long).collect()}
+    assert means == {n: pytest.approx(0.5, abs=1e-6) for n in names} and long.count() == 6
+    assert {(r.review_id, r.pred_pos, r.ref_pos) for r in long.collect()} == {("a", True, False), ("b", True, True)}
+    back = L.pivot_labels(L.labels_long(scored.df), long)
+    assert sorted(map(tuple, L.scores_long(back).collect())) == sorted(map(tuple, long.collect()))
+    gone = scored.delete_labels("bp*")
+    assert gone.label_ids() == ["openai-m"] and L.scores_long(gone.df).count() == 0 and L.scores_long(scored.reset_scores().df).count() == 0
+    assert [r.review_id for r in scored] == ["a", "b"] and [r.review_id for r in scored.slice(1, 5)] == ["b"]
+    made = scored.annotate(lambda texts: [["x"] for _ in texts], "new", "t", text="review_id")
+    assert made["a"].labels["new"].usageOptions == ["x"]
+
+
+def test_decisions_by_hand(spark):
+    label = ("t", ["keep me", "drop me", "change me", "undecided"], [], "{}", {}, {})
+    df = spark.createDataFrame([("a", {"chat_gpt-1": label}), ("b", {"chat_gpt-1": label}), ("c", {})], f"review_id string, labels {L.LABELS}")
+    told = spark.createDataFrame([("a", "keep me", True, ""), ("a", "drop me", False, None), ("a", "change me", True, "changed"), ("c", "x", True, None)], "review_id string, usage_option string, keep boolean, revised string")
+    rows = {r.review_id: r.labels for r in L.apply_decisions(df, told, F.lit("now")).collect()}
+    assert rows["a"]["bp-chat_gpt_correction"].usageOptions == ["keep me", "undecided", "changed"]
+    assert set(rows["b"]) == {"chat_gpt-1"} and rows["c"] == {}

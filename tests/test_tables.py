@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -118,13 +119,69 @@ def test_clusters_by_count_and_by_distance():
         assert len(set(clustering.link(D, linkage, n_clusters=2))) == 2
     with pytest.raises(ValueError):
         clustering.link(D, "average")
-    q = clustering.quality(X, by_count)
-    assert q["silhouette"] > 0.5 and q["sim_in_cluster"] > 0.9
     assert clustering.communities(X, 0.9, 2).tolist() == [0, 0, 1, 1, -1]
     with pytest.raises(ValueError):
         clustering.sweep()
 
 
+def brute_quality(X, labels):
+    """Silhouette, Davies-Bouldin, Calinski-Harabasz, mean similarity within clusters and to their centres, best and worst cluster."""
+    names = np.unique(labels)
+    D, k, n = clustering.distances(X, "euclidean"), len(names), len(X)
+    sums = np.stack([D[:, labels == c].sum(1) for c in names], axis=1)
+    sizes = np.array([(labels == c).sum() for c in names])
+    own = np.searchsorted(names, labels)
+    a = sums[np.arange(n), own] / np.maximum(1, sizes[own] - 1)
+    others = sums / sizes
+    others[np.arange(n), own] = np.inf
+    b = others.min(1) if k > 1 else np.zeros(n)
+    sil = np.where(sizes[own] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0)
+    C = np.stack([X[labels == c].mean(0) for c in names])
+    scatter = np.array([np.linalg.norm(X[labels == c] - C[i], axis=1).mean() for i, c in enumerate(names)])
+    between = clustering.distances(C, "euclidean")
+    np.fill_diagonal(between, np.inf)
+    within = sum(((X[labels == c] - C[i]) ** 2).sum() for i, c in enumerate(names))
+    spread = (sizes * ((C - X.mean(0)) ** 2).sum(1)).sum()
+    cos = 1 - clustering.distances(X, "cosine")
+    mean_sim = np.array([cos[np.ix_(labels == c, labels == c)].mean() for c in names])
+    centre_sim = np.array([(X[labels == c] @ C[i] / np.maximum(1e-300, np.linalg.norm(X[labels == c], axis=1) * np.linalg.norm(C[i]))).mean() for i, c in enumerate(names)])
+    return {"silhouette": float(sil.mean()), "davies_bouldin": float(((scatter[:, None] + scatter[None]) / between).max(1).mean()) if k > 1 else 0.0, "calinski_harabasz": float(spread / (k - 1) / (within / (n - k))) if 1 < k < n and within else 0.0, "sim_in_cluster": float(mean_sim.mean()), "sim_to_centroid": float(centre_sim.mean()), "best": float(names[mean_sim.argmax()]), "worst": float(names[mean_sim.argmin()])}
+
+
+@pytest.mark.parametrize("block", [2048, 17])
+def test_cluster_quality_against_brute_force(spark, block):
+    rng = np.random.default_rng(4)
+    labels = rng.integers(0, 5, 120)
+    labels[0] = 9  # a cluster of one
+    X = rng.normal(size=(5, 6))[labels % 5] * 2 + rng.normal(size=(120, 6))
+    df = spark.createDataFrame([(i, x.tolist(), int(c)) for i, (x, c) in enumerate(zip(X, labels))], "vec_id long, embedding array<double>, cluster int")
+    got = {r.measure: r.value for r in clustering.cluster_quality(df, block=block).collect()}
+    assert got == pytest.approx(brute_quality(X, labels), rel=1e-9, abs=1e-9)
+
+
+def test_spectral_clusters(spark):
+    """Two rings, one in the other: spectral clusters part them, with all points as landmarks and with a third of them."""
+    angle = np.linspace(0, 2 * np.pi, 150, endpoint=False)
+    rings = np.concatenate([r * np.stack((np.cos(angle), np.sin(angle)), axis=1) for r in (1, 6)])
+    for some in (rings, rings[::3]):
+        found = clustering.spectral(some, 2)(rings)
+        assert len(set(found[:150])) == len(set(found[150:])) == 1 and found[0] != found[150]
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(rings)] + [(999, None, 1.0)], "id long, confidence double, variability double")
+    for landmarks in (1500, 100):
+        got = {r.id: r.cluster for r in clustering.loss_map_clusters(df, 2, landmarks=landmarks).collect()}
+        assert len(got) == 300 and len({got[i] for i in range(150)}) == len({got[i] for i in range(150, 300)}) == 1 and got[0] != got[150]
+    with pytest.raises(ValueError):
+        clustering.loss_map_clusters(df, 2, method="ward")
+
+
+def test_malformed_lines_are_dropped_whatever_is_asked_for(spark, tmp_path):
+    path = tmp_path / "x.tsv"
+    path.write_text("a\tb\tc\n1\tx\t1\n2\ty\t2\t9\n3\tz\tno\n4\t\"q\t4\n")
+    df = tables.read_tsv(spark, str(path), schema="a int, b string, c int")
+    assert [tuple(r) for r in df.collect()] == [(1, "x", 1), (4, '"q', 4)]
+    assert df.count() == 2 and [r.b for r in df.select("b").collect()] == ["x", '"q'] and df.filter("a > 1").count() == 1
+
+
 def test_clusters_refuse_too_many(spark):
     df = spark.range(5).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0)).alias("embedding"))
     with pytest.raises(ValueError):
