@@ -92,7 +92,7 @@ def usage_indicator_count(spark, sf_dir):
 _SYLLABLES = """greatest(1, len(list_filter(string_split_regex(CASE WHEN regexp_matches(c, '[^aeiouy]e$') THEN left(c, length(c) - 1) ELSE c END, '[^aeiouy]+'), lambda v: v <> '')))"""
 
 
-@query(f"""WITH w AS (SELECT doc_id, text, {W} AS w FROM documents),
+@query(rf"""WITH w AS (SELECT doc_id, text, {W} AS w FROM documents),
         s AS (SELECT doc_id, len(w) AS n, greatest(1, len(list_filter(string_split_regex(text, '[.!?]+(\s+|$)'), lambda p: len(list_filter(string_split_regex(p, '\s+'), lambda x: x <> '')) > 2)))::BIGINT AS sentences,
             list_sum(list_transform(list_transform(w, lambda x: regexp_replace(lower(x), '[^a-z]', '', 'g')), lambda c: {_SYLLABLES})) AS y FROM w)
         SELECT doc_id, sentences, coalesce(y, 0)::BIGINT AS syllables, CASE WHEN n = 0 THEN 0 ELSE round(206.835::DOUBLE - 1.015::DOUBLE * (n / sentences) - 84.6::DOUBLE * (y / n), 2) END AS flesch FROM s""")

@@ -84,7 +84,7 @@ def paired_scores(spark, sf_dir):
 @query()
 def significance_tests(spark, sf_dir):
     pairs = _paired(spark, sf_dir)
-    found = {"ttest": significance.t_test(pairs), "wilcoxon": significance.wilcoxon(pairs), "permutation": significance.permutation(pairs}
+    found = {"ttest": significance.t_test(pairs), "wilcoxon": significance.wilcoxon(pairs), "permutation": significance.permutation(pairs)}
     return spark.createDataFrame([(k, float(v["statistic"]), float(v["p"])) for k, v in found.items()], "test string, statistic double, p double")
 
 
