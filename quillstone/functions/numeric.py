@@ -132,3 +132,9 @@ def break_even(fixed: float, per_request: float, other_per_request: float) -> in
     """The first number of requests at which a fixed cost and a cheaper request cost less than dearer requests."""
     gain = other_per_request - per_request
     return math.floor(fixed / gain) + 1 if gain > 0 else None
+
+
+def break_even_table(costs):
+    """Adds break_even to rows of (fixed, per_request, other_per_request), as break_even has it; null where it never comes."""
+    gain = F.col("other_per_request") - F.col("per_request")
+    return costs.withColumn("break_even", F.when(gain > 0, F.floor(F.col("fixed") / gain) + 1))

@@ -70,6 +70,29 @@ def augment_texts(df: DataFrame, strategy, aug_set: str, parts: tuple[str, ...],
     return one.withColumn("labels", F.when(F.col("_k").isNull(), F.col("labels")).otherwise(F.map_concat(F.map_filter("labels", lambda k, _: k != F.col("_k")), F.create_map("_k", label)))).select(*df.columns)
 
 
+def round_trips(transform: Callable[[list[str]], list[str]], rounds: int) -> Callable[[list[str]], list[str]]:
+    """transform (there and back again, say through another language) applied to its own outcome so many times."""
+    if rounds < 1:
+        raise ValueError("there is one round at least")
+
+    def run(texts: list[str]) -> list[str]:
+        for _ in range(rounds):
+            texts = transform(texts)
+        return texts
+
+    return run
+
+
+def choose_examples(df: DataFrame, label_id: str, n: int, order: str | None = None, seed: int = 0) -> list[tuple[str, str]]:
+    """(text, joined options) of n reviews with the label, for the examples of a prompt: drawn by hash, or the first by a column."""
+    from quillstone.functions.text import join_options
+
+    has = df.filter(F.map_contains_key("labels", F.lit(label_id)))
+    by = [F.col(order)] if order else [sampling.draw(seed, "review_id")]
+    rows = has.orderBy(*by, "review_id").limit(n).select("review_body", join_options(F.element_at("labels", F.lit(label_id))["usageOptions"]).alias("o"))
+    return [(r.review_body, r.o) for r in rows.collect()]
+
+
 def option_texts(options: Column, mode: str = "default", seed: int = 0, key: Column | None = None) -> Column:
     """Target texts of a label's options: joined; one each (flat); joined in an order drawn by hash (shuffle);
     or the first n permutations of that order (shuffle-n, shuffle-all)."""

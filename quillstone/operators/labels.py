@@ -212,6 +212,14 @@ def apply_decisions(df: DataFrame, decisions: DataFrame, created_at: Column, sou
     return joined.withColumn("labels", F.when(as_is, F.col("labels")).otherwise(put(F.col("labels"), new_id, label))).select(*df.columns)
 
 
+def options_of_label(df: DataFrame, label_id: str) -> DataFrame:
+    """(review_id, usage_option) of a label over the whole set; a label without any option in it is an error."""
+    found = df.select("review_id", F.explode(F.try_element_at("labels", F.lit(label_id))["usageOptions"]).alias("usage_option"))
+    if found.isEmpty():
+        raise ValueError(f"label {label_id} has no option in any review")
+    return found
+
+
 # -- normal forms ----------------------------------------------------------------------------
 
 

@@ -34,7 +34,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict:
-    from quillstone.plans import catalogue_models, catalogue_more  # noqa: F401  register their queries
+    from quillstone.plans import catalogue_calls, catalogue_models, catalogue_more  # noqa: F401  register their queries
 
     return dict(_found)
 
