@@ -1,7 +1,10 @@
 """Corpus cleaning: five stages over the documents table, each written as Parquet and read again.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but
-the last return the columns of documents; rows whose text is null never pass the first.
+the last return the columns of documents, further columns and clashing names included; rows whose text is
+null, empty or without a letter never pass the first. Repeated rows are rows of their own: of copies under several
+ids the smallest id stays, of rows that repeat the kept id all. Rows without an id stay unless their texts are rejected.
+An empty table gives an empty result at every stage; very long texts are worked on alone, whole.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked at 0.8 by 5-word shingles the smallest doc_id stays."""
+    """Of each group of documents linked at 0.8 by 5-word shingles the smallest doc_id stays; rows without an id stay."""
     return jaccard_join.keep_one(docs, k=5, threshold=Fraction(4, 5))
 
 
