@@ -1,12 +1,17 @@
 """Exact Jaccard join of word n-gram sets with set-relation skipping.
 
-Which sets can meet: linked sets share a shingle among the first of both, in any order of shingles that
-is the same for all sets (as many first ones as the threshold lets differ, and one). The order puts rare
-shingles first, by a table of counts of bounded size, so passages that many texts share come last.
-Each first shingle has an index list of sets by size. A list is never held: sets that stand side by side
-in it are chained, and the chain is cut where sizes differ by more than the threshold allows. Lists of
-frequent shingles are dealt over many tasks and their chains are then joined. So groups of
-candidates come from rows of three numbers, never from pairs or texts.
+Which sets can meet: two signatures are given to each set, and linked sets share one of either kind.
+Rare first: in an order of shingles that is the same for all sets, linked sets share a shingle among the first of
+both (as many first ones as the threshold lets differ, and one); the order puts rare shingles first, by a table of
+counts of bounded size, so passages that many texts share come last. Parts: sets of a size class split their
+shingles by hash range into as many parts as could differ and one more, so two linked sets have an equal part; parts
+that are empty get spares. Rare-first lists tell apart texts that share much common matter, parts tell apart long texts
+that share a little. The kind whose signatures hold more goes first, over all texts; groups that are too
+large for one block are then parted by the other kind, over their own sets alone.
+
+Signatures never become pairs: sets of one signature are chained to their neighbours by size, and a chain is cut
+where sizes differ by more than the threshold allows. Each task chains what it has read before rows are shuffled, so a
+signature that a great part of all sets share sends two rows for each megabyte of text.
 
 Inside a group (in blocks of bounded size where it is large) two ways of skipping find the
 links. Index level: posting lists of rare-first prefixes are kept by position in blocks, and
@@ -22,12 +27,13 @@ id is its smallest doc_id (null if it has none). Columns other than doc_id and t
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm._components import components, local_forest
@@ -38,8 +44,8 @@ from quillstone.llm._text import SPACES, U, Words, mix, shingle_sets
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 19
 #: The table of counts has 2**BITS places, whatever the size of the corpus.
 BITS = 22
-#: Lists of shingles counted this often, and this often more than the mean of the table, are dealt over SALTS tasks.
-FREQUENT, SALTS = 2000, 64
+#: From this threshold on parts go first: they then hold six shingles or more.
+PARTS_FIRST = Fraction(17, 20)
 #: Nodes that hold more than one in so many rows are joined apart from the others; there can be no more of them than this.
 HEAVY = 1000
 
@@ -49,15 +55,17 @@ def first_ones(n: int, threshold: Fraction) -> int:
     return n - -(-n * threshold.numerator // threshold.denominator) + 1
 
 
-def counted(docs: DataFrame, k: int) -> np.ndarray:
-    """How often shingles occur in all texts, by the first BITS of their hash: tasks' tables are added up in rounds."""
+def counted(sets: DataFrame, shingles) -> np.ndarray:
+    """How often shingles occur in all sets, by the first BITS of their hash: tasks' tables are added up in rounds.
+
+    shingles: from a batch of the rows, arrays of shingles."""
 
     def scan(batches):
         total = np.zeros(1 << BITS, np.uint32)
         for batch in batches:
-            for part in slices(batch, "text"):
-                sets = _sets(part, k)
-                total += np.bincount((np.concatenate(sets) >> U(64 - BITS)).astype(np.int64), minlength=1 << BITS).astype(np.uint32)
+            for some in shingles(batch):
+                at = (some >> U(64 - BITS)).astype(np.int64)
+                total += np.bincount(at, minlength=1 << BITS).astype(np.uint32)
         yield _packed(total)
 
     def add(batches):
@@ -69,7 +77,7 @@ def counted(docs: DataFrame, k: int) -> np.ndarray:
         yield _packed(total)
 
     # The order must be the same for all readers, so the tables are written before they are added up.
-    tables = cut(docs.select("text").mapInArrow(tidy(scan), "counts binary"), "counts")
+    tables = cut(sets.mapInArrow(tidy(scan), "counts binary"), "counts")
     n = tables.count()
     while n > 16:
         n = -(-n // 16)
@@ -93,15 +101,70 @@ def _unpacked(data) -> np.ndarray:
 class Order:
     """Rare shingles first: by steps of the logarithm of their count, then by hash."""
 
-    def __init__(self, counts: np.ndarray):
+    def __init__(self, counts: np.ndarray, threshold: Fraction):
+        self.threshold = threshold
         self.steps = (4 * np.log2(counts.astype(np.float64) + 1)).astype(np.uint8)
-        self.frequent = int(4 * np.log2(max(FREQUENT, 16 * counts.mean()) + 1))
 
-    def first(self, s: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
-        """The first shingles of a sorted set, and which of them are frequent."""
-        steps = self.steps[s >> U(64 - BITS)]
-        at = np.argsort(steps, kind="stable")[: first_ones(len(s), threshold)]
-        return s[at], steps[at] >= self.frequent
+    def __call__(self, s: np.ndarray) -> np.ndarray:
+        """The first shingles of a sorted set."""
+        at = np.argsort(self.steps[s >> U(64 - BITS)], kind="stable")
+        return s[at[: first_ones(len(s), self.threshold)]]
+
+
+class Classes:
+    """Size classes for a Jaccard threshold: linked sets are of one class or of two that follow each other."""
+
+    def __init__(self, threshold: Fraction):
+        self.t, self.low = threshold, [1]
+        self.known: dict[int, tuple] = {}
+
+    def _grow(self) -> None:
+        self.low.append(int(self.low[-1] / self.t) + 1)
+
+    def of(self, n: int) -> int:
+        while self.low[-1] <= n:
+            self._grow()
+        return bisect_right(self.low, n) - 1
+
+    def parts(self, level: int) -> tuple:
+        """(spares, cuts of the hash range, salts) of a class. Parts are the largest difference of two linked sets, and one, and the spares."""
+        if level not in self.known:
+            while len(self.low) < level + 2:
+                self._grow()
+            differ = int(2 * (self.low[level + 1] - 1) * (1 - self.t) / (1 + self.t))
+            spare = 1 + differ // 16
+            n = differ + 1 + spare if differ else 0
+            cuts = np.array([(i << 64) // n for i in range(1, n)], np.uint64)
+            self.known[level] = spare, cuts, mix(np.arange(n, dtype=np.uint64) + U(level << 32))
+        return self.known[level]
+
+
+def part_hashes(s: np.ndarray, classes: Classes) -> np.ndarray:
+    """The hashes of the parts of one sorted set, for its own class and the next."""
+    out, level = [], classes.of(len(s))
+    running = np.zeros(len(s) + 1, np.uint64)
+    np.cumsum(s * U(0xD6E8FEB86659FD93) ^ (s >> U(29)), dtype=np.uint64, out=running[1:])
+    for k in (level, level + 1):
+        spare, cuts, salts = classes.parts(k)
+        if not len(salts):
+            continue
+        at = np.empty(len(salts) + 1, np.int64)
+        at[0], at[-1] = 0, len(s)
+        at[1:-1] = s.searchsorted(cuts)
+        sums = (running[at[1:]] - running[at[:-1]]) ^ salts
+        full = at[1:] != at[:-1]
+        out.append(sums if len(full) - np.count_nonzero(full) > spare else sums[full])
+    return mix(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+
+
+class Parts:
+    """The hashes of a set's parts, for its own size class and the next."""
+
+    def __init__(self, threshold: Fraction):
+        self.classes = Classes(threshold)
+
+    def __call__(self, s: np.ndarray) -> np.ndarray:
+        return part_hashes(s, self.classes)
 
 
 def node_of(s: np.ndarray) -> int:
@@ -192,86 +255,104 @@ def _node_rows(docs: DataFrame, k: int) -> DataFrame:
     return docs.withColumn("key", F.xxhash64("doc_id", "text")).mapInArrow(tidy(scan), "doc_id long, key long, n_shingles long, node long")
 
 
-def _first_rows(docs: DataFrame, k: int, threshold: Fraction, counts: np.ndarray) -> DataFrame:
-    """(shingle, salt, size, node) of the first shingles of all sets; copies in one slice of texts are told once."""
-    held = docs.sparkSession.sparkContext.broadcast(Order(counts))
+ROWS = "signature long, size long, a long, b long"
 
-    def scan(batches):
-        order = held.value
-        for batch in batches:
-            for piece in slices(batch, "text"):
-                told: set[int] = set()
-                shingles, often, nodes, sizes, many = [], [], [], [], []
-                for s in _sets(piece, k):
-                    if len(s) and (node := node_of(s)) not in told:
-                        told.add(node)
-                        first, frequent = order.first(s, threshold)
-                        shingles.append(first)
-                        often.append(frequent)
-                        nodes.append(node)
-                        sizes.append(len(s))
-                        many.append(len(first))
-                if shingles:
-                    node = np.repeat(np.array(nodes, np.int64), many)
-                    salt = np.where(np.concatenate(often), 1 + node % SALTS, 0)
-                    columns = [np.concatenate(shingles).view(np.int64), salt.astype(np.int16), np.repeat(np.array(sizes, np.int64), many), node]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shingle", "salt", "size", "node"])
-
-    return docs.select("text").mapInArrow(tidy(scan), "shingle long, salt short, size long, node long")
-
-
-def _chains(threshold: Fraction, ends: bool):
-    """Of rows sorted by (shingle, salt, size, node): each two neighbours of a list whose sizes can link, as a and b;
-    across batches, and a long list is never held. With `ends` also, in their first columns, the first and last row of each
-    chain of a salted list, so that the chains of its other parts can be joined to it."""
-    num, den = threshold.numerator, threshold.denominator
 
-    def scan(batches):
-        last = None
+def _rows(*columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["signature", "size", "a", "b"])
+
+
+def _sorted_rows(signature, size, node):
+    order = np.lexsort((node, size, signature))
+    return signature[order], size[order], node[order]
 
-        def rows(shingle, size, a, b):
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (shingle, size, a, b)], ["shingle", "size", "a", "b"])
 
+def _near(signature, size, threshold: Fraction) -> np.ndarray:
+    """Of rows by (signature, size): whether each row and the next are of one list and can link."""
+    return (signature[1:] == signature[:-1]) & (size[:-1] * threshold.denominator >= threshold.numerator * size[1:])
+
+
+def signature_rows(nodes: np.ndarray, sizes: np.ndarray, found: list[np.ndarray], threshold: Fraction, groups: np.ndarray | None = None) -> pa.RecordBatch:
+    """(signature, size, a, b) of some sets. Sets of one signature are chained here: (a, b) is a link of a chain, under a signature of
+    its own, and of each chain the first and the last set (a = b) are told, for chains of other tasks to join. With groups,
+    sets share a signature within their group only."""
+    many = [len(x) for x in found]
+    signature = np.concatenate(found).view(np.uint64)
+    if groups is not None:
+        signature = mix(signature ^ mix(np.repeat(groups.view(np.uint64), many)))
+    signature, size, node = _sorted_rows(signature.view(np.int64), np.repeat(sizes, many), np.repeat(nodes, many))
+    near = _near(signature, size, threshold)
+    first, last = np.ones(len(node), bool), np.ones(len(node), bool)
+    first[1:], last[:-1] = ~near, ~near
+    ends, pairs = first | last, near & (node[1:] != node[:-1])
+    a, b = (x for x in np.unique(np.stack((node[:-1][pairs], node[1:][pairs])), axis=1)) if pairs.any() else (node[:0], node[:0])
+    spread = mix(a.view(np.uint64) ^ mix(b.view(np.uint64))).view(np.int64)
+    return _rows(*(np.concatenate(x) for x in ((signature[ends], spread), (size[ends], np.zeros(len(a), np.int64)), (node[ends], a), (node[ends], b))))
+
+
+def chained(rows: DataFrame, threshold: Fraction) -> DataFrame:
+    """(node, component) of the sets whose chains signature_rows began."""
+
+    def scan(batches):
+        """Of rows by (signature, size, a): each two neighbours of a list whose sizes can link, across batches; no list is held."""
+        last = None
         for batch in batches:
-            own = [batch.column(c).to_numpy() for c in ("shingle", "salt", "size", "node")]
+            own = [batch.column(c).to_numpy() for c in ("signature", "size", "a", "b")]
+            told = own[2] != own[3]
+            pairs = [np.stack((own[2][told], own[3][told]))]
+            own = [x[~told] for x in own[:3]]
             if last is not None:
                 own = [np.concatenate((x, y)) for x, y in zip(last, own)]
-            shingle, salt, size, node = own
-            if not len(node):
-                continue
-            near = (shingle[1:] == shingle[:-1]) & (salt[1:] == salt[:-1]) & (size[:-1] * den >= num * size[1:])
-            pairs = near & (node[1:] != node[:-1])
-            if pairs.any():
-                a, b = np.unique(np.stack((node[:-1][pairs], node[1:][pairs])), axis=1)
-                yield rows(np.zeros(len(a), np.int64), np.zeros(len(a), np.int64), a, b)
-            if ends:
-                # A chain ends at i or begins at i + 1 where the two are not near; the first row of all begins one, too.
-                edge = np.zeros(len(node), bool)
-                edge[:-1] |= ~near
-                edge[1:] |= ~near
-                edge[0] |= last is None
-                edge &= salt > 0
-                if edge.any():
-                    yield rows(shingle[edge], size[edge], node[edge], node[edge])
-            last = [x[-1:] for x in own]
-        if ends and last is not None and last[1][0] > 0:
-            yield rows(last[0], last[2], last[3], last[3])
-
-    return scan
+            signature, size, node = own
+            if len(node):
+                near = _near(signature, size, threshold) & (node[1:] != node[:-1])
+                pairs.append(np.stack((node[:-1][near], node[1:][near])))
+                last = [x[-1:] for x in own]
+            pairs = np.unique(np.concatenate(pairs, axis=1), axis=1)
+            if pairs.shape[1]:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], ["a", "b"])
+
+    ordered = rows.repartition("signature").sortWithinPartitions("signature", "size", "a")
+    return components(ordered.mapInArrow(tidy(scan), "a long, b long"))
 
 
 def candidate_groups(docs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
     """(node, component): sets that can link are of one component."""
-    first = _first_rows(docs, k, threshold, counted(docs, k))
-    schema = "shingle long, size long, a long, b long"
-    sort = ("shingle", "salt", "size", "node")
-    chains = cut(first.repartition("shingle", "salt").sortWithinPartitions(*sort).mapInArrow(_chains(threshold, True), schema), "chains")
-    # Parts of a frequent list: the ends of their chains, a and b of which are the same, in one list by size.
-    parts = chains.filter("a = b").select("shingle", F.lit(0).cast("short").alias("salt"), "size", F.col("a").alias("node")).distinct()
-    joined = parts.repartition("shingle").sortWithinPartitions(*sort).mapInArrow(_chains(threshold, False), schema)
-    out = components(chains.filter("a <> b").select("a", "b").unionByName(joined.select("a", "b")))
-    forget(chains)
-    return out
+    if threshold >= PARTS_FIRST:
+        signatures = Parts(threshold)
+    else:
+        signatures = Order(counted(docs.select("text"), lambda batch: (x for part in slices(batch, "text") for x in _sets(part, k))), threshold)
+    held = docs.sparkSession.sparkContext.broadcast(signatures)
+
+    def scan(batches):
+        of = held.value
+        for batch in batches:
+            for piece in slices(batch, "text"):
+                # Copies in one slice of texts are told once.
+                sets = {node_of(s): s for s in _sets(piece, k) if len(s)}
+                if sets:
+                    sizes = np.array([len(s) for s in sets.values()], np.int64)
+                    yield signature_rows(np.array(list(sets), np.int64), sizes, [of(s) for s in sets.values()], threshold)
+
+    return chained(docs.select("text").mapInArrow(tidy(scan), ROWS), threshold)
+
+
+def parted(sets: DataFrame, threshold: Fraction) -> DataFrame:
+    """(node, component) of sets (comp, node, size, shingles) by the other kind of signatures, within each comp; sets that can link
+    with none are left out."""
+    of_batch = lambda batch: (np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("shingles"))
+    signatures = Order(counted(sets.select("shingles"), of_batch), threshold) if threshold >= PARTS_FIRST else Parts(threshold)
+    held = sets.sparkSession.sparkContext.broadcast(signatures)
+
+    def scan(batches):
+        of = held.value
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                some = batch.slice(lo, 256)
+                found = [of(s) for s in of_batch(some)]
+                yield signature_rows(*(some.column(c).to_numpy() for c in ("node", "size")), found, threshold, some.column("comp").to_numpy())
+
+    return chained(sets.select("comp", "node", "size", "shingles").mapInArrow(tidy(scan), ROWS), threshold)
 
 
 def _group_links(groups, threshold: Fraction):
@@ -305,32 +386,40 @@ def _groups(batches):
     yield from done()
 
 
+def _blocks() -> Column:
+    return F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+
+
 def link_nodes(docs: DataFrame, nodes: DataFrame, k: int, threshold: Fraction) -> DataFrame:
     """(node, component) of all sets that link with another set."""
     near = candidate_groups(docs, k, threshold)
-    # One document stands for each set; blocks of at most about BLOCK sets and BLOCK_SHINGLES shingles, dealt by hash.
+    # One document stands for each set.
     one = nodes.groupBy("node").agg(F.min("key").alias("key"), F.max("n_shingles").alias("size"))
-    chosen = cut(near.join(one, "node"), "chosen")
-    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int")
-    chosen = chosen.join(chosen.groupBy("component").agg(blocks.alias("blocks")), "component")
-    chosen = chosen.select("key", "node", F.col("component").alias("comp"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    wanted = cut(chosen, "wanted")
+    wanted = cut(near.join(one, "node").select("key", "node", F.col("component").alias("comp"), "size"), "wanted")
 
     def sets_of(batches):
         for batch in batches:
             for piece in slices(batch, "text"):
                 sets = _sets(piece, k)
                 right = pa.array([node_of(s) == n for s, n in zip(sets, piece.column("node").to_pylist())], pa.bool_())
-                out = pa.RecordBatch.from_arrays([piece.column("comp"), piece.column("node"), piece.column("blocks"), piece.column("block"), pa.array([s.tobytes() for s in sets], pa.binary())], ["comp", "node", "blocks", "block", "shingles"])
-                yield out.filter(right)
+                columns = [*(piece.column(c) for c in ("comp", "node", "size")), pa.array([s.tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["comp", "node", "size", "shingles"]).filter(right)
 
     # One hash join at every size: the wanted rows grow with the input, a task's part of them is small.
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text")
-    texts = keyed.join(wanted.hint("shuffle_hash"), "key").select("text", "comp", "node", "blocks", "block")
-    sets = texts.mapInArrow(tidy(sets_of), "comp long, node long, blocks int, block int, shingles binary")
+    texts = keyed.join(wanted.hint("shuffle_hash"), "key").select("text", "comp", "node", "size")
+    sets = cut(texts.mapInArrow(tidy(sets_of), "comp long, node long, size long, shingles binary"), "sets")
+    totals = cut(wanted.groupBy("comp").agg(_blocks()), "totals")
+    small = sets.join(totals.filter("blocks = 1"), "comp")
+    # Groups of more than a block are parted by the other signatures, and what is left of them is dealt in blocks.
+    large = sets.join(totals.filter("blocks > 1").select("comp"), "comp", "left_semi")
+    again = cut(parted(large, threshold).join(wanted.select("node", "size"), "node").withColumnRenamed("component", "part"), "parted")
+    dealt = again.join(again.groupBy("part").agg(_blocks()), "part").select("node", "part", "blocks")
+    large = large.join(dealt, "node").select(F.col("part").alias("comp"), "node", "size", "shingles", "blocks")
+    whole = small.select(*large.columns).unionByName(large).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # A set goes to every task of its block: with itself and with each other block of its group.
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    tasks = sets.withColumn("other", other).select(
+    tasks = whole.withColumn("other", other).select(
         "comp", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "shingles"
     )
     tasks = tasks.repartition("comp", "b1", "b2").sortWithinPartitions("comp", "b1", "b2", "side", "node")
@@ -344,7 +433,7 @@ def link_nodes(docs: DataFrame, nodes: DataFrame, k: int, threshold: Fraction) -
             yield from _group_links([([sets[i] for i in keep], [names[i] for i in keep], split)], threshold)
 
     out = components(tasks.mapInArrow(tidy(scan), "a long, b long"))
-    forget(wanted)
+    forget(wanted, sets, totals, again)
     return out
 
 

@@ -65,8 +65,9 @@ def sets_of(texts):
     return out
 
 
-def brute_links(sets):
-    return [(a, b) for b in range(len(sets)) for a in range(b) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])]
+def brute_links(sets, threshold=Fraction(9, 10)):
+    near = lambda a, b: threshold.denominator * len(a & b) >= threshold.numerator * len(a | b)
+    return [(a, b) for b in range(len(sets)) for a in range(b) if sets[a] and sets[b] and near(sets[a], sets[b])]
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -83,40 +84,44 @@ def test_local_join_finds_all_links(seed):
 
 
 @pytest.mark.parametrize("threshold", [Fraction(9, 10), Fraction(4, 5)])
-def test_linked_sets_share_a_first_shingle(threshold):
+def test_linked_sets_share_a_signature_of_either_kind(threshold):
     rng = np.random.default_rng(5)
-    order = jaccard_join.Order(rng.integers(0, 50, 1 << jaccard_join.BITS))
+    kinds = jaccard_join.Order(rng.integers(0, 50, 1 << jaccard_join.BITS), threshold), jaccard_join.Parts(threshold)
     for n in [*range(1, 60), 99, 100, 101, 300, 1000]:
         s = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
         for _ in range(4):
             drop, add = rng.integers(0, n // 5 + 1, 2)
             t = np.unique(np.concatenate((rng.permutation(s)[drop:], rng.integers(0, 1 << 63, add, dtype=np.uint64))))
             inter = len(np.intersect1d(s, t))
-            if len(t) and inter >= threshold * (len(s) + len(t) - inter):
-                assert set(order.first(s, threshold)[0].tolist()) & set(order.first(t, threshold)[0].tolist())
+            if len(t) and inter >= threshold * (len(s) + len(t) - inter) and inter < max(len(s), len(t)):
+                for of in kinds:
+                    assert set(of(s).tolist()) & set(of(t).tolist())
 
 
-@pytest.mark.parametrize("frequent", [2000, 1])
-def test_candidate_groups_hold_all_links(spark, monkeypatch, frequent):
-    monkeypatch.setattr(jaccard_join, "FREQUENT", frequent)
-    monkeypatch.setattr(jaccard_join, "SALTS", 3)
+@pytest.mark.parametrize("threshold", [Fraction(9, 10), Fraction(4, 5)])
+def test_candidate_groups_hold_all_links(spark, threshold):
+    """Over all texts, and then over the sets of one group by the other signatures."""
     texts = near_texts(3, 300)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    group = {r.node: r.component for r in jaccard_join.candidate_groups(df, 3, Fraction(9, 10)).collect()}
-    nodes = [jaccard_join.node_of(s) for s in shingle_sets(Words(pa.array(texts)), 3)]
-    links = [(a, b) for a, b in brute_links(sets_of(texts)) if nodes[a] != nodes[b]]
-    assert len(links) > 40 and all(group[nodes[a]] == group[nodes[b]] for a, b in links)
-    assert len(set(group.values())) > 5
-
-
-@pytest.mark.parametrize("block", [1024, 4])
-def test_jaccard_components(spark, monkeypatch, block):
+    found = shingle_sets(Words(pa.array(texts)), 3)
+    nodes = [jaccard_join.node_of(s) for s in found]
+    links = [(a, b) for a, b in brute_links(sets_of(texts), threshold) if nodes[a] != nodes[b]]
+    rows = {n: (7, n, len(s), s.tobytes()) for n, s in zip(nodes, found) if len(s)}
+    sets = spark.createDataFrame(list(rows.values()), "comp long, node long, size long, shingles binary").repartition(3)
+    for groups in (jaccard_join.candidate_groups(df, 3, threshold), jaccard_join.parted(sets, threshold)):
+        group = {r.node: r.component for r in groups.collect()}
+        assert len(links) > 40 and all(group[nodes[a]] == group[nodes[b]] for a, b in links)
+        assert len(set(group.values())) > 5
+
+
+@pytest.mark.parametrize(("block", "threshold"), [(1024, Fraction(9, 10)), (4, Fraction(9, 10)), (4, Fraction(4, 5))])
+def test_jaccard_components(spark, monkeypatch, block, threshold):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
     texts = near_texts(7)
     sets = sets_of(texts)
-    expected = union(len(texts), brute_links(sets))
+    expected = union(len(texts), brute_links(sets, threshold))
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, node string").repartition(3)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df, 3, threshold).collect()}
     assert got == {i: (len(s), expected[i]) for i, s in enumerate(sets)}
     if block > 4:
         kept = jaccard_join.keep_one(df)
@@ -314,3 +319,47 @@ def test_archives_of_long_records_and_pages_without_ids(spark):
     import hashlib
 
     assert digests == {hashlib.sha1(noise.encode()).hexdigest()}
+
+
+def test_stages_of_the_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows, clashing names, and no rows: every stage to its end."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    sf = "/root/testdata/sf0.001"
+    prose = spark.read.parquet(f"{sf}/documents.parquet").filter("n_chars > 400").orderBy("doc_id").limit(6).collect()
+    t = [r.text for r in prose]
+    rows = [(1, t[0], "en", None), (2, t[0], None, "s"), (2, t[0], None, "s"), (None, t[0], "en", "s"), (3, None, "en", "s"), (4, "", "en", "s"), (5, "123 456", None, None)]
+    rows += [(6, " ".join(t[1:5]) * 8, "de", "s"), (7, t[5], None, None), (7, t[5], None, None)]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, node string")
+    for table in ("benchmark",):
+        spark.read.parquet(f"{sf}/{table}.parquet").write.parquet(f"{tmp_path}/{table}.parquet")
+    seen, empty, counts = docs, docs.limit(0), []
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, seen, str(tmp_path))
+        out.write.parquet(f"{tmp_path}/{name}")
+        seen = spark.read.parquet(f"{tmp_path}/{name}")
+        assert stage(spark, empty, str(tmp_path)).collect() == []
+        if name != pipeline.STAGES[-1][0]:
+            assert seen.columns == docs.columns
+            counts.append(sorted((r.doc_id for r in seen.collect()), key=str))
+    assert counts[0] == [1, 2, 2, 6, 7, 7, None] and counts[1] == [1, 6, 7, 7, None]
+    assert all(r.round_trip for r in seen.collect())
+
+
+def test_the_pipeline_keeps_what_brute_force_keeps(spark, tmp_path):
+    """Row for row: near copies at 0.8 over five words, benchmark passages out, secrets marked, all else kept."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = pipeline.identify_language(spark, docs, sf).collect()
+    order = sorted(kept, key=lambda r: r.doc_id)
+    sets = []
+    for r in order:
+        w = re.findall(r"[^\x20\x09-\x0D]+", r.text.translate(LOW))
+        sets.append(frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else []))
+    links = [(a, b) for b in range(len(sets)) for a in range(b) if sets[a] and sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    firsts = [order[k] for k, g in enumerate(union(len(order), links)) if g == k]
+    found = pipeline.join_near_copies(spark, pipeline.identify_language(spark, docs, sf), sf)
+    assert sorted(r.doc_id for r in found.collect()) == [r.doc_id for r in firsts]
+    # Every letter is of a known language, so the first stage keeps them all.
+    spoken = {r.doc_id for r in docs.collect() if any(map(str.isalpha, r.text))}
+    assert {r.doc_id for r in kept} == spoken
