@@ -70,9 +70,13 @@ def avg_word_length(text: Column) -> Column:
     return ratio(letter_count(text), word_count(text))
 
 
+def seconds_to_read(chars: Column) -> Column:
+    return F.round(chars * F.lit(READING_MS) / F.lit(1000.0), 2)
+
+
 def reading_time(text: Column) -> Column:
     """Seconds."""
-    return F.round(char_count(text) * F.lit(READING_MS) / F.lit(1000.0), 2)
+    return seconds_to_read(char_count(text))
 
 
 def occurrences(text: Column, phrase: str) -> Column:
@@ -102,11 +106,15 @@ def syllable_count(text: Column) -> Column:
     return F.aggregate(words(text), F.lit(0), lambda n, w: n + of(w)).cast("long")
 
 
+def reading_ease(words: Column, sentences: Column, syllables: Column) -> Column:
+    """206.835 - 1.015 words a sentence - 84.6 syllables a word. 0 without words."""
+    score = F.lit(206.835) - F.lit(1.015) * (words / sentences) - F.lit(84.6) * ratio(syllables, words)
+    return F.when(words == 0, F.lit(0.0)).otherwise(F.round(score, 2))
+
+
 def flesch_reading_ease(text: Column) -> Column:
-    """206.835 - 1.015 words a sentence - 84.6 syllables a word; approximate, as syllables are guessed by rule. 0 without words."""
-    n = word_count(text)
-    score = F.lit(206.835) - F.lit(1.015) * (n / sentence_count(text)) - F.lit(84.6) * ratio(syllable_count(text), n)
-    return F.when(n == 0, F.lit(0.0)).otherwise(F.round(score, 2))
+    """The reading ease of a text; approximate, as syllables are guessed by rule."""
+    return reading_ease(word_count(text), sentence_count(text), syllable_count(text))
 
 
 def truncate_words(text: Column, n: int) -> Column:

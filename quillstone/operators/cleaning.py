@@ -97,19 +97,26 @@ def filter_reviews(df: DataFrame, per_day: int = 30, least: int = 4, words: int
 
 def add_text_statistics(df: DataFrame, body: str = "review_body") -> DataFrame:
     c = F.col(body)
-    return df.withColumns(
+    counted = df.withColumns(
         {
             f"{body}_word_count": X.word_count(c),
             f"{body}_sent_count": X.sentence_count(c),
             f"{body}_char_count": X.char_count(c),
             f"{body}_lett_count": X.letter_count(c),
-            f"{body}_avg_word_length": X.avg_word_length(c),
-            f"{body}_reading_time": X.reading_time(c),
             f"{body}_usage_count": X.usage_count(c),
-            f"{body}_usage_density": X.usage_density(c),
-            f"{body}_flesch_complexity": X.flesch_reading_ease(c),
+            "_syllables": X.syllable_count(c),
         }
     )
+    # What follows from the counts is not counted again.
+    n = {k: F.col(f"{body}_{k}_count") for k in ("word", "sent", "char", "lett", "usage")}
+    derived = {
+        f"{body}_avg_word_length": X.ratio(n["lett"], n["word"]),
+        f"{body}_reading_time": X.seconds_to_read(n["char"]),
+        f"{body}_usage_density": X.ratio(n["usage"], n["word"]),
+        f"{body}_flesch_complexity": X.reading_ease(n["word"], n["sent"], F.col("_syllables")),
+    }
+    names = ("word_count", "sent_count", "char_count", "lett_count", "avg_word_length", "reading_time", "usage_count", "usage_density", "flesch_complexity")
+    return counted.withColumns(derived).select(*df.columns, *[f"{body}_{k}" for k in names])
 
 
 def etl(df: DataFrame) -> DataFrame:

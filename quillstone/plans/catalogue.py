@@ -79,9 +79,9 @@ _USES = " + ".join(f"(length(t) - length(replace(t, '{w}', ''))) // {len(w)}" fo
         round(c * 14.69::DOUBLE / 1000, 2) AS reading_time, u AS uses, round(CASE WHEN n = 0 THEN 0 ELSE u / n END, 6) AS usage_density
         FROM (SELECT doc_id, len({W})::BIGINT AS n, {_CHARS} AS c, {_LETTERS} AS l, ({_USES})::BIGINT AS u FROM (SELECT *, lower(text) AS t FROM documents))""")
 def enrich_text_stats(spark, sf_dir):
-    t = F.col("text")
-    out = load(spark, sf_dir, "documents").select("doc_id", X.word_count(t).alias("words"), X.char_count(t).alias("chars"), X.letter_count(t).alias("letters"), X.avg_word_length(t).alias("avg_word_length"), X.reading_time(t).alias("reading_time"), X.usage_count(t).alias("uses"), X.usage_density(t).alias("usage_density"))
-    return rounded(out, "avg_word_length", "usage_density")
+    rows = cleaning.add_text_statistics(load(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("b")), "b")
+    names = {"word_count": "words", "char_count": "chars", "lett_count": "letters", "avg_word_length": "avg_word_length", "reading_time": "reading_time", "usage_count": "uses", "usage_density": "usage_density"}
+    return rounded(rows.select("doc_id", *[F.col(f"b_{k}").alias(v) for k, v in names.items()]), "avg_word_length", "usage_density")
 
 
 @query(f"SELECT lang, sum({_USES})::BIGINT AS uses FROM (SELECT lang, lower(text) AS t FROM documents) GROUP BY lang")
