@@ -7,7 +7,8 @@ zstandard, then a zstandard-compressed table of document lengths, then the chunk
 planes, so that the planes of high bits hold long runs. Blocks decode on their own.
 
 Rows: documents in ascending doc_id order (nulls first, equal ids by text). A null text is
-empty and holds the end id only. No rows: an empty table and no shard.
+empty and holds the end id only. No rows: an empty table and no shard. A very long text is encoded alone, in
+memory of its own size. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ MAGIC, TRAILER = b"QBITPLN1", struct.Struct("<QQQQB7x8s")
 CACHE = 1_000_000
 #: Bytes of text in a batch.
 BATCH = 2 << 20
+#: Characters of a text that part rows of one id.
+LEAD = 24
 
 
 def _byte_letters() -> dict[int, str]:
@@ -345,7 +348,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, planes: str =
         write_file(path, ShardWriter(block, planes).chunks(x for some in ([one], documents) for x in some))
         yield pa.RecordBatch.from_pydict({"shard": [number], "path": [path], "n_docs": [totals[0]], "n_ids": [totals[1]]})
 
-    ordered = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # Where many rows share an id, or have none, what their texts begin with parts them.
+    ordered = rows.repartitionByRange("doc_id", F.substring("text", 1, LEAD)).sortWithinPartitions("doc_id", "text")
     return cut(ordered.mapInArrow(tidy(shard), "shard long, path string, n_docs long, n_ids long"), "shards")
 
 

@@ -501,3 +501,23 @@ def test_license_scan_of_a_very_long_text(spark):
         took.append(time.time() - began)
         assert r.n_words == n + 2 and r.last_word == n and "mit" in r.labels
     assert took[1] < 8 * took[0] + 2
+
+
+def test_tokens_of_null_and_repeated_ids(spark):
+    """Rows without an id and of one id are dealt over shards by their texts, and keep their order."""
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcdef ") for _ in range(rng.randrange(1, 60))) for _ in range(400)]
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, t) for i, t in enumerate(texts)] + [(None, None), (5, None), (5, "")]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        shards = token_binary.write_tokens(documents(spark, []).select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string")), path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert max(r.n_docs for r in shards.collect()) < 300
+    got = sorted(token_binary.read_tokens(shards, with_ids=True).collect(), key=lambda r: r.start)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    library = token_binary._Encoder(path).tokenizer
+    assert [r.doc_id for r in got] == [r[0] for r in order]
+    assert [r.ids for r in got] == [library.encode(t or "", add_special_tokens=False).ids + [2] for _, t in order]
