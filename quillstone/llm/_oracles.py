@@ -13,7 +13,10 @@ def _words(pattern: str) -> str:
 
 def _license_scan() -> str:
     rows = [(p, x, 1.0, "true", licenses.K) for p, x in licenses.BASE] + [(p, x, s, "false", licenses.LONG_K) for p, x, s in licenses.PASSAGES]
-    values = ", ".join(f"({t}, string_split('{text}', ' '), '{label}', {share}::DOUBLE, {base}, {k})" for t, (text, label, share, base, k) in enumerate(rows))
+    values = ", ".join(
+        f"({t}, string_split('{text}', ' '), '{label}', {share}::DOUBLE, {base}, {k})" for t,
+        (text, label, share, base, k) in enumerate(rows)
+    )
     gram = "array_to_string(w[i:i + k - 1], ' ')"
     pattern = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
     return f"""

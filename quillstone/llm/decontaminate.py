@@ -63,7 +63,10 @@ class Index:
 def blocks(benchmark: DataFrame, shortest: int = 5):
     """Indexes of blocks of at most about BLOCK_CHARS characters of items, in no set order; rows come one partition at a time."""
     ids, texts, held = [], [], 0
-    for row in benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).filter("t is not null").toLocalIterator():
+    for row in benchmark.select(
+        F.col("item_id").cast("long").alias("i"),
+        F.col("text").cast("string").alias("t"),
+    ).filter("t is not null").toLocalIterator():
         ids.append(row.i)
         texts.append(row.t)
         held += len(row.t)
@@ -160,7 +163,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 8, share: float =
                     if found:
                         ids = part.column("doc_id").to_pylist()
                         columns = [[ids[f[0]] for f in found], [own.ids[f[1]] for f in found], *([f[k] for f in found] for k in (2, 3, 4))]
-                        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array([f[5] for f in found], pa.float64())], ["doc_id", "item_id", "first_word", "n_words", "n_matched", "coverage"])
+                        yield pa.RecordBatch.from_arrays(
+                            [*(pa.array(c, pa.int64()) for c in columns), pa.array([f[5] for f in found], pa.float64())],
+                            ["doc_id", "item_id", "first_word", "n_words", "n_matched", "coverage"],
+                        )
 
         one = rows.mapInArrow(tidy(scan), schema)
         out = one if out is None else out.unionByName(one)

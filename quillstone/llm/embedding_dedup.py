@@ -87,12 +87,23 @@ def fit_cells(X: np.ndarray, most: int, threshold: float, reach: float, most_len
     return best
 
 
-def cosine_links(vectors: DataFrame, threshold: float = 0.93, reach: float = 1.0, per_cell: int = 256, most_cells: int = 1024, most_lent: float = 1.0) -> DataFrame:
+def cosine_links(
+    vectors: DataFrame,
+    threshold: float = 0.93,
+    reach: float = 1.0,
+    per_cell: int = 256,
+    most_cells: int = 1024,
+    most_lent: float = 1.0,
+) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     spark = vectors.sparkSession
     good = F.col("embedding").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0)
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("embedding", lambda x: x != 0)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
+    rows = vectors.select(
+        F.col("vec_id").cast("long").alias("vec_id"),
+        F.col("embedding").cast("array<double>").alias("embedding"),
+        F.col("label").cast("string").alias("label"),
+    )
     rows = rows.withColumn("good", F.coalesce(good & F.coalesce(finite, F.lit(False)), F.lit(False)))
     # -0.0 and 0.0 are one value; a point is a distinct vector of a label.
     rows = rows.withColumn("embedding", F.when(F.col("good"), F.transform("embedding", lambda x: x + F.lit(0.0))))
@@ -102,10 +113,17 @@ def cosine_links(vectors: DataFrame, threshold: float = 0.93, reach: float = 1.0
     by_label = points.groupBy(F.size("embedding").alias("width"), "label").agg(F.count("*").alias("n"))
     many = {r.width: r for r in by_label.groupBy("width").agg(F.sum("n").alias("n"), F.max("n").alias("most")).collect()}
     n = sum(r.n for r in many.values())
-    drawn = points.select("embedding", "point").filter(F.pmod(F.xxhash64(F.lit(9), "point"), F.lit(1 << 20)) < int(min(1.0, SAMPLE / max(1, n)) * (1 << 20)))
+    drawn = points.select("embedding", "point").filter(
+        F.pmod(F.xxhash64(F.lit(9), "point"), F.lit(1 << 20)) < int(min(1.0, SAMPLE / max(1, n)) * (1 << 20)),
+    )
     sample = [r.embedding for r in drawn.limit(2 * SAMPLE).collect()]
     schema = "vec_id long, n_links long, component_id long, kept boolean"
-    alone = rows.filter("not good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    alone = rows.filter("not good").select(
+        "vec_id",
+        F.lit(0).cast("long").alias("n_links"),
+        F.col("vec_id").alias("component_id"),
+        F.lit(True).alias("kept"),
+    )
     if not n:
         return spark.createDataFrame([], schema).unionByName(alone)
     # (first cell, cells) by length; a length that the sample misses has one cell.
@@ -143,12 +161,26 @@ def cosine_links(vectors: DataFrame, threshold: float = 0.93, reach: float = 1.0
     columns = "label string, cell long, home long, cells binary, point long, copies long, unit binary"
     lent = cut(points.mapInArrow(assign, columns), "lent")
     # Sizes are one short row a cell and label; cells are at most most_cells for each length.
-    sizes = lent.groupBy("label", "cell").agg(F.sum(F.length("unit")).alias("bytes"), F.sum((F.col("home") == F.col("cell")).cast("long")).alias("homes"))
+    sizes = lent.groupBy("label", "cell").agg(
+        F.sum(F.length("unit")).alias("bytes"),
+        F.sum((F.col("home") == F.col("cell")).cast("long")).alias("homes"),
+    )
     blocks = lent.join(sizes.filter("homes > 0"), ["label", "cell"]).withColumn("blocks", F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int"))
     blocks = blocks.withColumn("block", F.pmod(F.xxhash64("point"), F.col("blocks")).cast("int"))
     # A block goes to every task of its cell: with itself and with each other block.
     dealt = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("label", "cell", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "home", "cells", "point", "copies", "unit")
+    dealt = dealt.select(
+        "label",
+        "cell",
+        F.least("block", "other").alias("b1"),
+        F.greatest("block", "other").alias("b2"),
+        "block",
+        "home",
+        "cells",
+        "point",
+        "copies",
+        "unit",
+    )
 
     def products(frame: pd.DataFrame) -> pd.DataFrame:
         return compared(frame, threshold)
@@ -158,11 +190,20 @@ def cosine_links(vectors: DataFrame, threshold: float = 0.93, reach: float = 1.0
     counts = found.filter("a = b").groupBy(F.col("a").alias("point")).agg(F.sum("links").alias("links"))
     joined = components(found.filter("a <> b"))
     named = points.select("point", "copies").join(counts, "point", "left").join(joined.withColumnRenamed("node", "point"), "point", "left")
-    named = cut(named.select("point", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "point").alias("component")), "named")
+    named = cut(named.select(
+        "point",
+        (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+        F.coalesce("component", "point").alias("component"),
+    ), "named")
     own = rows.filter("good").select("vec_id", "point")
     own = cut(own.join(named, "point").select("vec_id", "n_links", "component"), "own")
     least = own.groupBy("component").agg(F.min("vec_id").alias("component_id"))
-    linked = own.join(least, "component").select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    linked = own.join(least, "component").select(
+        "vec_id",
+        "n_links",
+        "component_id",
+        F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"),
+    )
     return linked.unionByName(alone)
 
 

@@ -169,7 +169,9 @@ class Parts:
 
 def node_of(s: np.ndarray) -> int:
     """64 bits that stand for a set."""
-    return int(mix(np.array([(mix(s ^ U(0x2545F4914F6CDD1D)).sum(dtype=np.uint64)) ^ U(len(s) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)]))[0].astype(np.int64)) if len(s) else 0
+    return int(
+        mix(np.array([(mix(s ^ U(0x2545F4914F6CDD1D)).sum(dtype=np.uint64)) ^ U(len(s) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)]))[0].astype(np.int64),
+    ) if len(s) else 0
 
 
 def _sets(part: pa.RecordBatch, k: int):
@@ -197,7 +199,10 @@ def join_sets(sets: list[np.ndarray], threshold: Fraction, split: int | None = N
     up = lambda x: -int(-x // 1)
     need = threshold / (1 + threshold)
     num, den = need.numerator, need.denominator
-    walk = sorted(range(n), key=lambda i: (tuple(rows[i][:2].tolist()), sizes[i], i)) if split is None else sorted(range(split), key=lambda i: (tuple(rows[i][:2].tolist()), i))
+    walk = sorted(
+        range(n),
+        key=lambda i: (tuple(rows[i][:2].tolist()), sizes[i], i),
+    ) if split is None else sorted(range(split), key=lambda i: (tuple(rows[i][:2].tolist()), i))
     links, held, counts = [], None, None
     for r in walk:
         own, size = rows[r], int(sizes[r])
@@ -250,7 +255,15 @@ def _node_rows(docs: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = _sets(part, k)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64())], ["doc_id", "key", "n_shingles", "node"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("doc_id"),
+                        part.column("key"),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([node_of(s) for s in sets], pa.int64()),
+                    ],
+                    ["doc_id", "key", "n_shingles", "node"],
+                )
 
     return docs.withColumn("key", F.xxhash64("doc_id", "text")).mapInArrow(tidy(scan), "doc_id long, key long, n_shingles long, node long")
 
@@ -272,7 +285,13 @@ def _near(signature, size, threshold: Fraction) -> np.ndarray:
     return (signature[1:] == signature[:-1]) & (size[:-1] * threshold.denominator >= threshold.numerator * size[1:])
 
 
-def signature_rows(nodes: np.ndarray, sizes: np.ndarray, found: list[np.ndarray], threshold: Fraction, groups: np.ndarray | None = None) -> pa.RecordBatch:
+def signature_rows(
+    nodes: np.ndarray,
+    sizes: np.ndarray,
+    found: list[np.ndarray],
+    threshold: Fraction,
+    groups: np.ndarray | None = None,
+) -> pa.RecordBatch:
     """(signature, size, a, b) of some sets. Sets of one signature are chained here: (a, b) is a link of a chain, under a signature of
     its own, and of each chain the first and the last set (a = b) are told, for chains of other tasks to join. With groups,
     sets share a signature within their group only."""
@@ -287,7 +306,12 @@ def signature_rows(nodes: np.ndarray, sizes: np.ndarray, found: list[np.ndarray]
     ends, pairs = first | last, near & (node[1:] != node[:-1])
     a, b = (x for x in np.unique(np.stack((node[:-1][pairs], node[1:][pairs])), axis=1)) if pairs.any() else (node[:0], node[:0])
     spread = mix(a.view(np.uint64) ^ mix(b.view(np.uint64))).view(np.int64)
-    return _rows(*(np.concatenate(x) for x in ((signature[ends], spread), (size[ends], np.zeros(len(a), np.int64)), (node[ends], a), (node[ends], b))))
+    return _rows(*(np.concatenate(x) for x in (
+        (signature[ends], spread),
+        (size[ends], np.zeros(len(a), np.int64)),
+        (node[ends], a),
+        (node[ends], b),
+    )))
 
 
 def chained(rows: DataFrame, threshold: Fraction) -> DataFrame:
@@ -444,7 +468,12 @@ def jaccard_components(docs: DataFrame, k: int = 3, threshold: Fraction = Fracti
     linked = link_nodes(docs, nodes, k, threshold)
     # Sets that link with no other set are components by themselves: equal sets share the node.
     rows = nodes.count()
-    named = nodes.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).join(linked, "node", "left").select("node", "least", "copies", F.coalesce("component", "node").alias("component"))
+    named = nodes.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).join(linked, "node", "left").select(
+        "node",
+        "least",
+        "copies",
+        F.coalesce("component", "node").alias("component"),
+    )
     named = cut(named, "named")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     ids = cut(named.join(least, "component").select("node", "copies", "component_id"), "ids")

@@ -213,7 +213,9 @@ def _padded(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def training_rows(docs: DataFrame, most: int, seed: int = 17) -> list[tuple[str, str]]:
     """(text, lang) of at most `most` training rows a language, drawn by hash over the whole table; whole texts."""
-    labelled = docs.select(F.col("doc_id").cast("string").alias("d"), "text", "lang").filter("lang is not null and text is not null and d is not null and crc32(cast(d as binary)) % 5 <> 0")
+    labelled = docs.select(F.col("doc_id").cast("string").alias("d"), "text", "lang").filter(
+        "lang is not null and text is not null and d is not null and crc32(cast(d as binary)) % 5 <> 0",
+    )
     # The number of languages bounds this list.
     counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -280,7 +282,10 @@ def predict(docs: DataFrame, model) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 names, scores = _predict(part.column("text").cast(pa.string()), model)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
+                    ["doc_id", "held_out", "lang_pred", "score"],
+                )
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     rows = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held_out"))

@@ -81,24 +81,46 @@ def scan(docs: DataFrame) -> DataFrame:
     known = templates(spark)
     first = F.split("gram", " ")
     # Every document hits the marker once, and so reaches the result without a second scan.
-    hashed = F.when(F.col("t") == -1, F.lit(0).cast("long")).when(F.col("k") == K, F.xxhash64(F.lit(K), *[F.get(first, F.lit(x)) for x in range(K)])).otherwise(F.xxhash64(F.lit(LONG_K), *[F.get(first, F.lit(x)) for x in range(LONG_K)]))
+    hashed = F.when(F.col("t") == -1, F.lit(0).cast("long")).when(
+        F.col("k") == K,
+        F.xxhash64(F.lit(K), *[F.get(first, F.lit(x)) for x in range(K)]),
+    ).otherwise(F.xxhash64(F.lit(LONG_K), *[F.get(first, F.lit(x)) for x in range(LONG_K)]))
     known = known.withColumn("h", hashed)
     # The templates are a fixed table, and so are their hashes.
     hashes = {k: sorted({r.h for r in known.filter(F.col("k") == k).select("h").collect()}) for k in (K, LONG_K)}
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), words_of(F.col("text")).alias("words"))
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.monotonically_increasing_id().alias("row"),
+        words_of(F.col("text")).alias("words"),
+    )
     marker = F.array(F.struct(F.lit(-1).alias("i"), F.lit(0).cast("long").alias("h"), F.lit("").alias("gram")))
     grams = F.concat(marker, _hits(F.col("words"), K, hashes[K]), _hits(F.col("words"), LONG_K, hashes[LONG_K]))
     hits = rows.select("doc_id", "row", F.size("words").cast("long").alias("n_words"), F.explode(grams).alias("g"))
-    hits = hits.select("doc_id", "row", "n_words", "g.i", "g.h", F.col("g.gram").alias("found")).join(F.broadcast(known), "h").filter(F.col("found") == F.col("gram"))
+    hits = hits.select(
+        "doc_id",
+        "row",
+        "n_words",
+        "g.i",
+        "g.h",
+        F.col("g.gram").alias("found"),
+    ).join(F.broadcast(known), "h").filter(F.col("found") == F.col("gram"))
     hits = hits.select("doc_id", "row", "n_words", "t", "j", (F.col("i") - F.col("j")).alias("diagonal"), "k", "n_template", "label", "share", "base")
     # From here on rows are hits; all grouping below is within a row of the input, on one exchange.
     hits = hits.repartition("row")
     own = ["row", "doc_id", "t", "label", "share", "base", "n_template", "k"]
-    votes = hits.groupBy(*own, "diagonal").agg(F.max("n_words").alias("n_words"), F.count("*").alias("votes"), F.sort_array(F.collect_set("j")).alias("places"))
+    votes = hits.groupBy(*own, "diagonal").agg(
+        F.max("n_words").alias("n_words"),
+        F.count("*").alias("votes"),
+        F.sort_array(F.collect_set("j")).alias("places"),
+    )
     order = Window.partitionBy("row", "t").orderBy("diagonal")
     apart = (F.col("diagonal") - F.lag("diagonal").over(order)) > F.when(F.col("base"), F.lit(0)).otherwise(F.lit(SHIFT))
     merged = votes.withColumn("span", F.sum(F.coalesce(apart.cast("int"), F.lit(0))).over(order))
-    spans = merged.groupBy(*own, "span").agg(F.max("n_words").alias("n_words"), F.min("diagonal").alias("start"), F.flatten(F.collect_list("places")).alias("places"))
+    spans = merged.groupBy(*own, "span").agg(
+        F.max("n_words").alias("n_words"),
+        F.min("diagonal").alias("start"),
+        F.flatten(F.collect_list("places")).alias("places"),
+    )
     # Words of the template that the votes cover: each k-gram covers k words.
     covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda j: F.sequence(j, j + F.col("k") - 1)))))
     spans = spans.withColumn("cover", F.when(F.col("t") >= 0, covered / F.col("n_template")).otherwise(F.lit(0.0)))

@@ -71,7 +71,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-_CLASSES = str.maketrans({**{c: "0" for c in "123456789"}, **{c: "a" for c in "bcdefghijklmnopqrstuvwxyz"}, **{c: "A" for c in "BCDEFGHIJKLMNOPQRSTUVWXYZ"}})
+_CLASSES = str.maketrans(
+    {**{c: "0" for c in "123456789"}, **{c: "a" for c in "bcdefghijklmnopqrstuvwxyz"}, **{c: "A" for c in "BCDEFGHIJKLMNOPQRSTUVWXYZ"}},
+)
 _SQUEEZE = re.compile(r"(.)\1+", re.S)
 
 
@@ -88,8 +90,23 @@ def features(word: str) -> list[str]:
     core = shape = shape_of(word).strip(".,;:!?\"'")
     short = _SQUEEZE.sub(r"\1", shape)
     digits = shape.count("0")
-    out = ["bias", f"short={short[:24]}", f"digits={min(digits, 20)}", f"length={min(len(core), 30) // 3}", f"dots={min(core.count('.'), 4)}", f"dashes={min(core.count('-'), 4)}"]
-    out += [name for name, there in (("@", "@" in core), ("+", core[:1] == "+"), ("(", core[:1] == "("), ("letters", "a" in short or "A" in short), ("only digits", digits == len(core) > 0), ("exact=" + shape[:20], digits > 0 and len(shape) <= 20), ("no digit", digits == 0)) if there]
+    out = [
+        "bias",
+        f"short={short[:24]}",
+        f"digits={min(digits, 20)}",
+        f"length={min(len(core), 30) // 3}",
+        f"dots={min(core.count('.'), 4)}",
+        f"dashes={min(core.count('-'), 4)}",
+    ]
+    out += [name for name, there in (
+        ("@", "@" in core),
+        ("+", core[:1] == "+"),
+        ("(", core[:1] == "("),
+        ("letters", "a" in short or "A" in short),
+        ("only digits", digits == len(core) > 0),
+        ("exact=" + shape[:20], digits > 0 and len(shape) <= 20),
+        ("no digit", digits == 0),
+    ) if there]
     return out
 
 
@@ -129,7 +146,9 @@ def _value(kind: str, rng) -> str:
     pick = lambda *xs: xs[rng.integers(len(xs))]
     word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9)))
     if kind == "email":
-        return f"{word()}{pick('', '.', '_')}{pick(word(), _digits(rng, 2), '')}@{word()}{pick('', '-' + word(), str(rng.integers(9)))}.{pick('com', 'org', 'co.uk', 'example.net')}"
+        return f"{word()}{pick('', '.', '_')}{pick(word(), _digits(rng, 2), '')}@{word()}{
+            pick('', '-' + word(), str(rng.integers(9)))
+        }.{pick('com', 'org', 'co.uk', 'example.net')}"
     if kind == "ip":
         return ".".join(str(x) for x in rng.integers(0, 256, 4))
     if kind == "card":
@@ -139,7 +158,18 @@ def _value(kind: str, rng) -> str:
     if kind == "phone":
         a, b, c = _digits(rng, 3), _digits(rng, 3), _digits(rng, 4)
         return pick(f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+44 {a} {b} {c}", f"+{rng.integers(10, 99)}{a}{b}{c}")
-    return pick(_digits(rng, rng.integers(1, 8)), f"{rng.integers(1900, 2100)}", f"{_digits(rng, 2)}.{_digits(rng, 2)}", f"{rng.integers(2000, 2030)}-{rng.integers(10, 13)}-{rng.integers(10, 29)}", f"{rng.integers(1, 9)}.{rng.integers(0, 9)}.{rng.integers(0, 9)}", f"${_digits(rng, 3)}.{_digits(rng, 2)}", f"{rng.integers(10, 24)}:{rng.integers(10, 59)}", f"{_digits(rng, 1)},{_digits(rng, 3)}", f"v{rng.integers(1, 9)}.{rng.integers(0, 9)}", f"{_digits(rng, 16)}ab{_digits(rng, 16)}")
+    return pick(
+        _digits(rng, rng.integers(1, 8)),
+        f"{rng.integers(1900, 2100)}",
+        f"{_digits(rng, 2)}.{_digits(rng, 2)}",
+        f"{rng.integers(2000, 2030)}-{rng.integers(10, 13)}-{rng.integers(10, 29)}",
+        f"{rng.integers(1, 9)}.{rng.integers(0, 9)}.{rng.integers(0, 9)}",
+        f"${_digits(rng, 3)}.{_digits(rng, 2)}",
+        f"{rng.integers(10, 24)}:{rng.integers(10, 59)}",
+        f"{_digits(rng, 1)},{_digits(rng, 3)}",
+        f"v{rng.integers(1, 9)}.{rng.integers(0, 9)}",
+        f"{_digits(rng, 16)}ab{_digits(rng, 16)}",
+    )
 
 
 def labelled_table(copies: int = 12, seed: int = 5) -> list[tuple[list[str], list[int]]]:
@@ -326,8 +356,16 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
                 base, whole = all_spans([t or "" for t in part.column("text").to_pylist()], field)
                 counts = [[sum(k == kind for k, _, _ in b) for b in base] for kind in range(4)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array([hashlib.sha256(_joined(b).encode()).hexdigest() for b in base], pa.string()), pa.array([_joined(w) for w in whole], pa.string())],
+                    [
+                        part.column("doc_id"),
+                        *(pa.array(c, pa.int64()) for c in counts),
+                        pa.array([hashlib.sha256(_joined(b).encode()).hexdigest() for b in base], pa.string()),
+                        pa.array([_joined(w) for w in whole], pa.string()),
+                    ],
                     ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
                 )
 
-    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(scan), schema)
+    return bounded(docs).select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("text").cast("string").alias("text"),
+    ).mapInArrow(tidy(scan), schema)

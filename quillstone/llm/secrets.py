@@ -77,7 +77,31 @@ def candidates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 #: Character classes of the network: each lower-case hex digit letter, other letters by case, digits, and marks by themselves.
 _CLASS = np.full(256, 1, np.int64)
-for _n, _chars in enumerate((b"abcdef", b"ghijklmnopqrstuvwxyz", b"ABCDEF", b"GHIJKLMNOPQRSTUVWXYZ", b"01234", b"56789", b" \t", b"\r\n", b"=", b":", b"\"'`", b"_", b"-", b"/", b"+", b".", b",;", b"()[]{}<>", b"eiou", b"AEIOU"), 2):
+for _n, _chars in enumerate(
+    (
+        b"abcdef",
+        b"ghijklmnopqrstuvwxyz",
+        b"ABCDEF",
+        b"GHIJKLMNOPQRSTUVWXYZ",
+        b"01234",
+        b"56789",
+        b" \t",
+        b"\r\n",
+        b"=",
+        b":",
+        b"\"'`",
+        b"_",
+        b"-",
+        b"/",
+        b"+",
+        b".",
+        b",;",
+        b"()[]{}<>",
+        b"eiou",
+        b"AEIOU",
+    ),
+    2,
+):
     _CLASS[list(_chars)] = _n
 _CLASS[128:] = 22
 CLASSES, EMBED, WIDTH, FILTERS, HIDDEN = 23, 10, 5, 24, 16
@@ -146,15 +170,52 @@ def labelled_findings(n: int = 2400, seed: int = 11) -> list[tuple[str, int, int
     """(text, start, end, label), half of them secrets; made by rule."""
     rng, out = np.random.Generator(np.random.PCG64(seed)), []
     pick = lambda xs: xs[rng.integers(len(xs))]
-    alphabets = {"hex": "0123456789abcdef", "mixed": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "base": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"}
+    alphabets = {
+        "hex": "0123456789abcdef",
+        "mixed": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
+        "base": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+        "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",
+    }
     chars = lambda a, k: "".join(pick(alphabets[a]) for _ in range(k))
     word = lambda: pick(["report", "image", "chapter", "section", "user", "page", "north", "river", "summer", "table", "index", "value", "session", "market", "update", "version", "the", "and", "data", "house"])
     for k in range(n):
         if k % 2:
-            value = pick([lambda: chars("hex", pick([32, 40, 64])), lambda: chars("mixed", rng.integers(20, 50)), lambda: chars("base", rng.integers(24, 60)) + pick(["", "=", "=="]), lambda: "AKIA" + chars("upper", 16), lambda: "ghp_" + chars("mixed", 36), lambda: "sk-" + chars("mixed", 40), lambda: "xoxb-" + chars("upper", 12).lower() + "-" + chars("mixed", 24), lambda: "eyJ" + base64.b64encode(bytes(rng.integers(0, 256, 30).tolist())).decode()])()
-            before = pick(["token = ", "key: \"", "Authorization: Bearer ", "secret=", "export KEY='", "use ", "the ", "", "credential ", "auth_token: ", "password = "])
+            value = pick([
+                lambda: chars("hex", pick([32, 40, 64])),
+                lambda: chars("mixed", rng.integers(20, 50)),
+                lambda: chars("base", rng.integers(24, 60)) + pick(["", "=", "=="]),
+                lambda: "AKIA" + chars("upper", 16),
+                lambda: "ghp_" + chars("mixed", 36),
+                lambda: "sk-" + chars("mixed", 40),
+                lambda: "xoxb-" + chars("upper", 12).lower() + "-" + chars("mixed", 24),
+                lambda: "eyJ" + base64.b64encode(bytes(rng.integers(0, 256, 30).tolist())).decode(),
+            ])()
+            before = pick([
+                "token = ",
+                "key: \"",
+                "Authorization: Bearer ",
+                "secret=",
+                "export KEY='",
+                "use ",
+                "the ",
+                "",
+                "credential ",
+                "auth_token: ",
+                "password = ",
+            ])
         else:
-            value = pick([lambda: "-".join(word() for _ in range(rng.integers(3, 6))) + "-" + str(rng.integers(1, 3000)), lambda: "_".join(word() for _ in range(rng.integers(3, 5))) + str(rng.integers(10)), lambda: "".join(word().capitalize() for _ in range(rng.integers(3, 6))) + str(rng.integers(100)), lambda: "/".join(word() for _ in range(rng.integers(3, 6))) + "/" + str(rng.integers(1000, 2030)), lambda: f"{rng.integers(2000, 2030)}-{rng.integers(10, 13)}-{rng.integers(10, 29)}T{rng.integers(10, 24)}-{rng.integers(10, 60)}-00Z", lambda: "-".join(str(rng.integers(1000, 9999)) for _ in range(3)) + "-" + word(), lambda: "=" * rng.integers(8, 20) + word() + str(rng.integers(10)) + "=" * 8, lambda: "a" * rng.integers(12, 30) + str(rng.integers(100)), lambda: word() * 3 + str(rng.integers(1000)), lambda: str(rng.integers(10**9, 10**10)) + "-" + word() + "-" + str(rng.integers(10**5))])()
+            value = pick([
+                lambda: "-".join(word() for _ in range(rng.integers(3, 6))) + "-" + str(rng.integers(1, 3000)),
+                lambda: "_".join(word() for _ in range(rng.integers(3, 5))) + str(rng.integers(10)),
+                lambda: "".join(word().capitalize() for _ in range(rng.integers(3, 6))) + str(rng.integers(100)),
+                lambda: "/".join(word() for _ in range(rng.integers(3, 6))) + "/" + str(rng.integers(1000, 2030)),
+                lambda: f"{rng.integers(2000, 2030)}-{rng.integers(10, 13)}-{rng.integers(10, 29)}T{rng.integers(10, 24)}-{rng.integers(10, 60)}-00Z",
+                lambda: "-".join(str(rng.integers(1000, 9999)) for _ in range(3)) + "-" + word(),
+                lambda: "=" * rng.integers(8, 20) + word() + str(rng.integers(10)) + "=" * 8,
+                lambda: "a" * rng.integers(12, 30) + str(rng.integers(100)),
+                lambda: word() * 3 + str(rng.integers(1000)),
+                lambda: str(rng.integers(10**9, 10**10)) + "-" + word() + "-" + str(rng.integers(10**5)),
+            ])()
             before = pick(["see ", "the file ", "in ", "", "chapter ", "http://", "of the ", "page "])
         left = " ".join(word() for _ in range(rng.integers(0, 6))) + " " + before
         text = left + value + pick(["\" and ", " ", "\n", "' ", ". "]) + word()
@@ -171,7 +232,16 @@ def train(epochs: int = 8, recall: float = 0.97, seed: int = 3) -> tuple[dict[st
     X = np.stack([windows(d := np.frombuffer(t.encode(), np.uint8), 0, len(d), s, e)[0] for t, s, e, _ in rows])
     y = np.array([r[3] for r in rows], float)
     draw = lambda *shape: rng.normal(0, (2 / shape[0]) ** 0.5, shape)
-    p = {"embed": rng.normal(0, 0.5, (2 * CLASSES + 2, EMBED)), "filters": draw(WIDTH * EMBED, FILTERS), "bias": np.zeros(FILTERS), "w1": draw(2 * FILTERS, HIDDEN), "b1": np.zeros(HIDDEN), "w2": draw(HIDDEN, 1), "b2": np.zeros(1), "scale": np.array([1.0, 0.0])}
+    p = {
+        "embed": rng.normal(0, 0.5, (2 * CLASSES + 2, EMBED)),
+        "filters": draw(WIDTH * EMBED, FILTERS),
+        "bias": np.zeros(FILTERS),
+        "w1": draw(2 * FILTERS, HIDDEN),
+        "b1": np.zeros(HIDDEN),
+        "w2": draw(HIDDEN, 1),
+        "b2": np.zeros(1),
+        "scale": np.array([1.0, 0.0]),
+    }
     net, order = Network(p), rng.permutation(len(rows))
     fit, held = order[: len(rows) * 4 // 5], order[len(rows) * 4 // 5 :]
     m, v, step = {}, {}, 0
@@ -248,11 +318,19 @@ def find_secrets(docs: DataFrame) -> DataFrame:
                 base, whole = all_spans([t or "" for t in part.column("text").to_pylist()], part.column("text"), net, threshold)
                 counts = [[sum(k == kind for _, k, _ in b) for b in base] for kind in range(3)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array([hashlib.sha256(_joined(b).encode()).hexdigest() for b in base], pa.string()), pa.array([_joined(w) for w in whole], pa.string())],
+                    [
+                        part.column("doc_id"),
+                        *(pa.array(c, pa.int64()) for c in counts),
+                        pa.array([hashlib.sha256(_joined(b).encode()).hexdigest() for b in base], pa.string()),
+                        pa.array([_joined(w) for w in whole], pa.string()),
+                    ],
                     ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
                 )
 
-    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(scan), schema)
+    return bounded(docs).select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("text").cast("string").alias("text"),
+    ).mapInArrow(tidy(scan), schema)
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:

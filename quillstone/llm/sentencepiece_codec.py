@@ -432,6 +432,12 @@ def encode(docs: DataFrame, model: str, with_ids: bool = True, keep_text: bool =
                 columns.append(pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids)))
             if keep_text:
                 columns.append(pa.array([x.decode("utf-8", "replace") for x in back], pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_crc32", "round_trip", *["ids"] * with_ids, *["decoded"] * keep_text])
-
-    return bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(scan), schema)
+            yield pa.RecordBatch.from_arrays(
+                columns,
+                ["doc_id", "n_tokens", "ids_crc32", "round_trip", *["ids"] * with_ids, *["decoded"] * keep_text],
+            )
+
+    return bounded(docs).select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("text").cast("string").alias("text"),
+    ).mapInArrow(tidy(scan), schema)

@@ -368,7 +368,13 @@ def read_tokens(shards: DataFrame, with_ids: bool = False) -> DataFrame:
             for path, start in zip(frame.path, frame.start):
                 rows = []
                 for doc_id, ids in read_shard(path):
-                    rows.append((doc_id, start, len(ids), zlib.crc32(np.ascontiguousarray(ids).tobytes()), *([ids.astype(np.int32).tolist()] if with_ids else [])))
+                    rows.append((
+                        doc_id,
+                        start,
+                        len(ids),
+                        zlib.crc32(np.ascontiguousarray(ids).tobytes()),
+                        *([ids.astype(np.int32).tolist()] if with_ids else []),
+                    ))
                     start += len(ids)
                     if len(rows) >= 2000:
                         yield _frame(rows, with_ids)

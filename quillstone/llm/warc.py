@@ -47,9 +47,22 @@ def _record_id(page_id, payload_sha1: bytes) -> str:
 
 def record(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None, revisit: bool) -> bytes:
     sha1 = bytes.fromhex(digest)
-    head = [f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_record_id(page_id, sha1)}", f"WARC-Date: {_DATE}", f"WARC-Target-URI: {' '.join((url or '').split())}", f"WARC-Payload-Digest: sha1:{base64.b32encode(sha1).decode()}", f"X-Page-ID: {'' if page_id is None else page_id}", f"X-Payload-Length: {size}"]
+    head = [
+        f"WARC-Type: {'revisit' if revisit else 'response'}",
+        f"WARC-Record-ID: {_record_id(page_id, sha1)}",
+        f"WARC-Date: {_DATE}",
+        f"WARC-Target-URI: {' '.join((url or '').split())}",
+        f"WARC-Payload-Digest: sha1:{base64.b32encode(sha1).decode()}",
+        f"X-Page-ID: {'' if page_id is None else page_id}",
+        f"X-Payload-Length: {size}",
+    ]
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_record_id(refers_to, sha1)}", f"X-Refers-To-Page: {'' if refers_to is None else refers_to}", "Content-Type: application/http; msgtype=response"]
+        head += [
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+            f"WARC-Refers-To: {_record_id(refers_to, sha1)}",
+            f"X-Refers-To-Page: {'' if refers_to is None else refers_to}",
+            "Content-Type: application/http; msgtype=response",
+        ]
         return _member(head, b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n")
     head.append("Content-Type: application/http; msgtype=response")
     return _member(head, b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + payload)
@@ -62,15 +75,33 @@ def mark_revisits(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     moves once, by page_id and digest, which no group of copies shares.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    digests = cut(rows.select("page_id", F.length(html).cast("long").alias("payload_bytes"), F.sha1(html).alias("payload_digest")).filter(F.col("payload_bytes") >= least_bytes), "digests")
+    rows = pages.select(
+        F.col("page_id").cast("long").alias("page_id"),
+        F.col("url").cast("string").alias("url"),
+        F.col("html").cast("string").alias("html"),
+    )
+    digests = cut(
+        rows.select(
+            "page_id",
+            F.length(html).cast("long").alias("payload_bytes"),
+            F.sha1(html).alias("payload_digest"),
+        ).filter(F.col("payload_bytes") >= least_bytes),
+        "digests",
+    )
     repeated = digests.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1")
     # One decision for each page_id and digest, and whether the response is among rows that repeat it.
     decided = digests.join(repeated, ["payload_digest", "payload_bytes"]).select("page_id", "payload_digest", "refers_to").distinct()
     found = rows.withColumn("payload_bytes", F.length(html).cast("long")).withColumn("payload_digest", F.sha1(html))
     # Hashed at every size, so that rows that repeat a page and its payload meet in one partition.
-    joined = found.join(decided.withColumnRenamed("page_id", "p").withColumnRenamed("payload_digest", "d").hint("shuffle_hash"), F.col("page_id").eqNullSafe(F.col("p")) & (F.col("payload_digest") == F.col("d")), "left").drop("p", "d")
-    return joined.withColumn("repeated", F.col("payload_digest").isNotNull() & (F.col("payload_bytes") >= least_bytes) & F.col("refers_to").isNotNull())
+    joined = found.join(
+        decided.withColumnRenamed("page_id", "p").withColumnRenamed("payload_digest", "d").hint("shuffle_hash"),
+        F.col("page_id").eqNullSafe(F.col("p")) & (F.col("payload_digest") == F.col("d")),
+        "left",
+    ).drop("p", "d")
+    return joined.withColumn(
+        "repeated",
+        F.col("payload_digest").isNotNull() & (F.col("payload_bytes") >= least_bytes) & F.col("refers_to").isNotNull(),
+    )
 
 
 def write_archives(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
@@ -92,7 +123,15 @@ def write_archives(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
                         first = last != (r["page_id"], r["payload_digest"])
                         last = (r["page_id"], r["payload_digest"])
                         revisit = r["repeated"] and not (first and r["page_id"] == r["refers_to"])
-                        yield record(r["page_id"], r["url"], (r["html"] or "").encode("utf-8", "surrogatepass"), r["payload_bytes"], r["payload_digest"], r["refers_to"], revisit)
+                        yield record(
+                            r["page_id"],
+                            r["url"],
+                            (r["html"] or "").encode("utf-8", "surrogatepass"),
+                            r["payload_bytes"],
+                            r["payload_digest"],
+                            r["refers_to"],
+                            revisit,
+                        )
 
         some = members()
         one = next(some, None)
@@ -188,7 +227,11 @@ def read_archives(archives: DataFrame, split_bytes: int = 8 << 20) -> DataFrame:
 
     A response's figures are those of the decoded payload; a revisit's are told by its headers.
     """
-    ranges = archives.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
+    ranges = archives.select(
+        "path",
+        "size",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long"))).alias("start"),
+    )
     # As many tasks as ranges, up to a number a driver can schedule; then tasks take several.
     many = archives.agg(F.sum(F.ceil(F.col("size") / split_bytes))).first()[0]
     if not many:

@@ -36,7 +36,12 @@ def test_components(spark, shape):
     n = 300
     ids = list(range(n))
     rng.shuffle(ids)
-    pairs = {"path": list(zip(ids, ids[1:150])), "star": [(ids[0], x) for x in ids[1:200]], "random": [(rng.randrange(n), rng.randrange(n)) for _ in range(200)], "none": []}[shape]
+    pairs = {
+        "path": list(zip(ids, ids[1:150])),
+        "star": [(ids[0], x) for x in ids[1:200]],
+        "random": [(rng.randrange(n), rng.randrange(n)) for _ in range(200)],
+        "none": [],
+    }[shape]
     df = spark.createDataFrame(pairs + pairs[:3] + [(b, a) for a, b in pairs[:5]], "a long, b long").repartition(4)
     got = {r.node: r.component for r in components(df).collect()}
     expected = union(n, pairs)
@@ -132,7 +137,9 @@ def test_jaccard_components(spark, monkeypatch, block, threshold):
 def test_jaccard_without_ids(spark):
     text = " ".join(f"w{i}" for i in range(50))
     rows = [(None, text), (4, text), (4, text + " x"), (2, "other words here"), (None, "alone with no id")]
-    got = sorted((str(r.doc_id), str(r.component_id)) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    got = sorted((str(r.doc_id), str(r.component_id)) for r in jaccard_join.jaccard_components(
+        spark.createDataFrame(rows, "doc_id long, text string"),
+    ).collect())
     assert got == sorted([("None", "4"), ("4", "4"), ("4", "4"), ("2", "2"), ("None", "None")])
 
 
@@ -185,11 +192,22 @@ def test_embedding_links(spark, reach):
     for i in range(400):
         c = centres[rng.integers(12)] if i % 3 else rng.normal(size=16)
         rows.append((i, [float(x) for x in c + rng.normal(size=16) * rng.choice([0.0, 0.1, 0.25, 0.4])], int(rng.integers(3))))
-    rows += [(400, None, 1), (401, [0.0] * 16, 1), (402, [float("nan")] * 16, 1), (403, rows[1][1], None), (404, [None] + [1.0] * 15, 1), (405, [float("inf")] * 16, 1), (406, [], 1)]
+    rows += [
+        (400, None, 1),
+        (401, [0.0] * 16, 1),
+        (402, [float("nan")] * 16, 1),
+        (403, rows[1][1], None),
+        (404, [None] + [1.0] * 15, 1),
+        (405, [float("inf")] * 16, 1),
+        (406, [], 1),
+    ]
     rows += [(410 + k, rows[1][1], rows[1][2]) for k in range(20)]
     links, groups = brute_cosine(rows)
     df = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<float>, label int, point int")
-    exact = spark.createDataFrame([(i, [float(np.float32(x)) if x is not None else None for x in v] if v is not None else None, l) for i, v, l in rows], "vec_id long, embedding array<double>, label int")
+    exact = spark.createDataFrame(
+        [(i, [float(np.float32(x)) if x is not None else None for x in v] if v is not None else None, l) for i, v, l in rows],
+        "vec_id long, embedding array<double>, label int",
+    )
     got = {r.vec_id: r for r in embedding_dedup.cosine_links(exact if reach == 1 else df, reach=reach, per_cell=40).collect()}
     assert len(got) == len(rows)
     found = sum(got[r[0]].n_links for r in rows)
@@ -222,7 +240,19 @@ def test_every_planted_link_is_found_at_any_number_of_cells(width, groups, cells
         for b1, b2 in ((0, 0), (0, 1), (1, 1)):
             some = [i for i in rows if i % 2 in (b1, b2)]
             if len(some):
-                frame = embedding_dedup.pd.DataFrame({"cell": c, "b1": b1, "b2": b2, "block": [i % 2 for i in some], "home": home[some], "cells": [np.flatnonzero(near[i]).astype("<i8").tobytes() for i in some], "point": some, "copies": 1, "unit": [X[i].tobytes() for i in some]})
+                frame = embedding_dedup.pd.DataFrame(
+                    {
+                        "cell": c,
+                        "b1": b1,
+                        "b2": b2,
+                        "block": [i % 2 for i in some],
+                        "home": home[some],
+                        "cells": [np.flatnonzero(near[i]).astype("<i8").tobytes() for i in some],
+                        "point": some,
+                        "copies": 1,
+                        "unit": [X[i].tobytes() for i in some],
+                    },
+                )
                 out = embedding_dedup.compared(frame, 0.93)
                 links[out.a[out.links > 0]] += out.links[out.links > 0]
     expected = (X @ X.T >= 0.93).sum(1) - 1
@@ -240,14 +270,23 @@ def test_cells_are_as_many_as_part_the_vectors():
 def test_vectors_of_several_lengths_and_sizes(spark):
     rng = np.random.default_rng(8)
     rows = [(i, [1e-200 * x for x in (1.0, 2.0, 3.0 + i / 50)], 1) for i in range(5)] + [(10 + i, [1e200, 2e200 + i * 1e199], 1) for i in range(3)]
-    rows += [(20 + i, rng.normal(size=5).tolist(), 1) for i in range(20)] + [(None, rows[0][1], 1), (None, None, 1), (50, [5e-324, 0.0], 2), (51, [1.0, 0.0], 2), (52, [1.0, 2.0], None)]
+    rows += [(20 + i, rng.normal(size=5).tolist(), 1) for i in range(20)] + [
+        (None, rows[0][1], 1),
+        (None, None, 1),
+        (50, [5e-324, 0.0], 2),
+        (51, [1.0, 0.0], 2),
+        (52, [1.0, 2.0], None),
+    ]
     links, groups = brute_cosine(rows)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     got = sorted(embedding_dedup.cosine_links(df, per_cell=2).collect(), key=str)
     smallest = {}
     for r, g in zip(rows, groups):
         smallest[g] = min((x for x in (smallest.get(g), r[0]) if x is not None), default=None)
-    assert [(r.vec_id, r.n_links, r.component_id) for r in got] == sorted(((r[0], n, smallest[g]) for r, n, g in zip(rows, links, groups)), key=lambda x: f"Row(vec_id={x[0]}, n_links={x[1]}, component_id={x[2]}")
+    assert [(r.vec_id, r.n_links, r.component_id) for r in got] == sorted(
+        ((r[0], n, smallest[g]) for r, n, g in zip(rows, links, groups)),
+        key=lambda x: f"Row(vec_id={x[0]}, n_links={x[1]}, component_id={x[2]}",
+    )
     empty = df.filter("vec_id is null and embedding is null")
     assert [(r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.cosine_links(empty).collect()] == [(None, 0, None)]
 
@@ -257,7 +296,19 @@ def test_vectors_of_several_lengths_and_sizes(spark):
 
 def test_archives(spark):
     big, other = "x" * 999 + "é", "<p>" * 500
-    rows = [(1, "u1", big), (2, "u2", big), (3, None, big), (4, "u4", other), (5, "u5", ""), (6, "u6", None), (7, "u7", "short"), (8, "u8", "short"), (9, "u\n9", "\x1f\x8b\x08" * 700), (10, "u", "\r\n\r\nWARC/1.1\r\n" * 100), (3, None, big)]
+    rows = [
+        (1, "u1", big),
+        (2, "u2", big),
+        (3, None, big),
+        (4, "u4", other),
+        (5, "u5", ""),
+        (6, "u6", None),
+        (7, "u7", "short"),
+        (8, "u8", "short"),
+        (9, "u\n9", "\x1f\x8b\x08" * 700),
+        (10, "u", "\r\n\r\nWARC/1.1\r\n" * 100),
+        (3, None, big),
+    ]
     df = spark.createDataFrame([(*r, 0) for r in rows], "page_id long, url string, html string, revisit int").repartition(3)
     archives = warc.write_archives(df)
     for split in (64, 1000, 1 << 20):
@@ -313,7 +364,14 @@ def test_archives_of_long_records_and_pages_without_ids(spark):
         assert records.rdd.getNumPartitions() >= min(4, -(-size // split))
         got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in records.collect()), key=str)
         n = len(noise.encode())
-        expected = [(1, n, "revisit", 2), (2, n, "response", None), (None, n, "revisit", 2), (None, 5, "response", None), (5, len(noise[:300_000].encode()), "response", None), (None, 0, "response", None)]
+        expected = [
+            (1, n, "revisit", 2),
+            (2, n, "response", None),
+            (None, n, "revisit", 2),
+            (None, 5, "response", None),
+            (5, len(noise[:300_000].encode()), "response", None),
+            (None, 0, "response", None),
+        ]
         assert got == sorted(expected, key=str)
     digests = {r.payload_digest for r in warc.read_archives(archives).filter("page_id = 1").collect()}
     import hashlib
@@ -327,7 +385,15 @@ def test_stages_of_the_pipeline_on_odd_rows(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
     prose = spark.read.parquet(f"{sf}/documents.parquet").filter("n_chars > 400").orderBy("doc_id").limit(6).collect()
     t = [r.text for r in prose]
-    rows = [(1, t[0], "en", None), (2, t[0], None, "s"), (2, t[0], None, "s"), (None, t[0], "en", "s"), (3, None, "en", "s"), (4, "", "en", "s"), (5, "123 456", None, None)]
+    rows = [
+        (1, t[0], "en", None),
+        (2, t[0], None, "s"),
+        (2, t[0], None, "s"),
+        (None, t[0], "en", "s"),
+        (3, None, "en", "s"),
+        (4, "", "en", "s"),
+        (5, "123 456", None, None),
+    ]
     rows += [(6, " ".join(t[1:5]) * 8, "de", "s"), (7, t[5], None, None), (7, t[5], None, None)]
     docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, node string")
     for table in ("benchmark",):

@@ -35,7 +35,14 @@ TRICKY = [
 def documents(spark, texts, **more):
     rows = [(i, t) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    return df.withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long"), "words": F.lit(1), "row": F.lit("x"), "h": F.lit(0)} | more)
+    return df.withColumns({
+        "lang": F.lit("en"),
+        "source": F.lit("s"),
+        "n_chars": F.length("text").cast("long"),
+        "words": F.lit(1),
+        "row": F.lit("x"),
+        "h": F.lit(0),
+    } | more)
 
 
 @pytest.fixture(scope="module")
@@ -62,7 +69,12 @@ def test_planes_round_trip(planes, n):
 
 @pytest.mark.parametrize("planes", ["byte", "bit"])
 def test_shards_round_trip(tmp_path, planes):
-    docs = [(None, np.arange(3, dtype="<u4").tobytes()), (5, b""), (-7, np.arange(1000, dtype="<u4").tobytes()), (8, np.array([4294967295], "<u4").tobytes())]
+    docs = [
+        (None, np.arange(3, dtype="<u4").tobytes()),
+        (5, b""),
+        (-7, np.arange(1000, dtype="<u4").tobytes()),
+        (8, np.array([4294967295], "<u4").tobytes()),
+    ]
     path = tmp_path / "x.qbp"
     path.write_bytes(b"".join(token_binary.ShardWriter(64, planes).chunks(docs)))
     assert [(k, v.tobytes()) for k, v in token_binary.read_shard(str(path))] == docs
@@ -123,7 +135,12 @@ def test_license_base(spark, docs):
         words, found = base_places(text)
         starts = [k for k, _ in found]
         r = got[i]
-        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(words), len(found), min(starts, default=None), max(starts, default=None))
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (
+            len(words),
+            len(found),
+            min(starts, default=None),
+            max(starts, default=None),
+        )
         assert r["base_labels"] == ",".join(sorted({x for _, x in found})) and 0 <= r["score"] <= 1
         assert set(filter(None, r["base_labels"].split(","))) <= set(filter(None, r["labels"].split(",")))
     assert licenses.scan(docs.limit(0)).count() == 0
@@ -183,7 +200,11 @@ def test_sure_words_do_not_change_the_decoding():
 
 
 SECRETS = (
-    ("assign", r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", lambda m: len(m[2]) >= 6),
+    (
+        "assign",
+        r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)",
+        lambda m: len(m[2]) >= 6,
+    ),
     ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20),
     ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 24),
 )
@@ -288,7 +309,17 @@ def test_leaks(spark):
     for k in (4, 11, 17, 25):
         subst[k] = "other"
     clean = " ".join(word() for _ in range(200))
-    texts = [clean, clean + " " + items[0].upper() + ". " + clean, clean + " " + " ".join(subst), "x " + items[1] + " y", items[2], items[3], None, "", " ".join(items[0].split()[5:16]) + " " + clean]
+    texts = [
+        clean,
+        clean + " " + items[0].upper() + ". " + clean,
+        clean + " " + " ".join(subst),
+        "x " + items[1] + " y",
+        items[2],
+        items[3],
+        None,
+        "",
+        " ".join(items[0].split()[5:16]) + " " + clean,
+    ]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string").withColumn("doc_id", F.lit(0))
     found = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(documents(spark, texts), bench).collect()}
     assert set(found) == {(1, 0), (2, 0), (3, 1), (4, 2), (8, 0)}
@@ -340,7 +371,10 @@ def test_leaks_with_words_substituted_anywhere(monkeypatch, hits):
     changes = [(j, set(c)) for n, m in ((5, 1), (15, 3)) for j in [sizes.index(n)] for c in combinations(range(n), m)]
     changes += [(j, {k for k in range(n) if rng.random() < rate}) for j, n in enumerate(sizes) for rate in (0.2, 0.3, 0.4) for _ in range(40)]
     texts = [" ".join(["a", *("b" if k in gone else w for k, w in enumerate(items[j])), "c"]) for j, gone in changes]
-    expected = {(i, j) for i, (j, gone) in enumerate(changes) if decontaminate.best_stretch(np.array([k not in gone for k in range(sizes[j])]))[0] >= min(8, 0.6 * sizes[j])}
+    expected = {
+        (i, j) for i,
+        (j, gone) in enumerate(changes) if decontaminate.best_stretch(np.array([k not in gone for k in range(sizes[j])]))[0] >= min(8, 0.6 * sizes[j])
+    }
     index = decontaminate.Index(list(range(len(items))), [" ".join(x) for x in items])
     assert {f[:2] for f in decontaminate.overlaps(pa.array(texts), index, 8, 0.6)} == expected and len(expected) > 2000
 
@@ -367,7 +401,10 @@ def test_leaks_in_long_and_repeated_texts_and_null_keys(spark):
     rng = random.Random(5)
     item = " ".join(f"i{k}" for k in range(40))
     same = "again and again " * 40
-    bench = spark.createDataFrame([(1, item), (2, same), (2, item), (None, item), (3, "")], "item_id long, text string").withColumn("n_words", F.lit(0))
+    bench = spark.createDataFrame(
+        [(1, item), (2, same), (2, item), (None, item), (3, "")],
+        "item_id long, text string",
+    ).withColumn("n_words", F.lit(0))
     long = " ".join(f"w{rng.randrange(500)}" for _ in range(150_000))
     texts = [long + " " + item + " " + long, "again and again " * 30_000, item, item, None]
     docs = documents(spark, texts).withColumn("item_id", F.lit("x")).withColumn("doc_id", F.when(F.col("doc_id") != 3, F.col("doc_id")))
@@ -406,12 +443,20 @@ def test_random_texts_in_tokens(monkeypatch):
     monkeypatch.setattr(token_binary, "CACHE", 2000)
     path = public_tokenizers.path("byte_bpe_50k.json")
     own, library = token_binary._Encoder(path), Tokenizer.from_file(path)
-    alphabets = ("aeinorst .,'-()0123\n\tÉ漢é\x00😀  \x85　 \xa0—’", "the and ing der 's 't 'll're\n\n  \n.,()'\"!?", "a b'\n x² ½ ٣ ं १ \r\n\x0b\x0c\x1c\x1f")
+    alphabets = (
+        "aeinorst .,'-()0123\n\tÉ漢é\x00😀  \x85　 \xa0—’",
+        "the and ing der 's 't 'll're\n\n  \n.,()'\"!?",
+        "a b'\n x² ½ ٣ ं १ \r\n\x0b\x0c\x1c\x1f",
+    )
     for seed in range(12):
         rng = random.Random(seed)
-        texts = ["".join(rng.choice(alphabets[seed % 3]) for _ in range(rng.randrange(60))) for _ in range(300)] + [None, "", "a<|endoftext|>b"][: 2 + (seed == 7)]
+        texts = [
+            "".join(rng.choice(alphabets[seed % 3]) for _ in range(rng.randrange(60))) for _ in range(300)
+        ] + [None, "", "a<|endoftext|>b"][: 2 + (seed == 7)]
         ids, first = own.encode_batch(pa.array(texts))
-        assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == [e.ids for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == [
+            e.ids for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)
+        ]
 
 
 def test_distinct_segments_with_equal_hashes(monkeypatch):
@@ -434,7 +479,17 @@ def test_pooled_probabilities_are_those_of_a_plain_run(monkeypatch, own, lead):
     monkeypatch.setattr(language, "WINDOWS", 11)
     _, parts = language.train([("der die das über", "de"), ("the of and", "en"), ("les est", "fr")], steps=2)
     net = language.Network(parts)
-    texts = ["", "a", "the cat sat on the mat over and over again. " * 5, "", "über", "x" * own, "y" * (own + 1), "donaudampfschifffahrtsgesellschaft" * 9, None]
+    texts = [
+        "",
+        "a",
+        "the cat sat on the mat over and over again. " * 5,
+        "",
+        "über",
+        "x" * own,
+        "y" * (own + 1),
+        "donaudampfschifffahrtsgesellschaft" * 9,
+        None,
+    ]
     data, offsets = language.buffers(pa.array(texts))
     found, pooled = net.positions(data, offsets), net.pooled(data, offsets)
     for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
@@ -459,7 +514,26 @@ def test_pooled_probabilities_are_those_of_a_plain_run(monkeypatch, own, lead):
 def test_counts_and_spans_of_secrets_and_personal_data(spark):
     """Counts, base spans and all spans by brute force, on random texts full of findings."""
     rng = random.Random(6)
-    bits = ["password", "=", ": ", "'", "token", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "abc", " ", "\n", "é", "api_key", "a@b.c", "+1 555 1234567", "10.0.0.1", "4532015112830366", "."]
+    bits = [
+        "password",
+        "=",
+        ": ",
+        "'",
+        "token",
+        "AKIA",
+        "ABCDEFGH12345678",
+        "0123456789abcdef",
+        "abc",
+        " ",
+        "\n",
+        "é",
+        "api_key",
+        "a@b.c",
+        "+1 555 1234567",
+        "10.0.0.1",
+        "4532015112830366",
+        ".",
+    ]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(60))) for _ in range(250)]
     found, personal = collect(secrets.find_secrets(documents(spark, texts))), collect(pii.find_personal_data(documents(spark, texts)))
     for i, text in enumerate(texts):
@@ -512,7 +586,10 @@ def test_tokens_of_null_and_repeated_ids(spark):
     before = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        shards = token_binary.write_tokens(documents(spark, []).select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string")), path)
+        shards = token_binary.write_tokens(
+            documents(spark, []).select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string")),
+            path,
+        )
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", before)
     assert max(r.n_docs for r in shards.collect()) < 300
