@@ -68,7 +68,15 @@ def log_distance(sim: Column, a: Column, b: Column) -> Column:
 def most_similar(scored: Column, threshold: float = 0.0) -> Column:
     """Of array<struct<option, sim>>: struct<sim, option> of the greatest at or above the threshold; of equals the last. None: (0, null)."""
     start = F.struct(F.lit(None).cast("double").alias("sim"), F.lit(None).cast("string").alias("option"))
-    best = F.aggregate(scored, start, lambda acc, x: F.when(x["sim"] >= F.greatest(F.coalesce(acc["sim"], F.lit(threshold)), F.lit(threshold)), F.struct(x["sim"].alias("sim"), x["option"].alias("option"))).otherwise(acc))
+    best = F.aggregate(
+        scored,
+        start,
+        lambda acc,
+        x: F.when(
+            x["sim"] >= F.greatest(F.coalesce(acc["sim"], F.lit(threshold)), F.lit(threshold)),
+            F.struct(x["sim"].alias("sim"), x["option"].alias("option")),
+        ).otherwise(acc),
+    )
     return F.struct(F.coalesce(best["sim"], F.lit(0.0)).alias("sim"), best["option"].alias("option"))
 
 

@@ -220,7 +220,10 @@ def sum_logprobs(tokens: Column, logprobs: Column) -> Column:
 
     def step(acc: Column, x: Column) -> Column:
         token = F.trim(x["t"])
-        return F.when(token == ",", F.struct(F.concat(acc["done"], F.array(acc["sum"])).alias("done"), F.lit(0.0).alias("sum"))).when(x["t"] == "\n", acc).otherwise(F.struct(acc["done"].alias("done"), (acc["sum"] + x["p"].cast("double")).alias("sum")))
+        return F.when(
+            token == ",",
+            F.struct(F.concat(acc["done"], F.array(acc["sum"])).alias("done"), F.lit(0.0).alias("sum")),
+        ).when(x["t"] == "\n", acc).otherwise(F.struct(acc["done"].alias("done"), (acc["sum"] + x["p"].cast("double")).alias("sum")))
 
     return F.aggregate(pairs, start, step, lambda acc: F.concat(acc["done"], F.array(acc["sum"])))
 
@@ -272,7 +275,28 @@ def _short_end(w: str) -> bool:
 
 
 #: The suffix rules of steps 2, 3 and 4.
-_STEP2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble"}
+_STEP2 = {
+    "ational": "ate",
+    "tional": "tion",
+    "enci": "ence",
+    "anci": "ance",
+    "izer": "ize",
+    "abli": "able",
+    "alli": "al",
+    "entli": "ent",
+    "eli": "e",
+    "ousli": "ous",
+    "ization": "ize",
+    "ation": "ate",
+    "ator": "ate",
+    "alism": "al",
+    "iveness": "ive",
+    "fulness": "ful",
+    "ousness": "ous",
+    "aliti": "al",
+    "iviti": "ive",
+    "biliti": "ble",
+}
 _STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
 _STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
 

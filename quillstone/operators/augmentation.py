@@ -28,8 +28,20 @@ def expand(df: DataFrame, strategy, aug_set: str) -> DataFrame:
     one = df.withColumn("_k", key).withColumn("_l", F.try_element_at("labels", F.col("_k"))).filter(F.col("_l").isNotNull())
     one = one.select(*df.columns, "_k", "_l", F.posexplode(F.try_element_at("_l.augmentations", F.lit(aug_set))).alias("_i", "_a"))
     number = F.col("_i") + 1
-    label = F.struct(F.col("_l.createdAt").alias("createdAt"), F.coalesce("_a.usageOptions", "_l.usageOptions").alias("usageOptions"), F.col("_l.datasets").alias("datasets"), F.to_json(F.struct(F.concat_ws("_", F.lit(aug_set), number).alias("augmentation"))).alias("metadata"), F.col("_l.scores").alias("scores"), F.create_map().cast(L.AUGMENTATIONS).alias("augmentations"))
-    changed = {"review_id": F.concat("review_id", F.lit(f".{aug_set}#"), number.cast("string")), "review_body": F.coalesce("_a.review_body", "review_body"), "product_title": F.coalesce("_a.product_title", "product_title"), "labels": F.create_map(F.col("_k"), label)}
+    label = F.struct(
+        F.col("_l.createdAt").alias("createdAt"),
+        F.coalesce("_a.usageOptions", "_l.usageOptions").alias("usageOptions"),
+        F.col("_l.datasets").alias("datasets"),
+        F.to_json(F.struct(F.concat_ws("_", F.lit(aug_set), number).alias("augmentation"))).alias("metadata"),
+        F.col("_l.scores").alias("scores"),
+        F.create_map().cast(L.AUGMENTATIONS).alias("augmentations"),
+    )
+    changed = {
+        "review_id": F.concat("review_id", F.lit(f".{aug_set}#"), number.cast("string")),
+        "review_body": F.coalesce("_a.review_body", "review_body"),
+        "product_title": F.coalesce("_a.product_title", "product_title"),
+        "labels": F.create_map(F.col("_k"), label),
+    }
     return one.select(*[changed.get(c, F.col(c)).alias(c) for c in df.columns])
 
 
@@ -37,13 +49,23 @@ def has_augmentations(df: DataFrame, aug_set: str) -> Column:
     return F.exists(F.map_values("labels"), lambda x: F.map_contains_key(x["augmentations"], aug_set))
 
 
-def augment_texts(df: DataFrame, strategy, aug_set: str, parts: tuple[str, ...], transform: Callable[[list[str]], list[str]], batch: int = 32) -> DataFrame:
+def augment_texts(
+    df: DataFrame,
+    strategy,
+    aug_set: str,
+    parts: tuple[str, ...],
+    transform: Callable[[list[str]], list[str]],
+    batch: int = 32,
+) -> DataFrame:
     """Adds one augmentation made by transform (lists of at most `batch` texts) to the first selected label.
 
     Null and empty texts are passed over and stay null in the augmentation. It is an error if a label has the set already.
     """
     key = L.first_id(F.col("labels"), strategy)
-    one = df.withColumn("_k", F.when(has_augmentations(df, aug_set), F.raise_error(F.lit(f"{aug_set} is there already")).cast("string")).otherwise(key))
+    one = df.withColumn(
+        "_k",
+        F.when(has_augmentations(df, aug_set), F.raise_error(F.lit(f"{aug_set} is there already")).cast("string")).otherwise(key),
+    )
 
     @F.pandas_udf("array<string>")
     def run(texts: pd.Series) -> pd.Series:
@@ -63,11 +85,28 @@ def augment_texts(df: DataFrame, strategy, aug_set: str, parts: tuple[str, ...],
         fields[p] = F.slice("_t", at, size) if p == "usageOptions" else F.try_element_at("_t", at)
         at = at + size
     null = {"usageOptions": F.lit(None).cast("array<string>")}
-    made = F.struct(fields.get("review_body", F.lit(None).cast("string")).alias("review_body"), fields.get("product_title", F.lit(None).cast("string")).alias("product_title"), fields.get("usageOptions", null["usageOptions"]).alias("usageOptions"), F.lit("{}").alias("metadata"))
+    made = F.struct(
+        fields.get("review_body", F.lit(None).cast("string")).alias("review_body"),
+        fields.get("product_title", F.lit(None).cast("string")).alias("product_title"),
+        fields.get("usageOptions", null["usageOptions"]).alias("usageOptions"),
+        F.lit("{}").alias("metadata"),
+    )
     old = F.try_element_at("labels", F.col("_k"))
     added = F.map_concat(old["augmentations"], F.create_map(F.lit(aug_set), F.array(made)))
-    label = F.struct(*[(added if f == "augmentations" else old[f]).alias(f) for f in ("createdAt", "usageOptions", "datasets", "metadata", "scores", "augmentations")])
-    return one.withColumn("labels", F.when(F.col("_k").isNull(), F.col("labels")).otherwise(F.map_concat(F.map_filter("labels", lambda k, _: k != F.col("_k")), F.create_map("_k", label)))).select(*df.columns)
+    label = F.struct(*[(added if f == "augmentations" else old[f]).alias(f) for f in (
+        "createdAt",
+        "usageOptions",
+        "datasets",
+        "metadata",
+        "scores",
+        "augmentations",
+    )])
+    return one.withColumn(
+        "labels",
+        F.when(F.col("_k").isNull(), F.col("labels")).otherwise(
+            F.map_concat(F.map_filter("labels", lambda k, _: k != F.col("_k")), F.create_map("_k", label)),
+        ),
+    ).select(*df.columns)
 
 
 def round_trips(transform: Callable[[list[str]], list[str]], rounds: int) -> Callable[[list[str]], list[str]]:
@@ -89,14 +128,26 @@ def choose_examples(df: DataFrame, label_id: str, n: int, order: str | None = No
 
     has = df.filter(F.map_contains_key("labels", F.lit(label_id)))
     by = [F.col(order)] if order else [sampling.draw(seed, "review_id")]
-    rows = has.orderBy(*by, "review_id").limit(n).select("review_body", join_options(F.element_at("labels", F.lit(label_id))["usageOptions"]).alias("o"))
+    rows = has.orderBy(*by, "review_id").limit(n).select(
+        "review_body",
+        join_options(F.element_at("labels", F.lit(label_id))["usageOptions"]).alias("o"),
+    )
     return [(r.review_body, r.o) for r in rows.collect()]
 
 
 def option_texts(options: Column, mode: str = "default", seed: int = 0, key: Column | None = None) -> Column:
     """Target texts of a label's options: joined; one each (flat); joined in an order drawn by hash (shuffle);
     or the first n permutations of that order (shuffle-n, shuffle-all)."""
-    drawn = F.transform(F.array_sort(F.transform(options, lambda x: F.struct(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string") if key is not None else F.lit(""), F.lit(":"), x)).alias("h"), x.alias("x")))), lambda s: s["x"])
+    drawn = F.transform(
+        F.array_sort(F.transform(
+            options,
+            lambda x: F.struct(
+                F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string") if key is not None else F.lit(""), F.lit(":"), x)).alias("h"),
+                x.alias("x"),
+            ),
+        )),
+        lambda s: s["x"],
+    )
     if mode == "default":
         return F.array(F.array_join(options, "; "))
     if mode == "flat":
@@ -120,7 +171,19 @@ def option_texts(options: Column, mode: str = "default", seed: int = 0, key: Col
     return permuted(drawn)
 
 
-def datapoints(df: DataFrame, strategy, template: str, mode: str = "default", most_input: int | None = None, most_target: int | None = None, augmentation_sets: tuple[str, ...] = (), drop_out: float = 0.0, stratified: bool = False, seed: int = 0, length: Callable[[Column], Column] | None = None) -> DataFrame:
+def datapoints(
+    df: DataFrame,
+    strategy,
+    template: str,
+    mode: str = "default",
+    most_input: int | None = None,
+    most_target: int | None = None,
+    augmentation_sets: tuple[str, ...] = (),
+    drop_out: float = 0.0,
+    stratified: bool = False,
+    seed: int = 0,
+    length: Callable[[Column], Column] | None = None,
+) -> DataFrame:
     """review_id, input, target, has_usage: originals and augmentations as prompts and targets, without over-long ones, a share dropped at random."""
     from quillstone.functions.text import fill_template, word_count
 
@@ -130,18 +193,40 @@ def datapoints(df: DataFrame, strategy, template: str, mode: str = "default", mo
     for s in augmentation_sets:
         whole = whole.unionByName(expand(rows, strategy, s))
     options = L.first_label(F.col("labels"), strategy)["usageOptions"]
-    filled = fill_template(template, **{c: F.col(c) for c in ("product_title", "review_body", "review_headline", "product_category") if c in df.columns})
-    out = whole.select("review_id", filled.alias("input"), options.alias("_o")).select("review_id", "input", (F.size("_o") > 0).alias("has_usage"), F.explode(option_texts(F.col("_o"), mode, seed, F.col("review_id"))).alias("target"))
+    filled = fill_template(
+        template,
+        **{c: F.col(c) for c in ("product_title", "review_body", "review_headline", "product_category") if c in df.columns},
+    )
+    out = whole.select("review_id", filled.alias("input"), options.alias("_o")).select(
+        "review_id",
+        "input",
+        (F.size("_o") > 0).alias("has_usage"),
+        F.explode(option_texts(F.col("_o"), mode, seed, F.col("review_id"))).alias("target"),
+    )
     if most_input is not None:
         out = out.filter(length(F.col("input")) <= most_input)
     if most_target is not None:
         out = out.filter(length(F.col("target")) <= most_target)
     if drop_out:
-        out = sampling.split(out.withColumn("_id", F.concat_ws("|", "review_id", "target")), 1 - drop_out, seed, "_id", ["has_usage"] if stratified else None).filter("in_first").drop("in_first", "_id")
+        out = sampling.split(
+            out.withColumn("_id", F.concat_ws("|", "review_id", "target")),
+            1 - drop_out,
+            seed,
+            "_id",
+            ["has_usage"] if stratified else None,
+        ).filter("in_first").drop("in_first", "_id")
     return out
 
 
-def assemble(train: DataFrame, test: DataFrame, val: DataFrame | None = None, val_fraction: float = 0.1, usage_share: float | None = None, strategy=None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def assemble(
+    train: DataFrame,
+    test: DataFrame,
+    val: DataFrame | None = None,
+    val_fraction: float = 0.1,
+    usage_share: float | None = None,
+    strategy=None,
+    seed: int = 0,
+) -> tuple[DataFrame, DataFrame]:
     """Training and validation reviews: train without test, validation without test and then taken out of train, or split from it."""
     from quillstone.operators.review_sets import minus
 
@@ -156,7 +241,14 @@ def assemble(train: DataFrame, test: DataFrame, val: DataFrame | None = None, va
     return tagged.filter("in_first").drop("in_first"), tagged.filter("not in_first").drop("in_first")
 
 
-def label_in_batches(df: DataFrame, label: Callable[[list[str]], list[list[str]]], label_id: str, created_at: str, text: str = "review_body", batch: int = 32) -> DataFrame:
+def label_in_batches(
+    df: DataFrame,
+    label: Callable[[list[str]], list[list[str]]],
+    label_id: str,
+    created_at: str,
+    text: str = "review_body",
+    batch: int = 32,
+) -> DataFrame:
     """Adds a label made by an injected client or model; its failures are retried by retrying()."""
 
     @F.pandas_udf("array<string>")

@@ -40,7 +40,10 @@ CATEGORIES = (
 
 def flag(column: Column) -> Column:
     """Y or N as 1 or 0; any other value is an error, null stays null."""
-    return F.when(column == "Y", 1).when(column == "N", 0).when(column.isNotNull(), F.raise_error(F.concat(F.lit("neither Y nor N: "), column))).cast("tinyint")
+    return F.when(column == "Y", 1).when(column == "N", 0).when(
+        column.isNotNull(),
+        F.raise_error(F.concat(F.lit("neither Y nor N: "), column)),
+    ).cast("tinyint")
 
 
 def flags_to_numbers(df: DataFrame, columns: tuple[str, ...] = ("vine", "verified_purchase")) -> DataFrame:
@@ -61,7 +64,9 @@ def pre_process(df: DataFrame) -> DataFrame:
 def recast(df: DataFrame) -> DataFrame:
     """The raw columns in the types that SQL queries see: strings, and long numbers."""
     numbers = ("star_rating", "helpful_votes", "total_votes")
-    return df.select(*[F.col(f.name).try_cast("long" if f.name in numbers else "string").alias(f.name) for f in REVIEW_SCHEMA if f.name in df.columns])
+    return df.select(*[F.col(f.name).try_cast(
+        "long" if f.name in numbers else "string",
+    ).alias(f.name) for f in REVIEW_SCHEMA if f.name in df.columns])
 
 
 def keep_categories(df: DataFrame, categories=CATEGORIES, column: str = "product_category") -> DataFrame:
@@ -115,7 +120,17 @@ def add_text_statistics(df: DataFrame, body: str = "review_body") -> DataFrame:
         f"{body}_usage_density": X.ratio(n["usage"], n["word"]),
         f"{body}_flesch_complexity": X.reading_ease(n["word"], n["sent"], F.col("_syllables")),
     }
-    names = ("word_count", "sent_count", "char_count", "lett_count", "avg_word_length", "reading_time", "usage_count", "usage_density", "flesch_complexity")
+    names = (
+        "word_count",
+        "sent_count",
+        "char_count",
+        "lett_count",
+        "avg_word_length",
+        "reading_time",
+        "usage_count",
+        "usage_density",
+        "flesch_complexity",
+    )
     return counted.withColumns(derived).select(*df.columns, *[f"{body}_{k}" for k in names])
 
 
@@ -146,14 +161,23 @@ def has_comma_option(options: Column) -> Column:
 
 def one_hot(df: DataFrame, columns: dict[str, list]) -> DataFrame:
     """Each column replaced by a 0/1 column for each of its values, named as the value."""
-    return df.select(*[c for c in df.columns if c not in columns], *[(F.col(c) == F.lit(v)).cast("int").alias(str(v)) for c, vs in columns.items() for v in sorted(vs, key=str)])
+    return df.select(
+        *[c for c in df.columns if c not in columns],
+        *[(F.col(c) == F.lit(v)).cast("int").alias(str(v)) for c, vs in columns.items() for v in sorted(vs, key=str)],
+    )
 
 
 def review_features(category: Column, stars: Column, body: Column, options: Column) -> Column:
     """struct<category, stars, words, options, option_words>; words are cut at single spaces, empty ones count."""
     parts = lambda x: F.size(F.split(x, " ", -1))
     mean = F.when(F.size(options) > 0, F.aggregate(options, F.lit(0), lambda n, o: n + parts(o)) / F.size(options)).otherwise(F.lit(0.0))
-    return F.struct(category.alias("category"), stars.try_cast("int").alias("stars"), parts(body).alias("words"), F.size(options).alias("options"), mean.alias("option_words"))
+    return F.struct(
+        category.alias("category"),
+        stars.try_cast("int").alias("stars"),
+        parts(body).alias("words"),
+        F.size(options).alias("options"),
+        mean.alias("option_words"),
+    )
 
 
 def any_of(conditions: list[Column]) -> Column:

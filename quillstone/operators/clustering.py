@@ -25,7 +25,12 @@ def usage_frame(df: DataFrame, strategy, embed=S.embed_hashed) -> DataFrame:
     """review_id, pos, usage_option, product_id, product_category, embedding of the first selected label's options."""
     from quillstone.operators.labels import first_label
 
-    one = df.select("review_id", "product_id", "product_category", F.posexplode(first_label(F.col("labels"), strategy)["usageOptions"]).alias("pos", "usage_option"))
+    one = df.select(
+        "review_id",
+        "product_id",
+        "product_category",
+        F.posexplode(first_label(F.col("labels"), strategy)["usageOptions"]).alias("pos", "usage_option"),
+    )
     one = one.filter(F.col("usage_option").isNotNull() & (F.col("usage_option") != ""))
     return S.embed_phrases(one.withColumn("_low", F.lower("usage_option")), "_low", embedder=embed).drop("_low")
 
@@ -37,7 +42,10 @@ def reduce_dimensions(df: DataFrame, k: int, method: str = "pca", column: str =
     size = F.size(column)
     mean = df.select(F.posexplode(column).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).orderBy("i")
     centre = [r.m for r in mean.collect()]  # one number a dimension
-    shifted = df.withColumn("_v", array_to_vector(F.zip_with(F.col(column).cast("array<double>"), F.array(*[F.lit(float(m)) for m in centre]), lambda x, m: x - m)))
+    shifted = df.withColumn(
+        "_v",
+        array_to_vector(F.zip_with(F.col(column).cast("array<double>"), F.array(*[F.lit(float(m)) for m in centre]), lambda x, m: x - m)),
+    )
     model = PCA(k=k, inputCol="_v", outputCol="_p").fit(shifted.filter(size == len(centre)))
     return model.transform(shifted).withColumn(column, vector_to_array("_p")).drop("_v", "_p")
 
@@ -122,7 +130,16 @@ def _whole(df: DataFrame, key: str, column: str, most: int, schema: str, functio
     return rows.groupBy("_g").applyInPandas(function, schema)
 
 
-def agglomerative(df: DataFrame, key: str = "vec_id", column: str = "embedding", metric: str = "cosine", linkage: str = "average", n_clusters: int | None = None, distance_threshold: float | None = None, most: int = MOST) -> DataFrame:
+def agglomerative(
+    df: DataFrame,
+    key: str = "vec_id",
+    column: str = "embedding",
+    metric: str = "cosine",
+    linkage: str = "average",
+    n_clusters: int | None = None,
+    distance_threshold: float | None = None,
+    most: int = MOST,
+) -> DataFrame:
     """(key, cluster)."""
     if (n_clusters is None) == (distance_threshold is None):
         raise ValueError("state either a number of clusters or a distance")
@@ -134,7 +151,14 @@ def agglomerative(df: DataFrame, key: str = "vec_id", column: str = "embedding",
     return _whole(df, key, column, most, f"{key} {dict(df.dtypes)[key]}, cluster long", run)
 
 
-def community_detection(df: DataFrame, threshold: float, least: int = 1, key: str = "vec_id", column: str = "embedding", most: int = MOST) -> DataFrame:
+def community_detection(
+    df: DataFrame,
+    threshold: float,
+    least: int = 1,
+    key: str = "vec_id",
+    column: str = "embedding",
+    most: int = MOST,
+) -> DataFrame:
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(key)
         return pd.DataFrame({key: frame[key], "cluster": communities(np.stack(frame["_v"]), threshold, least)})
@@ -157,14 +181,23 @@ def _far_sums(df: DataFrame, key: str, block: int) -> DataFrame:
         names, place = np.unique(b["cluster"].to_numpy(), return_inverse=True)
         X, Y = np.stack(a["_v"]), np.stack(b["_v"])
         inside = np.eye(len(names))[place]
-        sums = np.concatenate([np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (Y * Y).sum(1)[None] - 2 * x @ Y.T)) @ inside for x in np.array_split(X, -(-len(X) // 512))])
+        sums = np.concatenate([
+            np.sqrt(
+                np.maximum(0, (x * x).sum(1)[:, None] + (Y * Y).sum(1)[None] - 2 * x @ Y.T),
+            ) @ inside for x in np.array_split(X, -(-len(X) // 512))
+        ])
         same = a["_k"].to_numpy()[:, None] == b["_k"].to_numpy()[None] if many == 1 or frame["b1"].iloc[0] == frame["b2"].iloc[0] else None
         if same is not None:  # a row's distance to itself is nothing but rounding
             i, j = np.nonzero(same)
             own = np.sqrt(np.maximum(0, ((X[i] * X[i]).sum(1) + (Y[j] * Y[j]).sum(1) - 2 * (X[i] * Y[j]).sum(1))))
             np.subtract.at(sums, (i, place[j]), own)
         n = len(names)
-        return pd.DataFrame({"key": np.repeat(a["_k"].to_numpy(), n), "own": np.repeat(a["cluster"].to_numpy(), n), "other": np.tile(names, len(a)), "far": sums.ravel()})
+        return pd.DataFrame({
+            "key": np.repeat(a["_k"].to_numpy(), n),
+            "own": np.repeat(a["cluster"].to_numpy(), n),
+            "other": np.tile(names, len(a)),
+            "far": sums.ravel(),
+        })
 
     kinds = dict(df.dtypes)
     schema = f"key {kinds[key]}, own {kinds['cluster']}, other {kinds['cluster']}, far double"
@@ -268,7 +301,14 @@ def distances_between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 LANDMARKS = 1500
 
 
-def loss_map_clusters(statistics: DataFrame, k: int = 3, seed: int = 42, method: str = "spectral", gamma: float = 1.0, landmarks: int = LANDMARKS) -> DataFrame:
+def loss_map_clusters(
+    statistics: DataFrame,
+    k: int = 3,
+    seed: int = 42,
+    method: str = "spectral",
+    gamma: float = 1.0,
+    landmarks: int = LANDMARKS,
+) -> DataFrame:
     """Clusters of examples by (confidence, variability): spectral ones, exact for up to `landmarks` examples and by a sample of
     so many beyond that, or k-means."""
     kept = statistics.na.drop("any", subset=["confidence", "variability"])

@@ -136,22 +136,52 @@ def resolve_ids(known: list[str], patterns: list[str]) -> list[str]:
 
 
 def _label(options: Column, created_at: Column, datasets: Column, metadata: Column) -> Column:
-    return F.struct(created_at.alias("createdAt"), options.alias("usageOptions"), datasets.alias("datasets"), metadata.alias("metadata"), F.create_map().cast(SCORES).alias("scores"), F.create_map().cast(AUGMENTATIONS).alias("augmentations")).cast(LABEL)
+    return F.struct(
+        created_at.alias("createdAt"),
+        options.alias("usageOptions"),
+        datasets.alias("datasets"),
+        metadata.alias("metadata"),
+        F.create_map().cast(SCORES).alias("scores"),
+        F.create_map().cast(AUGMENTATIONS).alias("augmentations"),
+    ).cast(LABEL)
 
 
 def put(labels: Column, label_id: str, label: Column) -> Column:
     return F.map_concat(F.map_filter(labels, lambda k, _: k != label_id), F.create_map(F.lit(label_id), label))
 
 
-def add_label(labels: Column, label_id: str, options: Column, created_at: Column, datasets: Column | None = None, metadata: Column | None = None, overwrite: bool = False) -> Column:
+def add_label(
+    labels: Column,
+    label_id: str,
+    options: Column,
+    created_at: Column,
+    datasets: Column | None = None,
+    metadata: Column | None = None,
+    overwrite: bool = False,
+) -> Column:
     """A label without scores and augmentations; one that is there already is an error unless overwritten."""
-    label = _label(options, created_at, datasets if datasets is not None else F.array().cast("array<string>"), metadata if metadata is not None else F.lit("{}"))
+    label = _label(
+        options,
+        created_at,
+        datasets if datasets is not None else F.array().cast("array<string>"),
+        metadata if metadata is not None else F.lit("{}"),
+    )
     added = put(labels, label_id, label)
-    return added if overwrite else F.when(F.map_contains_key(labels, label_id), F.raise_error(F.lit(f"label {label_id} is there already")).cast(LABELS)).otherwise(added)
+    return added if overwrite else F.when(
+        F.map_contains_key(labels, label_id),
+        F.raise_error(F.lit(f"label {label_id} is there already")).cast(LABELS),
+    ).otherwise(added)
 
 
 def with_scores(label: Column, scores: Column) -> Column:
-    return F.struct(*[(scores if f == "scores" else label[f]).alias(f) for f in ("createdAt", "usageOptions", "datasets", "metadata", "scores", "augmentations")])
+    return F.struct(*[(scores if f == "scores" else label[f]).alias(f) for f in (
+        "createdAt",
+        "usageOptions",
+        "datasets",
+        "metadata",
+        "scores",
+        "augmentations",
+    )])
 
 
 def remove_label(labels: Column, label_id: str) -> Column:
@@ -184,18 +214,35 @@ def delete_labels(df: DataFrame, ids: list[str]) -> DataFrame:
     return df.withColumn("labels", labels)
 
 
-def correct_by_pattern(labels: Column, patterns: list[str], created_at: Column, source: str = "chat_gpt*", new_id: str = "bp-chat_gpt_correction") -> Column:
+def correct_by_pattern(
+    labels: Column,
+    patterns: list[str],
+    created_at: Column,
+    source: str = "chat_gpt*",
+    new_id: str = "bp-chat_gpt_correction",
+) -> Column:
     """The first label named by source that has options of these patterns, without those, under a new id with where it came
     from; nothing happens where the new id is there."""
     bad = lambda x: F.exists(F.array(*[F.lit(glob_regex(p)) for p in patterns]), lambda rx: F.rlike(x, rx))
     ids = F.filter(ids_by_glob(labels, [source]), lambda k: F.exists(labels[k]["usageOptions"], bad))
     first = F.try_element_at(ids, F.lit(1))
     old = F.try_element_at(labels, first)
-    label = _label(F.filter(old["usageOptions"], lambda x: ~bad(x)), created_at, F.array().cast("array<string>"), F.to_json(F.struct(first.alias("corrected_from"))))
+    label = _label(
+        F.filter(old["usageOptions"], lambda x: ~bad(x)),
+        created_at,
+        F.array().cast("array<string>"),
+        F.to_json(F.struct(first.alias("corrected_from"))),
+    )
     return F.when(first.isNull() | F.map_contains_key(labels, new_id), labels).otherwise(put(labels, new_id, label))
 
 
-def apply_decisions(df: DataFrame, decisions: DataFrame, created_at: Column, source: str = "chat_gpt*", new_id: str = "bp-chat_gpt_correction") -> DataFrame:
+def apply_decisions(
+    df: DataFrame,
+    decisions: DataFrame,
+    created_at: Column,
+    source: str = "chat_gpt*",
+    new_id: str = "bp-chat_gpt_correction",
+) -> DataFrame:
     """Corrections by hand: decisions (review_id, usage_option, keep, revised) of the options of the first label that source
     names. Options not kept go, a revised text stands in an option's place (behind the others), those without a decision
     stay. The outcome is a new label; reviews without decisions, or with that label already, stay as they are."""
@@ -225,7 +272,14 @@ def options_of_label(df: DataFrame, label_id: str) -> DataFrame:
 
 def labels_long(df: DataFrame) -> DataFrame:
     """review_id, label_id, usage_options, datasets, created_at, metadata."""
-    return df.select("review_id", F.explode("labels").alias("label_id", "l")).select("review_id", "label_id", F.col("l.usageOptions").alias("usage_options"), F.col("l.datasets").alias("datasets"), F.col("l.createdAt").alias("created_at"), F.col("l.metadata").alias("metadata"))
+    return df.select("review_id", F.explode("labels").alias("label_id", "l")).select(
+        "review_id",
+        "label_id",
+        F.col("l.usageOptions").alias("usage_options"),
+        F.col("l.datasets").alias("datasets"),
+        F.col("l.createdAt").alias("created_at"),
+        F.col("l.metadata").alias("metadata"),
+    )
 
 
 def usage_long(df: DataFrame) -> DataFrame:
@@ -235,15 +289,37 @@ def usage_long(df: DataFrame) -> DataFrame:
 
 def scores_long(df: DataFrame) -> DataFrame:
     """review_id, label_id, ref_id, metric_id, score, pred_pos, ref_pos."""
-    one = df.select("review_id", F.explode("labels").alias("label_id", "l")).select("review_id", "label_id", F.explode("l.scores").alias("ref_id", "m"))
-    return one.select("review_id", "label_id", "ref_id", F.explode("m").alias("metric_id", "s")).select("review_id", "label_id", "ref_id", "metric_id", "s.*")
+    one = df.select("review_id", F.explode("labels").alias("label_id", "l")).select(
+        "review_id",
+        "label_id",
+        F.explode("l.scores").alias("ref_id", "m"),
+    )
+    return one.select(
+        "review_id",
+        "label_id",
+        "ref_id",
+        F.explode("m").alias("metric_id", "s"),
+    ).select("review_id", "label_id", "ref_id", "metric_id", "s.*")
 
 
 def augmentations_long(df: DataFrame) -> DataFrame:
     """review_id, label_id, aug_set, idx, review_body, product_title, usage_options, metadata."""
-    one = df.select("review_id", F.explode("labels").alias("label_id", "l")).select("review_id", "label_id", F.explode("l.augmentations").alias("aug_set", "a"))
+    one = df.select("review_id", F.explode("labels").alias("label_id", "l")).select(
+        "review_id",
+        "label_id",
+        F.explode("l.augmentations").alias("aug_set", "a"),
+    )
     one = one.select("review_id", "label_id", "aug_set", F.posexplode("a").alias("idx", "x"))
-    return one.select("review_id", "label_id", "aug_set", "idx", "x.review_body", "x.product_title", F.col("x.usageOptions").alias("usage_options"), "x.metadata")
+    return one.select(
+        "review_id",
+        "label_id",
+        "aug_set",
+        "idx",
+        "x.review_body",
+        "x.product_title",
+        F.col("x.usageOptions").alias("usage_options"),
+        "x.metadata",
+    )
 
 
 def pivot_labels(long: DataFrame, scores: DataFrame | None = None, augmentations: DataFrame | None = None) -> DataFrame:
@@ -254,13 +330,18 @@ def pivot_labels(long: DataFrame, scores: DataFrame | None = None, augmentations
     out = long.groupBy("review_id").agg(entries.alias("entries")).select("review_id", labels.alias("labels"))
     if augmentations is not None:
         one = F.struct("idx", F.struct("review_body", "product_title", F.col("usage_options").alias("usageOptions"), "metadata").alias("x"))
-        sets = augmentations.groupBy("review_id", "label_id", "aug_set").agg(F.transform(F.sort_array(F.collect_list(one)), lambda e: e["x"]).alias("a"))
+        sets = augmentations.groupBy("review_id", "label_id", "aug_set").agg(
+            F.transform(F.sort_array(F.collect_list(one)), lambda e: e["x"]).alias("a"),
+        )
         by_label = sets.groupBy("review_id", "label_id").agg(F.map_from_entries(F.collect_list(F.struct("aug_set", "a"))).alias("s"))
         made = by_label.groupBy("review_id").agg(F.map_from_entries(F.collect_list(F.struct("label_id", "s"))).alias("_aug"))
         joined = out.join(made, "review_id", "left").withColumn("_aug", F.col("_aug").cast(f"map<string,{AUGMENTATIONS}>"))
         fields = ("createdAt", "usageOptions", "datasets", "metadata", "scores")
         put_in = lambda k, x: F.struct(*[x[f].alias(f) for f in fields], F.coalesce(F.try_element_at("_aug", k), x["augmentations"]).alias("augmentations"))
-        out = joined.select("review_id", F.when(F.col("_aug").isNull(), F.col("labels")).otherwise(F.transform_values("labels", put_in)).alias("labels"))
+        out = joined.select(
+            "review_id",
+            F.when(F.col("_aug").isNull(), F.col("labels")).otherwise(F.transform_values("labels", put_in)).alias("labels"),
+        )
     if scores is not None:
         from quillstone.operators.scoring import store_scores
 

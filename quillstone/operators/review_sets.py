@@ -10,7 +10,22 @@ from pyspark.sql import functions as F
 from quillstone.operators import labels as L
 from quillstone.operators import sampling
 
-ATTRIBUTES = ("marketplace", "customer_id", "product_id", "product_parent", "product_title", "product_category", "star_rating", "helpful_votes", "total_votes", "vine", "verified_purchase", "review_headline", "review_body", "review_date")
+ATTRIBUTES = (
+    "marketplace",
+    "customer_id",
+    "product_id",
+    "product_parent",
+    "product_title",
+    "product_category",
+    "star_rating",
+    "helpful_votes",
+    "total_votes",
+    "vine",
+    "verified_purchase",
+    "review_headline",
+    "review_body",
+    "review_date",
+)
 VERSION = 5
 
 
@@ -21,11 +36,23 @@ def _right_biased(a: Column, b: Column) -> Column:
 def merge_label(a: Column, b: Column) -> Column:
     """Two labels of one id: options must be equal, scores are united by reference and metric (the second wins),
     datasets united, augmentations and metadata taken from the second where both have them."""
-    same = F.when(a["usageOptions"] == b["usageOptions"], a["usageOptions"]).otherwise(F.raise_error(F.lit("labels of one id have different options")).cast("array<string>"))
+    same = F.when(a["usageOptions"] == b["usageOptions"], a["usageOptions"]).otherwise(
+        F.raise_error(F.lit("labels of one id have different options")).cast("array<string>"),
+    )
     scores = F.map_zip_with(a["scores"], b["scores"], lambda _, x, y: F.when(x.isNull(), y).when(y.isNull(), x).otherwise(_right_biased(x, y)))
     as_map = lambda x: F.from_json(F.coalesce(x, F.lit("{}")), "map<string,string>")
-    metadata = F.when(b["metadata"].isNull(), a["metadata"]).when(a["metadata"].isNull() | (a["metadata"] == b["metadata"]), b["metadata"]).otherwise(F.to_json(_right_biased(as_map(a["metadata"]), as_map(b["metadata"]))))
-    return F.struct(a["createdAt"].alias("createdAt"), same.alias("usageOptions"), F.array_union(a["datasets"], b["datasets"]).alias("datasets"), metadata.alias("metadata"), scores.alias("scores"), _right_biased(a["augmentations"], b["augmentations"]).alias("augmentations"))
+    metadata = F.when(b["metadata"].isNull(), a["metadata"]).when(
+        a["metadata"].isNull() | (a["metadata"] == b["metadata"]),
+        b["metadata"],
+    ).otherwise(F.to_json(_right_biased(as_map(a["metadata"]), as_map(b["metadata"]))))
+    return F.struct(
+        a["createdAt"].alias("createdAt"),
+        same.alias("usageOptions"),
+        F.array_union(a["datasets"], b["datasets"]).alias("datasets"),
+        metadata.alias("metadata"),
+        scores.alias("scores"),
+        _right_biased(a["augmentations"], b["augmentations"]).alias("augmentations"),
+    )
 
 
 def merge_label_maps(a: Column, b: Column) -> Column:
@@ -39,7 +66,9 @@ def merge(a: DataFrame, b: DataFrame, allow_new: bool = True) -> DataFrame:
     left = a.withColumn("_in_a", F.lit(True))
     joined = left.join(right, "review_id", "full_outer" if allow_new else "left")
     pick = [F.when(F.col("_in_a"), F.col(c)).otherwise(F.col(f"_b_{c}")).alias(c) if c in b.columns else F.col(c) for c in columns]
-    merged = F.when(F.col("_in_a").isNull(), F.col("_b_labels")).when(F.col("_in_b").isNull(), F.col("labels")).otherwise(merge_label_maps(F.col("labels"), F.col("_b_labels")))
+    merged = F.when(F.col("_in_a").isNull(), F.col("_b_labels")).when(F.col("_in_b").isNull(), F.col("labels")).otherwise(
+        merge_label_maps(F.col("labels"), F.col("_b_labels")),
+    )
     return joined.select("review_id", *pick, merged.alias("labels")).select(*a.columns)
 
 
@@ -68,7 +97,11 @@ def merge_report(a: DataFrame, b: DataFrame) -> DataFrame:
     mine = L.labels_long(a).select("review_id", "label_id", F.lit(True).alias("_label"))
     ids = a.select("review_id", F.lit(True).alias("_review"))
     joined = L.labels_long(b).select("review_id", "label_id").join(ids, "review_id", "left").join(mine, ["review_id", "label_id"], "left")
-    return joined.groupBy("label_id").agg(F.count("*").alias("reviews"), F.count(F.when(F.col("_review").isNull(), 1)).alias("new_reviews"), F.count("_label").alias("overlap"))
+    return joined.groupBy("label_id").agg(
+        F.count("*").alias("reviews"),
+        F.count(F.when(F.col("_review").isNull(), 1)).alias("new_reviews"),
+        F.count("_label").alias("overlap"),
+    )
 
 
 def violations(df: DataFrame) -> DataFrame:
@@ -205,6 +238,13 @@ class ReviewSet:
         """Only the first selected label, with datasets [name]; reviews without it go."""
         key = L.first_id(F.col("labels"), strategy)
         label = F.element_at("labels", key)
-        fields = [(F.array(F.lit(name)) if f == "datasets" else label[f]).alias(f) for f in ("createdAt", "usageOptions", "datasets", "metadata", "scores", "augmentations")]
+        fields = [(F.array(F.lit(name)) if f == "datasets" else label[f]).alias(f) for f in (
+            "createdAt",
+            "usageOptions",
+            "datasets",
+            "metadata",
+            "scores",
+            "augmentations",
+        )]
         kept = self.df.withColumn("_k", key).filter(F.col("_k").isNotNull())
         return ReviewSet(kept.withColumn("labels", F.create_map(key, F.struct(*fields))).drop("_k"))

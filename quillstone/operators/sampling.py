@@ -63,7 +63,15 @@ def sample_per_group(df: DataFrame, by: list[str], n: int, seed: int, id_column:
     return _rank(df, [draw(seed, id_column), F.col(id_column)], by).filter(F.col("_rank") <= n).drop("_rank", "_size")
 
 
-def train_test_val(df: DataFrame, strata: list[str], id_column: str, train: float = 0.7, test: float = 0.2, val: float = 0.1, exact: bool = True) -> DataFrame:
+def train_test_val(
+    df: DataFrame,
+    strata: list[str],
+    id_column: str,
+    train: float = 0.7,
+    test: float = 0.2,
+    val: float = 0.1,
+    exact: bool = True,
+) -> DataFrame:
     """Adds part: train, test or val, by position within each stratum. Rows with a null stratum vanish.
 
     exact: cuts at the decimal fractions; else at those of doubles.
@@ -103,7 +111,17 @@ def two_level_size(n: int, levels: tuple[int, int], equal_first: bool, equal_sec
     return F.floor(F.lit(n) * both / total)
 
 
-def sample_two_level(df: DataFrame, n: int, first: str, second: str, seed: int, id_column: str, equal_first: bool = True, equal_second: bool = True, levels: tuple[int, int] = (28, 5)) -> DataFrame:
+def sample_two_level(
+    df: DataFrame,
+    n: int,
+    first: str,
+    second: str,
+    seed: int,
+    id_column: str,
+    equal_first: bool = True,
+    equal_second: bool = True,
+    levels: tuple[int, int] = (28, 5),
+) -> DataFrame:
     ranked = _rank(df, [draw(seed, id_column), F.col(id_column)], [first, second])
     sizes = df.groupBy(first, second).agg(F.count("*").alias("_both"))
     sizes = sizes.withColumn("_first", F.sum("_both").over(Window.partitionBy(first))).withColumn("_total", F.sum("_both").over(Window.partitionBy()))
@@ -126,4 +144,7 @@ def within_budget(groups: DataFrame, share: float, size: str = "size", key: str
     """Whole groups, smallest first, as long as those before hold less than the share of all rows. groups: one row a group."""
     order = Window.orderBy(size, key).rowsBetween(Window.unboundedPreceding, -1)
     total = F.sum(size).over(Window.partitionBy())
-    return groups.withColumn("_before", F.coalesce(F.sum(size).over(order), F.lit(0))).withColumn("_all", total).filter(F.col("_before") / F.col("_all") < share).drop("_before", "_all")
+    return groups.withColumn(
+        "_before",
+        F.coalesce(F.sum(size).over(order), F.lit(0)),
+    ).withColumn("_all", total).filter(F.col("_before") / F.col("_all") < share).drop("_before", "_all")

@@ -110,7 +110,11 @@ def harmonic_scores(scores: DataFrame, by: list[str]) -> DataFrame:
     """Means over reviews whose reference is positive, negative, or both sides positive (none: 1), and the harmonic mean of the first two."""
     kept = scores.filter(F.col("score").isNotNull() & ~F.isnan("score"))
     mean = lambda c: F.coalesce(F.avg(F.when(c, F.col("score"))), F.lit(1.0))
-    one = kept.groupBy(*by).agg(mean(F.col("ref_pos")).alias("positive"), mean(~F.col("ref_pos")).alias("negative"), mean(F.col("ref_pos") & F.col("pred_pos")).alias("true_positive"))
+    one = kept.groupBy(*by).agg(
+        mean(F.col("ref_pos")).alias("positive"),
+        mean(~F.col("ref_pos")).alias("negative"),
+        mean(F.col("ref_pos") & F.col("pred_pos")).alias("true_positive"),
+    )
     both = F.col("positive") + F.col("negative")
     return one.withColumn("harmonic", F.when(both == 0, F.lit(0.0)).otherwise(2 * F.col("positive") * F.col("negative") / both))
 
@@ -124,7 +128,10 @@ def classification_scores(flags: DataFrame, by: list[str], strict_compat: bool =
     one = flags.groupBy(*by).agg(n(True, True).alias("tp"), n(True, False).alias("fp"), n(False, False).alias("tn"), n(False, True).alias("fn"))
     rate = lambda a, b: F.when(b == 0, F.lit(0.0)).otherwise(a / b)
     tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
-    out = one.withColumn("accuracy", F.try_divide(tp + tn, tp + fp + tn + fn)).withColumn("recall", rate(tp, tp + fn)).withColumn("precision", rate(tp, tp + fp)).withColumn("specificity", rate(tn, tn + fp))
+    out = one.withColumn(
+        "accuracy",
+        F.try_divide(tp + tn, tp + fp + tn + fn),
+    ).withColumn("recall", rate(tp, tp + fn)).withColumn("precision", rate(tp, tp + fp)).withColumn("specificity", rate(tn, tn + fp))
     both = F.col("precision") + F.col("recall")
     out = out.withColumn("f1", F.when(both == 0, F.lit(0.0)).otherwise(2 * F.col("precision") * F.col("recall") / both))
     sensitivity = F.col("specificity") if strict_compat else F.col("recall")
@@ -135,7 +142,12 @@ def label_variance(scores: DataFrame, by_review: bool = True) -> DataFrame:
     """How much labels of one review differ: mean and population variance of the scores of its unordered pairs,
     averaged over reviews for each metric; or for each pair of labels over reviews."""
     kept = scores.filter(F.col("score").isNotNull() & ~F.isnan("score"))
-    pairs = kept.groupBy("review_id", "metric_id", F.least("label_id", "ref_id").alias("a"), F.greatest("label_id", "ref_id").alias("b")).agg(F.avg("score").alias("score"))
+    pairs = kept.groupBy(
+        "review_id",
+        "metric_id",
+        F.least("label_id", "ref_id").alias("a"),
+        F.greatest("label_id", "ref_id").alias("b"),
+    ).agg(F.avg("score").alias("score"))
     if by_review:
         one = pairs.groupBy("metric_id", "review_id").agg(F.avg("score").alias("m"), F.var_pop("score").alias("v"))
         return one.groupBy("metric_id").agg(F.avg("m").alias("mean"), F.avg("v").alias("variance"))
@@ -160,7 +172,10 @@ def set_scores(pairs: DataFrame, on: str, agg: str = "mean") -> DataFrame:
 def threshold_classification(pairs: DataFrame, on: str, threshold: float = M.THRESHOLD) -> DataFrame:
     """tp: references met by a prediction, fn: not met, fp: predictions that meet none."""
     hit = F.col("similarity") >= threshold
-    refs = pairs.groupBy(on, "reference").agg(F.bool_or(hit).alias("met")).groupBy(on).agg(F.count_if("met").alias("tp"), F.count_if(~F.col("met")).alias("fn"))
+    refs = pairs.groupBy(on, "reference").agg(F.bool_or(hit).alias("met")).groupBy(on).agg(
+        F.count_if("met").alias("tp"),
+        F.count_if(~F.col("met")).alias("fn"),
+    )
     preds = pairs.groupBy(on, "prediction").agg(F.bool_or(hit).alias("met")).groupBy(on).agg(F.count_if(~F.col("met")).alias("fp"))
     return refs.join(preds, on)
 
@@ -168,18 +183,42 @@ def threshold_classification(pairs: DataFrame, on: str, threshold: float = M.THR
 def match_golden(predictions: DataFrame, golden: DataFrame) -> DataFrame:
     """Each prediction with the first golden row of its review_id; those without go. golden has an order column _pos."""
     columns = [c for c in golden.columns if c not in ("review_id", "_pos")]
-    first = golden.groupBy("review_id").agg(F.min_by(F.struct(*columns), "_pos").alias("g")).select("review_id", *[F.col(f"g.{c}").alias(f"golden_{c}") for c in columns])
+    first = golden.groupBy("review_id").agg(F.min_by(F.struct(*columns), "_pos").alias("g")).select(
+        "review_id",
+        *[F.col(f"g.{c}").alias(f"golden_{c}") for c in columns],
+    )
     return predictions.join(first, "review_id")
 
 
-def scored_reviews(df: DataFrame, scores: DataFrame, label_id: str, ref_ids: list[str], metric_id: str = "custom_weighted_mean_f1", hard_ids: tuple[str, ...] = ()) -> DataFrame:
+def scored_reviews(
+    df: DataFrame,
+    scores: DataFrame,
+    label_id: str,
+    ref_ids: list[str],
+    metric_id: str = "custom_weighted_mean_f1",
+    hard_ids: tuple[str, ...] = (),
+) -> DataFrame:
     """Per scored review: texts of both sides, stars, metric, class (a reference that agrees with the label decides) and whether it is hard."""
     best = best_reference(scores.filter((F.col("label_id") == label_id) & F.col("ref_id").isin(*ref_ids) & (F.col("metric_id") == metric_id)))
-    flags = scores.filter((F.col("label_id") == label_id) & F.col("ref_id").isin(*ref_ids)).groupBy("review_id").agg(F.bool_or("pred_pos").alias("p"), F.bool_or("ref_pos").alias("any_pos"), F.bool_and("ref_pos").alias("all_pos"))
+    flags = scores.filter((F.col("label_id") == label_id) & F.col("ref_id").isin(*ref_ids)).groupBy("review_id").agg(
+        F.bool_or("pred_pos").alias("p"),
+        F.bool_or("ref_pos").alias("any_pos"),
+        F.bool_and("ref_pos").alias("all_pos"),
+    )
     kind = F.when(F.col("p") & F.col("any_pos"), "TP").when(F.col("p"), "FP").when(~F.col("all_pos"), "TN").otherwise("FN")
     joined = df.join(best.select("review_id", F.col("score").alias(metric_id), "ref_id"), "review_id").join(flags, "review_id")
     options = lambda k: F.array_join(F.try_element_at("labels", k)["usageOptions"], "; ")
-    return joined.select("review_id", "review_body", "product_category", F.col("star_rating").try_cast("int").alias("star_rating"), kind.alias("usage_class"), options(F.lit(label_id)).alias("predicted"), options(F.col("ref_id")).alias("reference"), metric_id, F.col("review_id").isin(*hard_ids).alias("is_hard") if hard_ids else F.lit(False).alias("is_hard"))
+    return joined.select(
+        "review_id",
+        "review_body",
+        "product_category",
+        F.col("star_rating").try_cast("int").alias("star_rating"),
+        kind.alias("usage_class"),
+        options(F.lit(label_id)).alias("predicted"),
+        options(F.col("ref_id")).alias("reference"),
+        metric_id,
+        F.col("review_id").isin(*hard_ids).alias("is_hard") if hard_ids else F.lit(False).alias("is_hard"),
+    )
 
 
 def score_report(rows: DataFrame, metric_id: str = "custom_weighted_mean_f1", samples: int = 10, seed: int = 0) -> dict[str, DataFrame]:
@@ -190,7 +229,11 @@ def score_report(rows: DataFrame, metric_id: str = "custom_weighted_mean_f1", sa
     tagged = rows.withColumn("review_length", length_class(word_count(F.col("review_body"))))
     out = {"classes": tagged.groupBy("usage_class").agg(F.count("*").alias("count"))}
     for key in ("review_length", "star_rating", "product_category"):
-        hits = tagged.filter("usage_class = 'TP'").groupBy(key).agg(F.count("*").alias("count"), F.avg(metric_id).alias("mean"), F.stddev_samp(metric_id).alias("std"))
+        hits = tagged.filter("usage_class = 'TP'").groupBy(key).agg(
+            F.count("*").alias("count"),
+            F.avg(metric_id).alias("mean"),
+            F.stddev_samp(metric_id).alias("std"),
+        )
         out[f"by_{key}"] = hits
         out[f"classes_by_{key}"] = tagged.groupBy(key, "usage_class").agg(F.count("*").alias("count"))
     order = F.md5(F.concat(F.lit(f"{seed}:"), "review_id"))
@@ -202,4 +245,7 @@ def score_report(rows: DataFrame, metric_id: str = "custom_weighted_mean_f1", sa
 def mean_scores(scores: DataFrame) -> DataFrame:
     """metric_id, label_id, mean and number of scores, the best first."""
     kept = scores.filter(F.col("score").isNotNull() & ~F.isnan("score"))
-    return kept.groupBy("metric_id", "label_id").agg(F.avg("score").alias("mean"), F.count("*").alias("n")).orderBy("metric_id", F.desc("mean"), "label_id")
+    return kept.groupBy("metric_id", "label_id").agg(
+        F.avg("score").alias("mean"),
+        F.count("*").alias("n"),
+    ).orderBy("metric_id", F.desc("mean"), "label_id")

@@ -47,7 +47,12 @@ def wilcoxon_statistic(pairs: DataFrame) -> DataFrame:
     before = F.coalesce(F.sum("c").over(Window.orderBy("m").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = counts.withColumn("rank", before + (F.col("c") + 1) / 2)
     total = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
-    return ranked.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), total(F.col("rank") * F.col("u")).alias("w_plus"), total(F.col("rank") * (F.col("c") - F.col("u"))).alias("w_minus"), total(F.col("c").cast("double") * (F.col("c") * F.col("c") - 1)).alias("ties"))
+    return ranked.agg(
+        F.coalesce(F.sum("c"), F.lit(0)).alias("n"),
+        total(F.col("rank") * F.col("u")).alias("w_plus"),
+        total(F.col("rank") * (F.col("c") - F.col("u"))).alias("w_minus"),
+        total(F.col("c").cast("double") * (F.col("c") * F.col("c") - 1)).alias("ties"),
+    )
 
 
 def wilcoxon(pairs: DataFrame, alternative: str = "two-sided") -> dict[str, float]:
@@ -87,14 +92,20 @@ def bootstrap(pairs: DataFrame, confidence: float = 0.95, alternative: str = "tw
     if alternative not in ALTERNATIVES:
         raise ValueError(f"no alternative is called {alternative}")
     a = 1 - confidence
-    r = bootstrap_means(pairs, replicates, seed).agg(F.percentile("mean", F.array(F.lit(a / 2), F.lit(1 - a / 2), F.lit(a), F.lit(1 - a))).alias("q")).first().q
+    r = bootstrap_means(pairs, replicates, seed).agg(
+        F.percentile("mean", F.array(F.lit(a / 2), F.lit(1 - a / 2), F.lit(a), F.lit(1 - a))).alias("q"),
+    ).first().q
     low, high = {"two-sided": (r[0], r[1]), "greater": (r[2], math.inf), "less": (-math.inf, r[3])}[alternative]
     rejected = {"two-sided": low > 0 or high < 0, "greater": low > 0, "less": high < 0}[alternative]
     return {"low": low, "high": high, "rejected": rejected}
 
 
 def _extreme(found: DataFrame, observed: float, alternative: str, n: int) -> float:
-    test = {"greater": F.col("s") >= observed - 1e-12, "less": F.col("s") <= observed + 1e-12, "two-sided": F.abs("s") >= abs(observed) - 1e-12}[alternative]
+    test = {
+        "greater": F.col("s") >= observed - 1e-12,
+        "less": F.col("s") <= observed + 1e-12,
+        "two-sided": F.abs("s") >= abs(observed) - 1e-12,
+    }[alternative]
     return (found.agg(F.count_if(test).alias("n")).first().n + 1) / (n + 1)
 
 
@@ -116,13 +127,30 @@ def permutation_harmonic(pairs: DataFrame, alternative: str = "two-sided", repli
     difference = lambda df: df.agg((_harmonic("a", "a_ref") - _harmonic("b", "b_ref")).alias("s"))
     observed = difference(pairs).first().s
     keep = F.col("u") < 0.5
-    drawn = _draws(pairs, replicates, seed).select("replicate", *[F.when(keep, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("a_ref", "b_ref"), ("b_ref", "a_ref"))])
+    drawn = _draws(pairs, replicates, seed).select(
+        "replicate",
+        *[F.when(keep, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("a_ref", "b_ref"), ("b_ref", "a_ref"))],
+    )
     return {"statistic": observed, "p": _extreme(difference(drawn.groupBy("replicate")), observed, alternative, replicates)}
 
 
-def hypothesis_test(scores: DataFrame, first: str, second: str, metric_id: str, kind: str = "permutation_harmonic", alternative: str = "greater", confidence: float = 0.95) -> dict[str, dict]:
+def hypothesis_test(
+    scores: DataFrame,
+    first: str,
+    second: str,
+    metric_id: str,
+    kind: str = "permutation_harmonic",
+    alternative: str = "greater",
+    confidence: float = 0.95,
+) -> dict[str, dict]:
     """One test, or all of them (kind "all")."""
     pairs = paired(scores, first, second, metric_id).cache()
-    tests = {"ttest": lambda: t_test(pairs, alternative), "wilcoxon": lambda: wilcoxon(pairs, alternative), "bootstrap": lambda: bootstrap(pairs, confidence, alternative), "permutation": lambda: permutation(pairs, alternative), "permutation_harmonic": lambda: permutation_harmonic(pairs, alternative)}
+    tests = {
+        "ttest": lambda: t_test(pairs, alternative),
+        "wilcoxon": lambda: wilcoxon(pairs, alternative),
+        "bootstrap": lambda: bootstrap(pairs, confidence, alternative),
+        "permutation": lambda: permutation(pairs, alternative),
+        "permutation_harmonic": lambda: permutation_harmonic(pairs, alternative),
+    }
     names = ["ttest", "wilcoxon", "bootstrap", "permutation"] if kind == "all" else [kind]
     return {n: tests[n]() for n in names}

@@ -20,11 +20,19 @@ def describe(df: DataFrame, columns: list[str], by: list[str] | None = None, app
     Exact quartiles keep each distinct value of a group; approximate ones are of bounded size, for columns of
     very many distinct values.
     """
-    quartiles = (lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], 100_000)) if approximate else (lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
+    quartiles = (lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], 100_000)) if approximate else (
+        lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    )
 
     def stats(c: str) -> Column:
         moments = [F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std")]
-        return F.struct(F.lit(c).alias("column_name"), *moments, F.min(c).cast("double").alias("min"), quartiles(c).alias("q"), F.max(c).cast("double").alias("max"))
+        return F.struct(
+            F.lit(c).alias("column_name"),
+            *moments,
+            F.min(c).cast("double").alias("min"),
+            quartiles(c).alias("q"),
+            F.max(c).cast("double").alias("max"),
+        )
 
     keys = by or []
     one = df.groupBy(*keys).agg(F.array(*[stats(c) for c in columns]).alias("s")).select(*keys, F.inline("s"))
@@ -100,7 +108,11 @@ def equal_frequency_counts(counts: DataFrame, n: int, value: str = "size", weigh
     inner = F.filter("edges", lambda e: e < F.col(value))
     bucket = F.greatest(F.size(inner), F.lit(1))
     out = tagged.withColumn("bucket", bucket)
-    return out.groupBy("bucket", F.get("edges", F.col("bucket") - 1).alias("low"), F.get("edges", F.col("bucket")).alias("high")).agg(F.sum(weight).alias("total"))
+    return out.groupBy(
+        "bucket",
+        F.get("edges", F.col("bucket") - 1).alias("low"),
+        F.get("edges", F.col("bucket")).alias("high"),
+    ).agg(F.sum(weight).alias("total"))
 
 
 def fixed_bucket(value: Column, edges: tuple[float, ...] = GAP_EDGES) -> Column:
@@ -129,12 +141,21 @@ def busy_rows(df: DataFrame, key: str, more_than: int) -> DataFrame:
     return df.join(busy, key, "left_semi")
 
 
-def loss_statistics(log: DataFrame, mode: str = "training", keys: tuple[str, ...] = ("review_id", "source_id"), epochs: list[int] | None = None) -> DataFrame:
+def loss_statistics(
+    log: DataFrame,
+    mode: str = "training",
+    keys: tuple[str, ...] = ("review_id", "source_id"),
+    epochs: list[int] | None = None,
+) -> DataFrame:
     """Mean and std of exp(-loss) per example: how sure and how steady a model was."""
     rows = log.filter(F.col("mode") == mode)
     if epochs is not None:
         rows = rows.filter(F.col("epoch").isin(*epochs))
-    return rows.withColumn("p", F.exp(-F.col("loss"))).groupBy(*keys).agg(F.avg("p").alias("confidence"), F.stddev_samp("p").alias("variability"), F.count("*").alias("n"))
+    return rows.withColumn("p", F.exp(-F.col("loss"))).groupBy(*keys).agg(
+        F.avg("p").alias("confidence"),
+        F.stddev_samp("p").alias("variability"),
+        F.count("*").alias("n"),
+    )
 
 
 def token_length_statistics(df: DataFrame, length: str, limit: int) -> DataFrame:
@@ -143,7 +164,13 @@ def token_length_statistics(df: DataFrame, length: str, limit: int) -> DataFrame
     ranked = counts.withColumn("_upto", F.sum("_n").over(Window.orderBy("_length"))).withColumn("_all", F.sum("_n").over(Window.partitionBy()))
     at = (F.col("_upto") > F.floor(F.col("_all") / 2)) & (F.col("_upto") - F.col("_n") <= F.floor(F.col("_all") / 2))
     over = F.sum(F.when(F.col("_length") > limit, F.col("_n")).otherwise(0))
-    return ranked.agg((F.sum(F.col("_length") * F.col("_n")) / F.sum("_n")).alias("mean"), F.max(F.when(at, F.col("_length"))).alias("median"), F.min("_length").alias("least"), F.max("_length").alias("most"), over.alias("over"))
+    return ranked.agg(
+        (F.sum(F.col("_length") * F.col("_n")) / F.sum("_n")).alias("mean"),
+        F.max(F.when(at, F.col("_length"))).alias("median"),
+        F.min("_length").alias("least"),
+        F.max("_length").alias("most"),
+        over.alias("over"),
+    )
 
 
 def dataset_metadata(df: DataFrame, label: str, has_usage: str) -> DataFrame:

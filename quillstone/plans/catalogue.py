@@ -62,7 +62,11 @@ W = r"list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')"
 def word_count_range(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").transform(cleaning.keep_word_counts, 4, 400, "text")
     cut = docs.select("lang", X.word_count(X.truncate_words(F.col("text"), 400)).alias("c"))
-    return rounded(cut.groupBy("lang").agg(F.count("*").alias("n"), F.avg("c").alias("mean_words"), F.stddev_samp("c").alias("std_words")), "mean_words", "std_words")
+    return rounded(
+        cut.groupBy("lang").agg(F.count("*").alias("n"), F.avg("c").alias("mean_words"), F.stddev_samp("c").alias("std_words")),
+        "mean_words",
+        "std_words",
+    )
 
 
 @query(f"SELECT doc_id, array_to_string(list_slice({W}, 1, 20), ' ') AS body FROM documents")
@@ -80,7 +84,15 @@ _USES = " + ".join(f"(length(t) - length(replace(t, '{w}', ''))) // {len(w)}" fo
         FROM (SELECT doc_id, len({W})::BIGINT AS n, {_CHARS} AS c, {_LETTERS} AS l, ({_USES})::BIGINT AS u FROM (SELECT *, lower(text) AS t FROM documents))""")
 def enrich_text_stats(spark, sf_dir):
     rows = cleaning.add_text_statistics(load(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("b")), "b")
-    names = {"word_count": "words", "char_count": "chars", "lett_count": "letters", "avg_word_length": "avg_word_length", "reading_time": "reading_time", "usage_count": "uses", "usage_density": "usage_density"}
+    names = {
+        "word_count": "words",
+        "char_count": "chars",
+        "lett_count": "letters",
+        "avg_word_length": "avg_word_length",
+        "reading_time": "reading_time",
+        "usage_count": "uses",
+        "usage_density": "usage_density",
+    }
     return rounded(rows.select("doc_id", *[F.col(f"b_{k}").alias(v) for k, v in names.items()]), "avg_word_length", "usage_density")
 
 
@@ -98,7 +110,12 @@ _SYLLABLES = """greatest(1, len(list_filter(string_split_regex(CASE WHEN regexp_
         SELECT doc_id, sentences, coalesce(y, 0)::BIGINT AS syllables, CASE WHEN n = 0 THEN 0 ELSE round(206.835::DOUBLE - 1.015::DOUBLE * (n / sentences) - 84.6::DOUBLE * (y / n), 2) END AS flesch FROM s""")
 def readability(spark, sf_dir):
     t = F.col("text")
-    return load(spark, sf_dir, "documents").select("doc_id", X.sentence_count(t).alias("sentences"), X.syllable_count(t).alias("syllables"), X.flesch_reading_ease(t).alias("flesch"))
+    return load(spark, sf_dir, "documents").select(
+        "doc_id",
+        X.sentence_count(t).alias("sentences"),
+        X.syllable_count(t).alias("syllables"),
+        X.flesch_reading_ease(t).alias("flesch"),
+    )
 
 
 @query("SELECT doc_id, lang FROM documents WHERE lang IN ('en', 'de')")
@@ -108,8 +125,16 @@ def category_filter(spark, sf_dir):
 
 @query("SELECT doc_id, quality::BIGINT AS verified_purchase, toxic::BIGINT AS vine FROM labels WHERE quality = 1 OR toxic = 1")
 def verified_filter(spark, sf_dir):
-    rows = load(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "Y").otherwise("N").alias("verified_purchase"), F.when(F.col("toxic") == 1, "Y").otherwise("N").alias("vine"))
-    return cleaning.verified_or_vine(cleaning.flags_to_numbers(rows)).select("doc_id", F.col("verified_purchase").cast("long").alias("verified_purchase"), F.col("vine").cast("long").alias("vine"))
+    rows = load(spark, sf_dir, "labels").select(
+        "doc_id",
+        F.when(F.col("quality") == 1, "Y").otherwise("N").alias("verified_purchase"),
+        F.when(F.col("toxic") == 1, "Y").otherwise("N").alias("vine"),
+    )
+    return cleaning.verified_or_vine(cleaning.flags_to_numbers(rows)).select(
+        "doc_id",
+        F.col("verified_purchase").cast("long").alias("verified_purchase"),
+        F.col("vine").cast("long").alias("vine"),
+    )
 
 
 _BOTS = "SELECT user_id FROM (SELECT user_id, ts::DATE AS d, count(*) AS n FROM events GROUP BY ALL) WHERE n > 2"
@@ -136,7 +161,15 @@ def bot_review_count(spark, sf_dir):
         AND source NOT IN (SELECT source FROM (SELECT source, lang, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL) WHERE n > 18)""")
 def filter_pipeline(spark, sf_dir):
     rows = load(spark, sf_dir, "documents").join(load(spark, sf_dir, "labels"), "doc_id")
-    rows = rows.select(F.col("doc_id").cast("string").alias("review_id"), F.col("text").alias("review_body"), F.col("lang").alias("product_category"), F.col("source").alias("customer_id"), F.col("lang").alias("review_date"), F.col("quality").alias("verified_purchase"), F.col("toxic").alias("vine"))
+    rows = rows.select(
+        F.col("doc_id").cast("string").alias("review_id"),
+        F.col("text").alias("review_body"),
+        F.col("lang").alias("product_category"),
+        F.col("source").alias("customer_id"),
+        F.col("lang").alias("review_date"),
+        F.col("quality").alias("verified_purchase"),
+        F.col("toxic").alias("vine"),
+    )
     return cleaning.filter_reviews(rows, per_day=18, categories=("en", "fr")).select("review_id", "review_body")
 
 
@@ -159,7 +192,10 @@ def rejoin_duplicates(spark, sf_dir):
 
 @query("SELECT event_id, (event_type = 'click')::INT AS click, (event_type = 'error')::INT AS error, (event_type = 'purchase')::INT AS purchase, (event_type = 'signup')::INT AS signup, (event_type = 'view')::INT AS view FROM events")
 def one_hot(spark, sf_dir):
-    return cleaning.one_hot(load(spark, sf_dir, "events").select("event_id", "event_type"), {"event_type": ["signup", "purchase", "error", "view", "click"]})
+    return cleaning.one_hot(
+        load(spark, sf_dir, "events").select("event_id", "event_type"),
+        {"event_type": ["signup", "purchase", "error", "view", "click"]},
+    )
 
 
 _PHRASES = f"list_slice(list_sort(list_distinct(list_filter(list_transform({W}, lambda w: lower(w)), lambda w: length(w) >= 8))), 1, 5)"
@@ -174,7 +210,10 @@ def phrases(text: str = "text"):
         CASE WHEN len(o) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS option_words FROM (SELECT *, {_PHRASES} AS o FROM documents)""")
 def review_features(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").withColumn("o", phrases())
-    return docs.select("doc_id", cleaning.review_features(F.col("lang"), (F.col("n_chars") % 5 + 1).cast("string"), F.col("text"), F.col("o")).alias("v")).select("doc_id", "v.*")
+    return docs.select(
+        "doc_id",
+        cleaning.review_features(F.col("lang"), (F.col("n_chars") % 5 + 1).cast("string"), F.col("text"), F.col("o")).alias("v"),
+    ).select("doc_id", "v.*")
 
 
 # -- statistics --------------------------------------------------------------------------------
@@ -201,7 +240,9 @@ def max_per_day_hist(spark, sf_dir):
 
 
 def _describe_sql(table: str, columns: list[str], where: str = "true") -> str:
-    return " UNION ALL ".join(f"SELECT '{c}' AS column_name, count({c}) AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, round(min({c})::DOUBLE, 6) AS min, round(quantile_cont({c}, 0.25), 6) AS p25, round(quantile_cont({c}, 0.5), 6) AS p50, round(quantile_cont({c}, 0.75), 6) AS p75, round(max({c})::DOUBLE, 6) AS max FROM {table} WHERE {where}" for c in columns)
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count({c}) AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, round(min({c})::DOUBLE, 6) AS min, round(quantile_cont({c}, 0.25), 6) AS p25, round(quantile_cont({c}, 0.5), 6) AS p50, round(quantile_cont({c}, 0.75), 6) AS p75, round(max({c})::DOUBLE, 6) AS max FROM {table} WHERE {where}" for c in columns
+    )
 
 
 _NUMBERS = ("mean", "std", "min", "p25", "p50", "p75", "max")
@@ -217,7 +258,14 @@ def describe_subset(spark, sf_dir):
     return rounded(A.describe(load(spark, sf_dir, "orders").filter("o_orderstatus = 'F'"), ["o_totalprice"]), *_NUMBERS)
 
 
-_PAIRS = [("l_quantity", "l_extendedprice"), ("l_quantity", "l_discount"), ("l_quantity", "l_tax"), ("l_extendedprice", "l_discount"), ("l_extendedprice", "l_tax"), ("l_discount", "l_tax")]
+_PAIRS = [
+    ("l_quantity", "l_extendedprice"),
+    ("l_quantity", "l_discount"),
+    ("l_quantity", "l_tax"),
+    ("l_extendedprice", "l_discount"),
+    ("l_extendedprice", "l_tax"),
+    ("l_discount", "l_tax"),
+]
 
 
 @query(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM lineitem" for a, b in _PAIRS))
@@ -241,7 +289,14 @@ def tail_sums(spark, sf_dir):
         FROM documents LEFT JOIN labels USING (doc_id) GROUP BY CUBE (lang, source, quality, toxic) HAVING grouping_id(lang, source, quality, toxic) < 15""")
 def cube_describe(spark, sf_dir):
     rows = load(spark, sf_dir, "documents").join(load(spark, sf_dir, "labels"), "doc_id", "left")
-    return rounded(A.power_set(rows, ["lang", "source", "quality", "toxic"], [F.count("*").alias("n"), F.avg("n_chars").alias("mean_chars"), F.max("n_chars").alias("most_chars")]), "mean_chars")
+    return rounded(
+        A.power_set(
+            rows,
+            ["lang", "source", "quality", "toxic"],
+            [F.count("*").alias("n"), F.avg("n_chars").alias("mean_chars"), F.max("n_chars").alias("most_chars")],
+        ),
+        "mean_chars",
+    )
 
 
 @query("SELECT year(o_orderdate)::INT AS year, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
@@ -338,9 +393,21 @@ def labelled(spark, sf_dir) -> DataFrame:
     pred = F.when(F.col("toxic") == 0, F.slice(phrases(), 1, 3)).otherwise(none)
     empty = F.create_map().cast(L.LABELS)
     labels = L.add_label(empty, "bp-golden", gold, when, F.array(F.lit("gold")), meta)
-    labels = L.add_label(labels, "chat_gpt-v1", pred, when, F.when(F.col("doc_id") % 2 == 1, F.array(F.lit("train"), F.lit("gold"))).otherwise(F.array(F.lit("train"))), meta)
+    labels = L.add_label(
+        labels,
+        "chat_gpt-v1",
+        pred,
+        when,
+        F.when(F.col("doc_id") % 2 == 1, F.array(F.lit("train"), F.lit("gold"))).otherwise(F.array(F.lit("train"))),
+        meta,
+    )
     null = F.lit(None).cast("string")
-    own = {"product_id": F.col("source"), "product_category": F.col("lang"), "star_rating": (F.col("n_chars") % 5 + 1).cast("string"), "review_body": F.col("text")}
+    own = {
+        "product_id": F.col("source"),
+        "product_category": F.col("lang"),
+        "star_rating": (F.col("n_chars") % 5 + 1).cast("string"),
+        "review_body": F.col("text"),
+    }
     return rows.select(F.col("doc_id").cast("string").alias("review_id"), *[own.get(a, null).alias(a) for a in R.ATTRIBUTES], labels.alias("labels"))
 
 
@@ -357,7 +424,11 @@ def label_select_dataset(spark, sf_dir):
 @query(f"SELECT review_id, CASE WHEN (len(gold) > 0) <> (len(pred) > 0) THEN 'both' WHEN len(gold) > 0 THEN 'usage' ELSE 'no_usage' END AS kind, len(gold) > 0 AS has_usage FROM {_LABELLED}")
 def label_type(spark, sf_dir):
     every = L.ByGlob("*")
-    return labelled(spark, sf_dir).select("review_id", L.label_type(F.col("labels"), every).alias("kind"), L.has_usage(F.col("labels"), every).alias("has_usage"))
+    return labelled(spark, sf_dir).select(
+        "review_id",
+        L.label_type(F.col("labels"), every).alias("kind"),
+        L.has_usage(F.col("labels"), every).alias("has_usage"),
+    )
 
 
 @query(f"""SELECT * FROM (SELECT 'bp-golden' AS label_id, count(*) AS count, 1.0::DOUBLE AS share FROM labels UNION ALL SELECT 'chat_gpt-v1', count(*), 1.0::DOUBLE FROM labels)""")
@@ -372,7 +443,11 @@ def remove_label(spark, sf_dir):
 
 @query(f"SELECT review_id, 'bp-golden' AS label_id, array_to_string(gold, ';') AS options FROM {_LABELLED}")
 def extract_labels(spark, sf_dir):
-    return L.labels_long(L.extract_labels(labelled(spark, sf_dir), ["bp-golden"])).select("review_id", "label_id", F.array_join("usage_options", ";").alias("options"))
+    return L.labels_long(L.extract_labels(labelled(spark, sf_dir), ["bp-golden"])).select(
+        "review_id",
+        "label_id",
+        F.array_join("usage_options", ";").alias("options"),
+    )
 
 
 @query(f"SELECT review_id, array_to_string(pred, ';') AS options FROM {_LABELLED}")
@@ -396,7 +471,10 @@ def comma_corruption(spark, sf_dir):
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def set_minus(spark, sf_dir):
     docs, marked = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
-    return R.minus(docs.withColumnRenamed("doc_id", "review_id"), marked.withColumnRenamed("doc_id", "review_id")).select(F.col("review_id").alias("doc_id"))
+    return R.minus(
+        docs.withColumnRenamed("doc_id", "review_id"),
+        marked.withColumnRenamed("doc_id", "review_id"),
+    ).select(F.col("review_id").alias("doc_id"))
 
 
 @query("SELECT (SELECT count(*) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) AS n_common, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS n_new")
@@ -553,7 +631,13 @@ def threshold_classification(spark, sf_dir):
 
 def _flags(spark, sf_dir):
     rows = load(spark, sf_dir, "documents").join(load(spark, sf_dir, "labels"), "doc_id")
-    return rows.select(F.col("doc_id").cast("string").alias("review_id"), "lang", (F.col("toxic") == 0).alias("pred_pos"), (F.col("quality") == 1).alias("ref_pos"), (F.col("n_chars") % 101 / 100.0).cast("double").alias("score"))
+    return rows.select(
+        F.col("doc_id").cast("string").alias("review_id"),
+        "lang",
+        (F.col("toxic") == 0).alias("pred_pos"),
+        (F.col("quality") == 1).alias("ref_pos"),
+        (F.col("n_chars") % 101 / 100.0).cast("double").alias("score"),
+    )
 
 
 _FLAGS = "(SELECT lang, toxic = 0 AS p, quality = 1 AS r, (n_chars % 101) / 100.0::DOUBLE AS s, doc_id FROM documents JOIN labels USING (doc_id))"
@@ -564,7 +648,15 @@ _FLAGS = "(SELECT lang, toxic = 0 AS p, quality = 1 AS r, (n_chars % 101) / 100.
         (SELECT *, (tp + tn) / (tp + fp + tn + fn) AS accuracy, CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END AS recall, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS precision,
         CASE WHEN tn + fp = 0 THEN 0 ELSE tn / (tn + fp) END AS specificity FROM (SELECT lang, count(*) FILTER (p AND r) AS tp, count(*) FILTER (p AND NOT r) AS fp, count(*) FILTER (NOT p AND NOT r) AS tn, count(*) FILTER (NOT p AND r) AS fn FROM {_FLAGS} GROUP BY lang))""")
 def classification_scores(spark, sf_dir):
-    return rounded(scoring.classification_scores(_flags(spark, sf_dir), ["lang"]), "accuracy", "recall", "precision", "specificity", "f1", "balanced_accuracy")
+    return rounded(
+        scoring.classification_scores(_flags(spark, sf_dir), ["lang"]),
+        "accuracy",
+        "recall",
+        "precision",
+        "specificity",
+        "f1",
+        "balanced_accuracy",
+    )
 
 
 @query(f"""SELECT lang, round(a, 6) AS positive, round(b, 6) AS negative, round(c, 6) AS true_positive, round(CASE WHEN a + b = 0 THEN 0 ELSE 2 * a * b / (a + b) END, 6) AS harmonic FROM
@@ -631,14 +723,30 @@ def bootstrap_means(spark, sf_dir):
 def sql_over_views(spark, sf_dir):
     from quillstone.sources.sql_runner import run_sql
 
-    rows = labelled(spark, sf_dir).withColumn("review_headline", X.join_options(L.usage_options(F.col("labels"), "bp-golden"))).withColumn("product_title", X.join_options(L.usage_options(F.col("labels"), "chat*")))
-    marked = rows.join(load(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").cast("string").alias("review_id")), "review_id", "left_semi")
-    return run_sql(spark, marked, "SELECT 1; SELECT review_id, review_headline AS joined, product_title AS predicted FROM reviews WHERE product_category = 'en' -- ; \n", view="reviews")[1]
+    rows = labelled(spark, sf_dir).withColumn(
+        "review_headline",
+        X.join_options(L.usage_options(F.col("labels"), "bp-golden")),
+    ).withColumn("product_title", X.join_options(L.usage_options(F.col("labels"), "chat*")))
+    marked = rows.join(
+        load(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").cast("string").alias("review_id")),
+        "review_id",
+        "left_semi",
+    )
+    return run_sql(
+        spark,
+        marked,
+        "SELECT 1; SELECT review_id, review_headline AS joined, product_title AS predicted FROM reviews WHERE product_category = 'en' -- ; \n",
+        view="reviews",
+    )[1]
 
 
 @query("SELECT lang AS product_category, count(*) AS n, max(n_chars % 5 + 1)::BIGINT AS stars FROM documents GROUP BY 1")
 def sql_reviews(spark, sf_dir):
     from quillstone.sources.sql_runner import run_sql
 
-    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("review_id"), F.col("lang").alias("product_category"), (F.col("n_chars") % 5 + 1).cast("string").alias("star_rating"))
+    docs = load(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("review_id"),
+        F.col("lang").alias("product_category"),
+        (F.col("n_chars") % 5 + 1).cast("string").alias("star_rating"),
+    )
     return run_sql(spark, docs, "SELECT product_category, count(*) AS n, max(star_rating) AS stars FROM reviews GROUP BY 1")[0]

@@ -21,7 +21,10 @@ def malformed_lines(spark, sf_dir):
     """Every fifth line has a column too many; counts and sums leave it out."""
     orders = load(spark, sf_dir, "orders")
     more = F.when(F.col("o_orderkey") % 5 == 0, F.lit("\tmore")).otherwise(F.lit(""))
-    lines = orders.select(F.concat(F.concat_ws("\t", F.col("o_orderkey").cast("string"), F.col("o_totalprice").cast("string"), "o_orderstatus"), more).alias("value"))
+    lines = orders.select(F.concat(
+        F.concat_ws("\t", F.col("o_orderkey").cast("string"), F.col("o_totalprice").cast("string"), "o_orderstatus"),
+        more,
+    ).alias("value"))
     path = shared_path(spark, "lines")
     # Each file begins with a header line, as the reader has it.
     header = spark.range(1).select(F.lit("o_orderkey\to_totalprice\to_orderstatus").alias("value"))
@@ -107,11 +110,20 @@ def manifest_arrivals(spark, sf_dir):
 
     docs = load(spark, sf_dir, "documents")
     none = F.array(F.array().cast("array<struct<tokens:array<string>>>"))
-    marks = F.to_json(F.struct(F.to_json(F.struct(none.alias("annotations"), F.array(F.array(F.concat(F.lit("c"), (F.col("doc_id") % 3).cast("string")))).alias("customUsageOptions"))).alias("annotations")))
+    marks = F.to_json(F.struct(
+        F.to_json(
+            F.struct(
+                none.alias("annotations"),
+                F.array(F.array(F.concat(F.lit("c"), (F.col("doc_id") % 3).cast("string")))).alias("customUsageOptions"),
+            ),
+        ).alias("annotations"),
+    ))
     worker = F.struct(F.lit("w").alias("workerId"), F.struct(marks.alias("content")).alias("annotationData"))
     run = F.struct(F.array(worker).alias("annotationsFromAllWorkers"))
     review = F.array(F.struct(F.col("doc_id").cast("string").alias("review_id")))
-    lines = docs.select(F.to_json(F.struct(review.alias("metadata"), run.alias("run1"), F.struct(F.lit("run1").alias("job-name")).alias("m"))).alias("value"))
+    lines = docs.select(F.to_json(
+        F.struct(review.alias("metadata"), run.alias("run1"), F.struct(F.lit("run1").alias("job-name")).alias("m")),
+    ).alias("value"))
     source, target = shared_path(spark, "arrived"), shared_path(spark, "converted")
     lines.write.text(source)
     convert_arrivals(spark, source, target, shared_path(spark, "progress"), "acme", "2024-01-01T00:00:00+00:00").awaitTermination()
@@ -154,7 +166,10 @@ def labels_deleted_by_pattern(spark, sf_dir):
 @query("SELECT 0::BIGINT AS scores, (SELECT count(*) FROM labels) AS reviews")
 def scores_reset(spark, sf_dir):
     scored = R.ReviewSet(labelled(spark, sf_dir)).score_labels(["chat*"], ["bp*"], ["custom_mean_f1"], kind="exact").reset_scores()
-    return scored.df.agg(F.sum(F.aggregate(F.map_values("labels"), F.lit(0), lambda n, x: n + F.size(x["scores"]))).alias("scores"), F.count("*").alias("reviews"))
+    return scored.df.agg(
+        F.sum(F.aggregate(F.map_values("labels"), F.lit(0), lambda n, x: n + F.size(x["scores"]))).alias("scores"),
+        F.count("*").alias("reviews"),
+    )
 
 
 @query(f"SELECT review_id, unnest(gold) AS usage_option FROM {_LABELLED}")
@@ -179,7 +194,12 @@ def decided_options(spark, sf_dir):
     rows = labelled(spark, sf_dir)
     first = F.get(L.usage_options(F.col("labels"), "chat*"), F.lit(0))
     odd = F.col("review_id").cast("long") % 2 == 1
-    told = rows.select("review_id", first.alias("usage_option"), odd.alias("keep"), F.when(odd, F.concat(F.lit("new "), first)).alias("revised")).filter("usage_option is not null")
+    told = rows.select(
+        "review_id",
+        first.alias("usage_option"),
+        odd.alias("keep"),
+        F.when(odd, F.concat(F.lit("new "), first)).alias("revised"),
+    ).filter("usage_option is not null")
     out = L.apply_decisions(rows, told, F.lit("2024-01-02T00:00:00+00:00")).filter(F.map_contains_key("labels", F.lit("bp-chat_gpt_correction")))
     return out.select("review_id", F.array_join(F.element_at("labels", "bp-chat_gpt_correction")["usageOptions"], ";").alias("options"))
 
@@ -195,7 +215,11 @@ def assembled_dataset(spark, sf_dir):
 @query(f"SELECT review_id, true AS before, false AS other FROM {_LABELLED}")
 def augmented_already(spark, sf_dir):
     rows = augmentation.augment_texts(labelled(spark, sf_dir), L.ByGlob("bp-golden"), "tags", ("review_body",), lambda texts: texts)
-    return rows.select("review_id", augmentation.has_augmentations(rows, "tags").alias("before"), augmentation.has_augmentations(rows, "none").alias("other"))
+    return rows.select(
+        "review_id",
+        augmentation.has_augmentations(rows, "tags").alias("before"),
+        augmentation.has_augmentations(rows, "none").alias("other"),
+    )
 
 
 @query(f"SELECT review_id, '<<<' || text AS body FROM {_LABELLED}")
@@ -252,7 +276,12 @@ def chunked_words(spark, sf_dir):
 @query("SELECT o_orderkey, (floor(o_totalprice / 0.25) + 1)::BIGINT AS break_even FROM orders")
 def break_even_table(spark, sf_dir):
     """Whose fixed cost (its price) pays off against dearer requests, and when."""
-    costs = load(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("fixed"), F.lit(0.5).alias("per_request"), F.lit(0.75).alias("other_per_request"))
+    costs = load(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        F.col("o_totalprice").alias("fixed"),
+        F.lit(0.5).alias("per_request"),
+        F.lit(0.75).alias("other_per_request"),
+    )
     return N.break_even_table(costs).select("o_orderkey", "break_even")
 
 

@@ -33,7 +33,10 @@ def parse_generated_review(spark, sf_dir):
 
 @query("SELECT doc_id, array_to_string(list_filter(list_transform(string_split(replace(text, ' ', '; '), '; '), lambda x: trim(x)), lambda x: x <> ''), '|') AS options FROM documents")
 def split_options(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", F.array_join(X.split_options(F.replace("text", F.lit(" "), F.lit("; "))), "|").alias("options"))
+    return load(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.array_join(X.split_options(F.replace("text", F.lit(" "), F.lit("; "))), "|").alias("options"),
+    )
 
 
 @query("SELECT conv_id, turn, role AS r, 'You label.|What?|Nothing.|Text: ' || text || ' (' || role || ')' AS contents, 4 AS n FROM conversations")
@@ -53,10 +56,18 @@ def decode_label_string(spark, sf_dir):
 @query("SELECT conv_id, round(sum(CASE WHEN turn < k THEN p ELSE 0 END), 6) AS first, round(sum(CASE WHEN turn > k THEN p ELSE 0 END), 6) AS last FROM (SELECT conv_id, turn, length(text) / -100.0::DOUBLE AS p, 1 AS k FROM conversations) GROUP BY conv_id")
 def logprob_sums(spark, sf_dir):
     item = F.struct("turn", F.when(F.col("turn") == 1, F.lit(",")).otherwise(F.lit("t")).alias("t"), (F.length("text") / -100.0).alias("p"))
-    rows = load(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(item)).alias("a"), F.min("turn").alias("low"), F.max("turn").alias("high"))
+    rows = load(spark, sf_dir, "conversations").groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(item)).alias("a"),
+        F.min("turn").alias("low"),
+        F.max("turn").alias("high"),
+    )
     whole = X.sum_logprobs(F.transform("a", lambda x: x["t"]), F.transform("a", lambda x: x["p"].cast("double")))
     out = rows.select("conv_id", whole.alias("s"), F.exists("a", lambda x: x["turn"] == 1).alias("cut"))
-    return rounded(out.select("conv_id", F.get("s", F.lit(0)).alias("first"), F.coalesce(F.get("s", F.lit(1)), F.lit(0.0)).alias("last")), "first", "last")
+    return rounded(
+        out.select("conv_id", F.get("s", F.lit(0)).alias("first"), F.coalesce(F.get("s", F.lit(1)), F.lit(0.0)).alias("last")),
+        "first",
+        "last",
+    )
 
 
 @query()
@@ -78,21 +89,57 @@ def _json_documents(spark, sf_dir):
 def document_round_trip(spark, sf_dir):
     rows = documents.parse_documents(_json_documents(spark, sf_dir), R.VERSION)
     options = lambda k: F.array_join(F.element_at("labels", k)["usageOptions"], ";")
-    return rows.select("review_id", "review_body", options("bp-golden").alias("gold"), options("chat_gpt-v1").alias("pred"), F.array_join(F.element_at("labels", "chat_gpt-v1")["datasets"], ",").alias("datasets"))
+    return rows.select(
+        "review_id",
+        "review_body",
+        options("bp-golden").alias("gold"),
+        options("chat_gpt-v1").alias("pred"),
+        F.array_join(F.element_at("labels", "chat_gpt-v1")["datasets"], ",").alias("datasets"),
+    )
 
 
 def _old_documents(spark, sf_dir, version: int):
     """Documents as the old versions had them."""
-    rows = load(spark, sf_dir, "documents").join(load(spark, sf_dir, "labels"), "doc_id").withColumn("o", phrases()).withColumn("k", F.col("doc_id").cast("string"))
+    rows = load(spark, sf_dir, "documents").join(
+        load(spark, sf_dir, "labels"),
+        "doc_id",
+    ).withColumn("o", phrases()).withColumn("k", F.col("doc_id").cast("string"))
     if version == 0:
-        label = F.struct(F.slice("o", 1, 2).alias("customUsageOptions"), F.transform(F.slice("o", 3, 9), lambda x: F.struct(F.array(x, F.lit("x")).alias("tokens"))).alias("annotations"), F.lit(False).alias("isFlagged"))
-        return rows.select(F.to_json(F.struct(F.array(F.struct(F.col("k").alias("review_id"), F.col("text").alias("review_body"), label.alias("label"))).alias("reviews"))).alias("value"))
+        label = F.struct(
+            F.slice("o", 1, 2).alias("customUsageOptions"),
+            F.transform(F.slice("o", 3, 9), lambda x: F.struct(F.array(x, F.lit("x")).alias("tokens"))).alias("annotations"),
+            F.lit(False).alias("isFlagged"),
+        )
+        return rows.select(F.to_json(
+            F.struct(F.array(F.struct(F.col("k").alias("review_id"), F.col("text").alias("review_body"), label.alias("label"))).alias("reviews")),
+        ).alias("value"))
     if version == 1:
-        label = F.struct(F.col("o").alias("usageOptions"), F.struct(F.array(F.lit("a"), F.col("source")).alias("datasets"), F.lit("m").alias("model")).alias("metadata"))
-        return rows.select(F.to_json(F.struct(F.lit(1).alias("version"), F.array(F.struct(F.col("k").alias("review_id"), F.col("text").alias("review_body"), F.create_map(F.lit("x"), label).alias("labels"))).alias("reviews"))).alias("value"))
+        label = F.struct(
+            F.col("o").alias("usageOptions"),
+            F.struct(F.array(F.lit("a"), F.col("source")).alias("datasets"), F.lit("m").alias("model")).alias("metadata"),
+        )
+        return rows.select(F.to_json(
+            F.struct(
+                F.lit(1).alias("version"),
+                F.array(
+                    F.struct(F.col("k").alias("review_id"), F.col("text").alias("review_body"), F.create_map(F.lit("x"), label).alias("labels")),
+                ).alias("reviews"),
+            ),
+        ).alias("value"))
     names = F.create_map(F.col("source"), F.lit("train")) if version > 2 else F.array("source")
-    label = F.struct(F.col("o").alias("usageOptions"), names.alias("datasets"), F.lit("2023-01-01T00:00:00+00:00").alias("createdAt"), F.create_map(F.lit("y"), F.create_map(F.lit("m"), F.array(F.lit("0.5"), F.lit("true"), F.lit("false")))).alias("scores"), F.array(F.struct(F.lit("aug").alias("review_body"))).alias("augmentations"))
-    return rows.select(F.to_json(F.struct(F.lit(version).alias("version"), F.create_map("k", F.struct(F.col("text").alias("review_body"), F.create_map(F.lit("x"), label).alias("labels"))).alias("reviews"))).alias("value"))
+    label = F.struct(
+        F.col("o").alias("usageOptions"),
+        names.alias("datasets"),
+        F.lit("2023-01-01T00:00:00+00:00").alias("createdAt"),
+        F.create_map(F.lit("y"), F.create_map(F.lit("m"), F.array(F.lit("0.5"), F.lit("true"), F.lit("false")))).alias("scores"),
+        F.array(F.struct(F.lit("aug").alias("review_body"))).alias("augmentations"),
+    )
+    return rows.select(F.to_json(
+        F.struct(
+            F.lit(version).alias("version"),
+            F.create_map("k", F.struct(F.col("text").alias("review_body"), F.create_map(F.lit("x"), label).alias("labels"))).alias("reviews"),
+        ),
+    ).alias("value"))
 
 
 _UPGRADES = f"""SELECT version, doc_id::VARCHAR AS review_id,
@@ -107,7 +154,14 @@ def document_upgrade(spark, sf_dir):
     for version in range(5):
         rows = documents.parse_documents(_old_documents(spark, sf_dir, version), version, label_id="x")
         label = F.element_at("labels", "x")
-        one = rows.select(F.lit(version).alias("version"), "review_id", F.array_join(label["usageOptions"], ";").alias("options"), F.array_join(label["datasets"], ",").alias("datasets"), F.try_element_at(F.try_element_at(label["scores"], F.lit("y")), F.lit("m"))["score"].alias("score"), F.get(F.try_element_at(label["augmentations"], F.lit("legacy")), F.lit(0))["review_body"].alias("body"))
+        one = rows.select(
+            F.lit(version).alias("version"),
+            "review_id",
+            F.array_join(label["usageOptions"], ";").alias("options"),
+            F.array_join(label["datasets"], ",").alias("datasets"),
+            F.try_element_at(F.try_element_at(label["scores"], F.lit("y")), F.lit("m"))["score"].alias("score"),
+            F.get(F.try_element_at(label["augmentations"], F.lit("legacy")), F.lit(0))["review_body"].alias("body"),
+        )
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -115,12 +169,25 @@ def document_upgrade(spark, sf_dir):
 @query(f"SELECT doc_id::VARCHAR AS review_id, array_to_string(list_concat(['c' || (doc_id % 3)], [coalesce(o[1], '') || ' z']), ';') AS options FROM (SELECT *, {_PHRASES} AS o FROM documents)")
 def manifest_parse(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").withColumn("o", F.coalesce(F.get(phrases(), F.lit(0)), F.lit("")))
-    marks = F.struct(F.array(F.array(F.struct(F.array("o", F.lit("z")).alias("tokens")))).alias("annotations"), F.array(F.array(F.concat(F.lit("c"), (F.col("doc_id") % 3).cast("string")))).alias("customUsageOptions"))
+    marks = F.struct(
+        F.array(F.array(F.struct(F.array("o", F.lit("z")).alias("tokens")))).alias("annotations"),
+        F.array(F.array(F.concat(F.lit("c"), (F.col("doc_id") % 3).cast("string")))).alias("customUsageOptions"),
+    )
     content = lambda m: F.to_json(F.struct(F.to_json(m).alias("annotations")))
     worker = lambda i, m: F.struct(F.lit(i).alias("workerId"), F.struct(content(m).alias("content")).alias("annotationData"))
-    empty = F.struct(F.array(F.array(F.struct(F.array(F.lit("no")).alias("tokens")))).alias("annotations"), F.array(F.array(F.lit("no"))).alias("customUsageOptions"))
+    empty = F.struct(
+        F.array(F.array(F.struct(F.array(F.lit("no")).alias("tokens")))).alias("annotations"),
+        F.array(F.array(F.lit("no"))).alias("customUsageOptions"),
+    )
     review = F.struct(F.col("doc_id").cast("string").alias("review_id"), F.col("text").alias("review_body"))
-    lines = docs.select(F.to_json(F.struct(F.to_json(F.array("text")).alias("source"), F.array(review).alias("metadata"), F.struct(F.array(worker("w1", marks), worker("w2", empty)).alias("annotationsFromAllWorkers")).alias("run1"), F.struct(F.lit("run1").alias("job-name")).alias("run1-metadata"))).alias("value"))
+    lines = docs.select(F.to_json(
+        F.struct(
+            F.to_json(F.array("text")).alias("source"),
+            F.array(review).alias("metadata"),
+            F.struct(F.array(worker("w1", marks), worker("w2", empty)).alias("annotationsFromAllWorkers")).alias("run1"),
+            F.struct(F.lit("run1").alias("job-name")).alias("run1-metadata"),
+        ),
+    ).alias("value"))
     rows = manifests.read_manifest(lines, "acme", "2024-01-01T00:00:00+00:00")
     return rows.select("review_id", F.array_join(F.element_at("labels", "aws-acme-run1")["usageOptions"], ";").alias("options"))
 
@@ -145,7 +212,15 @@ _EXACT = f"""(SELECT review_id, lang, source, p, g, CASE WHEN len(p) = 0 OR len(
         CASE WHEN len(p) = 0 OR len(g) = 0 THEN (len(p) = 0 AND len(g) = 0)::INT ELSE i / len(g) END::DOUBLE AS recall, i
         FROM (SELECT *, pred AS p, gold AS g, len(list_intersect(pred, gold)) AS i FROM {_LABELLED}))"""
 _F1 = "CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END"
-_METRICS = ("custom_mean_precision", "custom_mean_recall", "custom_mean_f1", "custom_min_f1", "custom_weighted_mean_precision", "custom_weighted_mean_recall", "custom_weighted_mean_f1")
+_METRICS = (
+    "custom_mean_precision",
+    "custom_mean_recall",
+    "custom_mean_f1",
+    "custom_min_f1",
+    "custom_weighted_mean_precision",
+    "custom_weighted_mean_recall",
+    "custom_weighted_mean_f1",
+)
 
 
 @query(f"""SELECT review_id, round(precision, 6) AS custom_mean_precision, round(recall, 6) AS custom_mean_recall, round({_F1}, 6) AS custom_mean_f1,

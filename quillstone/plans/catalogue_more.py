@@ -17,9 +17,17 @@ from quillstone.sources import documents, manifests
 
 
 def _crc_pairs(spark, sf_dir):
-    rows = load(spark, sf_dir, "events").select("event_id", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("a"), F.col("event_type").alias("b"))
+    rows = load(spark, sf_dir, "events").select(
+        "event_id",
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("a"),
+        F.col("event_type").alias("b"),
+    )
     names = F.array(F.lit("identical"), F.lit("very similar"), F.lit("Somewhat Similar"), F.lit("dissimilar"), F.lit("odd"))
-    known = rows.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n % 4 > 0").select(F.col("b").alias("a"), F.col("a").alias("b"), F.get(names, (F.col("n") % 5).cast("int")).alias("class"))
+    known = rows.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n % 4 > 0").select(
+        F.col("b").alias("a"),
+        F.col("a").alias("b"),
+        F.get(names, (F.col("n") % 5).cast("int")).alias("class"),
+    )
     return rows, known
 
 
@@ -43,7 +51,10 @@ def log_distances(spark, sf_dir):
 @query()
 def rescaled_cosines(spark, sf_dir):
     v = load(spark, sf_dir, "embeddings")
-    pairs = v.filter("vec_id % 50 = 0").select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("x")).join(v.select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("y")), "label")
+    pairs = v.filter("vec_id % 50 = 0").select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("x")).join(
+        v.select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("y")),
+        "label",
+    )
     return rounded(pairs.select("a", "b", S.similarity("cosine_relu", F.col("x"), F.col("y")).alias("sim")), "sim")
 
 
@@ -53,7 +64,15 @@ _CHOICES = "(SELECT doc_id::VARCHAR AS review_id, l AS label_id, r AS ref_id, ((
 def _choices(spark, sf_dir):
     ids = spark.createDataFrame([("x", "y", 3), ("x", "z", 5), ("y", "z", 7)], "label_id string, ref_id string, m int")
     rows = load(spark, sf_dir, "documents").join(load(spark, sf_dir, "labels"), "doc_id").crossJoin(F.broadcast(ids))  # three rows
-    return rows.select(F.col("doc_id").cast("string").alias("review_id"), "label_id", "ref_id", F.lit("m").alias("metric_id"), ((F.col("n_chars") * F.col("m")) % 997 / 997.0).cast("double").alias("score"), F.lit(True).alias("pred_pos"), (F.col("quality") == 1).alias("ref_pos"))
+    return rows.select(
+        F.col("doc_id").cast("string").alias("review_id"),
+        "label_id",
+        "ref_id",
+        F.lit("m").alias("metric_id"),
+        ((F.col("n_chars") * F.col("m")) % 997 / 997.0).cast("double").alias("score"),
+        F.lit(True).alias("pred_pos"),
+        (F.col("quality") == 1).alias("ref_pos"),
+    )
 
 
 @query(f"SELECT review_id, label_id, round(max(s), 6) AS score, arg_max(ref_id, (s, ref_id)) AS ref_id FROM {_CHOICES} GROUP BY 1, 2")
@@ -91,15 +110,26 @@ def significance_tests(spark, sf_dir):
 @query("SELECT doc_id, gold FROM (SELECT doc_id, min(b.item_id) AS gold FROM documents JOIN benchmark b ON doc_id % 7 = item_id % 7 GROUP BY 1)")
 def match_golden(spark, sf_dir):
     predicted = load(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 7).alias("review_id"))
-    golden = load(spark, sf_dir, "benchmark").select((F.col("item_id") % 7).alias("review_id"), F.col("item_id").alias("gold"), F.col("item_id").alias("_pos"))
+    golden = load(spark, sf_dir, "benchmark").select(
+        (F.col("item_id") % 7).alias("review_id"),
+        F.col("item_id").alias("gold"),
+        F.col("item_id").alias("_pos"),
+    )
     return scoring.match_golden(predicted, golden).select("doc_id", F.col("golden_gold").alias("gold"))
 
 
 @query(f"SELECT doc_id::VARCHAR AS review_id, array_to_string(list_concat(list_slice(o, 1, 2), list_transform(list_slice(o, 3, 9), lambda x: x || ' x')), ';') AS options FROM (SELECT *, {_PHRASES} AS o FROM documents)")
 def legacy_labels(spark, sf_dir):
     rows = load(spark, sf_dir, "documents").withColumn("o", phrases())
-    label = F.struct(F.slice("o", 1, 2).alias("customUsageOptions"), F.transform(F.slice("o", 3, 9), lambda x: F.struct(F.array(x, F.lit("x")).alias("tokens"))).alias("annotations"))
-    docs = rows.select(F.to_json(F.struct(F.array(F.struct(F.col("doc_id").cast("string").alias("review_id"), F.col("text").alias("review_body"), label.alias("label"))).alias("reviews"))).alias("value"))
+    label = F.struct(
+        F.slice("o", 1, 2).alias("customUsageOptions"),
+        F.transform(F.slice("o", 3, 9), lambda x: F.struct(F.array(x, F.lit("x")).alias("tokens"))).alias("annotations"),
+    )
+    docs = rows.select(F.to_json(
+        F.struct(F.array(
+            F.struct(F.col("doc_id").cast("string").alias("review_id"), F.col("text").alias("review_body"), label.alias("label")),
+        ).alias("reviews")),
+    ).alias("value"))
     return documents.legacy_labels(docs).select("review_id", F.array_join("usage_options", ";").alias("options"))
 
 
@@ -108,14 +138,23 @@ def manifest_flat(spark, sf_dir):
     docs = load(spark, sf_dir, "documents")
     marks = lambda c: F.to_json(F.struct(F.to_json(F.struct(F.array(F.array().cast("array<struct<tokens:array<string>>>")).alias("annotations"), F.array(F.array(c)).alias("customUsageOptions"))).alias("annotations")))
     worker = lambda i, c: F.struct(F.lit(i).alias("workerId"), F.struct(marks(c).alias("content")).alias("annotationData"))
-    lines = docs.select(F.to_json(F.struct(F.array(F.struct(F.col("doc_id").cast("string").alias("review_id"))).alias("metadata"), F.struct(F.array(worker("w1", F.col("source")), worker("w2", F.lit("no"))).alias("annotationsFromAllWorkers")).alias("run"), F.struct(F.lit("run").alias("job-name")).alias("m"))).alias("value"))
+    lines = docs.select(F.to_json(
+        F.struct(
+            F.array(F.struct(F.col("doc_id").cast("string").alias("review_id"))).alias("metadata"),
+            F.struct(F.array(worker("w1", F.col("source")), worker("w2", F.lit("no"))).alias("annotationsFromAllWorkers")).alias("run"),
+            F.struct(F.lit("run").alias("job-name")).alias("m"),
+        ),
+    ).alias("value"))
     return manifests.read_manifest_flat(lines).select("review_id", "workerId", F.array_join("usage_options", ";").alias("options"))
 
 
 @query(f"SELECT review_id, 'new' AS label_id, array_to_string(gold, ';') AS options FROM {_LABELLED}")
 def add_label(spark, sf_dir):
     rows = labelled(spark, sf_dir)
-    added = rows.withColumn("labels", L.add_label(F.col("labels"), "new", L.usage_options(F.col("labels"), "bp*"), F.lit("2024-01-01T00:00:00+00:00")))
+    added = rows.withColumn(
+        "labels",
+        L.add_label(F.col("labels"), "new", L.usage_options(F.col("labels"), "bp*"), F.lit("2024-01-01T00:00:00+00:00")),
+    )
     return L.labels_long(added).filter("label_id = 'new'").select("review_id", "label_id", F.array_join("usage_options", ";").alias("options"))
 
 
@@ -127,7 +166,10 @@ def filter_inverted(spark, sf_dir):
 @query(f"SELECT review_id, array_to_string(gold, ';') AS gold, array_to_string(pred, ';') AS pred FROM {_LABELLED}")
 def labels_pivoted(spark, sf_dir):
     back = L.pivot_labels(L.labels_long(labelled(spark, sf_dir)))
-    return back.select("review_id", *[F.array_join(L.usage_options(F.col("labels"), k), ";").alias(n) for k, n in (("bp-golden", "gold"), ("chat*", "pred"))])
+    return back.select(
+        "review_id",
+        *[F.array_join(L.usage_options(F.col("labels"), k), ";").alias(n) for k, n in (("bp-golden", "gold"), ("chat*", "pred"))],
+    )
 
 
 @query(f"SELECT review_id, option AS usage_option, source AS product_id, 256 AS size FROM (SELECT review_id, source, unnest(gold) AS option FROM {_LABELLED})")
@@ -167,7 +209,11 @@ def table_round_trip(spark, sf_dir):
     orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.col("o_orderdate").cast("string").alias("o_orderdate"))
     write_table(orders, path, "tsv")
     back = spark.read.schema(orders.schema).option("sep", "\t").option("header", True).option("quote", "").csv(path)
-    return back.agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.substring(F.min("o_orderdate"), 1, 10).alias("first"))
+    return back.agg(
+        F.count("*").alias("n"),
+        F.round(F.sum("o_totalprice"), 2).alias("total"),
+        F.substring(F.min("o_orderdate"), 1, 10).alias("first"),
+    )
 
 
 @query("SELECT review_id, category FROM (SELECT doc_id::VARCHAR AS review_id, lang AS category FROM documents) WHERE category <> 'en'")

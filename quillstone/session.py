@@ -41,7 +41,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def local_session(cpus: str = "8", **conf: str) -> SparkSession:
     """A local session for tests and benchmarks."""
     builder = SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", cpus if cpus.isdigit() else "8")
-    settings = {"spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"}
+    settings = {
+        "spark.ui.enabled": "false",
+        "spark.sql.session.timeZone": "UTC",
+        "spark.driver.memory": "8g",
+        "spark.ui.showConsoleProgress": "false",
+    }
     for key, value in (settings | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()

@@ -37,7 +37,9 @@ def upgrade_label(label: Column, version: int, created_at: Column) -> Column:
         created = created_at
     else:
         scores, metadata, created = get("scores"), F.coalesce(get("metadata"), F.lit("{}")), get("createdAt")
-        names = F.map_keys(F.coalesce(F.from_json(get("datasets"), "map<string,string>"), F.create_map().cast("map<string,string>"))) if version in (3, 4) else _strings(get("datasets"))
+        names = F.map_keys(
+            F.coalesce(F.from_json(get("datasets"), "map<string,string>"), F.create_map().cast("map<string,string>")),
+        ) if version in (3, 4) else _strings(get("datasets"))
     kind = "array<struct<review_body:string,product_title:string,usageOptions:array<string>,metadata:string>>"
     empty = F.create_map().cast(L.AUGMENTATIONS)
     if version == 4:
@@ -47,7 +49,14 @@ def upgrade_label(label: Column, version: int, created_at: Column) -> Column:
         augmentations = F.coalesce(F.from_json(get("augmentations"), f"map<string,{kind}>").cast(L.AUGMENTATIONS), empty)
     else:
         augmentations = empty
-    return F.struct(created.alias("createdAt"), _strings(get("usageOptions")).alias("usageOptions"), names.alias("datasets"), metadata.alias("metadata"), _scores(scores).alias("scores"), augmentations.alias("augmentations")).cast(L.LABEL)
+    return F.struct(
+        created.alias("createdAt"),
+        _strings(get("usageOptions")).alias("usageOptions"),
+        names.alias("datasets"),
+        metadata.alias("metadata"),
+        _scores(scores).alias("scores"),
+        augmentations.alias("augmentations"),
+    ).cast(L.LABEL)
 
 
 def _old_label(review: Column, label_id: str, source: str, created_at: Column) -> Column:
@@ -55,10 +64,20 @@ def _old_label(review: Column, label_id: str, source: str, created_at: Column) -
     text = F.try_element_at(review, F.lit("label"))
     parts = F.from_json(text, "map<string,string>")
     custom = _strings(F.try_element_at(parts, F.lit("customUsageOptions")))
-    marks = F.coalesce(F.from_json(F.try_element_at(parts, F.lit("annotations")), "array<struct<tokens:array<string>>>"), F.array().cast("array<struct<tokens:array<string>>>"))
+    marks = F.coalesce(
+        F.from_json(F.try_element_at(parts, F.lit("annotations")), "array<struct<tokens:array<string>>>"),
+        F.array().cast("array<struct<tokens:array<string>>>"),
+    )
     options = F.concat(custom, F.transform(marks, lambda a: F.array_join(a["tokens"], " ")))
     rest = F.map_filter(parts, lambda k, _: ~k.isin("customUsageOptions", "annotations", "replacementClasses"))
-    label = F.struct(created_at.alias("createdAt"), options.alias("usageOptions"), F.array().cast("array<string>").alias("datasets"), F.to_json(F.create_map(F.lit(source), rest)).alias("metadata"), F.create_map().cast(L.SCORES).alias("scores"), F.create_map().cast(L.AUGMENTATIONS).alias("augmentations")).cast(L.LABEL)
+    label = F.struct(
+        created_at.alias("createdAt"),
+        options.alias("usageOptions"),
+        F.array().cast("array<string>").alias("datasets"),
+        F.to_json(F.create_map(F.lit(source), rest)).alias("metadata"),
+        F.create_map().cast(L.SCORES).alias("scores"),
+        F.create_map().cast(L.AUGMENTATIONS).alias("augmentations"),
+    ).cast(L.LABEL)
     none = F.create_map().cast(L.LABELS)
     return F.when(text.isNull(), none).otherwise(F.create_map(F.lit(label_id), label))
 
@@ -79,15 +98,26 @@ def parse_documents(
     bare = F.startswith(F.ltrim("value"), F.lit("["))
     text = F.when(bare, F.col("value")).otherwise(F.try_element_at(body, F.lit("reviews")))
     if version < 2:
-        rows = docs.select(*keys, F.posexplode(F.from_json(text, "array<map<string,string>>")).alias("_pos", "_r")).withColumn("review_id", F.try_element_at("_r", F.lit("review_id")))
+        rows = docs.select(
+            *keys,
+            F.posexplode(F.from_json(text, "array<map<string,string>>")).alias("_pos", "_r"),
+        ).withColumn("review_id", F.try_element_at("_r", F.lit("review_id")))
     else:
         entries = F.map_entries(F.from_json(text, "map<string,map<string,string>>"))
-        rows = docs.select(*keys, F.posexplode(entries).alias("_pos", "_e")).select(*keys, "_pos", F.col("_e.key").alias("review_id"), F.col("_e.value").alias("_r"))
+        rows = docs.select(*keys, F.posexplode(entries).alias("_pos", "_e")).select(
+            *keys,
+            "_pos",
+            F.col("_e.key").alias("review_id"),
+            F.col("_e.value").alias("_r"),
+        )
     review, now = F.col("_r"), F.lit(created_at)
     if version == 0:
         labels = _old_label(review, label_id, source, now)
     else:
-        parsed = F.coalesce(F.from_json(F.try_element_at(review, F.lit("labels")), "map<string,map<string,string>>"), F.create_map().cast("map<string,map<string,string>>"))
+        parsed = F.coalesce(
+            F.from_json(F.try_element_at(review, F.lit("labels")), "map<string,map<string,string>>"),
+            F.create_map().cast("map<string,map<string,string>>"),
+        )
         labels = F.transform_values(parsed, lambda _, x: upgrade_label(x, version, now))
     flat = rows.select(*keys, "review_id", *_attributes(review), labels.cast(L.LABELS).alias("labels"), "_pos")
     columns = [c for c in flat.columns if c not in (*keys, "review_id", "_pos")]
@@ -116,9 +146,17 @@ def parse_files(docs: DataFrame, version: int | None = None, **how) -> DataFrame
         rows = rows.unionByName(part)
     columns = [c for c in rows.columns if c not in ("file", "review_id", "labels")]
     # An entry for each file that holds a review.
-    grouped = rows.groupBy("review_id").agg(F.min_by(F.struct(*columns), "file").alias("r"), F.map_from_entries(F.collect_list(F.struct("file", "labels"))).alias("m"))
+    grouped = rows.groupBy("review_id").agg(
+        F.min_by(F.struct(*columns), "file").alias("r"),
+        F.map_from_entries(F.collect_list(F.struct("file", "labels"))).alias("m"),
+    )
     files = F.array_sort(F.map_keys("m"))
-    labels = F.aggregate(F.slice(files, 2, F.size(files)), F.element_at("m", F.element_at(files, 1)), lambda a, k: merge_label_maps(a, F.element_at("m", k)))
+    labels = F.aggregate(
+        F.slice(files, 2, F.size(files)),
+        F.element_at("m", F.element_at(files, 1)),
+        lambda a,
+        k: merge_label_maps(a, F.element_at("m", k)),
+    )
     return grouped.select("review_id", *[F.col(f"r.{c}").alias(c) for c in columns], labels.alias("labels"))
 
 
@@ -165,7 +203,10 @@ def document_lines(reviews: ReviewSet) -> DataFrame:
     """(place, review_id, value): the lines of the one document of a set, without the commas between reviews."""
     line = F.concat(F.to_json(F.create_map("review_id", _entries(reviews))))
     rows = reviews.df.select(F.lit(1).alias("place"), "review_id", F.substring(line, F.lit(2), F.length(line) - 2).alias("value"))
-    ends = reviews.df.sparkSession.createDataFrame([(0, None, f'{{"version":{VERSION},"reviews":{{'), (2, None, "}}")], "place int, review_id string, value string")
+    ends = reviews.df.sparkSession.createDataFrame(
+        [(0, None, f'{{"version":{VERSION},"reviews":{{'), (2, None, "}}")],
+        "place int, review_id string, value string",
+    )
     return rows.unionByName(ends)
 
 
@@ -200,14 +241,22 @@ def save_lines(reviews: ReviewSet, path: str) -> None:
 def split_by_label(df: DataFrame, path: str) -> None:
     """A folder for each label id with the reviews that have it and that label only."""
     one = df.select(*[c for c in df.columns if c != "labels"], F.explode("labels").alias("label_id", "_l"))
-    one.withColumn("labels", F.create_map("label_id", "_l")).drop("_l").withColumn("labels", F.to_json("labels")).write.partitionBy("label_id").parquet(path)
+    one.withColumn(
+        "labels",
+        F.create_map("label_id", "_l"),
+    ).drop("_l").withColumn("labels", F.to_json("labels")).write.partitionBy("label_id").parquet(path)
 
 
 def legacy_labels(docs: DataFrame, predicted: bool = False) -> DataFrame:
     """review_id, review_body, usage_options of the old labelled documents, marked by hand or predicted."""
     label = "struct<customUsageOptions:array<string>,annotations:array<struct<tokens:array<string>>>,predictedUsageOptions:array<struct<label:string>>>"
-    rows = docs.select(F.explode(F.from_json("value", f"struct<reviews:array<struct<review_id:string,review_body:string,label:{label}>>>")["reviews"]).alias("r"))
-    made = F.transform("r.label.predictedUsageOptions", lambda x: x["label"]) if predicted else F.concat(F.coalesce("r.label.customUsageOptions", F.array().cast("array<string>")), F.coalesce(F.transform("r.label.annotations", lambda a: F.array_join(a["tokens"], " ")), F.array().cast("array<string>")))
+    rows = docs.select(F.explode(
+        F.from_json("value", f"struct<reviews:array<struct<review_id:string,review_body:string,label:{label}>>>")["reviews"],
+    ).alias("r"))
+    made = F.transform("r.label.predictedUsageOptions", lambda x: x["label"]) if predicted else F.concat(
+        F.coalesce("r.label.customUsageOptions", F.array().cast("array<string>")),
+        F.coalesce(F.transform("r.label.annotations", lambda a: F.array_join(a["tokens"], " ")), F.array().cast("array<string>")),
+    )
     return rows.select("r.review_id", "r.review_body", made.alias("usage_options"))
 
 

@@ -21,7 +21,10 @@ def run_name(lines: DataFrame) -> str:
 
 def _workers(run: str) -> Column:
     body = F.try_element_at(F.from_json("value", "map<string,string>"), F.lit(run))
-    return F.from_json(body, "struct<annotationsFromAllWorkers:array<struct<workerId:string,annotationData:struct<content:string>>>>")["annotationsFromAllWorkers"]
+    return F.from_json(
+        body,
+        "struct<annotationsFromAllWorkers:array<struct<workerId:string,annotationData:struct<content:string>>>>",
+    )["annotationsFromAllWorkers"]
 
 
 def _tasks(lines: DataFrame, run: str) -> DataFrame:
@@ -42,7 +45,14 @@ def read_manifest(lines: DataFrame, vendor: str, created_at: str, run: str | Non
     """Reviews with one label aws-<vendor>-<run>; of several workers the first counts."""
     run = run or run_name(lines)
     rows = _tasks(lines, run).filter("worker = 0").select("*", F.posexplode("_reviews").alias("_i", "_r"))
-    label = F.struct(F.lit(created_at).alias("createdAt"), _options(F.col("_i")).alias("usageOptions"), F.array().cast("array<string>").alias("datasets"), F.to_json(F.struct("workerId")).alias("metadata"), F.create_map().cast(L.SCORES).alias("scores"), F.create_map().cast(L.AUGMENTATIONS).alias("augmentations")).cast(L.LABEL)
+    label = F.struct(
+        F.lit(created_at).alias("createdAt"),
+        _options(F.col("_i")).alias("usageOptions"),
+        F.array().cast("array<string>").alias("datasets"),
+        F.to_json(F.struct("workerId")).alias("metadata"),
+        F.create_map().cast(L.SCORES).alias("scores"),
+        F.create_map().cast(L.AUGMENTATIONS).alias("augmentations"),
+    ).cast(L.LABEL)
     from quillstone.operators.review_sets import ATTRIBUTES
 
     get = lambda k: F.try_element_at("_r", F.lit(k)).alias(k)
@@ -55,11 +65,26 @@ def read_manifest_flat(lines: DataFrame, run: str | None = None) -> DataFrame:
     return rows.select(F.try_element_at("_r", F.lit("review_id")).alias("review_id"), "workerId", _options(F.col("_i")).alias("usage_options"))
 
 
-def build_manifest(df: DataFrame, per_task: int, id_column: str = "review_id", body: str = "review_body", most_tasks: int | None = None, seed: int = 0) -> DataFrame:
+def build_manifest(
+    df: DataFrame,
+    per_task: int,
+    id_column: str = "review_id",
+    body: str = "review_body",
+    most_tasks: int | None = None,
+    seed: int = 0,
+) -> DataFrame:
     """task, source (bodies as a JSON text), metadata: chunks in an order drawn by hash, the last may be short; at most so many tasks."""
-    place = sampling._rank(df, [sampling.draw(seed + 1, id_column), F.col(id_column)], []).withColumn("task", F.floor((F.col("_rank") - 1) / per_task))
+    place = sampling._rank(
+        df,
+        [sampling.draw(seed + 1, id_column), F.col(id_column)],
+        [],
+    ).withColumn("task", F.floor((F.col("_rank") - 1) / per_task))
     if most_tasks is not None:
         place = place.filter(F.col("task") < most_tasks)
     item = F.struct(sampling.draw(seed, id_column).alias("h"), F.col(id_column).cast("string").alias("id"), F.col(body).alias("b"))
     one = place.groupBy("task").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    return one.select("task", F.to_json(F.transform("items", lambda x: x["b"])).alias("source"), F.to_json(F.transform("items", lambda x: F.struct(x["id"].alias(id_column)))).alias("metadata"))
+    return one.select(
+        "task",
+        F.to_json(F.transform("items", lambda x: x["b"])).alias("source"),
+        F.to_json(F.transform("items", lambda x: F.struct(x["id"].alias(id_column)))).alias("metadata"),
+    )

@@ -17,7 +17,13 @@ def tsv_schema(flags_as_numbers: bool = False) -> T.StructType:
     return T.StructType([T.StructField(f.name, kind(f)) for f in REVIEW_SCHEMA])
 
 
-def read_tsv(spark: SparkSession, path: str | list[str], flags_as_numbers: bool = False, schema: T.StructType | str | None = None, pattern: str = "*.tsv*") -> DataFrame:
+def read_tsv(
+    spark: SparkSession,
+    path: str | list[str],
+    flags_as_numbers: bool = False,
+    schema: T.StructType | str | None = None,
+    pattern: str = "*.tsv*",
+) -> DataFrame:
     """Tab-separated files with a header line and no quoting; lines with too many columns or wrong types are dropped.
 
     A folder is read by its files of a name pattern (*.tsv), plain or compressed; several paths make one table. All columns are parsed
@@ -26,7 +32,9 @@ def read_tsv(spark: SparkSession, path: str | list[str], flags_as_numbers: bool
     own = schema or tsv_schema(flags_as_numbers)
     own = T.StructType.fromDDL(own) if isinstance(own, str) else own
     names = [f.name for f in own]
-    reader = spark.read.schema(T.StructType([*own, T.StructField(BAD, T.StringType())])).option("sep", "\t").option("header", True).option("quote", "")
+    reader = spark.read.schema(
+        T.StructType([*own, T.StructField(BAD, T.StringType())]),
+    ).option("sep", "\t").option("header", True).option("quote", "")
     reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD).option("enforceSchema", True)
     rows = reader.option("pathGlobFilter", pattern).csv(path)
     # True of every row, but it takes all columns to know.

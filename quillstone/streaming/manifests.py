@@ -9,7 +9,15 @@ from pyspark.sql.streaming import StreamingQuery
 from quillstone.sources.manifests import read_manifest, run_name
 
 
-def convert_arrivals(spark: SparkSession, source: str, target: str, checkpoint: str, vendor: str, created_at: str, once: bool = True) -> StreamingQuery:
+def convert_arrivals(
+    spark: SparkSession,
+    source: str,
+    target: str,
+    checkpoint: str,
+    vendor: str,
+    created_at: str,
+    once: bool = True,
+) -> StreamingQuery:
     """Each new file's reviews are appended to target, partitioned by file. A batch that is tried again overwrites its own folder."""
     lines = spark.readStream.text(source).withColumn("file", F.input_file_name())
 

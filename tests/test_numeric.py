@@ -143,4 +143,19 @@ def test_lemmatised_words():
 def test_lines_and_marks():
     assert M.rouge_lsum(["a b\nc d"], ["c d\na b"]) == pytest.approx(1) and M.rouge_l(["a b\nc d"], ["c d\na b"]) == pytest.approx(0.5)
     assert M.rouge_lsum(["a b c"], ["a x c"]) == M.rouge_l(["a b c"], ["a x c"])
-    assert M.words_and_marks("Hello, it's 3.5 or 1,000 (now)-then 2-3.") == ["Hello", ",", "it's", "3.5", "or", "1,000", "(", "now", ")", "-then", "2", "-", "3", "."]
+    assert M.words_and_marks("Hello, it's 3.5 or 1,000 (now)-then 2-3.") == [
+        "Hello",
+        ",",
+        "it's",
+        "3.5",
+        "or",
+        "1,000",
+        "(",
+        "now",
+        ")",
+        "-then",
+        "2",
+        "-",
+        "3",
+        ".",
+    ]

@@ -25,7 +25,10 @@ def reviews(spark, rows):
     return df.withColumn("review_body", F.concat(F.lit("body "), "review_id")).withColumn("star_rating", F.lit("5"))
 
 
-TWO = {"r1": {"chat_gpt-1": label(["going crazy"]), "bp-golden": label([], ["gold"])}, "r2": {"chat_gpt-1": label(["sleeping"]), "bp-golden": label(["sleeping"], ["gold"])}}
+TWO = {
+    "r1": {"chat_gpt-1": label(["going crazy"]), "bp-golden": label([], ["gold"])},
+    "r2": {"chat_gpt-1": label(["sleeping"]), "bp-golden": label(["sleeping"], ["gold"])},
+}
 
 
 @pytest.fixture(scope="module")
@@ -48,7 +51,13 @@ def test_globs_are_shell_patterns(pattern, names):
 
 
 def test_selection(two):
-    row = two.filter("review_id = 'r1'").select(L.ByGlob("c*", "*-*").ids(F.col("labels")).alias("a"), L.ByDataset("gold").ids(F.col("labels")).alias("b"), L.label_type(F.col("labels"), L.ByGlob("*")).alias("t"), L.label_type(F.col("labels"), L.ByGlob("none")).alias("n"), L.usage_options(F.col("labels"), "none").alias("o")).first()
+    row = two.filter("review_id = 'r1'").select(
+        L.ByGlob("c*", "*-*").ids(F.col("labels")).alias("a"),
+        L.ByDataset("gold").ids(F.col("labels")).alias("b"),
+        L.label_type(F.col("labels"), L.ByGlob("*")).alias("t"),
+        L.label_type(F.col("labels"), L.ByGlob("none")).alias("n"),
+        L.usage_options(F.col("labels"), "none").alias("o"),
+    ).first()
     assert row.a == ["chat_gpt-1", "bp-golden", "chat_gpt-1"]
     assert (row.b, row.t, row.n, row.o) == (["bp-golden"], "both", None, [])
 
@@ -124,7 +133,10 @@ def test_golden_scores(two):
 
 def test_best_reference_ignores_nan(spark):
     rows = [("r", "a", "x", "m", float("nan"), True, True), ("r", "a", "y", "m", 0.2, True, False), ("s", "a", "x", "m", float("nan"), True, True)]
-    df = spark.createDataFrame(rows, "review_id string, label_id string, ref_id string, metric_id string, score double, pred_pos boolean, ref_pos boolean")
+    df = spark.createDataFrame(
+        rows,
+        "review_id string, label_id string, ref_id string, metric_id string, score double, pred_pos boolean, ref_pos boolean",
+    )
     assert [(r.review_id, r.score, r.ref_id) for r in scoring.best_reference(df).collect()] == [("r", 0.2, "y")]
 
 
@@ -136,12 +148,17 @@ def test_exclusive_quartiles(spark):
         r = scoring.score_summary(df, ["g"]).first()
         assert [r.q1, r.q2, r.q3] == pytest.approx(statistics.quantiles(values))
         assert r.variance == pytest.approx(statistics.variance(values))
-        row = df.groupBy().agg(F.array_sort(F.collect_list("score")).alias("v")).select(*[scoring.exclusive_quantile(F.col("v"), i).alias(f"q{i}") for i in (1, 2, 3)]).first()
+        row = df.groupBy().agg(F.array_sort(F.collect_list("score")).alias("v")).select(
+            *[scoring.exclusive_quantile(F.col("v"), i).alias(f"q{i}") for i in (1, 2, 3)],
+        ).first()
         assert list(row) == pytest.approx(statistics.quantiles(values))
 
 
 def test_old_formula_is_kept_apart(spark):
-    df = spark.createDataFrame([(True, True)] * 3 + [(False, True)] + [(False, False)] * 2 + [(True, False)] * 2, "pred_pos boolean, ref_pos boolean").withColumn("g", F.lit(1))
+    df = spark.createDataFrame(
+        [(True, True)] * 3 + [(False, True)] + [(False, False)] * 2 + [(True, False)] * 2,
+        "pred_pos boolean, ref_pos boolean",
+    ).withColumn("g", F.lit(1))
     assert scoring.classification_scores(df, ["g"]).first().balanced_accuracy == pytest.approx((0.75 + 0.5) / 2)
     assert scoring.classification_scores(df, ["g"], strict_compat=True).first().balanced_accuracy == pytest.approx(0.5)
 
@@ -180,9 +197,19 @@ def test_files_of_a_folder_are_merged(spark, tmp_path):
     label = lambda o: {"createdAt": "t", "usageOptions": [o], "metadata": {}, "scores": {}, "datasets": [], "augmentations": {}}
     folder = tmp_path / "set"
     folder.mkdir()
-    (folder / "a.json").write_text(json.dumps({"version": 5, "reviews": {"r1": {"review_body": "one", "labels": {"x": label("p")}}, "r2": {"review_body": "two", "labels": {}}}}))
+    (folder / "a.json").write_text(
+        json.dumps({
+            "version": 5,
+            "reviews": {"r1": {"review_body": "one", "labels": {"x": label("p")}}, "r2": {"review_body": "two", "labels": {}}},
+        }),
+    )
     (folder / "b.json").write_text(json.dumps({"version": 5, "reviews": {"r1": {"review_body": "other", "labels": {"y": label("q")}}}}))
-    (folder / "c.json").write_text(json.dumps([{"review_id": "r3", "review_body": "old", "label": {"customUsageOptions": ["c"], "annotations": []}}, {"review_id": "r1", "review_body": "z", "label": {"customUsageOptions": ["d"], "annotations": []}}]))
+    (folder / "c.json").write_text(
+        json.dumps([
+            {"review_id": "r3", "review_body": "old", "label": {"customUsageOptions": ["c"], "annotations": []}},
+            {"review_id": "r1", "review_body": "z", "label": {"customUsageOptions": ["d"], "annotations": []}},
+        ]),
+    )
     rows = {r.review_id: r for r in documents.read_documents(spark, str(folder), label_id="v0").df.collect()}
     assert set(rows) == {"r1", "r2", "r3"} and rows["r1"].review_body == "one"
     assert {k: v.usageOptions for k, v in rows["r1"].labels.items()} == {"x": ["p"], "y": ["q"], "v0": ["d"]}
@@ -197,7 +224,10 @@ def test_scores_are_stored_in_the_set(spark):
         made = lambda o: ("t", o, [], "{}", {}, {})
         return (i, {"openai-m": made(pred), "bp-golden": made(ref)})
 
-    rs = R.ReviewSet(spark.createDataFrame([review("a", ["going crazy"], []), review("b", ["sleeping"], ["sleeping"])], f"review_id string, labels {L.LABELS}"))
+    rs = R.ReviewSet(spark.createDataFrame(
+        [review("a", ["going crazy"], []), review("b", ["sleeping"], ["sleeping"])],
+        f"review_id string, labels {L.LABELS}",
+    ))
     names = ["custom_weighted_mean_precision", "custom_weighted_mean_recall", "custom_weighted_mean_f1"]
     first = rs.score_labels(["openai*"], ["bp*"], names[:1])
     scored = first.score_labels(["openai*"], ["bp*"], names)
@@ -217,7 +247,10 @@ def test_scores_are_stored_in_the_set(spark):
 def test_decisions_by_hand(spark):
     label = ("t", ["keep me", "drop me", "change me", "undecided"], [], "{}", {}, {})
     df = spark.createDataFrame([("a", {"chat_gpt-1": label}), ("b", {"chat_gpt-1": label}), ("c", {})], f"review_id string, labels {L.LABELS}")
-    told = spark.createDataFrame([("a", "keep me", True, ""), ("a", "drop me", False, None), ("a", "change me", True, "changed"), ("c", "x", True, None)], "review_id string, usage_option string, keep boolean, revised string")
+    told = spark.createDataFrame(
+        [("a", "keep me", True, ""), ("a", "drop me", False, None), ("a", "change me", True, "changed"), ("c", "x", True, None)],
+        "review_id string, usage_option string, keep boolean, revised string",
+    )
     rows = {r.review_id: r.labels for r in L.apply_decisions(df, told, F.lit("now")).collect()}
     assert rows["a"]["bp-chat_gpt_correction"].usageOptions == ["keep me", "undecided", "changed"]
     assert set(rows["b"]) == {"chat_gpt-1"} and rows["c"] == {}

@@ -9,8 +9,29 @@ from quillstone.sources import sql_runner, tables
 
 
 def rows(spark, *bodies, **columns):
-    base = dict(marketplace="US", customer_id="c", review_id="r", product_id="p", product_parent="1", product_title="t", product_category="Camera", star_rating=5, helpful_votes=0, total_votes=0, vine="N", verified_purchase="Y", review_headline="h", review_body="b", review_date="2015-01-01")
-    data = [tuple((base | columns | (b if isinstance(b, dict) else {"review_body": b}) | {"review_id": str(i)})[f.name] for f in cleaning.REVIEW_SCHEMA) for i, b in enumerate(bodies)]
+    base = dict(
+        marketplace="US",
+        customer_id="c",
+        review_id="r",
+        product_id="p",
+        product_parent="1",
+        product_title="t",
+        product_category="Camera",
+        star_rating=5,
+        helpful_votes=0,
+        total_votes=0,
+        vine="N",
+        verified_purchase="Y",
+        review_headline="h",
+        review_body="b",
+        review_date="2015-01-01",
+    )
+    data = [
+        tuple((
+            base | columns | (b if isinstance(b, dict) else {"review_body": b}) | {"review_id": str(i)}
+        )[f.name] for f in cleaning.REVIEW_SCHEMA) for i,
+        b in enumerate(bodies)
+    ]
     return spark.createDataFrame(data, cleaning.REVIEW_SCHEMA)
 
 
@@ -38,7 +59,12 @@ def test_bots_and_null_customers(spark):
 
 
 def test_etl(spark):
-    df = rows(spark, "one two three &lt;br /&gt; four <b>five</b> useful", {"review_body": "a b c d e", "product_category": "Books"}, {"review_body": "a b c d e f", "verified_purchase": "N"})
+    df = rows(
+        spark,
+        "one two three &lt;br /&gt; four <b>five</b> useful",
+        {"review_body": "a b c d e", "product_category": "Books"},
+        {"review_body": "a b c d e f", "verified_purchase": "N"},
+    )
     out = cleaning.etl(df).collect()
     assert len(out) == 1 and out[0].review_body == "one two three four five useful"
     assert (out[0].review_body_word_count, out[0].review_body_usage_count, out[0].verified_purchase) == (6, 1, 1)
@@ -65,7 +91,10 @@ def test_groups_leave_nulls_out(spark):
 
 
 def test_gaps_and_buckets(spark):
-    df = spark.createDataFrame([("a", "2024-01-01 00:00:00", 1), ("a", "2024-01-01 00:00:00", 2), ("a", "2024-01-02 00:00:01", 3), ("b", "2024-01-01 00:00:00", 4)], "k string, s string, i int").withColumn("t", F.to_timestamp_ntz("s"))
+    df = spark.createDataFrame(
+        [("a", "2024-01-01 00:00:00", 1), ("a", "2024-01-01 00:00:00", 2), ("a", "2024-01-02 00:00:01", 3), ("b", "2024-01-01 00:00:00", 4)],
+        "k string, s string, i int",
+    ).withColumn("t", F.to_timestamp_ntz("s"))
     out = {r.i: (r.gap, r.b) for r in A.gaps(df, "k", "t", "i").withColumn("b", A.fixed_bucket(F.col("gap"))).collect()}
     assert out == {1: (None, None), 2: (0.0, 0), 3: (86401.0, 2), 4: (None, None)}
 
@@ -100,7 +129,9 @@ def test_ranks_keep_null_strata(spark):
 
 def test_train_test_val_default(spark):
     df = spark.range(10).withColumn("k", F.lit(1))
-    assert {r.part: r["count"] for r in sampling.train_test_val(df, ["k"], "id").groupBy("part").count().collect()} == {"train": 7, "test": 2, "val": 1}
+    assert {
+        r.part: r["count"] for r in sampling.train_test_val(df, ["k"], "id").groupBy("part").count().collect()
+    } == {"train": 7, "test": 2, "val": 1}
 
 
 def test_budget(spark):
@@ -144,8 +175,19 @@ def brute_quality(X, labels):
     spread = (sizes * ((C - X.mean(0)) ** 2).sum(1)).sum()
     cos = 1 - clustering.distances(X, "cosine")
     mean_sim = np.array([cos[np.ix_(labels == c, labels == c)].mean() for c in names])
-    centre_sim = np.array([(X[labels == c] @ C[i] / np.maximum(1e-300, np.linalg.norm(X[labels == c], axis=1) * np.linalg.norm(C[i]))).mean() for i, c in enumerate(names)])
-    return {"silhouette": float(sil.mean()), "davies_bouldin": float(((scatter[:, None] + scatter[None]) / between).max(1).mean()) if k > 1 else 0.0, "calinski_harabasz": float(spread / (k - 1) / (within / (n - k))) if 1 < k < n and within else 0.0, "sim_in_cluster": float(mean_sim.mean()), "sim_to_centroid": float(centre_sim.mean()), "best": float(names[mean_sim.argmax()]), "worst": float(names[mean_sim.argmin()])}
+    centre_sim = np.array([
+        (X[labels == c] @ C[i] / np.maximum(1e-300, np.linalg.norm(X[labels == c], axis=1) * np.linalg.norm(C[i]))).mean() for i,
+        c in enumerate(names)
+    ])
+    return {
+        "silhouette": float(sil.mean()),
+        "davies_bouldin": float(((scatter[:, None] + scatter[None]) / between).max(1).mean()) if k > 1 else 0.0,
+        "calinski_harabasz": float(spread / (k - 1) / (within / (n - k))) if 1 < k < n and within else 0.0,
+        "sim_in_cluster": float(mean_sim.mean()),
+        "sim_to_centroid": float(centre_sim.mean()),
+        "best": float(names[mean_sim.argmax()]),
+        "worst": float(names[mean_sim.argmin()]),
+    }
 
 
 @pytest.mark.parametrize("block", [2048, 17])
@@ -154,7 +196,10 @@ def test_cluster_quality_against_brute_force(spark, block):
     labels = rng.integers(0, 5, 120)
     labels[0] = 9  # a cluster of one
     X = rng.normal(size=(5, 6))[labels % 5] * 2 + rng.normal(size=(120, 6))
-    df = spark.createDataFrame([(i, x.tolist(), int(c)) for i, (x, c) in enumerate(zip(X, labels))], "vec_id long, embedding array<double>, cluster int")
+    df = spark.createDataFrame(
+        [(i, x.tolist(), int(c)) for i, (x, c) in enumerate(zip(X, labels))],
+        "vec_id long, embedding array<double>, cluster int",
+    )
     got = {r.measure: r.value for r in clustering.cluster_quality(df, block=block).collect()}
     assert got == pytest.approx(brute_quality(X, labels), rel=1e-9, abs=1e-9)
 
@@ -166,7 +211,10 @@ def test_spectral_clusters(spark):
     for some in (rings, rings[::3]):
         found = clustering.spectral(some, 2)(rings)
         assert len(set(found[:150])) == len(set(found[150:])) == 1 and found[0] != found[150]
-    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(rings)] + [(999, None, 1.0)], "id long, confidence double, variability double")
+    df = spark.createDataFrame(
+        [(i, float(x), float(y)) for i, (x, y) in enumerate(rings)] + [(999, None, 1.0)],
+        "id long, confidence double, variability double",
+    )
     for landmarks in (1500, 100):
         got = {r.id: r.cluster for r in clustering.loss_map_clusters(df, 2, landmarks=landmarks).collect()}
         assert len(got) == 300 and len({got[i] for i in range(150)}) == len({got[i] for i in range(150, 300)}) == 1 and got[0] != got[150]
@@ -191,7 +239,10 @@ def test_clusters_refuse_too_many(spark):
 
 
 def test_significance(spark):
-    better = spark.createDataFrame([(str(i), 0.5 + 0.01 * (i % 5), 0.4, 0.1 + 0.01 * (i % 5), i % 2 == 0, i % 2 == 0) for i in range(40)], "review_id string, a double, b double, d double, a_ref boolean, b_ref boolean")
+    better = spark.createDataFrame(
+        [(str(i), 0.5 + 0.01 * (i % 5), 0.4, 0.1 + 0.01 * (i % 5), i % 2 == 0, i % 2 == 0) for i in range(40)],
+        "review_id string, a double, b double, d double, a_ref boolean, b_ref boolean",
+    )
     assert significance.t_test(better, "greater")["p"] < 0.001
     assert significance.wilcoxon(better, "greater")["p"] < 0.001
     assert significance.permutation(better, "greater", 200)["p"] < 0.02
@@ -239,7 +290,12 @@ def test_streamed_manifests(spark, tmp_path):
     from quillstone.streaming.manifests import convert_arrivals
 
     content = json.dumps({"annotations": json.dumps({"annotations": [[{"tokens": ["a", "b"]}]], "customUsageOptions": [["c"]]})})
-    line = {"source": json.dumps(["x"]), "metadata": [{"review_id": "r1"}], "run": {"annotationsFromAllWorkers": [{"workerId": "w", "annotationData": {"content": content}}]}, "run-metadata": {"job-name": "run"}}
+    line = {
+        "source": json.dumps(["x"]),
+        "metadata": [{"review_id": "r1"}],
+        "run": {"annotationsFromAllWorkers": [{"workerId": "w", "annotationData": {"content": content}}]},
+        "run-metadata": {"job-name": "run"},
+    }
     source = tmp_path / "in"
     source.mkdir()
     (source / "m.manifest").write_text(json.dumps(line) + "\n")
@@ -249,4 +305,7 @@ def test_streamed_manifests(spark, tmp_path):
 
 
 def test_schema_is_fixed():
-    assert [f.name for f in cleaning.REVIEW_SCHEMA][:3] == ["marketplace", "customer_id", "review_id"] and isinstance(cleaning.REVIEW_SCHEMA["star_rating"].dataType, T.ByteType)
+    assert [f.name for f in cleaning.REVIEW_SCHEMA][:3] == ["marketplace", "customer_id", "review_id"] and isinstance(
+        cleaning.REVIEW_SCHEMA["star_rating"].dataType,
+        T.ByteType,
+    )

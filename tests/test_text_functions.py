@@ -25,7 +25,11 @@ def test_usage_count_counts_overlapping_phrases(spark):
 
 
 def test_ratios_are_zero_without_words(spark):
-    row = spark.createDataFrame([("",)], "t string").select(X.avg_word_length(F.col("t")).alias("a"), X.usage_density(F.col("t")).alias("b"), X.flesch_reading_ease(F.col("t")).alias("c")).first()
+    row = spark.createDataFrame([("",)], "t string").select(
+        X.avg_word_length(F.col("t")).alias("a"),
+        X.usage_density(F.col("t")).alias("b"),
+        X.flesch_reading_ease(F.col("t")).alias("c"),
+    ).first()
     assert tuple(row) == (0.0, 0.0, 0.0)
 
 
@@ -61,7 +65,15 @@ def test_options_join_and_split(spark):
     assert one(spark, X.split_options(F.col("t")), t="No Usage Options") == []
 
 
-@pytest.mark.parametrize("reply, parts", [("a; b; c; d", ["a", "b", "c"]), ("T: a\n\nH: b\n\nB: c", ["a", "b", "c"]), ("T: a\nH: b\nB: c", ["a", "b", "c"]), ("what", ["Error", "Error", "what"])])
+@pytest.mark.parametrize(
+    "reply, parts",
+    [
+        ("a; b; c; d", ["a", "b", "c"]),
+        ("T: a\n\nH: b\n\nB: c", ["a", "b", "c"]),
+        ("T: a\nH: b\nB: c", ["a", "b", "c"]),
+        ("what", ["Error", "Error", "what"]),
+    ],
+)
 def test_generated_review(spark, reply, parts):
     assert one(spark, X.parse_generated_review(F.col("t")), t=reply) == parts
 
@@ -76,7 +88,21 @@ def test_log_probabilities(spark):
     assert df.select(X.sum_logprobs(F.col("t"), F.col("p")).alias("x")).first().x == [3.0, 4.0]
 
 
-@pytest.mark.parametrize("word, stem", [("caresses", "caress"), ("ponies", "poni"), ("relational", "relat"), ("hopping", "hop"), ("hoping", "hope"), ("agreed", "agre"), ("happy", "happi"), ("generalizations", "gener"), ("adjustment", "adjust"), ("controll", "control")])
+@pytest.mark.parametrize(
+    "word, stem",
+    [
+        ("caresses", "caress"),
+        ("ponies", "poni"),
+        ("relational", "relat"),
+        ("hopping", "hop"),
+        ("hoping", "hope"),
+        ("agreed", "agre"),
+        ("happy", "happi"),
+        ("generalizations", "gener"),
+        ("adjustment", "adjust"),
+        ("controll", "control"),
+    ],
+)
 def test_porter(word, stem):
     assert X.porter_stem(word) == stem
 

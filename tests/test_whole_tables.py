@@ -69,7 +69,14 @@ def test_near_copies_of_the_pipeline(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     base = [f"w{i}" for i in range(200)]
     scattered = lambda n: [f"x{i}" if i % (200 // n) == 7 else w for i, w in enumerate(base)]
-    texts = [base, scattered(4), base[:60] + [f"y{i}" for i in range(15)] + base[75:], base + [f"z{i}" for i in range(40)], scattered(12), [f"v{i}" for i in range(200)]]
+    texts = [
+        base,
+        scattered(4),
+        base[:60] + [f"y{i}" for i in range(15)] + base[75:],
+        base + [f"z{i}" for i in range(40)],
+        scattered(12),
+        [f"v{i}" for i in range(200)],
+    ]
     docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)], DOCUMENTS)
     stage = dict(pipeline.STAGES)["jaccard_join"]
     assert sorted(r.doc_id for r in stage(spark, docs, "").collect()) == [0, 4, 5]
