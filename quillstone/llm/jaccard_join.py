@@ -58,7 +58,7 @@ def first_ones(n: int, threshold: Fraction) -> int:
 def counted(sets: DataFrame, shingles) -> np.ndarray:
     """How often shingles occur in all sets, by the first BITS of their hash: tasks' tables are added up in rounds.
 
-    shingles: from a batch of the rows, arrays of shingles."""
+    shingles: from a batch of the rows, arrays of the shingles of many sets each; an array costs a pass over the table."""
 
     def scan(batches):
         total = np.zeros(1 << BITS, np.uint32)
@@ -345,7 +345,7 @@ def candidate_groups(docs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
     if threshold >= PARTS_FIRST:
         signatures = Parts(threshold)
     else:
-        signatures = Order(counted(docs.select("text"), lambda batch: (x for part in slices(batch, "text") for x in _sets(part, k))), threshold)
+        signatures = Order(counted(docs.select("text"), lambda batch: (np.concatenate(_sets(part, k)) for part in slices(batch, "text"))), threshold)
     held = docs.sparkSession.sparkContext.broadcast(signatures)
 
     def scan(batches):
@@ -365,7 +365,8 @@ def parted(sets: DataFrame, threshold: Fraction) -> DataFrame:
     """(node, component) of sets (comp, node, size, shingles) by the other kind of signatures, within each comp; sets that can link
     with none are left out."""
     of_batch = lambda batch: (np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("shingles"))
-    signatures = Order(counted(sets.select("shingles"), of_batch), threshold) if threshold >= PARTS_FIRST else Parts(threshold)
+    together = lambda batch: (np.concatenate(list(of_batch(batch.slice(lo, 1024)))) for lo in range(0, batch.num_rows, 1024))
+    signatures = Order(counted(sets.select("shingles"), together), threshold) if threshold >= PARTS_FIRST else Parts(threshold)
     held = sets.sparkSession.sparkContext.broadcast(signatures)
 
     def scan(batches):
