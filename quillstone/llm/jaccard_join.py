@@ -435,13 +435,16 @@ def link_nodes(docs: DataFrame, nodes: DataFrame, k: int, threshold: Fraction) -
     texts = keyed.join(wanted.hint("shuffle_hash"), "key").select("text", "comp", "node", "size")
     sets = cut(texts.mapInArrow(tidy(sets_of), "comp long, node long, size long, shingles binary"), "sets")
     totals = cut(wanted.groupBy("comp").agg(_blocks()), "totals")
-    small = sets.join(totals.filter("blocks = 1"), "comp")
-    # Groups of more than a block are parted by the other signatures, and what is left of them is dealt in blocks.
-    large = sets.join(totals.filter("blocks > 1").select("comp"), "comp", "left_semi")
-    again = cut(parted(large, threshold).join(wanted.select("node", "size"), "node").withColumnRenamed("component", "part"), "parted")
-    dealt = again.join(again.groupBy("part").agg(_blocks()), "part").select("node", "part", "blocks")
-    large = large.join(dealt, "node").select(F.col("part").alias("comp"), "node", "size", "shingles", "blocks")
-    whole = small.select(*large.columns).unionByName(large).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    columns = ["comp", "node", "size", "shingles", "blocks"]
+    whole, written = sets.join(totals.filter("blocks = 1"), "comp").select(*columns), [wanted, sets, totals]
+    if not totals.filter("blocks > 1").isEmpty():
+        # Groups of more than a block are parted by the other signatures, and what is left of them is dealt in blocks.
+        large = sets.join(totals.filter("blocks > 1").select("comp"), "comp", "left_semi")
+        again = cut(parted(large, threshold).join(wanted.select("node", "size"), "node").withColumnRenamed("component", "part"), "parted")
+        dealt = again.join(again.groupBy("part").agg(_blocks()), "part").select("node", F.col("part").alias("comp"), "blocks")
+        whole = whole.unionByName(large.drop("comp").join(dealt, "node").select(*columns))
+        written.append(again)
+    whole = whole.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # A set goes to every task of its block: with itself and with each other block of its group.
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     tasks = whole.withColumn("other", other).select(
@@ -458,7 +461,7 @@ def link_nodes(docs: DataFrame, nodes: DataFrame, k: int, threshold: Fraction) -
             yield from _group_links([([sets[i] for i in keep], [names[i] for i in keep], split)], threshold)
 
     out = components(tasks.mapInArrow(tidy(scan), "a long, b long"))
-    forget(wanted, sets, totals, again)
+    forget(*written)
     return out
 
 
