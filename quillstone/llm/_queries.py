@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import decontaminate, embedding_dedup, jaccard_join, language, licenses, pii, secrets, sentencepiece_codec, token_binary, warc
+from quillstone.llm import decontaminate, embedding_dedup, jaccard_join, language, licenses, pii, secrets, sentencepiece_codec, token_binary, warc, winnowing
 from quillstone.llm._io import table
 from quillstone.llm._oracles import ORACLES
 
@@ -56,6 +56,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.edited(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -69,6 +73,7 @@ QUERIES = {
         op8_warc_archives,
         op9_sentencepiece,
         op10_jaccard_join,
+        op11_document_fingerprints,
     )
 }
 
