@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import decontaminate, embedding_dedup, jaccard_join, language, licenses, pii, secrets, sentencepiece_codec, token_binary, warc, winnowing
+from quillstone.llm import decontaminate, embedding_dedup, jaccard_join, language, licenses, pii, secrets, sentencepiece_codec, token_binary, warc, whitening, winnowing
 from quillstone.llm._io import table
 from quillstone.llm._oracles import ORACLES
 
@@ -60,6 +60,10 @@ def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.edited(table(spark, sf_dir, "documents"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -74,6 +78,7 @@ QUERIES = {
         op9_sentencepiece,
         op10_jaccard_join,
         op11_document_fingerprints,
+        op12_embedding_whitening,
     )
 }
 
