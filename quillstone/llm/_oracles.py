@@ -61,4 +61,15 @@ ORACLES: dict[str, str] = {
         e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
         r(node, reach) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.node, e.y FROM r JOIN e ON r.reach = e.x)
         SELECT node AS doc_id, coalesce(max(n), 0)::BIGINT AS n_shingles, min(reach) AS component_id FROM r LEFT JOIN n ON node = doc_id GROUP BY node""",
+    "op13_ranked_search": f"""
+        WITH d AS (SELECT doc_id, unnest({_words("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")}) AS term FROM documents),
+        p AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY ALL),
+        l AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM p GROUP BY ALL),
+        a AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS big_l FROM l),
+        w AS (SELECT term, floor(1000 * ln((2 * any_value(big_n) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, a GROUP BY term),
+        i AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({_words("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")}) AS term FROM benchmark)),
+        s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * big_n) // big_l))))::BIGINT AS score
+              FROM i JOIN w USING (term) JOIN p USING (term) JOIN l USING (doc_id), a GROUP BY ALL),
+        r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0)
+        SELECT * FROM r WHERE rank <= 50""",
 }

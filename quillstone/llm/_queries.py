@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import decontaminate, embedding_dedup, jaccard_join, language, licenses, pii, secrets, sentencepiece_codec, token_binary, warc, whitening, winnowing
+from quillstone.llm import decontaminate, embedding_dedup, jaccard_join, language, lexical_search, licenses, pii, secrets, sentencepiece_codec, token_binary, warc, whitening, winnowing
 from quillstone.llm._io import table
 from quillstone.llm._oracles import ORACLES
 
@@ -64,6 +64,10 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -79,6 +83,7 @@ QUERIES = {
         op10_jaccard_join,
         op11_document_fingerprints,
         op12_embedding_whitening,
+        op13_ranked_search,
     )
 }
 
