@@ -465,8 +465,8 @@ def link_nodes(docs: DataFrame, nodes: DataFrame, k: int, threshold: Fraction) -
     return out
 
 
-def jaccard_components(docs: DataFrame, k: int = 3, threshold: Fraction = Fraction(9, 10)) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def _components_of_rows(docs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
+    """doc_id, n_shingles, component_id and key (a hash of id and text) of every row."""
     docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     nodes = cut(_node_rows(docs, k), "nodes")
     linked = link_nodes(docs, nodes, k, threshold)
@@ -484,13 +484,21 @@ def jaccard_components(docs: DataFrame, k: int = 3, threshold: Fraction = Fracti
     full, empty = nodes.filter("n_shingles > 0"), nodes.filter("n_shingles = 0")
     # The few nodes that hold many rows each are broadcast, so that no task gets all copies of one text.
     heavy = F.broadcast(ids.filter(F.col("copies") > max(1, rows // HEAVY)).select("node", "component_id"))
-    out = ["doc_id", "n_shingles", "component_id"]
+    out = ["doc_id", "n_shingles", "component_id", "key"]
     most = full.join(heavy, "node").select(*out)
     rest = full.join(heavy, "node", "left_anti").join(ids.select("node", "component_id"), "node").select(*out)
-    return most.unionByName(rest).unionByName(empty.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return most.unionByName(rest).unionByName(empty.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "key"))
+
+
+def jaccard_components(docs: DataFrame, k: int = 3, threshold: Fraction = Fraction(9, 10)) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    return _components_of_rows(docs, k, threshold).drop("key")
 
 
 def keep_one(docs: DataFrame, k: int = 3, threshold: Fraction = Fraction(9, 10)) -> DataFrame:
-    """The rows of docs without those whose component has a smaller doc_id; rows that repeat a kept doc_id all stay."""
-    gone = jaccard_components(docs, k, threshold).filter("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(cut(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs without those whose component has a smaller doc_id; rows that repeat a kept doc_id all stay. Of rows with one
+    doc_id and different texts each goes or stays by its own text."""
+    rows = _components_of_rows(docs, k, threshold).filter("component_id < doc_id")
+    gone = cut(rows.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct(), "gone")
+    own = (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")) == F.col("_key"))
+    return docs.join(gone, own, "left_anti")
