@@ -1,8 +1,8 @@
 """Clusters of phrase vectors: k-means, agglomerative, communities, quality, outliers.
 
-k-means, spectral clusters and the quality measures are distributed; the silhouette compares all pairs,
-block by block, at any size. Agglomerative clustering and communities hold all distances in one task, so
-they refuse more than `most` rows: they are meant for the distinct phrases of a review set.
+All are distributed; the silhouette, communities and hierarchical clusters compare all pairs, block by block, at any size
+(see `hierarchy`). Only complete linkage, and average linkage by Euclidean distance, need every single distance: they hold these
+in one task and refuse more than `most` rows. `link` and `communities` are the plain forms on one machine.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions import similarity as S
+from quillstone.operators import hierarchy
 from quillstone.operators.sampling import within_budget
 
 MOST = 20_000
@@ -122,6 +123,11 @@ def communities(X: np.ndarray, threshold: float, least: int = 1) -> np.ndarray:
     return out
 
 
+def _few(df: DataFrame) -> bool:
+    """Few enough rows that one task takes them all, with the same result as many tasks in rounds."""
+    return df.limit(hierarchy.LOCAL + 1).count() <= hierarchy.LOCAL
+
+
 def _whole(df: DataFrame, key: str, column: str, most: int, schema: str, function) -> DataFrame:
     n = df.limit(most + 1).count()
     if n > most:
@@ -140,9 +146,11 @@ def agglomerative(
     distance_threshold: float | None = None,
     most: int = MOST,
 ) -> DataFrame:
-    """(key, cluster)."""
+    """(key, cluster): clusters are numbered by the smallest keys in them."""
     if (n_clusters is None) == (distance_threshold is None):
         raise ValueError("state either a number of clusters or a distance")
+    if (metric, linkage) in hierarchy.OFFERED and not _few(df):
+        return hierarchy.tree(df, key, column, metric, linkage, n_clusters, distance_threshold)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(key)
@@ -151,19 +159,16 @@ def agglomerative(
     return _whole(df, key, column, most, f"{key} {dict(df.dtypes)[key]}, cluster long", run)
 
 
-def community_detection(
-    df: DataFrame,
-    threshold: float,
-    least: int = 1,
-    key: str = "vec_id",
-    column: str = "embedding",
-    most: int = MOST,
-) -> DataFrame:
+def community_detection(df: DataFrame, threshold: float, least: int = 1, key: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """(key, cluster): greedy neighbourhoods of cosine at or above a threshold, the largest first; -1 where none holds a row."""
+    if not _few(df):
+        return hierarchy.greedy_communities(df, threshold, least, key, column)
+
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(key)
         return pd.DataFrame({key: frame[key], "cluster": communities(np.stack(frame["_v"]), threshold, least)})
 
-    return _whole(df, key, column, most, f"{key} {dict(df.dtypes)[key]}, cluster long", run)
+    return _whole(df, key, column, hierarchy.LOCAL, f"{key} {dict(df.dtypes)[key]}, cluster long", run)
 
 
 def _far_sums(df: DataFrame, key: str, block: int) -> DataFrame:

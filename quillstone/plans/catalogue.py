@@ -716,7 +716,7 @@ def wilcoxon_statistic(spark, sf_dir):
 
 @query()
 def bootstrap_means(spark, sf_dir):
-    return significance.bootstrap_means(_paired(spark, sf_dir), 200, 1)
+    return significance.bootstrap_means(_paired(spark, sf_dir), seed=1)
 
 
 @query(f"SELECT review_id, array_to_string(gold, '; ') AS joined, array_to_string(pred, '; ') AS predicted FROM {_LABELLED} WHERE quality = 1 AND lang = 'en'")

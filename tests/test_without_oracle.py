@@ -159,7 +159,7 @@ def test_significance(run, spark):
     d = np.array([r.d for r in catalogue._paired(spark, SF).collect()])
     means = np.array([r["mean"] for r in run("bootstrap_means")])
     error = d.std(ddof=1) / len(d) ** 0.5
-    assert len(means) == 200 and abs(means.mean() - d.mean()) < 4 * error / 200**0.5 + 1e-3 and 0.75 < means.std() / error < 1.25
+    assert len(means) == 9_999 and abs(means.mean() - d.mean()) < 4 * error / 9_999**0.5 + 1e-3 and 0.9 < means.std() / error < 1.1
     found = {r.test: r for r in run("significance_tests")}
     t = d.mean() / error
     assert found["ttest"].statistic == pytest.approx(t)
