@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from itertools import islice, permutations
 
@@ -259,6 +260,62 @@ def label_in_batches(
     return df.withColumn("labels", L.add_label(F.col("labels"), label_id, run(F.col(text)), F.lit(created_at)))
 
 
+def generation_metadata(model: str, prompt_id: str | None = None, checkpoint: str | None = None, **settings) -> str:
+    """What made a label, as the JSON that labels keep: the model, its checkpoint (the last, if none is named), the prompt and
+    the settings it generated with."""
+    made = {"name": model, "checkpoint": checkpoint or "last", "prompt_id": prompt_id, "config": settings}
+    return json.dumps({"generator": made}, sort_keys=True)
+
+
+def _exists(spark, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def label_with_saves(
+    df: DataFrame,
+    label: Callable[[list[str]], list[list[str]]],
+    label_id: str,
+    created_at: str,
+    progress: str,
+    text: str = "review_body",
+    batch: int = 32,
+    share: float = 0.05,
+    at_most: int = 500,
+    metadata: str = "{}",
+    overwrite: bool = False,
+) -> DataFrame:
+    """As label_in_batches, with the answers kept in a table at `progress`, in a folder that all machines share.
+
+    Answers are written whenever `share` of the reviews, at most `at_most` of them, are labelled. A later call with the same folder
+    asks only for reviews that have no answer there, so a client that fails costs what it had answered since the last save. Rows
+    that repeat a review_id are asked for once. Remove the folder to start anew."""
+    from quillstone.operators.graph import numbered
+    from quillstone.session import discard
+
+    spark, schema = df.sparkSession, "review_id string, options array<string>"
+    empty = spark.createDataFrame([], schema)
+    answers = lambda: spark.read.schema(schema).parquet(progress) if _exists(spark, progress) else empty
+    asked = df.select("review_id", F.coalesce(F.col(text), F.lit("")).alias("text")).dropDuplicates(["review_id"])
+    todo = numbered(asked.join(answers(), "review_id", "left_anti"), ["review_id"], "place")
+    step = min(max(1, int(asked.count() * share)), at_most)
+
+    def run(frames):
+        for frame in frames:
+            for lo in range(0, len(frame), batch):
+                part = frame.iloc[lo : lo + batch]
+                yield pd.DataFrame({"review_id": part["review_id"], "options": [list(x) for x in label(part["text"].tolist())]})
+
+    tasks = min(spark.sparkContext.defaultParallelism, -(-step // batch))
+    for lo in range(0, todo.count(), step):
+        part = todo.filter(F.col("place").between(lo, lo + step - 1)).repartition(tasks)
+        part.mapInPandas(run, schema).write.mode("append").parquet(progress)
+    discard(todo)
+    found = df.join(answers(), "review_id", "left")
+    labels = L.add_label(F.col("labels"), label_id, F.col("options"), F.lit(created_at), metadata=F.lit(metadata), overwrite=overwrite)
+    return found.withColumn("labels", labels).select(*df.columns)
+
+
 def retrying(call: Callable, tries: int = 10, base: float = 2.0, sleep: Callable[[float], None] | None = None) -> Callable:
     """call, tried again after base**k seconds."""
     import time

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions import similarity as S
-from quillstone.operators import hierarchy
+from quillstone.operators import hierarchy, isomap
 from quillstone.operators.sampling import within_budget
 
 MOST = 20_000
@@ -36,10 +36,14 @@ def usage_frame(df: DataFrame, strategy, embed=S.embed_hashed) -> DataFrame:
     return S.embed_phrases(one.withColumn("_low", F.lower("usage_option")), "_low", embedder=embed).drop("_low")
 
 
-def reduce_dimensions(df: DataFrame, k: int, method: str = "pca", column: str = "embedding") -> DataFrame:
-    """The vectors on their first k principal axes, centred."""
+def reduce_dimensions(df: DataFrame, k: int, method: str = "pca", column: str = "embedding", key: str = "vec_id", **options) -> DataFrame:
+    """The vectors on their first k principal axes, centred ("pca"), or laid out by distances along their neighbour graph
+    ("isomap", with neighbours and landmarks as options; keys are unique)."""
+    if method == "isomap":
+        found = isomap.isomap(df, k, key=key, column=column, **options)
+        return df.drop(column).join(found.withColumnRenamed("map", column), key)
     if method != "pca":
-        raise ValueError(f"{method} is not offered; pca is")
+        raise ValueError(f"{method} is not offered; pca and isomap are")
     size = F.size(column)
     mean = df.select(F.posexplode(column).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).orderBy("i")
     centre = [r.m for r in mean.collect()]  # one number a dimension

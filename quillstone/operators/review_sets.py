@@ -172,10 +172,11 @@ class ReviewSet:
         return ReviewSet(score_labels(self.df, labels, refs, metric_ids or DEFAULT_METRICS, **how), self.save_path)
 
     def annotate(self, label: Callable[[list[str]], list[list[str]]], label_id: str, created_at: str, **how) -> ReviewSet:
-        """A new label made by a client or model for every review."""
-        from quillstone.operators.augmentation import label_in_batches
+        """A new label made by a client or model for every review; with progress=, a folder, answers are saved as they come."""
+        from quillstone.operators.augmentation import label_in_batches, label_with_saves
 
-        return ReviewSet(label_in_batches(self.df, label, label_id, created_at, **how), self.save_path)
+        make = label_with_saves if how.get("progress") else label_in_batches
+        return ReviewSet(make(self.df, label, label_id, created_at, **how), self.save_path)
 
     def cluster_usage_options(self, strategy, k: int, seed: int = 42) -> DataFrame:
         """review_id, pos, usage_option, cluster, is_centroid of the selected labels' options."""
