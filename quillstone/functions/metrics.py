@@ -1,7 +1,7 @@
 """Metrics of two lists of phrases, batched over Arrow: a row holds predictions and references.
 
-Small per-row problems (a review has a handful of phrases), so a batch's distinct phrases
-are embedded once and every pair's similarity read off one matrix product a row.
+Small per-row problems (a review has a handful of phrases), so a batch's distinct phrases are embedded once, all pairs of all
+its rows are laid end to end and turned into similarities by one call, and every metric reads its own off the row's table.
 """
 
 from __future__ import annotations
@@ -51,11 +51,50 @@ class Phrases:
             return np.array([[score([x], [y], None) for y in b] for x in a])
         self.learn([*a, *b])
         cos = np.array([self.known[x] for x in a]) @ np.array([self.known[y] for y in b]).T
+        return self.of_cosines(cos.ravel()).reshape(cos.shape)
+
+    def of_cosines(self, cos: np.ndarray) -> np.ndarray:
         if self.kind == "cosine":
             return cos
         if self.kind == "euclidean":
             return 1 - np.sqrt(np.maximum(0, 2 - 2 * cos)) / 2
-        return rescaled_cosine(cos.ravel()).reshape(cos.shape)
+        return rescaled_cosine(cos)
+
+    def tables(self, rows: list[list[str]], most: int = 1 << 20):
+        """For each row's phrases a function like this one; the pairs of many rows (about `most` pairs) are worked out at once."""
+        if self.kind not in ("cosine_relu", "cosine", "euclidean"):
+            yield from (self for _ in rows)
+            return
+        self.learn(x for row in rows for x in row)
+        held, size = [], 0
+        for row in rows:
+            names = list(dict.fromkeys(row))
+            V = np.array([self.known[x] for x in names]) if names else np.zeros((0, 1))
+            held.append((names, (V @ V.T).ravel()))
+            size += len(names) ** 2
+            if size >= most:
+                yield from self._tables(held)
+                held, size = [], 0
+        yield from self._tables(held)
+
+    def _tables(self, held: list[tuple[list[str], np.ndarray]]):
+        if held:
+            ends = np.cumsum([len(cos) for _, cos in held])[:-1]
+            values = np.split(self.of_cosines(np.concatenate([cos for _, cos in held])), ends)
+            yield from (Table(names, x.reshape(len(names), len(names)), self) for (names, _), x in zip(held, values))
+
+
+class Table:
+    """Similarities of the phrases of one row; of others, those that `beyond` has."""
+
+    def __init__(self, names: list[str], values: np.ndarray, beyond: Phrases):
+        self.place, self.values, self.beyond = {x: i for i, x in enumerate(names)}, values, beyond
+
+    def __call__(self, a: list[str], b: list[str]) -> np.ndarray:
+        rows, columns = ([self.place.get(x, -1) for x in side] for side in (a, b))
+        if -1 in rows or -1 in columns:
+            return self.beyond(a, b)
+        return self.values[np.ix_(rows, columns)]
 
 
 class ClassTable:
@@ -143,9 +182,16 @@ def weighted_f1(pred, ref, sim) -> float:
     return harmonic(weighted_precision(pred, ref, sim), weighted_recall(pred, ref, sim))
 
 
+_SYMBOLS = re.compile("[0-9A-Za-z+&]+")
+
+
+def symbols(phrases: list[str]) -> list[str]:
+    """Phrases with nothing but ASCII letters, digits, + and &, each once, sorted."""
+    return sorted({" ".join(_SYMBOLS.findall(p)) for p in phrases})
+
+
 def word_mover(pred: list[str], ref: list[str], sim: Phrases) -> float:
     """exp(-cost) of moving one side's mass to the other's; a phrase's mass grows with its distance to its side's others."""
-    symbols = lambda ps: sorted({" ".join("".join(c if c.isascii() and (c.isalnum() or c in "+&") else " " for c in p).split()) for p in ps})
     a, b = symbols(pred), symbols(ref)
     edge = _edge(a, b)
     if edge is not None:
@@ -366,16 +412,20 @@ def metrics(names, predictions: Column, references: Column, embed=hashed_ngrams,
     known = {name: METRICS[name] for name in names}
     ways = {how for _, how in known.values()}
     linewise = {name: name in _LINEWISE for name in names}
+    movers = any(function is word_mover for function, _ in known.values())
 
     @F.pandas_udf(", ".join(f"`{n}` double" for n in names))
     def score(p: pd.Series, r: pd.Series) -> pd.DataFrame:
         sim = Phrases(embed, kind)
         sides = {how: [(clean(a, how), clean(b, how)) for a, b in zip(p, r)] for how in ways}
-        sim.learn(x for rows in sides.values() for row in rows for side in row for x in side)
+        phrases = [[x for how in ways for side in sides[how][i] for x in side] for i in range(len(p))]
+        if movers:
+            phrases = [[*row, *symbols(row)] for row in phrases]
+        similar = list(sim.tables(phrases))
         out = {}
         for name, (function, how) in known.items():
             rows = zip(p, r) if linewise[name] else sides[how]
-            out[name] = [_of(function, a, b, sim) for a, b in rows]
+            out[name] = [_of(function, a, b, s) for (a, b), s in zip(rows, similar)]
         return pd.DataFrame(out, columns=names, dtype="float64")
 
     return score(predictions, references)
@@ -401,7 +451,7 @@ def counts(name: str, predictions: Column, references: Column, embed=hashed_ngra
     def score(p: pd.Series, r: pd.Series) -> pd.DataFrame:
         sim = Phrases(embed, kind)
         rows = [(listed(a), listed(b)) for a, b in zip(p, r)]
-        sim.learn(x for row in rows for side in row for x in side)
-        return pd.DataFrame([function(a, b, sim) for a, b in rows], columns=["tp", "fp", "tn", "fn"])
+        similar = sim.tables([[*a, *b] for a, b in rows])
+        return pd.DataFrame([function(a, b, s) for (a, b), s in zip(rows, similar)], columns=["tp", "fp", "tn", "fn"])
 
     return score(predictions, references)

@@ -15,13 +15,25 @@ BETA_SECOND = (14.715846019280558, 3.3380276739903016)
 
 
 def beta_cdf(x, a: float, b: float) -> np.ndarray:
-    """Regularised incomplete beta function by its continued fraction (modified Lentz), over arrays."""
+    """Regularised incomplete beta function by its continued fraction (modified Lentz), over arrays; numbers whose fraction
+    has settled are worked on no further."""
     x = np.atleast_1d(np.asarray(x, np.float64))
     inside = np.clip(x, 0, 1)
     swap = inside > (a + 1) / (a + b + 2)
     z = np.where(swap, 1 - inside, inside)
     p, q = np.where(swap, b, a), np.where(swap, a, b)
-    tiny = 1e-300
+    out = np.zeros_like(z)
+    open_ = np.flatnonzero(z > 0)  # the others are 0 or, swapped, 1
+    out[open_] = _fraction(z[open_], p[open_], q[open_])
+    norm = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
+    zo, po, qo = z[open_], p[open_], q[open_]
+    out[open_] *= np.exp(norm + po * np.log(zo) + qo * np.log1p(-zo)) / po
+    out = np.where(swap, 1 - out, out)
+    return np.where(np.isnan(x), np.nan, np.clip(out, 0, 1))
+
+
+def _fraction(z: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    out, left, tiny = np.empty_like(z), np.arange(len(z)), 1e-300
     c = np.ones_like(z)
     d = 1 - (p + q) * z / (p + 1)
     d = 1 / np.where(np.abs(d) < tiny, tiny, d)
@@ -35,14 +47,15 @@ def beta_cdf(x, a: float, b: float) -> np.ndarray:
             c = 1 + step / c
             c = np.where(np.abs(c) < tiny, tiny, c)
             h = h * d * c
-        if np.all(np.abs(d * c - 1) < 1e-15):
+        settled = np.abs(d * c - 1) < 1e-15
+        if settled.all():
             break
-    norm = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-    with np.errstate(divide="ignore"):
-        front = np.exp(norm + p * np.log(z) + q * np.log1p(-z)) / p
-    out = np.where(z <= 0, 0.0, front * h)
-    out = np.where(swap, 1 - out, out)
-    return np.where(np.isnan(x), np.nan, np.clip(out, 0, 1))
+        if m % 4 == 0 and settled.sum() * 4 > len(settled):
+            out[left[settled]] = h[settled]
+            rest = ~settled
+            left, z, p, q, c, d, h = (v[rest] for v in (left, z, p, q, c, d, h))
+    out[left] = h
+    return out
 
 
 def rescaled_cosine(cosine) -> np.ndarray:
@@ -73,6 +86,8 @@ def transport_cost(supply, demand, cost: np.ndarray) -> float:
     """Least cost of moving supply to demand (equal totals): shortest augmenting paths with node potentials."""
     supply, demand = np.array(supply, float), np.array(demand, float)
     n, m = cost.shape
+    if n == 1 or m == 1:  # there is one way only
+        return float((np.outer(supply, demand) * cost).sum() / (supply.sum() if n == 1 else demand.sum()))
     flow = np.zeros((n, m))
     u, v = np.zeros(n), np.zeros(m)  # potentials
     left, open_ = supply.copy(), demand.copy()

@@ -237,6 +237,20 @@ def labelled_by_a_client(spark, sf_dir):
     return rows.df.select("review_id", F.array_join(F.element_at("labels", "mine")["usageOptions"], "|").alias("options"))
 
 
+@query(f"SELECT review_id, array_to_string(CASE WHEN text = '' THEN [''] ELSE string_split(text, ' ')[:2] END, '|') AS options FROM {_LABELLED}")
+def labelled_with_saves(spark, sf_dir):
+    """The same, with the answers saved as they come."""
+    client = lambda texts: [t.split(" ")[:2] for t in texts]
+    rows = R.ReviewSet(labelled(spark, sf_dir)).annotate(client, "mine", "2024-01-01T00:00:00+00:00", progress=shared_path(spark, "answers"), share=0.25, at_most=100_000)
+    return rows.df.select("review_id", F.array_join(F.element_at("labels", "mine")["usageOptions"], "|").alias("options"))
+
+
+@query()
+def bootstrap_interval(spark, sf_dir):
+    found = significance.bootstrap(_paired(spark, sf_dir))
+    return spark.createDataFrame([(found["low"], found["high"], found["rejected"])], "low double, high double, rejected boolean")
+
+
 @query("SELECT label AS cluster, count(*) AS size FROM embeddings GROUP BY 1")
 def cluster_sizes(spark, sf_dir):
     return clustering.cluster_sizes(load(spark, sf_dir, "embeddings").withColumnRenamed("label", "cluster"))

@@ -331,6 +331,20 @@ def agglomerative(spark, sf_dir):
     return clustering.agglomerative(load(spark, sf_dir, "embeddings"), n_clusters=10)
 
 
+@query("""WITH RECURSIVE l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
+             WHERE round(greatest(0, 1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 12) < 0.65),
+        r(node, reach) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.node, l.y FROM r JOIN l ON r.reach = l.x)
+        SELECT node AS vec_id, dense_rank() OVER (ORDER BY min(reach)) - 1 AS cluster FROM r GROUP BY node""")
+def single_linkage(spark, sf_dir):
+    """Clusters that chains of vectors at less than a distance hold together."""
+    return clustering.agglomerative(load(spark, sf_dir, "embeddings"), linkage="single", distance_threshold=0.65)
+
+
+@query()
+def ward_clusters(spark, sf_dir):
+    return clustering.agglomerative(load(spark, sf_dir, "embeddings"), metric="euclidean", linkage="ward", n_clusters=10)
+
+
 @query()
 def communities(spark, sf_dir):
     return clustering.community_detection(load(spark, sf_dir, "embeddings"), 0.35, 2)
@@ -341,6 +355,12 @@ def cluster_quality(spark, sf_dir):
     return rounded(clustering.cluster_quality(load(spark, sf_dir, "embeddings").withColumnRenamed("label", "cluster")), "value")
 
 
+@query()
+def isomap(spark, sf_dir):
+    out = clustering.reduce_dimensions(load(spark, sf_dir, "embeddings"), 2, "isomap", neighbours=8)
+    return out.select("vec_id", F.get("embedding", F.lit(0)).alias("x"), F.get("embedding", F.lit(1)).alias("y"))
+
+
 @query()
 def pca(spark, sf_dir):
     out = clustering.reduce_dimensions(load(spark, sf_dir, "embeddings"), 2)

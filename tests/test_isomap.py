@@ -55,6 +55,20 @@ def test_swiss_roll(spark, monkeypatch, n):
         assert residual(G, Y) < residual(G, exact) + 0.02
 
 
+def test_query(spark):
+    """The registered query's map of all embeddings, against the plain one with the same landmarks: every row is one."""
+    from quillstone.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()
+    G = plain_paths(np.array([r.embedding for r in rows], float), 8)
+    assert len(rows) <= isomap.LANDMARKS and np.isfinite(G).all()
+    mean, matrix = isomap.scaled(G, 2)
+    expected = (G * G - mean[None]) @ matrix
+    found = {r.vec_id: (r.x, r.y) for r in catalogue.queries()["isomap"](spark, sf).collect()}
+    assert np.allclose(np.abs(expected), np.abs([found[r.vec_id] for r in rows]), atol=1e-6)
+
+
 def test_parts_are_tied(spark):
     """Two clumps far apart: the shortest way between them joins their graphs, so both are laid out, apart."""
     rng = np.random.default_rng(1)

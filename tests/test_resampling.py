@@ -118,3 +118,14 @@ def test_permutations_against_a_plain_version(spark):
             got = test(df, alternative)
             side = {"greater": found >= observed, "less": found <= observed, "two-sided": abs(found) >= abs(observed)}[alternative]
             assert got["statistic"] == pytest.approx(observed) and got["p"] == pytest.approx(side.mean(), abs=0.03)
+
+
+def test_the_interval_of_the_query(spark):
+    from quillstone.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    values = np.array([r.d for r in catalogue._paired(spark, sf).collect()])
+    got = catalogue.queries()["bootstrap_interval"](spark, sf).first()
+    (low, high), means = plain_bca(values, 20_000, 2)
+    assert abs(got.low - low) < 0.12 * means.std() and abs(got.high - high) < 0.12 * means.std()
+    assert got.rejected == (got.low > 0 or got.high < 0)
