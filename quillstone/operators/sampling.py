@@ -1,8 +1,7 @@
 """Exact, reproducible sampling and splitting.
 
 Rows are ordered by md5(seed, id), so a draw does not depend on partitions and sizes are exact.
-Ranks are taken within strata; without strata they are taken within BUCKETS ranges of the hash
-and added up, so no single task ranks the whole table.
+Ranks are taken within strata and ranges of the hash, 65,536 of them, and added up, so no single task ranks a table or a stratum.
 """
 
 from __future__ import annotations
@@ -10,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows that a task may keep as the first ones of an order; more are found by ranks.
+TOP = 10_000
+
 
 def draw(seed: int, id_column: str) -> Column:
     return F.md5(F.concat(F.lit(str(seed)), F.lit(":"), F.col(id_column).cast("string")))
@@ -17,7 +19,7 @@ def draw(seed: int, id_column: str) -> Column:
 
 def _rank(df: DataFrame, order: list[Column], by: list[str]) -> DataFrame:
     """Adds _rank (from 1) and _size, within groups of `by`. The first order column is an md5."""
-    hashed = df.withColumn("_bucket", F.substring(order[0], 1, 2))
+    hashed = df.withColumn("_bucket", F.substring(order[0], 1, 4))
     sizes = hashed.groupBy(*by, "_bucket").agg(F.count("*").alias("_n"))
     group = Window.partitionBy(*by)
     before = sizes.withColumn("_before", F.sum("_n").over(group.orderBy("_bucket")) - F.col("_n")).withColumn("_size", F.sum("_n").over(group))
@@ -52,6 +54,8 @@ def sample_n(df: DataFrame, n: int, seed: int, id_column: str) -> DataFrame:
     """Exactly n rows (all, if there are as many); n below 1 is an error."""
     if n < 1:
         raise ValueError("a sample has a row at least")
+    if n <= TOP:
+        return df.orderBy(draw(seed, id_column), id_column).limit(n)
     ranked = _rank(df, [draw(seed, id_column), F.col(id_column)], [])
     return ranked.filter(F.col("_rank") <= n).drop("_rank", "_size")
 

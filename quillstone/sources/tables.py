@@ -49,16 +49,51 @@ def read_table(spark: SparkSession, path: str, file_type: str = "parquet") -> Da
     return readers[file_type]()
 
 
-def write_table(df: DataFrame, path: str, file_type: str = "parquet", rows_per_file: int = 500_000, mode: str = "errorifexists") -> None:
-    """Parquet files of bounded size, or tab-separated files without quoting."""
-    writer = df.write.mode(mode).option("maxRecordsPerFile", rows_per_file)
-    if file_type == "parquet":
-        writer.parquet(path)
-    elif file_type == "tsv":
-        writer.option("sep", "\t").option("header", True).option("quote", "").csv(path)
-    else:
+#: Rows whose files tell how many bytes a row takes.
+SAMPLE_ROWS = 20_000
+
+
+def planned_files(df: DataFrame, file_bytes: int, write) -> int:
+    """How many files of about file_bytes the rows of df make, going by a sample of them that is written by write(rows, path)."""
+    from quillstone.session import shared_path
+
+    spark, n = df.sparkSession, df.count()
+    path = shared_path(spark, "sample")
+    write(df if n <= SAMPLE_ROWS else df.sample(SAMPLE_ROWS / n, seed=1), path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    size = fs.getContentSummary(folder).getLength()
+    fs.delete(folder, True)
+    return max(1, round(size * max(1.0, n / SAMPLE_ROWS) / file_bytes))
+
+
+def write_table(
+    df: DataFrame,
+    path: str,
+    file_type: str = "parquet",
+    rows_per_file: int | None = None,
+    mode: str = "errorifexists",
+    file_bytes: int = 100_000_000,
+) -> None:
+    """Parquet files, or tab-separated files without quoting, of about file_bytes each, or of so many rows at most.
+
+    By bytes, rows are dealt out evenly over as many files as a sample says, so neither long texts nor a skewed source make some
+    files larger than others."""
+    if file_type not in ("parquet", "tsv"):
         raise ValueError(f"file type {file_type} is neither parquet nor tsv")
 
+    def write(rows: DataFrame, to: str, **how) -> None:
+        writer = rows.write.mode(mode).options(**how)
+        if file_type == "parquet":
+            writer.parquet(to)
+        else:
+            writer.option("sep", "\t").option("header", True).option("quote", "").csv(to)
+
+    if rows_per_file is not None:
+        write(df, path, maxRecordsPerFile=rows_per_file)
+    else:
+        write(df.repartition(planned_files(df, file_bytes, lambda rows, to: write(rows.coalesce(1), to))), path)
+
 
 def tsv_to_parquet(spark: SparkSession, source: str, target: str) -> None:
     write_table(read_tsv(spark, source), target)
