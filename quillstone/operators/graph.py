@@ -1,4 +1,4 @@
-"""Numbering of rows and connected components, as Spark jobs over tables of any size."""
+"""Numbering of rows, the rows before others, and connected components, as Spark jobs over tables of any size."""
 
 from __future__ import annotations
 
@@ -30,6 +30,35 @@ def numbered(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
     return before(df, order, F.lit(1).cast("long"), name)
 
 
+#: Rows of one key that one task may take in a window; beyond that a key's rows are split.
+ROWS_OF_A_KEY = 1_000_000
+
+
+def has_hot_key(df: DataFrame, keys: list[str]) -> bool:
+    """Whether some key has more rows than a task should take. Counts are added up before they are shuffled."""
+    return (df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) > ROWS_OF_A_KEY
+
+
+def previous(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """df with a column `name`: `value` of the row before, among rows of equal keys (nulls are a key) in the given order. Rows are dealt
+    in ranges of key and order, so a key's rows are split like any others, and the last row of each range is handed on to the
+    next. The result is made of a written table."""
+    many = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = settled(df.repartitionByRange(many, *keys, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    last = F.max_by(F.struct(*keys, F.col(value).alias("_value")), F.struct(*keys, *order))
+    ends = sorted(dealt.groupBy("_part").agg(last.alias("end")).collect(), key=lambda r: r["_part"])  # a row a range
+    schema = "_to int, _known boolean, " + ", ".join(f"_end{i} {dict(df.dtypes)[c]}" for i, c in enumerate([*keys, value]))
+    handed = df.sparkSession.createDataFrame([(b["_part"], True, *a["end"]) for a, b in zip(ends, ends[1:])], schema)
+    inside = Window.partitionBy("_part").orderBy(*keys, *order)
+    both = dealt.withColumn("_first", F.row_number().over(inside) == 1)
+    here, there = F.lit(True), F.col("_known")
+    for i, k in enumerate(keys):
+        here, there = here & F.col(k).eqNullSafe(F.lag(k).over(inside)), there & F.col(k).eqNullSafe(F.col(f"_end{i}"))
+    both = both.withColumn("_lag", F.when(here & ~F.col("_first"), F.lag(value).over(inside)))
+    both = both.join(F.broadcast(handed), F.col("_part") == F.col("_to"), "left")  # as many rows as ranges
+    return both.withColumn(name, F.when(F.col("_first") & there, F.col(f"_end{len(keys)}")).otherwise(F.col("_lag"))).select(*df.columns, name)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): each node of an edge (a, b) with the smallest node that edges lead to.
 

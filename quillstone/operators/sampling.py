@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.operators import graph
+
 #: Rows that a task may keep as the first ones of an order; more are found by ranks.
 TOP = 10_000
 
@@ -82,11 +84,17 @@ def train_test_val(
     """
     if abs(train + test + val - 1) > 1e-9:
         raise ValueError("the fractions add up to 1")
-    place = F.row_number().over(Window.partitionBy(*strata).orderBy(id_column)) - 1
-    size = F.count("*").over(Window.partitionBy(*strata))
-    upto = lambda f: F.floor(size * (F.lit(round(f * 10**9)).cast("long")) / F.lit(10**9)) if exact else F.floor(size * F.lit(f))
-    part = F.when(place < upto(train), "train").when(place < upto(train + test), "test").otherwise("val")
-    return df.na.drop("any", subset=strata).withColumn("part", part)
+    rows = df.na.drop("any", subset=strata)
+    if graph.has_hot_key(rows, strata):  # a stratum's rows are numbered along with all others, and stand from its first number on
+        rows = graph.numbered(rows, [*strata, id_column], "_number")
+        sizes = rows.groupBy(*strata).agg(F.min("_number").alias("_start"), F.count("*").alias("_size"))
+        rows = rows.join(sizes, strata).withColumn("_place", F.col("_number") - F.col("_start"))
+    else:
+        one = Window.partitionBy(*strata)
+        rows = rows.withColumn("_place", F.row_number().over(one.orderBy(id_column)) - 1).withColumn("_size", F.count("*").over(one))
+    upto = lambda f: F.floor(F.col("_size") * (F.lit(round(f * 10**9)).cast("long")) / F.lit(10**9)) if exact else F.floor(F.col("_size") * F.lit(f))
+    part = F.when(F.col("_place") < upto(train), "train").when(F.col("_place") < upto(train + test), "test").otherwise("val")
+    return rows.withColumn("part", part).select(*df.columns, "part")
 
 
 def reduce_to_share(df: DataFrame, flag: str, share: float, seed: int, id_column: str) -> DataFrame:

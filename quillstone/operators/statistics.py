@@ -7,6 +7,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.operators import graph
+
 #: Upper bounds of the gap classes, in seconds.
 DAY = 86400
 GAP_EDGES = (-0.001, 0, DAY, 2 * DAY, 3 * DAY, 4 * DAY, 5 * DAY, 6 * DAY)
@@ -94,10 +96,12 @@ def value_share(df: DataFrame, value: str, within: list[str] | None = None) -> D
 
 
 def gaps(df: DataFrame, key: str, time: str, tie: str) -> DataFrame:
-    """Adds seconds since the key's previous row (null for its first); ties in time go by `tie`."""
-    order = Window.partitionBy(key).orderBy(time, tie)
-    seconds = F.timestamp_diff("MICROSECOND", F.lag(time).over(order), F.col(time)) / F.lit(1e6)
-    return df.withColumn("gap", seconds)
+    """Adds seconds since the key's previous row (null for its first); ties in time go by `tie`. A key of very many rows is split."""
+    if graph.has_hot_key(df, [key]):
+        rows = graph.previous(df, [key], [time, tie], time, "_before")
+    else:
+        rows = df.withColumn("_before", F.lag(time).over(Window.partitionBy(key).orderBy(time, tie)))
+    return rows.withColumn("gap", F.timestamp_diff("MICROSECOND", F.col("_before"), F.col(time)) / F.lit(1e6)).drop("_before")
 
 
 def equal_frequency_counts(counts: DataFrame, n: int, value: str = "size", weight: str = "keys") -> DataFrame:
