@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,15 +17,87 @@ GAP_EDGES = (-0.001, 0, DAY, 2 * DAY, 3 * DAY, 4 * DAY, 5 * DAY, 6 * DAY)
 LENGTHS = (("very short", 0, 15), ("short", 16, 25), ("medium", 26, 40), ("long", 41, 90), ("very long", 91, 100000))
 
 
+#: Buckets into which a round of exact_quantiles parts an interval.
+BUCKETS = 1024
+
+
+def exact_quantiles(df: DataFrame, columns: list[str], shares: tuple[float, ...]) -> dict[str, list[float | None]]:
+    """Interpolated quantiles of each column, by counting: values are counted in BUCKETS parts of their range, and the parts that hold
+    a wanted rank are parted again, until a part holds a single value. All columns share a round's pass; a round's state is a few
+    thousand counts, however many values differ. Nulls don't count, nan is above all numbers; None without a value."""
+    value = lambda c: F.col(c).cast("double")
+    inf, finite = float("inf"), lambda c: F.abs(value(c)) < float("inf")
+    firsts = [
+        F.struct(
+            F.count(value(c)).alias("n"),
+            F.count_if(value(c) == -inf).alias("below"),
+            F.count_if(finite(c)).alias("finite"),
+            F.count_if(value(c) == inf).alias("above"),
+            F.min(F.when(finite(c), value(c))).alias("low"),
+            F.max(F.when(finite(c), value(c))).alias("high"),
+        )
+        for c in columns
+    ]
+    known: dict[tuple[int, int], float] = {}  # (column, rank from 0): value
+    parts: list[tuple[int, float, float, int, list[int]]] = []  # column, range, values before it, ranks wanted in it
+    sizes = []
+    for i, r in enumerate(df.agg(*[x.alias(f"c{i}") for i, x in enumerate(firsts)]).first()):
+        sizes.append(r.n)
+        ranks = sorted({k for s in shares for k in (math.floor(s * (r.n - 1)), math.ceil(s * (r.n - 1)))}) if r.n else []
+        inside = [k for k in ranks if r.below <= k < r.below + r.finite]
+        known |= {(i, k): -inf if k < r.below else inf if k < r.below + r.finite + r.above else math.nan for k in ranks if k not in inside}
+        if inside:
+            parts.append((i, r.low, r.high, r.below, inside))
+    while parts:
+        known |= {(i, k): low for i, low, high, _, ranks in parts if low == high for k in ranks}
+        parts = [p for p in parts if p[1] < p[2]]
+        if not parts:
+            break
+        place = F.lit(None).cast("long")
+        for number, (i, low, high, _, _) in enumerate(parts):
+            # Halves, as a range may be wider than the greatest number.
+            at = (F.col("v") / 2 - low / 2) / (high / 2 - low / 2) * BUCKETS
+            own = F.least(F.floor(at), F.lit(BUCKETS - 1)) + number * BUCKETS
+            place = F.when((F.col("c") == i) & F.col("v").between(low, high), own).otherwise(place)
+        used = sorted({p[0] for p in parts})
+        cells = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), value(columns[i]).alias("v")) for i in used])).alias("x")
+        counted = df.select(cells).select("x.*").select(place.alias("place"), "v").filter("place is not null")
+        found: dict[int, list] = {}
+        for r in counted.groupBy("place").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("place").collect():
+            found.setdefault(r.place // BUCKETS, []).append(r)
+        rest = []
+        for number, (i, _, _, before, ranks) in enumerate(parts):
+            for r in found[number]:
+                if own := [k for k in ranks if before <= k < before + r.n]:
+                    rest.append((i, r.low, r.high, before, own))
+                before += r.n
+        parts = rest
+
+    def quantile(i: int, share: float) -> float | None:
+        if not sizes[i]:
+            return None
+        at = share * (sizes[i] - 1)
+        low, high = math.floor(at), math.ceil(at)
+        a, b = known[i, low], known[i, high]
+        return a if low == high or a == b else (high - at) * a + (at - low) * b
+
+    return {c: [quantile(i, s) for s in shares] for i, c in enumerate(columns)}
+
+
 def describe(df: DataFrame, columns: list[str], by: list[str] | None = None, approximate: bool = False) -> DataFrame:
     """One row a column (and group): count, mean, std (n - 1), min, quartiles, max.
 
-    Exact quartiles keep each distinct value of a group; approximate ones are of bounded size, for columns of
-    very many distinct values.
+    Exact quartiles of whole columns are counted out in a few passes; those of groups keep each distinct value of a group.
+    Approximate ones are of bounded size, for groups of very many distinct values.
     """
-    quartiles = (lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], 100_000)) if approximate else (
-        lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    )
+    shares = (0.25, 0.5, 0.75)
+    if approximate:
+        quartiles = lambda c: F.percentile_approx(c, list(shares), 100_000)
+    elif by:
+        quartiles = lambda c: F.percentile(c, F.array(*map(F.lit, shares)))
+    else:
+        found = exact_quantiles(df, columns, shares)
+        quartiles = lambda c: F.array(*[F.lit(x).cast("double") for x in found[c]])
 
     def stats(c: str) -> Column:
         moments = [F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std")]
