@@ -48,6 +48,8 @@ BITS = 22
 PARTS_FIRST = Fraction(17, 20)
 #: Nodes that hold more than one in so many rows are joined apart from the others; there can be no more of them than this.
 HEAVY = 1000
+#: Rows of keys and numbers that are broadcast to the texts: some 32 bytes each, and three times as much once hashed.
+BROADCAST = 1_000_000
 
 
 def first_ones(n: int, threshold: Fraction) -> int:
@@ -411,6 +413,12 @@ def _groups(batches):
     yield from done()
 
 
+def _sent(rows: DataFrame, beyond: str) -> DataFrame:
+    """Written rows of a few numbers, broadcast if there are no more than BROADCAST, so that texts are not shuffled for them; else
+    joined as `beyond` says."""
+    return F.broadcast(rows) if rows.limit(BROADCAST + 1).count() <= BROADCAST else rows.hint(beyond)
+
+
 def _blocks() -> Column:
     return F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")
 
@@ -430,9 +438,9 @@ def link_nodes(docs: DataFrame, nodes: DataFrame, k: int, threshold: Fraction) -
                 columns = [*(piece.column(c) for c in ("comp", "node", "size")), pa.array([s.tobytes() for s in sets], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["comp", "node", "size", "shingles"]).filter(right)
 
-    # One hash join at every size: the wanted rows grow with the input, a task's part of them is small.
+    # Up to BROADCAST wanted rows go to the texts; beyond, both are hash joined, and a task's part of the wanted rows is small.
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text")
-    texts = keyed.join(wanted.hint("shuffle_hash"), "key").select("text", "comp", "node", "size")
+    texts = keyed.join(_sent(wanted, "shuffle_hash"), "key").select("text", "comp", "node", "size")
     sets = cut(texts.mapInArrow(tidy(sets_of), "comp long, node long, size long, shingles binary"), "sets")
     totals = cut(wanted.groupBy("comp").agg(_blocks()), "totals")
     columns = ["comp", "node", "size", "shingles", "blocks"]
@@ -501,4 +509,4 @@ def keep_one(docs: DataFrame, k: int = 3, threshold: Fraction = Fraction(9, 10))
     rows = _components_of_rows(docs, k, threshold).filter("component_id < doc_id")
     gone = cut(rows.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct(), "gone")
     own = (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")) == F.col("_key"))
-    return docs.join(gone, own, "left_anti")
+    return docs.join(_sent(gone, "merge"), own, "left_anti")

@@ -206,8 +206,10 @@ def test_terms_as_often_as_they_stand(spark):
 # -- near copies under repeated ids ------------------------------------------------------------------
 
 
-def test_rows_of_one_id_stay_by_their_own_texts(spark):
-    """(2, A) is a copy of (1, A); (2, B) is a copy of nothing."""
+@pytest.mark.parametrize("most", [0, 1000])
+def test_rows_of_one_id_stay_by_their_own_texts(spark, monkeypatch, most):
+    """(2, A) is a copy of (1, A); (2, B) is a copy of nothing. Keys are joined with the texts either way."""
+    monkeypatch.setattr(jaccard_join, "BROADCAST", most)
     a, b, c = (" ".join(f"{x}{i}" for i in range(50)) for x in "abc")
     rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (4, c), (4, None), (None, a), (5, b), (2, None)]
     docs = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, key string")
