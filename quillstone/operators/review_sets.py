@@ -235,6 +235,15 @@ class ReviewSet:
         tagged = self.df.withColumn("_usage", L.has_usage(F.col("labels"), strategy))
         return self._parts(sampling.split(tagged, fraction, seed, "review_id", ["_usage"]).drop("_usage"))
 
+    def dataset_metadata(self, strategy) -> dict:
+        """What stands beside a data set of this set: its reviews, how many each first selected label gave, and the share with usage."""
+        key, usage = L.first_id(F.col("labels"), strategy), L.has_usage(F.col("labels"), strategy)
+        rows = self.df.select(key.alias("id"), usage.cast("long").alias("u")).filter("id is not null")
+        found = rows.groupBy("id").agg(F.count("*").alias("n"), F.sum("u").alias("u")).orderBy("id").collect()  # a row a label
+        n = sum(r.n for r in found)
+        share = round(sum(r.u or 0 for r in found) / n, 3) if n else 0.0
+        return {"num_reviews": n, "num_reviews_for_labels": {r.id: r.n for r in found}, "original_usage_split": share}
+
     def create_dataset(self, name: str, strategy) -> ReviewSet:
         """Only the first selected label, with datasets [name]; reviews without it go."""
         key = L.first_id(F.col("labels"), strategy)

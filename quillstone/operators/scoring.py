@@ -242,6 +242,14 @@ def score_report(rows: DataFrame, metric_id: str = "custom_weighted_mean_f1", sa
     return out
 
 
+def write_report_reviews(rows: DataFrame, folder: str) -> None:
+    """The report's reviews as comma-separated files with a header under folder/reviews.csv; lines of a text stay one field, and those
+    of the reference's options are parted by |."""
+    one_line = F.regexp_replace("reference", "; |\n", " | ")
+    writer = rows.withColumn("reference", one_line).write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True)
+    writer.csv(f"{folder.rstrip('/')}/reviews.csv")
+
+
 def mean_scores(scores: DataFrame) -> DataFrame:
     """metric_id, label_id, mean and number of scores, the best first."""
     kept = scores.filter(F.col("score").isNotNull() & ~F.isnan("score"))
