@@ -42,8 +42,9 @@ from quillstone.llm._text import SPACES, U, Words, mix, shingle_sets
 
 #: Sets, and shingles of sets, of a block in a candidate group; larger groups are compared block by block.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 19
-#: The table of counts has 2**BITS places, whatever the size of the corpus.
-BITS = 22
+#: The table of counts has 2**BITS places at least, more for larger corpora (two bytes each, one where it is broadcast), and never
+#: more than 2**MOST_BITS.
+BITS, MOST_BITS = 22, 26
 #: From this threshold on parts go first: they then hold six shingles or more.
 PARTS_FIRST = Fraction(17, 20)
 #: Nodes that hold more than one in so many rows are joined apart from the others; there can be no more of them than this.
@@ -57,37 +58,48 @@ def first_ones(n: int, threshold: Fraction) -> int:
     return n - -(-n * threshold.numerator // threshold.denominator) + 1
 
 
-def counted(sets: DataFrame, shingles) -> np.ndarray:
-    """How often shingles occur in all sets, by the first BITS of their hash: tasks' tables are added up in rounds.
+def table_bits(shingles: int) -> int:
+    """Bits of the table of counts for so many shingles: some eight of them or fewer fall on a place. With more, counts of places drown
+    those of passages that some texts share, and chains of such texts grow with the corpus."""
+    return min(MOST_BITS, max(BITS, (shingles // 8).bit_length()))
 
-    shingles: from a batch of the rows, arrays of the shingles of many sets each; an array costs a pass over the table."""
+
+def counted(sets: DataFrame, shingles, bits: int) -> np.ndarray:
+    """How often shingles occur in all sets, by the first bits of their hash: tasks' tables are added up in rounds.
+
+    shingles: from a batch of the rows, arrays of the shingles of many sets each."""
+    full = np.iinfo(np.uint16).max
 
     def scan(batches):
-        total = np.zeros(1 << BITS, np.uint32)
+        total = np.zeros(1 << bits, np.uint16)
         for batch in batches:
             for some in shingles(batch):
-                at = (some >> U(64 - BITS)).astype(np.int64)
-                total += np.bincount(at, minlength=1 << BITS).astype(np.uint32)
+                at, n = np.unique(some >> U(64 - bits), return_counts=True)
+                at = at.astype(np.int64)
+                total[at] = np.minimum(total[at] + n, full)
         yield _packed(total)
 
     def add(batches):
-        total = np.zeros(1 << BITS, np.uint32)
+        total = np.zeros(1 << bits, np.uint16)
         for batch in batches:
             for x in batch.column(0):
                 more = _unpacked(x.as_buffer())
-                total = np.where(total > ~more, np.uint32(0xFFFFFFFF), total + more)  # full places stay full
+                for lo in range(0, len(total), 1 << 20):
+                    own, other = total[lo : lo + (1 << 20)], more[lo : lo + (1 << 20)]
+                    own[:] = np.where(own > full - other, full, own + other)  # full places stay full
         yield _packed(total)
 
-    # The order must be the same for all readers, so the tables are written before they are added up.
-    tables = cut(sets.mapInArrow(tidy(scan), "counts binary"), "counts")
+    # The order must be the same for all readers, so the tables are written before they are added up. There are few tables, whatever
+    # the number of splits, and one of them reaches the driver.
+    few = sets.coalesce(2 * sets.sparkSession.sparkContext.defaultParallelism)
+    tables = cut(few.mapInArrow(tidy(scan), "counts binary"), "counts")
     n = tables.count()
-    while n > 16:
+    while n > 1:
         n = -(-n // 16)
         tables, before = cut(tables.repartition(n).mapInArrow(tidy(add), "counts binary"), "counts"), tables
         forget(before)
-    total = np.zeros(1 << BITS, np.uint64)
-    for row in tables.toLocalIterator():
-        total += _unpacked(row.counts)
+    rows = tables.collect()
+    total = _unpacked(rows[0].counts) if rows else np.zeros(1 << bits, np.uint16)
     forget(tables)
     return total
 
@@ -97,19 +109,20 @@ def _packed(counts: np.ndarray) -> pa.RecordBatch:
 
 
 def _unpacked(data) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint32)
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint16)
 
 
 class Order:
     """Rare shingles first: by steps of the logarithm of their count, then by hash."""
 
     def __init__(self, counts: np.ndarray, threshold: Fraction):
-        self.threshold = threshold
-        self.steps = (4 * np.log2(counts.astype(np.float64) + 1)).astype(np.uint8)
+        self.threshold, self.bits = threshold, len(counts).bit_length() - 1
+        steps = (4 * np.log2(np.arange(int(counts.max()) + 1) + 1.0)).astype(np.uint8)
+        self.steps = steps[counts]
 
     def __call__(self, s: np.ndarray) -> np.ndarray:
         """The first shingles of a sorted set."""
-        at = np.argsort(self.steps[s >> U(64 - BITS)], kind="stable")
+        at = np.argsort(self.steps[s >> U(64 - self.bits)], kind="stable")
         return s[at[: first_ones(len(s), self.threshold)]]
 
 
@@ -342,12 +355,13 @@ def chained(rows: DataFrame, threshold: Fraction) -> DataFrame:
     return components(ordered.mapInArrow(tidy(scan), "a long, b long"))
 
 
-def candidate_groups(docs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
-    """(node, component): sets that can link are of one component."""
+def candidate_groups(docs: DataFrame, k: int, threshold: Fraction, shingles: int = 0) -> DataFrame:
+    """(node, component): sets that can link are of one component. shingles: how many all sets hold."""
     if threshold >= PARTS_FIRST:
         signatures = Parts(threshold)
     else:
-        signatures = Order(counted(docs.select("text"), lambda batch: (np.concatenate(_sets(part, k)) for part in slices(batch, "text"))), threshold)
+        of_texts = lambda batch: (np.concatenate(_sets(part, k)) for part in slices(batch, "text"))
+        signatures = Order(counted(docs.select("text"), of_texts, table_bits(shingles)), threshold)
     held = docs.sparkSession.sparkContext.broadcast(signatures)
 
     def scan(batches):
@@ -368,7 +382,11 @@ def parted(sets: DataFrame, threshold: Fraction) -> DataFrame:
     with none are left out."""
     of_batch = lambda batch: (np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("shingles"))
     together = lambda batch: (np.concatenate(list(of_batch(batch.slice(lo, 1024)))) for lo in range(0, batch.num_rows, 1024))
-    signatures = Order(counted(sets.select("shingles"), together), threshold) if threshold >= PARTS_FIRST else Parts(threshold)
+    if threshold >= PARTS_FIRST:
+        bits = table_bits(sets.agg(F.sum("size")).first()[0] or 0)
+        signatures = Order(counted(sets.select("shingles"), together, bits), threshold)
+    else:
+        signatures = Parts(threshold)
     held = sets.sparkSession.sparkContext.broadcast(signatures)
 
     def scan(batches):
@@ -425,7 +443,7 @@ def _blocks() -> Column:
 
 def link_nodes(docs: DataFrame, nodes: DataFrame, k: int, threshold: Fraction) -> DataFrame:
     """(node, component) of all sets that link with another set."""
-    near = candidate_groups(docs, k, threshold)
+    near = candidate_groups(docs, k, threshold, nodes.agg(F.sum("n_shingles")).first()[0] or 0)
     # One document stands for each set.
     one = nodes.groupBy("node").agg(F.min("key").alias("key"), F.max("n_shingles").alias("size"))
     wanted = cut(near.join(one, "node").select("key", "node", F.col("component").alias("comp"), "size"), "wanted")

@@ -119,6 +119,27 @@ def test_candidate_groups_hold_all_links(spark, threshold):
         assert len(set(group.values())) > 5
 
 
+def test_shared_passages_do_not_chain_texts_when_shingles_outgrow_the_table(spark, monkeypatch):
+    """Texts of 40 words of their own and two of twenty passages: the table of counts grows until passages stand out."""
+    monkeypatch.setattr(jaccard_join, "BITS", 4)
+    rng = np.random.default_rng(2)
+    word = lambda: f"w{rng.integers(0, 1 << 40)}"
+    passages = [[word() for _ in range(12)] for _ in range(20)]
+    texts = []
+    for _ in range(300):
+        a, b = rng.choice(20, 2, replace=False)
+        texts.append(" ".join([*passages[a], *[word() for _ in range(40)], *passages[b]]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+
+    def largest():
+        sizes = jaccard_join.candidate_groups(df, 3, Fraction(4, 5), 300 * 62).groupBy("component").count().collect()
+        return max((r["count"] for r in sizes), default=0)
+
+    assert largest() < 30
+    monkeypatch.setattr(jaccard_join, "MOST_BITS", 4)  # a table that stays small
+    assert largest() > 100
+
+
 @pytest.mark.parametrize(("block", "threshold"), [(1024, Fraction(9, 10)), (4, Fraction(9, 10)), (4, Fraction(4, 5))])
 def test_jaccard_components(spark, monkeypatch, block, threshold):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
