@@ -83,12 +83,12 @@ def _old_label(review: Column, label_id: str, source: str, created_at: Column) -
 
 
 def parse_documents(
-    docs: DataFrame, version: int, created_at: str = "1970-01-01T00:00:00+00:00", label_id: str | None = None, source: str = "labellingTool", keys: tuple[str, ...] = ()
+    docs: DataFrame, version: int, created_at: str = "1970-01-01T00:00:00+00:00", label_id: str | None = None, source: str = "labellingTool", keys: tuple[str, ...] = (), order: tuple[str, ...] = ()
 ) -> DataFrame:
     """Reviews of documents (column value: JSON texts) of one version.
 
     Of reviews that repeat an id in a document the last counts (with `keys`, other columns of docs, once for each value of
-    those). created_at stands where a version has no time.
+    those; with `order`, further columns, parts of a document follow each other by them). created_at stands where a version has no time.
     """
     if version == 0 and label_id is None:
         raise ValueError("documents of version 0 need a label id")
@@ -100,12 +100,14 @@ def parse_documents(
     if version < 2:
         rows = docs.select(
             *keys,
+            *order,
             F.posexplode(F.from_json(text, "array<map<string,string>>")).alias("_pos", "_r"),
         ).withColumn("review_id", F.try_element_at("_r", F.lit("review_id")))
     else:
         entries = F.map_entries(F.from_json(text, "map<string,map<string,string>>"))
-        rows = docs.select(*keys, F.posexplode(entries).alias("_pos", "_e")).select(
+        rows = docs.select(*keys, *order, F.posexplode(entries).alias("_pos", "_e")).select(
             *keys,
+            *order,
             "_pos",
             F.col("_e.key").alias("review_id"),
             F.col("_e.value").alias("_r"),
@@ -119,9 +121,9 @@ def parse_documents(
             F.create_map().cast("map<string,map<string,string>>"),
         )
         labels = F.transform_values(parsed, lambda _, x: upgrade_label(x, version, now))
-    flat = rows.select(*keys, "review_id", *_attributes(review), labels.cast(L.LABELS).alias("labels"), "_pos")
-    columns = [c for c in flat.columns if c not in (*keys, "review_id", "_pos")]
-    last = flat.groupBy(*keys, "review_id").agg(F.max_by(F.struct(*columns), "_pos").alias("r"))
+    flat = rows.select(*keys, *order, "review_id", *_attributes(review), labels.cast(L.LABELS).alias("labels"), "_pos")
+    columns = [c for c in flat.columns if c not in (*keys, *order, "review_id", "_pos")]
+    last = flat.groupBy(*keys, "review_id").agg(F.max_by(F.struct(*columns), F.struct(*order, "_pos")).alias("r"))
     return last.select(*keys, "review_id", *[F.col(f"r.{c}").alias(c) for c in columns])
 
 
@@ -144,6 +146,10 @@ def parse_files(docs: DataFrame, version: int | None = None, **how) -> DataFrame
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
+    return _merged_files(rows)
+
+
+def _merged_files(rows: DataFrame) -> DataFrame:
     columns = [c for c in rows.columns if c not in ("file", "review_id", "labels")]
     # An entry for each file that holds a review.
     grouped = rows.groupBy("review_id").agg(
@@ -160,15 +166,55 @@ def parse_files(docs: DataFrame, version: int | None = None, **how) -> DataFrame
     return grouped.select("review_id", *[F.col(f"r.{c}").alias(c) for c in columns], labels.alias("labels"))
 
 
-def read_documents(spark: SparkSession, *paths: str, lines: bool = False, **how) -> ReviewSet:
+#: The first and the last line of a document as `save_documents` lays it out: a review a line stands between them.
+FIRST, LAST = f'{{"version":{VERSION},"reviews":{{', "}}"
+
+
+def _laid_out(rows: DataFrame) -> tuple[list[str], list[str]]:
+    """Of the lines (file, value) of documents: the files that `save_documents` laid out, and the others. Every line is looked at: one
+    between the first and the last must be a review by itself, with a comma in front of all but one."""
+    entry = F.concat(F.lit("{"), F.ltrim(F.col("value"), F.lit(",")), F.lit("}"))
+    alone = F.col("value").rlike('^,?"') & (F.coalesce(F.size(F.from_json(entry, "map<string,string>")), F.lit(0)) == 1)
+    kind = F.when(F.col("value") == FIRST, "first").when(F.col("value") == LAST, "last").when(alone, F.when(F.startswith("value", F.lit(",")), "next").otherwise("entry"))
+    n = lambda k: F.count_if(F.col("_kind") == k).alias(k)
+    found = rows.select("file", kind.alias("_kind")).groupBy("file").agg(n("first"), n("last"), n("next"), n("entry"), F.count_if(F.col("_kind").isNull()).alias("odd"))
+    good = lambda r: r["first"] == r["last"] == 1 and not r["odd"] and r["entry"] == (1 if r["next"] else r["entry"]) and r["entry"] < 2
+    files = found.collect()  # a row a file
+    return [r.file for r in files if good(r)], [r.file for r in files if not good(r)]
+
+
+def _read_folder(reader, path: str, version: int | None, how: dict) -> DataFrame:
+    """Reviews of the documents at a path. Those that `save_documents` laid out are read line by line, in as many tasks as their size
+    asks for; others are read whole, one row a document."""
+    name = F.col("_metadata.file_path")
+    lines = reader.text(path)
+    laid, other = _laid_out(lines.select(name.alias("file"), "value")) if version in (None, VERSION) else ([], None)
+    whole = lambda: reader.text(path, wholetext=True)
+    if not laid:
+        return parse_files(whole().select(name.alias("file"), "value"), version, **how)
+    place = [F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_line")]
+    own = lines.filter(name.isin(*laid)).select(name.alias("file"), *place, "value").filter(~F.col("value").isin(FIRST, LAST))
+    entry = F.concat(F.lit(FIRST), F.ltrim(F.col("value"), F.lit(",")), F.lit(LAST))
+    rows = parse_documents(own.withColumn("value", entry), VERSION, keys=("file",), order=("_start", "_line"), **how)
+    if other:
+        tagged = whole().filter(name.isin(*other)).select(name.alias("file"), "value").withColumn("_version", version_of(F.col("value")))
+        for v in [r[0] for r in tagged.select("_version").distinct().collect()] if version is None else [version]:
+            some = tagged if version is not None else tagged.filter(F.col("_version") == v)
+            rows = rows.unionByName(parse_documents(some, v, keys=("file",), **how))
+    return _merged_files(rows)
+
+
+def read_documents(spark: SparkSession, *paths: str, lines: bool = False, version: int | None = None, **how) -> ReviewSet:
     """Documents of any version, upgraded and merged from left to right; folders are read by their *.json files in the order
     of their names. With lines, every line of a text file is a document of its own (save_lines)."""
     if not paths:
         raise ValueError("no document is named")
     out = None
     for path in paths:
-        reader = spark.read if lines else spark.read.option("pathGlobFilter", "*.json")
-        reviews = parse_files(reader.text(path, wholetext=not lines).select(F.col("_metadata.file_path").alias("file"), "value"), **how)
+        if lines:
+            reviews = parse_files(spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value"), version, **how)
+        else:
+            reviews = _read_folder(spark.read.option("pathGlobFilter", "*.json"), path, version, how)
         out = reviews if out is None else merge(out, reviews)
     return ReviewSet(out, paths[0] if len(paths) == 1 else None)
 

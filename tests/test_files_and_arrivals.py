@@ -50,3 +50,20 @@ def test_samples_by_order_and_by_rank(spark, monkeypatch):
     first = sorted(r.id for r in sampling.sample_n(df, 40, 3, "id").collect())
     monkeypatch.setattr(sampling, "TOP", 0)
     assert first == sorted(r.id for r in sampling.sample_n(df, 40, 3, "id").collect()) and len(first) == 40
+
+
+def test_saved_documents_are_read_by_lines_and_others_whole(spark, tmp_path):
+    """A document with a review a line is never one row; one laid out otherwise is still read; the last of a repeated id counts."""
+    from quillstone.sources import documents
+
+    label = '{"createdAt":"x","usageOptions":["%s"],"datasets":[],"metadata":"{}","scores":{},"augmentations":{}}'
+    line = lambda k, body, option: f'"{k}":{{"review_body":"{body}","labels":{{"m":{label % option}}}}}'
+    (tmp_path / "a.json").write_text("\n".join([documents.FIRST, line("1", "one", "p"), "," + line("2", "old", "q"), "," + line("2", "two", "r"), "}}", ""]))
+    (tmp_path / "b.json").write_text(documents.FIRST + "\n" + line("3", "three", "s").replace(":{", ":\n{") + "}}")
+    value = spark.read.text(str(tmp_path)).selectExpr("_metadata.file_name as file", "value")
+    assert documents._laid_out(value) == (["a.json"], ["b.json"])
+    rows = documents.read_documents(spark, str(tmp_path)).df.selectExpr("review_id", "review_body", "labels['m'].usageOptions as o").collect()
+    assert sorted((r.review_id, r.review_body, *r.o) for r in rows) == [("1", "one", "p"), ("2", "two", "r"), ("3", "three", "s")]
+    documents.save_documents(documents.read_documents(spark, str(tmp_path)), str(tmp_path / "back" / "c.json"))
+    saved = spark.read.text(str(tmp_path / "back" / "c.json")).selectExpr("_metadata.file_name as file", "value")
+    assert documents._laid_out(saved) == (["c.json"], [])
