@@ -60,6 +60,22 @@ def test_trees_in_rounds_and_blocks(spark, monkeypatch, metric, linkage):
     assert found(clustering.agglomerative(df, metric=metric, linkage=linkage, **kind)) == clustering.link(D, linkage, **kind).tolist()
 
 
+def test_narrow_vectors_are_dealt_over_all_cores():
+    """100,000 vectors of 64 numbers filled four blocks by their bytes, ten tasks; more cores have more pairs of blocks."""
+    many = hierarchy.blocks_of(100_000, 64, 12)
+    assert many * (many + 1) // 2 >= 36 and hierarchy.blocks_of(100, 64, 12) == 1
+
+
+@pytest.mark.parametrize("metric,linkage", [("cosine", "average"), ("euclidean", "ward")])
+def test_a_block_of_clusters_merges_without_all_distances(metric, linkage):
+    X = blobs(700, 6, 3)
+    X = hierarchy.unit(X) if metric == "cosine" else X
+    for until in (np.inf, 2 * reach(metric)):
+        rows = np.arange(700), np.ones(700), X, np.zeros(700), metric, linkage, until
+        trees = [{(a, b, round(h, 9)) for a, b, h, _ in f(*rows)} for f in (hierarchy.merge_locally, hierarchy.merge_in_block)]
+        assert trees[0] == trees[1]
+
+
 def test_trees_of_few_rows(spark):
     one = frame(spark, [[1.0, 2.0]], [4])
     assert found(clustering.agglomerative(one, n_clusters=1)) == [0]
