@@ -17,9 +17,13 @@ PARTS = ("review_body", "product_title", "usageOptions")
 
 
 def chunks(values: Column, n: int) -> Column:
-    """Slices of n; the last may be shorter."""
-    starts = F.when(F.size(values) > 0, F.sequence(F.lit(1), F.size(values), F.lit(n))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.slice(values, i, F.lit(n)))
+    """Slices of n; the last may be shorter. The array is worked out once a row, not once a slice."""
+
+    def cut(v: Column) -> Column:
+        starts = F.when(F.size(v) > 0, F.sequence(F.lit(1), F.size(v), F.lit(n))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.slice(v, i, F.lit(n)))
+
+    return F.get(F.transform(F.array(values), cut), F.lit(0))
 
 
 def expand(df: DataFrame, strategy, aug_set: str) -> DataFrame:
