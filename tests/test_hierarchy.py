@@ -100,6 +100,16 @@ def test_communities_in_rounds(spark, monkeypatch, least, threshold):
     assert found(got) == expected
 
 
+@pytest.mark.parametrize("deciding,pairs", [(7, 4_000_000), (50, 30), (4096, 1)])
+def test_communities_by_few_rows_at_a_time(spark, monkeypatch, deciding, pairs):
+    """Few rows decide in a round, few pairs go to a task, and rows with more neighbours than that decide by themselves."""
+    for name, value in (("LOCAL", 0), ("BLOCK_BYTES", 2000), ("DECIDING", deciding), ("PAIRS", pairs)):
+        monkeypatch.setattr(hierarchy, name, value)
+    X = np.random.default_rng(3).normal(size=(60, 3))
+    X[20:30] = X[:10]
+    assert found(clustering.community_detection(frame(spark, X), 0.8, 3)) == clustering.communities(X, 0.8, 3).tolist()
+
+
 def test_numbers_and_components(spark):
     rng = np.random.default_rng(4)
     values = rng.permutation(1000).tolist()
