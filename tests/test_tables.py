@@ -204,6 +204,20 @@ def test_cluster_quality_against_brute_force(spark, block):
     assert got == pytest.approx(brute_quality(X, labels), rel=1e-9, abs=1e-9)
 
 
+def test_distances_to_clusters_are_a_row_for_each_block(spark):
+    """Not a row for each row, block and cluster; a pair is measured once for both; rows without a cluster are compared with none."""
+    X = np.random.default_rng(6).normal(size=(90, 3))
+    labels = [None if i % 10 == 9 else i % 4 for i in range(90)]
+    df = spark.createDataFrame([(i, x.tolist(), c) for i, (x, c) in enumerate(zip(X, labels))], "vec_id long, _v array<double>, cluster int")
+    got = {(r.key, r.other): r.far for r in clustering._far_sums(df, "vec_id", 3, 20).collect()}
+    D = clustering.distances(X, "euclidean")
+    expected = {(i, c): D[i, [j for j, x in enumerate(labels) if x == c]].sum() for i in range(90) if labels[i] is not None for c in range(4)}
+    assert got == pytest.approx(expected, rel=1e-9)
+    measured = {r.measure: r.value for r in clustering.cluster_quality(df.withColumnRenamed("_v", "embedding"), block=20).collect()}
+    some = [i for i in range(90) if labels[i] is not None]
+    assert measured["silhouette"] == pytest.approx(brute_quality(X[some], np.array([labels[i] for i in some]))["silhouette"] * len(some) / 90)
+
+
 def test_spectral_clusters(spark):
     """Two rings, one in the other: spectral clusters part them, with all points as landmarks and with a third of them."""
     angle = np.linspace(0, 2 * np.pi, 150, endpoint=False)
