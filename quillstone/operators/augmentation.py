@@ -30,8 +30,8 @@ def expand(df: DataFrame, strategy, aug_set: str) -> DataFrame:
     """A review for each augmentation of the first selected label: id <id>.<set>#<i> from 1, parts that the augmentation
     holds replaced, label metadata tagged <set>_<i>."""
     key = L.first_id(F.col("labels"), strategy)
-    one = df.withColumn("_k", key).withColumn("_l", F.try_element_at("labels", F.col("_k"))).filter(F.col("_l").isNotNull())
-    one = one.select(*df.columns, "_k", "_l", F.posexplode(F.try_element_at("_l.augmentations", F.lit(aug_set))).alias("_i", "_a"))
+    one = df.withColumn("_k", key).withColumn("_l", F.try_element_at("labels", F.col("_k")))
+    one = L.exploded(one, [*df.columns, "_k", "_l"], F.try_element_at("_l.augmentations", F.lit(aug_set)), "_i", "_a")
     number = F.col("_i") + 1
     label = F.struct(
         F.col("_l.createdAt").alias("createdAt"),

@@ -16,6 +16,18 @@ LABEL = f"struct<createdAt:string,usageOptions:array<string>,datasets:array<stri
 LABELS = f"map<string,{LABEL}>"
 
 
+def once(value: Column, function) -> Column:
+    """function(value), where the value is worked out once a row, however often the function names it."""
+    return F.get(F.transform(F.array(value), function), F.lit(0))
+
+
+def exploded(df: DataFrame, columns: list, values: Column, *names: str) -> DataFrame:
+    """df's columns beside a row for each entry of a map, or each element of an array with its place. Empty ones are dropped behind the
+    explosion: an inner one would ask before all that the values are made of whether there are any, and make them once more for that."""
+    kind = F.posexplode_outer if names[0] in ("pos", "idx", "_i") else F.explode_outer
+    return df.select(*columns, kind(values).alias(*names)).filter(F.col(names[0]).isNotNull())
+
+
 def glob_regex(pattern: str) -> str:
     """A shell pattern (* ? [seq] [!seq]) as an anchored Java expression; case counts."""
     out, i = [], 0
@@ -82,11 +94,11 @@ def first_id(labels: Column, strategy) -> Column:
 
 
 def first_label(labels: Column, strategy) -> Column:
-    return F.try_element_at(labels, first_id(labels, strategy))
+    return once(labels, lambda m: F.try_element_at(m, first_id(m, strategy)))
 
 
 def all_labels(labels: Column, strategy) -> Column:
-    return F.transform(strategy.ids(labels), lambda k: labels[k])
+    return once(labels, lambda m: F.transform(strategy.ids(m), lambda k: m[k]))
 
 
 def usage_options(labels: Column, *patterns: str) -> Column:
@@ -120,7 +132,7 @@ def keep_selected(df: DataFrame, strategy, invert: bool = False) -> DataFrame:
 def label_coverage(df: DataFrame) -> DataFrame:
     """label_id, count, share of all reviews."""
     total = df.agg(F.count("*").alias("_all"))
-    counts = df.select(F.explode(F.map_keys("labels")).alias("label_id")).groupBy("label_id").agg(F.count("*").alias("count"))
+    counts = exploded(df, [], F.map_keys("labels"), "label_id").groupBy("label_id").agg(F.count("*").alias("count"))
     return counts.crossJoin(F.broadcast(total)).select("label_id", "count", (F.col("count") / F.col("_all")).alias("share"))  # total: one row
 
 
@@ -166,11 +178,9 @@ def add_label(
         datasets if datasets is not None else F.array().cast("array<string>"),
         metadata if metadata is not None else F.lit("{}"),
     )
-    added = put(labels, label_id, label)
-    return added if overwrite else F.when(
-        F.map_contains_key(labels, label_id),
-        F.raise_error(F.lit(f"label {label_id} is there already")).cast(LABELS),
-    ).otherwise(added)
+    there = F.raise_error(F.lit(f"label {label_id} is there already")).cast("boolean")
+    others = F.map_filter(labels, lambda k, _: F.when(k == label_id, F.lit(False) if overwrite else there).otherwise(True))
+    return F.map_concat(others, F.create_map(F.lit(label_id), label))
 
 
 def with_scores(label: Column, scores: Column) -> Column:
@@ -196,9 +206,12 @@ def reset_scores(labels: Column) -> Column:
 
 def merge_labels_into(labels: Column, ids: list[str], new_id: str) -> Column:
     """The first label that the ids name, copied under a new id; that id in use is an error, no label leaves all as it was."""
-    found = first_label(labels, ByGlob(*ids))
-    copied = F.when(found.isNull(), labels).otherwise(put(labels, new_id, found))
-    return F.when(F.map_contains_key(labels, new_id), F.raise_error(F.lit(f"label {new_id} is there already")).cast(LABELS)).otherwise(copied)
+    there = F.raise_error(F.lit(f"label {new_id} is there already")).cast(LABELS)
+
+    def copied(m: Column) -> Column:
+        return once(first_label(m, ByGlob(*ids)), lambda found: F.when(found.isNull(), m).otherwise(put(m, new_id, found)))
+
+    return once(labels, lambda m: F.when(F.map_contains_key(m, new_id), there).otherwise(copied(m)))
 
 
 def extract_labels(df: DataFrame, ids: list[str], keep: bool = False) -> DataFrame:
@@ -261,7 +274,7 @@ def apply_decisions(
 
 def options_of_label(df: DataFrame, label_id: str) -> DataFrame:
     """(review_id, usage_option) of a label over the whole set; a label without any option in it is an error."""
-    found = df.select("review_id", F.explode(F.try_element_at("labels", F.lit(label_id))["usageOptions"]).alias("usage_option"))
+    found = exploded(df, ["review_id"], F.try_element_at("labels", F.lit(label_id))["usageOptions"], "pos", "usage_option").drop("pos")
     if found.isEmpty():
         raise ValueError(f"label {label_id} has no option in any review")
     return found
@@ -272,7 +285,7 @@ def options_of_label(df: DataFrame, label_id: str) -> DataFrame:
 
 def labels_long(df: DataFrame) -> DataFrame:
     """review_id, label_id, usage_options, datasets, created_at, metadata."""
-    return df.select("review_id", F.explode("labels").alias("label_id", "l")).select(
+    return exploded(df, ["review_id"], F.col("labels"), "label_id", "l").select(
         "review_id",
         "label_id",
         F.col("l.usageOptions").alias("usage_options"),
@@ -284,32 +297,21 @@ def labels_long(df: DataFrame) -> DataFrame:
 
 def usage_long(df: DataFrame) -> DataFrame:
     """review_id, label_id, pos, usage_option."""
-    return labels_long(df).select("review_id", "label_id", F.posexplode("usage_options").alias("pos", "usage_option"))
+    return exploded(labels_long(df), ["review_id", "label_id"], F.col("usage_options"), "pos", "usage_option")
 
 
 def scores_long(df: DataFrame) -> DataFrame:
     """review_id, label_id, ref_id, metric_id, score, pred_pos, ref_pos."""
-    one = df.select("review_id", F.explode("labels").alias("label_id", "l")).select(
-        "review_id",
-        "label_id",
-        F.explode("l.scores").alias("ref_id", "m"),
-    )
-    return one.select(
-        "review_id",
-        "label_id",
-        "ref_id",
-        F.explode("m").alias("metric_id", "s"),
-    ).select("review_id", "label_id", "ref_id", "metric_id", "s.*")
+    one = exploded(df, ["review_id"], F.col("labels"), "label_id", "l")
+    one = exploded(one, ["review_id", "label_id"], F.col("l.scores"), "ref_id", "m")
+    return exploded(one, ["review_id", "label_id", "ref_id"], F.col("m"), "metric_id", "s").select("review_id", "label_id", "ref_id", "metric_id", "s.*")
 
 
 def augmentations_long(df: DataFrame) -> DataFrame:
     """review_id, label_id, aug_set, idx, review_body, product_title, usage_options, metadata."""
-    one = df.select("review_id", F.explode("labels").alias("label_id", "l")).select(
-        "review_id",
-        "label_id",
-        F.explode("l.augmentations").alias("aug_set", "a"),
-    )
-    one = one.select("review_id", "label_id", "aug_set", F.posexplode("a").alias("idx", "x"))
+    one = exploded(df, ["review_id"], F.col("labels"), "label_id", "l")
+    one = exploded(one, ["review_id", "label_id"], F.col("l.augmentations"), "aug_set", "a")
+    one = exploded(one, ["review_id", "label_id", "aug_set"], F.col("a"), "idx", "x")
     return one.select(
         "review_id",
         "label_id",

@@ -126,8 +126,8 @@ def violations(df: DataFrame) -> DataFrame:
 class ReviewSet:
     """A DataFrame of reviews and the operations on it; every operation gives a new set."""
 
-    def __init__(self, df: DataFrame, save_path: str | None = None):
-        self.df, self.save_path = df, save_path
+    def __init__(self, df: DataFrame, save_path: str | None = None, ids: list[str] | None = None):
+        self.df, self.save_path, self._ids = df, save_path, ids
 
     def __or__(self, other: ReviewSet) -> ReviewSet:
         return ReviewSet(merge(self.df, other.df), self.save_path)
@@ -169,7 +169,7 @@ class ReviewSet:
 
         known = self.label_ids()
         labels, refs = L.resolve_ids(known, label_ids), L.resolve_ids(known, ref_ids)
-        return ReviewSet(score_labels(self.df, labels, refs, metric_ids or DEFAULT_METRICS, **how), self.save_path)
+        return ReviewSet(score_labels(self.df, labels, refs, metric_ids or DEFAULT_METRICS, **how), self.save_path, known)
 
     def annotate(self, label: Callable[[list[str]], list[list[str]]], label_id: str, created_at: str, **how) -> ReviewSet:
         """A new label made by a client or model for every review; with progress=, a folder, answers are saved as they come."""
@@ -204,8 +204,10 @@ class ReviewSet:
         return ReviewSet(self.df.filter(~F.col("review_id").isin(*review_ids)), self.save_path)
 
     def label_ids(self) -> list[str]:
-        """Distinct label ids, sorted; there are few."""
-        return [r[0] for r in self.df.select(F.explode(F.map_keys("labels")).alias("k")).distinct().orderBy("k").collect()]
+        """Distinct label ids, sorted; there are few. They are looked up once a set."""
+        if self._ids is None:
+            self._ids = [r[0] for r in L.exploded(self.df, [], F.map_keys("labels"), "k").distinct().orderBy("k").collect()]
+        return list(self._ids)
 
     def remove_label(self, label_id: str) -> ReviewSet:
         return ReviewSet(L.delete_labels(self.df, [label_id]), self.save_path)
@@ -214,7 +216,7 @@ class ReviewSet:
         return ReviewSet(self.df.withColumn("labels", L.merge_labels_into(F.col("labels"), list(ids), new_id)), self.save_path)
 
     def reset_scores(self) -> ReviewSet:
-        return ReviewSet(self.df.withColumn("labels", L.reset_scores(F.col("labels"))), self.save_path)
+        return ReviewSet(self.df.withColumn("labels", L.reset_scores(F.col("labels"))), self.save_path, self._ids)
 
     def with_labels(self, *ids: str) -> ReviewSet:
         return ReviewSet(self.df.filter(L.has_all(F.col("labels"), list(ids))), self.save_path)

@@ -300,7 +300,7 @@ def stored_scores(spark, sf_dir):
 def deleted_label_scores(spark, sf_dir):
     """A label's removal takes the scores against it along."""
     rows = R.ReviewSet(labelled(spark, sf_dir)).score_labels(["chat*"], ["bp*"], ["custom_mean_f1"], kind="exact").delete_labels("bp*")
-    return rows.df.select("review_id", F.explode("labels").alias("label_id", "l")).select("review_id", "label_id", F.size("l.scores").alias("scores"))
+    return L.exploded(rows.df, ["review_id"], F.col("labels"), "label_id", "l").select("review_id", "label_id", F.size("l.scores").alias("scores"))
 
 
 @query(f"SELECT CASE WHEN len(pred) > 0 AND len(gold) > 0 THEN 'TP' WHEN len(pred) > 0 THEN 'FP' WHEN len(gold) > 0 THEN 'FN' ELSE 'TN' END AS usage_class, count(*) AS count FROM {_LABELLED} GROUP BY 1")

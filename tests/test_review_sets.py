@@ -244,6 +244,21 @@ def test_scores_are_stored_in_the_set(spark):
     assert made["a"].labels["new"].usageOptions == ["x"]
 
 
+def test_labels_are_scored_in_their_row(spark):
+    """Nothing is joined or shuffled, and what the labels are made of is worked out once: not again to find or to drop rows."""
+    text = F.split(F.col("t"), ",")
+    made = L.add_label(L.add_label(F.create_map().cast(L.LABELS), "bp", text, F.lit("now")), "ai", F.slice(text, 1, 1), F.lit("now"))
+    df = spark.createDataFrame([("a", "x,y"), ("b", "z")], "review_id string, t string").select("review_id", made.alias("labels"))
+    rows = scoring.score_labels(df, ["ai"], ["bp"], ["custom_mean_recall"], kind="exact")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and plan.count("split(") <= 4
+    long = L.scores_long(rows)
+    assert {r.review_id: (r.label_id, r.ref_id, r.score) for r in long.collect()} == {"a": ("ai", "bp", 0.5), "b": ("ai", "bp", 1.0)}
+    assert "Join" not in scoring.label_pairs(df, ["ai"], ["bp"])._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(Exception, match="there already"):
+        df.select(L.add_label(F.col("labels"), "ai", F.array(F.lit("q")), F.lit("now"))).collect()
+
+
 def test_decisions_by_hand(spark):
     label = ("t", ["keep me", "drop me", "change me", "undecided"], [], "{}", {}, {})
     df = spark.createDataFrame([("a", {"chat_gpt-1": label}), ("b", {"chat_gpt-1": label}), ("c", {})], f"review_id string, labels {L.LABELS}")
