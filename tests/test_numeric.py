@@ -159,3 +159,41 @@ def test_lines_and_marks():
         "3",
         ".",
     ]
+
+
+def test_words_of_long_texts_by_bits():
+    """Places of common subsequences as the table of lengths gives them, and clipped n-grams as counted out."""
+    from collections import Counter
+
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        a, b = (list(map(str, rng.integers(0, 6, rng.integers(0, 30)))) for _ in range(2))
+        rows = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                rows[i, j] = rows[i - 1, j - 1] + 1 if x == y else max(rows[i - 1, j], rows[i, j - 1])
+        out, i, j = set(), len(a), len(b)
+        while i and j:
+            if a[i - 1] == b[j - 1]:
+                out.add(i - 1)
+                i, j = i - 1, j - 1
+            elif rows[i, j - 1] > rows[i - 1, j]:
+                j -= 1
+            else:
+                i -= 1
+        assert M._common_places(a, b) == out
+        for n in (1, 2, 4):
+            grams = lambda x: Counter(tuple(x[i : i + n]) for i in range(len(x) - n + 1))
+            assert M._hits(tuple(a), (tuple(b), tuple(a[:3])), n) == sum((grams(a) & (grams(b) | grams(a[:3]))).values())
+    M._words("of ref")
+    assert M.rouge_n(["Of REF x"], ["of ref"], 1) == pytest.approx(0.8) and M._words.cache_info().hits > 0
+
+
+def test_metrics_of_words_make_no_vectors():
+    def embed(phrase):
+        raise AssertionError(phrase)
+
+    assert list(M._scorer(["bleu", "rouge1"], embed, "cosine_relu")([(["a b c d e"], ["a b c d e"])])) == [[1.0, 1.0]]
+    rows = [([f"phrase {i}", f"other {i}"], [f"phrase {i}"]) for i in range(600)]
+    made = list(M._scorer(["custom_mean_recall", "custom_mean_precision"], M.hashed_ngrams, "exact")(iter(rows)))
+    assert made == [[1.0, 0.5]] * 600
