@@ -13,6 +13,10 @@ Signatures never become pairs: sets of one signature are chained to their neighb
 where sizes differ by more than the threshold allows. Each task chains what it has read before rows are shuffled, so a
 signature that a great part of all sets share sends two rows for each megabyte of text.
 
+Before sets are sent, each group compares sketches of its sets: how many shingles fall into each of some n / 4 to n / 2 ranges of the hash, a
+byte each. The sum of two sketches' differences is never more than the number of shingles in which the sets differ, so no link is lost, and
+what is left is little more than the sets that link, however loaded the table of counts is.
+
 Inside a group (in blocks of bounded size where it is large) two ways of skipping find the
 links. Index level: posting lists of rare-first prefixes are kept by position in blocks, and
 blocks whose position leaves too little behind are skipped. Answer level: a set that is highly
@@ -31,6 +35,7 @@ from bisect import bisect_right
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -42,6 +47,8 @@ from quillstone.llm._text import SPACES, U, Words, mix, shingle_sets
 
 #: Sets, and shingles of sets, of a block in a candidate group; larger groups are compared block by block.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 19
+#: The same of sketches.
+SKETCH_BLOCK, SKETCH_SHINGLES = 4096, 1 << 23
 #: The table of counts has 2**BITS places at least, more for larger corpora (two bytes each, one where it is broadcast), and never
 #: more than 2**MOST_BITS.
 BITS, MOST_BITS = 22, 26
@@ -49,7 +56,8 @@ BITS, MOST_BITS = 22, 26
 PARTS_FIRST = Fraction(17, 20)
 #: Nodes that hold more than one in so many rows are joined apart from the others; there can be no more of them than this.
 HEAVY = 1000
-#: Rows of keys and numbers that are broadcast to the texts: some 32 bytes each, and three times as much once hashed.
+#: Rows of keys and numbers that are broadcast to the texts: some 32 bytes each, and three times as much once hashed. Beyond, texts are
+#: chosen by their keys alone, eight bytes each.
 BROADCAST = 1_000_000
 
 
@@ -400,16 +408,61 @@ def parted(sets: DataFrame, threshold: Fraction) -> DataFrame:
     return chained(sets.select("comp", "node", "size", "shingles").mapInArrow(tidy(scan), ROWS), threshold)
 
 
-def _group_links(groups, threshold: Fraction):
-    """Of rows sorted by (task, side): the forest of each task's links."""
+def sketch_bits(n: int) -> int:
+    return (n // 4).bit_length()
+
+
+def sketch_of(s: np.ndarray) -> bytes:
+    """The size of a set, and how many shingles of it fall into each of 2**sketch_bits ranges of the hash (255 stands for more)."""
+    bits = sketch_bits(len(s))
+    counts = np.bincount((s >> U(64 - bits)).astype(np.int64), minlength=1 << bits) if bits else np.array([len(s)])
+    return np.uint32(len(s)).tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def may_link(sketches: list[np.ndarray], threshold: Fraction, split: int | None = None) -> list[tuple[int, int]]:
+    """Pairs of places whose sketches let the sets link; with `split` only those between the first `split` and the rest."""
+    sizes = np.array([int(x[:4].view(np.uint32)[0]) for x in sketches], np.int64)
+    order = np.argsort(sizes, kind="stable")
+    sizes = sizes[order]
+    first = None if split is None else order < split
+    # Linked sets are of one number of ranges or of two near ones; the finer sketches are folded to the coarser.
+    levels = np.array([sketch_bits(int(n)) for n in sizes])
+    starts = {int(k): int(np.searchsorted(levels, k)) for k in np.unique(levels)}
+    ends = {k: int(np.searchsorted(levels, k, "right")) for k in starts}
+    tables = {k: np.stack([sketches[i][4:] for i in order[starts[k] : ends[k]]]) for k in starts}
+    num, den, links = threshold.numerator, threshold.denominator, []
+    for own in starts:
+        for other in (k for k in starts if k >= own and sizes[starts[k]] * num <= sizes[ends[own] - 1] * den):
+            folded = tables[other].reshape(len(tables[other]), 1 << own, -1)
+            # Counts of 255 stand for more, and so do sums: cut at 255 on both sides, differences only become smaller.
+            folded = folded[:, :, 0] if other == own else np.minimum(folded.sum(2, dtype=np.uint32), 255).astype(np.uint8)
+            total = folded.sum(1, dtype=np.int64)
+            mine = tables[own].sum(1, dtype=np.int64)
+            for i in range(starts[own], ends[own]):
+                lo = max(i + 1, starts[other])
+                hi = min(ends[other], int(np.searchsorted(sizes, sizes[i] * den // num, "right")))
+                if lo >= hi:
+                    continue
+                at = slice(lo - starts[other], hi - starts[other])
+                shared = np.minimum(folded[at], tables[own][i - starts[own]]).sum(1, dtype=np.int64)
+                differ = total[at] + mine[i - starts[own]] - 2 * shared
+                near = differ * (den + num) <= (sizes[lo:hi] + sizes[i]) * (den - num)
+                if first is not None:
+                    near &= first[lo:hi] != first[i]
+                links += [(int(order[i]), int(order[j])) for j in lo + np.flatnonzero(near)]
+    return links
+
+
+def _group_links(groups, find, threshold: Fraction):
+    """Of rows sorted by (task, side): the forest of each task's links, found by join_sets or may_link."""
     for sets, nodes, split in groups:
         if len(sets) > 1 and split != len(sets):
-            rows = local_forest((nodes[a], nodes[b]) for a, b in join_sets(sets, threshold, split))
+            rows = local_forest((nodes[a], nodes[b]) for a, b in find(sets, threshold, split))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def _groups(batches):
+def _groups(batches, kind=np.uint64):
     """(sets, nodes, split) of each task; split is None for a block against itself."""
     held: dict = {"key": None, "sets": [], "nodes": [], "sides": []}
 
@@ -425,68 +478,108 @@ def _groups(batches):
             if key != held["key"]:
                 yield from done()
                 held = {"key": key, "sets": [], "nodes": [], "sides": []}
-            held["sets"].append(np.frombuffer(sets[i].as_buffer(), np.uint64))
+            held["sets"].append(np.frombuffer(sets[i].as_buffer(), kind))
             held["nodes"].append(node)
             held["sides"].append(side)
     yield from done()
 
 
-def _sent(rows: DataFrame, beyond: str) -> DataFrame:
-    """Written rows of a few numbers, broadcast if there are no more than BROADCAST, so that texts are not shuffled for them; else
-    joined as `beyond` says."""
-    return F.broadcast(rows) if rows.limit(BROADCAST + 1).count() <= BROADCAST else rows.hint(beyond)
+def _few(rows: DataFrame) -> bool:
+    """Whether written rows of a few numbers are broadcast to the texts."""
+    return rows.limit(BROADCAST + 1).count() <= BROADCAST
 
 
-def _blocks() -> Column:
-    return F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+def _among(rows: DataFrame, column: str):
+    """A function of a column of keys: whether these are among the given ones, which are held as one sorted array. Texts are not handed
+    to Python for it."""
+    keys = np.unique(rows.select(column).toArrow().column(0).to_numpy())
+    held = rows.sparkSession.sparkContext.broadcast(keys)
 
+    def found(own: pd.Series) -> pd.Series:
+        keys, x = held.value, own.to_numpy()
+        return pd.Series(keys[np.minimum(np.searchsorted(keys, x), len(keys) - 1)] == x if len(keys) else np.zeros(len(x), bool))
+
+    return F.pandas_udf(found, "boolean")
 
-def link_nodes(docs: DataFrame, nodes: DataFrame, k: int, threshold: Fraction) -> DataFrame:
-    """(node, component) of all sets that link with another set."""
-    near = candidate_groups(docs, k, threshold, nodes.agg(F.sum("n_shingles")).first()[0] or 0)
-    # One document stands for each set.
-    one = nodes.groupBy("node").agg(F.min("key").alias("key"), F.max("n_shingles").alias("size"))
-    wanted = cut(near.join(one, "node").select("key", "node", F.col("component").alias("comp"), "size"), "wanted")
 
-    def sets_of(batches):
+def _blocks(most: int, most_shingles: int) -> Column:
+    return F.ceil(F.greatest(F.count("*") / most, F.sum("size") / most_shingles)).cast("int").alias("blocks")
+
+
+def _of_texts(docs: DataFrame, wanted: DataFrame, k: int, payload, name: str) -> DataFrame:
+    """(comp, node, size, shingles) of wanted rows (key, node, comp, size), written: payload(set) is told of each. Texts are not shuffled."""
+
+    def scan(batches):
         for batch in batches:
             for piece in slices(batch, "text"):
                 sets = _sets(piece, k)
-                right = pa.array([node_of(s) == n for s, n in zip(sets, piece.column("node").to_pylist())], pa.bool_())
-                columns = [*(piece.column(c) for c in ("comp", "node", "size")), pa.array([s.tobytes() for s in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["comp", "node", "size", "shingles"]).filter(right)
+                nodes = pa.array([node_of(s) for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([piece.column("key"), nodes, pa.array([payload(s) for s in sets], pa.binary())], ["key", "node", "shingles"])
 
-    # Up to BROADCAST wanted rows go to the texts; beyond, both are hash joined, and a task's part of the wanted rows is small.
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text")
-    texts = keyed.join(_sent(wanted, "shuffle_hash"), "key").select("text", "comp", "node", "size")
-    sets = cut(texts.mapInArrow(tidy(sets_of), "comp long, node long, size long, shingles binary"), "sets")
-    totals = cut(wanted.groupBy("comp").agg(_blocks()), "totals")
-    columns = ["comp", "node", "size", "shingles", "blocks"]
-    whole, written = sets.join(totals.filter("blocks = 1"), "comp").select(*columns), [wanted, sets, totals]
-    if not totals.filter("blocks > 1").isEmpty():
-        # Groups of more than a block are parted by the other signatures, and what is left of them is dealt in blocks.
-        large = sets.join(totals.filter("blocks > 1").select("comp"), "comp", "left_semi")
-        again = cut(parted(large, threshold).join(wanted.select("node", "size"), "node").withColumnRenamed("component", "part"), "parted")
-        dealt = again.join(again.groupBy("part").agg(_blocks()), "part").select("node", F.col("part").alias("comp"), "blocks")
-        whole = whole.unionByName(large.drop("comp").join(dealt, "node").select(*columns))
-        written.append(again)
+    if few := _few(wanted):
+        chosen = keyed.join(F.broadcast(wanted.select("key")), "key", "left_semi")
+    else:
+        chosen = keyed.filter(_among(wanted, "key")("key"))
+    told = chosen.mapInArrow(tidy(scan), "key long, node long, shingles binary")
+    rows = F.broadcast(wanted) if few else wanted.hint("shuffle_hash")
+    return cut(told.join(rows, ["key", "node"]).select("comp", "node", "size", "shingles"), name)
+
+
+def _tasks(whole: DataFrame) -> DataFrame:
+    """Rows (comp, node, shingles, blocks) dealt to tasks: a set goes to every task of its block, with itself and with each other
+    block of its group."""
     whole = whole.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # A set goes to every task of its block: with itself and with each other block of its group.
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     tasks = whole.withColumn("other", other).select(
         "comp", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "shingles"
     )
-    tasks = tasks.repartition("comp", "b1", "b2").sortWithinPartitions("comp", "b1", "b2", "side", "node")
+    return tasks.repartition("comp", "b1", "b2").sortWithinPartitions("comp", "b1", "b2", "side", "node")
+
+
+def _linked(tasks: DataFrame, find, kind, threshold: Fraction) -> DataFrame:
+    """(node, component) of the links that `find` tells of each task."""
 
     def scan(batches):
         # A node stands once in a task, though several rows may hold its text.
-        for sets, names, split in _groups(batches):
+        for sets, names, split in _groups(batches, kind):
             keep = [i for i in range(len(names)) if i == 0 or names[i] != names[i - 1]]
             if split is not None:
                 split = sum(i < split for i in keep)
-            yield from _group_links([([sets[i] for i in keep], [names[i] for i in keep], split)], threshold)
+            yield from _group_links([([sets[i] for i in keep], [names[i] for i in keep], split)], find, threshold)
+
+    return components(tasks.mapInArrow(tidy(scan), "a long, b long"))
 
-    out = components(tasks.mapInArrow(tidy(scan), "a long, b long"))
+
+def by_sketches(docs: DataFrame, wanted: DataFrame, k: int, threshold: Fraction) -> DataFrame:
+    """Wanted rows (key, node, comp, size) that a sketch lets link with another of their group, with the groups that are left; written."""
+    sketches = _of_texts(docs, wanted, k, sketch_of, "sketches")
+    totals = cut(wanted.groupBy("comp").agg(_blocks(SKETCH_BLOCK, SKETCH_SHINGLES)), "sketch-totals")
+    found = _linked(_tasks(sketches.join(totals, "comp")), may_link, np.uint8, threshold)
+    left = cut(wanted.drop("comp").join(found, "node").select("key", "node", F.col("component").alias("comp"), "size"), "wanted")
+    forget(sketches, totals)
+    return left
+
+
+def link_nodes(docs: DataFrame, nodes: DataFrame, k: int, threshold: Fraction) -> DataFrame:
+    """(node, component) of all sets that link with another set."""
+    near = candidate_groups(docs, k, threshold, nodes.agg(F.sum("n_shingles")).first()[0] or 0)
+    # One document stands for each set.
+    one = nodes.groupBy("node").agg(F.min("key").alias("key"), F.max("n_shingles").alias("size"))
+    chained_ones = cut(near.join(one, "node").select("key", "node", F.col("component").alias("comp"), "size"), "chained")
+    wanted = by_sketches(docs, chained_ones, k, threshold)
+    sets = _of_texts(docs, wanted, k, lambda s: s.tobytes(), "sets")
+    totals = cut(wanted.groupBy("comp").agg(_blocks(BLOCK, BLOCK_SHINGLES)), "totals")
+    columns = ["comp", "node", "size", "shingles", "blocks"]
+    whole, written = sets.join(totals.filter("blocks = 1"), "comp").select(*columns), [chained_ones, wanted, sets, totals]
+    if not totals.filter("blocks > 1").isEmpty():
+        # Groups of more than a block are parted by the other signatures, and what is left of them is dealt in blocks.
+        large = sets.join(totals.filter("blocks > 1").select("comp"), "comp", "left_semi")
+        again = cut(parted(large, threshold).join(wanted.select("node", "size"), "node").withColumnRenamed("component", "part"), "parted")
+        dealt = again.join(again.groupBy("part").agg(_blocks(BLOCK, BLOCK_SHINGLES)), "part").select("node", F.col("part").alias("comp"), "blocks")
+        whole = whole.unionByName(large.drop("comp").join(dealt, "node").select(*columns))
+        written.append(again)
+    out = _linked(_tasks(whole), join_sets, np.uint64, threshold)
     forget(*written)
     return out
 
@@ -527,4 +620,8 @@ def keep_one(docs: DataFrame, k: int = 3, threshold: Fraction = Fraction(9, 10))
     rows = _components_of_rows(docs, k, threshold).filter("component_id < doc_id")
     gone = cut(rows.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct(), "gone")
     own = (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")) == F.col("_key"))
-    return docs.join(_sent(gone, "merge"), own, "left_anti")
+    if _few(gone):
+        return docs.join(F.broadcast(gone), own, "left_anti")
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    # A key is that of one id and text; a row without an id is in no group's rest.
+    return docs.filter(F.col("doc_id").isNull() | ~_among(gone, "_key")(key))

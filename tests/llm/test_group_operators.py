@@ -140,6 +140,40 @@ def test_shared_passages_do_not_chain_texts_when_shingles_outgrow_the_table(spar
     assert largest() > 100
 
 
+def test_sketches_lose_no_link_and_part_what_a_loaded_table_chains(spark, monkeypatch):
+    """The same chains of texts that share passages: no set of theirs is sent, as their sketches differ by more than links let them."""
+    rng = np.random.default_rng(5)
+    for threshold in (Fraction(9, 10), Fraction(4, 5), Fraction(1, 2)):
+        sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1)) for n in (3, 8, 31, 64, 200, 255, 256, 700)]
+        sets += [np.unique(rng.permutation(s)[: max(1, int(len(s) * share))]) for s in sets for share in (0.97, 0.91, 0.81, 0.6)]
+        sets.append(np.arange(2000, dtype=np.uint64))  # all in one range
+        sets.append(np.arange(1900, dtype=np.uint64))
+        both = lambda a, b: len(np.intersect1d(a, b))
+        links = {(i, j) for i in range(len(sets)) for j in range(i) if (n := both(sets[i], sets[j])) >= threshold * (len(sets[i]) + len(sets[j]) - n)}
+        sketches = [np.frombuffer(jaccard_join.sketch_of(s), np.uint8) for s in sets]
+        for split in (None, len(sets) // 2):
+            found = {(max(x), min(x)) for x in jaccard_join.may_link(sketches, threshold, split)}
+            assert {x for x in links if split is None or (x[0] < split) != (x[1] < split)} <= found
+    monkeypatch.setattr(jaccard_join, "BITS", 4)
+    monkeypatch.setattr(jaccard_join, "MOST_BITS", 4)
+    monkeypatch.setattr(jaccard_join, "SKETCH_BLOCK", 50)
+    word = lambda: f"w{rng.integers(0, 1 << 40)}"
+    passages = [[word() for _ in range(12)] for _ in range(20)]
+    texts = []
+    for _ in range(300):
+        a, b = rng.choice(20, 2, replace=False)
+        texts.append(" ".join([*passages[a], *[word() for _ in range(40)], *passages[b]]))
+    texts.append(texts[7] + " x")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    nodes = jaccard_join._node_rows(df, 3).cache()
+    wanted = jaccard_join.candidate_groups(df, 3, Fraction(4, 5)).join(nodes, "node").selectExpr("key", "node", "component AS comp", "n_shingles AS size")
+    assert wanted.count() > 100
+    left = jaccard_join.by_sketches(df, wanted, 3, Fraction(4, 5)).join(nodes.select("node", "doc_id"), "node")
+    found = {r.doc_id for r in left.collect()}
+    assert found >= {7, 300} and len(found) < 30
+    assert [r.doc_id for r in jaccard_join.keep_one(df, 3, Fraction(4, 5)).orderBy("doc_id").collect()] == list(range(300))
+
+
 @pytest.mark.parametrize(("block", "threshold"), [(1024, Fraction(9, 10)), (4, Fraction(9, 10)), (4, Fraction(4, 5))])
 def test_jaccard_components(spark, monkeypatch, block, threshold):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
