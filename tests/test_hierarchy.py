@@ -76,6 +76,30 @@ def test_a_block_of_clusters_merges_without_all_distances(metric, linkage):
         assert trees[0] == trees[1]
 
 
+@pytest.mark.parametrize("metric,linkage", sorted(hierarchy.OFFERED))
+@pytest.mark.parametrize("far", [1.0, 1e25, 1e-25])
+def test_nearest_by_rough_distances_are_the_exact_ones(metric, linkage, far):
+    """Single precision only leaves pairs out: copies, ties, long offsets and lengths beyond it included. Few pairs are measured twice."""
+    rng = np.random.default_rng(4)
+    X = np.concatenate((blobs(500, 16, 6), blobs(300, 16, 6)[:200]))
+    X = hierarchy.unit(X) if metric == "cosine" else (X + 50) * far
+    size = rng.integers(1, 9, len(X)) if linkage == "ward" else np.ones(len(X), np.int64)
+    D = hierarchy.gaps(X, size, X, size, metric, linkage)
+    np.fill_diagonal(D, np.inf)
+    until = float(np.quantile(D.min(1), 0.7))
+    rough = hierarchy.Rough(X, size, X, size, metric, linkage)
+    own = np.arange(100, 300)
+    tile = rough.tile(own)
+    tile[np.arange(len(own)), own] = np.inf
+    for axis, exact in ((1, D[own]), (0, D[own].T)):
+        for most in (np.inf, until):
+            place, gap = rough.leasts(tile, own, axis, most)
+            told = exact.min(1) < most
+            assert np.allclose(gap[told], exact.min(1)[told], rtol=1e-9, atol=1e-6 * far)
+            assert np.allclose(exact[np.arange(len(exact)), place][told], exact.min(1)[told], rtol=1e-9, atol=1e-6 * far)
+    assert tile.dtype == np.float32
+
+
 def test_trees_of_few_rows(spark):
     one = frame(spark, [[1.0, 2.0]], [4])
     assert found(clustering.agglomerative(one, n_clusters=1)) == [0]
