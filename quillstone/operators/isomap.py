@@ -2,7 +2,7 @@
 
 Every row's nearest neighbours are found exactly, block against block. From the landmarks, shortest paths run through the graph in
 rounds: a round extends only the distances that the last one shortened, and keeps those that are shorter than what is
-known. So the state is a distance a row and landmark, never one a pair of rows. The landmarks, whose number the caller bounds, are laid
+known. So the state is a distance a row and landmark, never one a pair of rows; a task takes the landmarks whose distances it can hold. The landmarks, whose number the caller bounds, are laid
 out by classical scaling on the driver; every other row is placed by its distances to them (triangulation). With every row a
 landmark that is the exact map. Parts of the graph that hang on nothing are tied by the shortest ways between them.
 """
@@ -25,27 +25,66 @@ LANDMARKS = 512
 def nearest_rows(rows: DataFrame, width: int, k: int) -> DataFrame:
     """(id, nb, gap): the k nearest other rows of every row by Euclidean distance, of equals the smaller ids."""
 
-    def closest(own: np.ndarray, other: np.ndarray, D: np.ndarray) -> list[pd.DataFrame]:
-        D = np.where(own[:, None] == other[None], np.inf, D)
-        order = np.argsort(D, axis=1, kind="stable")[:, :k]
-        gap = np.take_along_axis(D, order, 1)
-        frame = pd.DataFrame({"id": np.repeat(own, order.shape[1]), "nb": other[order].ravel(), "gap": gap.ravel()})
-        return [frame[np.isfinite(frame["gap"])]]
-
     def run(first: pd.DataFrame, second: pd.DataFrame, same: bool) -> pd.DataFrame:
-        ids, X = zip(*((f["id"].to_numpy(), np.frombuffer(b"".join(f["mean"]), np.float64).reshape(-1, width)) for f in (first.sort_values("id"), second.sort_values("id"))))
-        found = [pd.DataFrame({"id": [], "nb": [], "gap": []})]
-        for p, q in ((0, 1),) if same else ((0, 1), (1, 0)):
-            one = np.ones(len(ids[q]))
-            for lo in range(0, len(ids[p]), hierarchy.TILE):
-                A = X[p][lo : lo + hierarchy.TILE]
-                found += closest(ids[p][lo : lo + hierarchy.TILE], ids[q], hierarchy.gaps(A, np.ones(len(A)), X[q], one, "euclidean", "single"))
-        return pd.concat(found)
-
-    found = hierarchy.in_blocks(rows.select("id", "mean"), width, run, "id long, nb long, gap double")
-    # k a pair of blocks: short lists.
-    best = found.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("gap", "nb"))), 1, k).alias("near"))
-    return best.select("id", F.explode("near").alias("e")).select("id", "e.nb", "e.gap")
+        (ids, X), (others, Y) = ((f["id"].to_numpy(), np.frombuffer(b"".join(f["mean"]), np.float64).reshape(-1, width)) for f in (first.sort_values("id"), second.sort_values("id")))
+        rough = hierarchy.Rough(X, np.ones(len(X)), Y, np.ones(len(Y)), "euclidean", "single")
+        slack, here, there = np.float32(2 * rough.unit), [], []
+        best = np.full((k, len(Y)), np.inf, np.float32)  # of what tiles told of each column, the k smallest
+        for lo in range(0, len(X), hierarchy.TILE):
+            own = np.arange(lo, min(len(X), lo + hierarchy.TILE))
+            D = rough.tile(own)
+            if same:
+                D[np.arange(len(own)), own] = np.inf
+            i, j = np.divmod(np.flatnonzero(D <= _kth(D, k)[:, None] + slack), D.shape[1])
+            here.append(_shortest(own[i], j, rough.exact(own[i], j), k))
+            if not same:
+                best = np.partition(np.concatenate((best, _strips(D.T, k).T)), k - 1, axis=0)[:k]
+                i, j = np.divmod(np.flatnonzero(D <= best[k - 1][None] + slack), D.shape[1])
+                there.append((j, own[i], D[i, j]))
+        told = [(ids, others, here)]
+        if there:
+            j, i, far = (np.concatenate(x) for x in zip(*there))
+            near = far <= best[k - 1][j] + slack
+            j, i = j[near], i[near]
+            told.append((others, ids, [_shortest(j, i, rough.exact(i, j), k)]))
+        frames = [pd.DataFrame({"id": [], "nb": [], "gap": []})]
+        for one, other, found in told:
+            for own, nb, gap in found:
+                finite = np.isfinite(gap)
+                own, nb, gap = one[own[finite]], other[nb[finite]], gap[finite]
+                starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, np.int64)
+                frames.append(pd.DataFrame({"id": own[starts], "nb": np.split(nb, starts[1:]) if len(own) else [], "gap": np.split(gap, starts[1:]) if len(own) else []}))
+        return pd.concat(frames)
+
+    # A row a row and pair of blocks, with k neighbours.
+    found = hierarchy.in_blocks(rows.select("id", "mean"), width, run, "id long, nb array<long>, gap array<double>")
+    best = found.groupBy("id").agg(F.flatten(F.collect_list(F.arrays_zip("gap", "nb"))).alias("near"))
+    return best.select("id", F.explode(F.slice(F.sort_array("near"), 1, k)).alias("e")).select("id", "e.nb", "e.gap")
+
+
+def _strips(D: np.ndarray, k: int) -> np.ndarray:
+    """Of each row the least of k or more sets of its entries (all entries where there are few)."""
+    strips = max(k, D.shape[1] // 32)
+    deep = D.shape[1] // strips if D.shape[1] >= 2 * strips else 1
+    if deep == 1:
+        return D
+    whole = D[:, : deep * strips].reshape(len(D), deep, strips)
+    return whole.min(1)
+
+
+def _kth(D: np.ndarray, k: int) -> np.ndarray:
+    """Of each row a number that k entries or more, or all, do not exceed: near the k-th smallest."""
+    least = _strips(D, k)
+    return np.partition(least, k - 1, axis=1)[:, k - 1] if least.shape[1] >= k else np.full(len(D), np.finfo(np.float32).max)
+
+
+def _shortest(own: np.ndarray, other: np.ndarray, gap: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs the k shortest of each own place, of equals the smaller other ones; by own place."""
+    order = np.lexsort((other, gap, own))
+    own, other, gap = own[order], other[order], gap[order]
+    start = np.maximum.accumulate(np.where(np.r_[True, own[1:] != own[:-1]], np.arange(len(own)), 0)) if len(own) else own
+    kept = np.arange(len(own)) - start < k
+    return own[kept], other[kept], gap[kept]
 
 
 def neighbour_graph(rows: DataFrame, width: int, k: int) -> DataFrame:
@@ -62,9 +101,70 @@ def neighbour_graph(rows: DataFrame, width: int, k: int) -> DataFrame:
     return out
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """(id, source, far): the length of the shortest path from each source (a column `source`) to every row it reaches."""
-    known = settled(sources.select(F.col("source").alias("id"), "source", F.lit(0.0).alias("far")), "paths")
+#: Bytes of the distances of a task, and links and rows that a task's graph may have: some 16 bytes a link.
+STATE_BYTES, LINKS, ROWS = 64 << 20, 16_000_000, 8_000_000
+
+
+def shortest_paths(edges: DataFrame, sources: list[int], rows: int) -> DataFrame:
+    """(id, first, far), written: the lengths of the shortest paths from the sources number first, first + 1, ... to every row that these
+    reach. Rows are numbered from 0, edges are a written table.
+
+    A task takes some sources, as many as their distances to all rows fit STATE_BYTES, and reads the links from the shared folder. With
+    more than LINKS links or ROWS rows, distances are rows instead, and links are joined with them."""
+    spark = edges.sparkSession
+    if rows > ROWS or edges.count() > LINKS:
+        return _paths_by_joins(edges, sources)
+    step = max(1, min(STATE_BYTES // (8 * max(1, rows)), -(-len(sources) // spark.sparkContext.defaultParallelism)))
+    place = edges.settled_at
+
+    def run(frames):
+        graph = None
+        for frame in frames:
+            for first in frame["first"]:
+                graph = graph or _graph(place, rows)
+                yield from _relaxed(graph, sources[first : first + step], rows, int(first))
+
+    groups = spark.range(0, len(sources), step, -(-len(sources) // step)).select(F.col("id").alias("first"))
+    return settled(groups.mapInPandas(run, "id long, first long, far array<double>"), "paths")
+
+
+def _graph(place: str, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links (a, b, gap) of a written table, by a."""
+    from pyarrow import dataset, fs
+
+    files, path = fs.FileSystem.from_uri(place) if "://" in place or place.startswith("file:") else (fs.LocalFileSystem(), place)
+    table = dataset.dataset(path, filesystem=files, format="parquet").to_table(columns=["a", "b", "gap"])
+    a, b = (table.column(c).to_numpy().astype(np.int32) for c in ("a", "b"))
+    order = np.argsort(a, kind="stable")
+    return a[order], b[order], table.column("gap").to_numpy()[order]
+
+
+def _relaxed(graph, sources: list[int], rows: int, first: int):
+    a, b, gap = graph
+    far = np.full((rows, len(sources)), np.inf)
+    far[sources, np.arange(len(sources))] = 0.0
+    moved = np.zeros(rows, bool)
+    moved[sources] = True
+    while moved.any():
+        links = np.flatnonzero(moved[b])
+        moved = np.zeros(rows, bool)
+        most = max(1, (8 << 20) // (8 * len(sources)))
+        for lo in range(0, len(links), most):
+            some = links[lo : lo + most]
+            starts = np.flatnonzero(np.r_[True, a[some][1:] != a[some][:-1]])
+            to = a[some][starts]
+            new = np.minimum.reduceat(far[b[some]] + gap[some][:, None], starts, axis=0)
+            old = far[to]
+            moved[to[(new < old).any(1)]] = True
+            far[to] = np.minimum(old, new)
+    for lo in range(0, rows, 65536):
+        ids = lo + np.flatnonzero(np.isfinite(far[lo : lo + 65536]).any(1))
+        yield pd.DataFrame({"id": ids, "first": first, "far": list(far[ids])})
+
+
+def _paths_by_joins(edges: DataFrame, sources: list[int]) -> DataFrame:
+    table = edges.sparkSession.createDataFrame([(i, n) for n, i in enumerate(sources)], "id long, source long")
+    known = settled(table.select("id", "source", F.lit(0.0).alias("far")), "paths")
     front = known
     while not front.isEmpty():
         longer = front.join(edges.withColumnRenamed("a", "id"), "id").select(F.col("b").alias("id"), "source", (F.col("far") + F.col("gap")).alias("far"))
@@ -75,7 +175,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
         known, front = settled(both.select("id", "source", F.least("far", "new").alias("far")), "paths"), both.filter(shorter).select("id", "source", F.col("new").alias("far"))
         front = settled(front, "front")
         discard(both)
-    return known
+    return known.select("id", F.col("source").alias("first"), F.array("far").alias("far"))
 
 
 def scaled(D: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,17 +197,25 @@ def isomap(df: DataFrame, k: int, neighbours: int = 5, landmarks: int = LANDMARK
     chosen = [r.id for r in rows.select("id").orderBy(F.md5(F.col("id").cast("string"))).limit(landmarks).collect()]  # a bounded number
     if len(chosen) < 2:
         return rows.select(key, F.array(*[F.lit(0.0)] * k).alias("map"))
-    sources = df.sparkSession.createDataFrame([(i,) for i in chosen], "source long")
-    paths = shortest_paths(neighbour_graph(rows, width, neighbours), sources)
+    graph = neighbour_graph(rows, width, neighbours)
+    paths = shortest_paths(graph, chosen, rows.count())
     place = {i: n for n, i in enumerate(chosen)}
     D = np.zeros((len(chosen), len(chosen)))
-    among = paths.join(F.broadcast(sources.withColumnRenamed("source", "id")), "id")
-    for r in among.toLocalIterator():  # a row a pair of landmarks
-        D[place[r.id], place[r.source]] = r.far
+    among = paths.filter(F.col("id").isin(chosen))
+    for r in among.toLocalIterator():  # a number a pair of landmarks
+        D[place[r.id], r["first"] : r["first"] + len(r.far)] = r.far
     mean, matrix = scaled((D + D.T) / 2, k)
     k_of = matrix.shape[1]
-    table = df.sparkSession.createDataFrame([(i, float(mean[n]), matrix[n].tolist()) for n, i in enumerate(chosen)], "source long, mean double, weight array<double>")
-    off = F.col("far") * F.col("far") - F.col("mean")
-    found = paths.join(F.broadcast(table), "source").groupBy("id").agg(*[F.sum(off * F.get("weight", F.lit(c))).alias(f"x{c}") for c in range(k_of)])
+    columns = [f"x{c}" for c in range(k_of)]
+
+    def placed(frames):
+        for frame in frames:
+            for first, some in frame.groupby("first"):
+                far = np.stack(some["far"])
+                at = slice(first, first + far.shape[1])
+                yield pd.DataFrame({"id": some["id"]} | dict(zip(columns, ((far * far - mean[at]) @ matrix[at]).T)))
+
+    told = paths.mapInPandas(placed, ", ".join(["id long", *[f"{c} double" for c in columns]]))
+    found = told.groupBy("id").agg(*[F.sum(c).alias(c) for c in columns])
     coordinates = F.array(*[F.col(f"x{c}") for c in range(k_of)], *[F.lit(0.0)] * (k - k_of))
     return rows.select(key, "id").join(found, "id").select(key, coordinates.alias("map"))

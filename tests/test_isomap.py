@@ -85,3 +85,38 @@ def test_few_rows(spark):
     assert isomap.scaled(np.zeros((3, 3)), 2)[1].tolist() == [[0.0, 0.0]] * 3
     with pytest.raises(ValueError):
         clustering.reduce_dimensions(df, 1, "umap")
+
+
+def test_paths_by_tasks_are_those_by_joins(spark, monkeypatch):
+    """Tasks that read the links, with several landmarks or one each, against links joined with distances."""
+    from quillstone.session import settled
+
+    X = roll(150, 9)
+    near = [(i, j, float(np.linalg.norm(X[i] - X[j]))) for i in range(150) for j in range(150) if i != j and np.linalg.norm(X[i] - X[j]) < 6]
+    edges = settled(spark.createDataFrame(near, "a long, b long, gap double"), "graph")
+    sources = [3, 149, 0, 77, 20]
+
+    def found():
+        return {(r.id, r["first"] + n): x for r in isomap.shortest_paths(edges, sources, 150).collect() for n, x in enumerate(r.far) if np.isfinite(x)}
+
+    monkeypatch.setattr(isomap, "LINKS", 0)
+    joined = found()
+    monkeypatch.setattr(isomap, "LINKS", 1 << 20)
+    assert len(joined) > 400 and found() == joined
+    monkeypatch.setattr(isomap, "STATE_BYTES", 1)
+    assert found() == joined
+
+
+def test_nearest_rows_over_blocks(spark, monkeypatch):
+    """Copies and ties: the k nearest, of equals the smaller ids, over many pairs of blocks."""
+    monkeypatch.setattr(hierarchy, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(hierarchy, "TILE", 16)
+    X = np.round(roll(200, 4) / 2)
+    df = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(X)], "vec_id long, embedding array<double>").repartition(3)
+    rows, width = hierarchy.vector_rows(df, "vec_id", "embedding", "euclidean")
+    got = {}
+    for r in isomap.nearest_rows(rows, width, 8).collect():
+        got.setdefault(r.id, set()).add(r.nb)
+    D = np.round(np.linalg.norm(X[:, None] - X[None], axis=2), 12)
+    np.fill_diagonal(D, np.inf)
+    assert got == {i: set(np.lexsort((np.arange(200), D[i]))[:8].tolist()) for i in range(200)}
